@@ -18,3 +18,18 @@ def documents(spark, texts=TEXTS, first=0):
 
 def empty_documents(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def components(nodes, links):
+    """The smallest node reachable from each."""
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
