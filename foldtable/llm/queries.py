@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, sharding, token_store, warc
+from . import chat, decontaminate, embedding_dedup, sharding, simhash, token_store, warc
 from .common import table
 
 QUERIES = {
     "op1_sharding": lambda spark, d: sharding.shard_documents(spark, table(spark, d, "documents")),
     "op3_chat_formatting": lambda spark, d: chat.format_conversations(spark, table(spark, d, "conversations")),
+    "op5_simhash_near_dedup": lambda spark, d: simhash.group_documents(spark, table(spark, d, "documents")),
     "op6_token_output": lambda spark, d: token_store.store_documents(spark, table(spark, d, "documents")),
+    "op8_decontamination": lambda spark, d: decontaminate.judge_documents(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_warc": lambda spark, d: warc.archive_pages(spark, table(spark, d, "pages")),
+    "op10_embedding_near_dedup": lambda spark, d: embedding_dedup.group_vectors(spark, table(spark, d, "embeddings")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
