@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding_dedup, sharding, simhash, token_store, warc
+from . import bpe, chat, decontaminate, embedding_dedup, quality, sharding, simhash, token_store, warc
 from .common import table
 
 QUERIES = {
     "op1_sharding": lambda spark, d: sharding.shard_documents(spark, table(spark, d, "documents")),
+    "op2_bpe": lambda spark, d: bpe.round_trip(spark, table(spark, d, "documents")),
     "op3_chat_formatting": lambda spark, d: chat.format_conversations(spark, table(spark, d, "conversations")),
+    "op4_quality_classifier": lambda spark, d: quality.score_documents(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_simhash_near_dedup": lambda spark, d: simhash.group_documents(spark, table(spark, d, "documents")),
     "op6_token_output": lambda spark, d: token_store.store_documents(spark, table(spark, d, "documents")),
     "op8_decontamination": lambda spark, d: decontaminate.judge_documents(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
