@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_lists, new_path, parts_for, slices, utf8_size
+from .encoding import BYTE_CHARS, UnitEncoder
 
 #: Writer settings: row groups of 16 MB, pages of 64 KB, version 2 pages for delta encoding.
 LAYOUT = {
@@ -33,51 +34,54 @@ LAYOUT = {
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 
 
-class ChunkEncoder:
+MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
+
+
+class ChunkEncoder(UnitEncoder):
     """Encodes texts with a tokenizer that drops white space, one white-space chunk at a time.
 
     Normalising and splitting never look across white space, so a chunk's ids don't depend on
-    its neighbours and are asked of the tokenizer once. `held` bounds the memory of the chunks;
-    when it is reached they are forgotten and asked for again.
+    its neighbours. A chunk of letters, and ASCII marks after them, is two words to the
+    tokenizer; letters that normalising leaves alone go to its merges directly.
     """
 
-    def __init__(self, path: str, held: int = 500_000):
+    def __init__(self, path: str, held: int = 700_000):
+        super().__init__(held)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.held = held
-        self.forget()
-
-    def forget(self):
-        self.known: dict[bytes, int] = {}
-        self.flat, self.starts, self.counts = (np.zeros(0, dtype=k) for k in ("int32", "int64", "int64"))
-
-    def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), "int64", len(ids))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), "int32", counts.sum())])
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each has."""
-        words = [t.split() for t in texts]
-        if len(self.known) > self.held:
-            self.forget()
-        self.learn(list(set(chain.from_iterable(words)).difference(self.known)))
-        n = np.fromiter(map(len, words), "int64", len(words))
-        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), "int64", n.sum())
-        counts = self.counts[codes]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.flat[np.repeat(self.starts[codes] - ends[:-1], counts) + np.arange(ends[-1])]
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
-
+        self.merge = self.tokenizer.model.tokenize
+        self.tails: dict[str, list[int]] = {"": []}
+
+    def split(self, text: bytes) -> list[bytes]:
+        # Lower case joins chunks that encode alike; a text that may spell a special token keeps its own.
+        return (text if b"<|" in text else text.lower()).split()
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ask(self, units: list[bytes]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        words = [u.decode() for u in units]
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or is_normalized("NFC", core)) and core.lower() == core:
+                tail = w[len(core) :]
+                if tail not in self.tails:
+                    if len(self.tails) > 10_000:
+                        self.tails = {"": []}
+                    self.tails[tail] = self.whole([tail])[0]
+                letters = core if core.isascii() else "".join(map(BYTE_CHARS.__getitem__, core.encode()))
+                out.append([t.id for t in self.merge(letters)] + self.tails[tail])
+            else:
+                out.append(None)
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self.whole([words[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
 
 _encoders: dict[str, ChunkEncoder] = {}
 
