@@ -50,13 +50,14 @@ def _round(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of edges (a, b), component being the smallest node in it.
 
+    Nodes are of any type that has an order.
+
     A constant share of the nodes that still have edges is expected to disappear in a round,
     however long the paths or large the hubs are. Loops and repeated or reversed edges change nothing;
     edges with a null end are ignored; no edges give no rows. All state between rounds is in
     files of the shared folder.
     """
-    long = lambda c: F.col(c).cast("long")
-    first = edges.select(F.least(long("a"), long("b")).alias("a"), F.greatest(long("a"), long("b")).alias("b"))
+    first = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     now = stage(first.where("a <> b and a is not null and b is not null").distinct(), "cc-edges")
     moves = []
     while not now.isEmpty():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, embedding_dedup, quality, sharding, simhash, token_store, warc
+from . import bpe, chat, decontaminate, embedding_dedup, line_dedup, quality, sharding, simhash, token_store, warc
 from .common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_quality_classifier": lambda spark, d: quality.score_documents(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_simhash_near_dedup": lambda spark, d: simhash.group_documents(spark, table(spark, d, "documents")),
     "op6_token_output": lambda spark, d: token_store.store_documents(spark, table(spark, d, "documents")),
+    "op7_line_dedup": lambda spark, d: line_dedup.thin_documents(spark, table(spark, d, "documents")),
     "op8_decontamination": lambda spark, d: decontaminate.judge_documents(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_warc": lambda spark, d: warc.archive_pages(spark, table(spark, d, "pages")),
     "op10_embedding_near_dedup": lambda spark, d: embedding_dedup.group_vectors(spark, table(spark, d, "embeddings")),
