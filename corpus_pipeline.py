@@ -1,8 +1,62 @@
-"""Corpus pipeline."""
+"""From raw documents to token ids, in five stages.
 
-STAGES: list = []
+Each stage works on all that the one before it kept, written as Parquet in between:
+
+1. quality classifier: documents that score below its cut go;
+2. line dedup: of equal and near-equal lines the first stays; a document of which no line is left
+   goes, as all of it stands elsewhere;
+3. SimHash near-dedup: of each group the document with the smallest id stays;
+4. benchmark decontamination: contaminated documents go;
+5. BPE: the ids of every document, checked by decoding them.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foldtable.llm import bpe, decontaminate, line_dedup, quality, simhash
+from foldtable.llm.common import stage, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def thin_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    thinned = line_dedup.dedup_lines(docs).where((F.col("n_kept") > 0) | (F.col("n_lines") == 0))
+    cut = F.col("n_kept") < F.col("n_lines")
+    return thinned.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digests(bpe.encode(docs, path), path, tokens=True)
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("line_dedup", thin_lines),
+    ("simhash_near_dedup", one_of_each_group),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe", tokenize),
+]
+
+#: Fitted scores, hashes of shingles and merges aren't expressible in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -278,8 +278,8 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.mapInArrow(run, encoded.select(*names, F.lit("").alias("text")).schema)
 
 
-def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
+def digests(encoded: DataFrame, tokenizer: str, tokens: bool = False) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text that they decode to; the ids too if wanted."""
 
     def run(batches):
         vocabulary = Vocabulary(tokenizer)
@@ -290,9 +290,12 @@ def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 raw = ids.astype("<u4")
                 hashed = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
                 texts = [hashlib.sha256(t).hexdigest() for t in vocabulary.decode(ids, counts)]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(counts.astype("int64")), pa.array(hashed, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [some.column("doc_id"), pa.array(counts.astype("int64")), pa.array(hashed, pa.string()), pa.array(texts, pa.string()), some.column("tokens")]
+                yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * tokens
+    names = [x.split()[0] for x in kinds.split(", ")]
+    return encoded.mapInArrow(run, kinds)
 
 
 def round_trip(spark, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
