@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_lists, new_path, slices
+from .common import byte_lists, new_path, slices, stage
 from .encoding import BYTE_CHARS, UnitEncoder, gather
 
 #: White space as the tokenizer has it. A unit is white space and what follows it, up to the next:
@@ -39,10 +39,11 @@ class Vocabulary:
         spec = json.loads(Path(path).read_text())
         vocab = spec["model"]["vocab"]
         self.byte_ids = [vocab[BYTE_CHARS[b]] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Pair of ids to its rank and the id it becomes, in one number that orders by rank.
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a], vocab[b]] = rank << 32 | vocab[a + b]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         to_byte = {c: b for b, c in BYTE_CHARS.items()}
         pieces = {i: bytes(map(to_byte.__getitem__, t)) for t, i in vocab.items() if t not in self.special}
@@ -52,21 +53,18 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of lowest rank is merged, leftmost first, until none is left."""
-        ids, find = [self.byte_ids[b] for b in word], self.merges.get
-        ranks = [find(p) for p in zip(ids, ids[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for k, r in enumerate(ranks):
-                if r is not None and (best is None or r[0] < best[0]):
-                    best, at = r, k
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
+        find, none = self.merges.get, 1 << 62
+        ids = [self.byte_ids[b] for b in word]
+        ranks = [find(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            ids[at : at + 2] = [best & 0xFFFFFFFF]
             del ranks[at]
             if at:
-                ranks[at - 1] = find((ids[at - 1], ids[at]))
+                ranks[at - 1] = find((ids[at - 1], ids[at]), none)
             if at < len(ranks):
-                ranks[at] = find((ids[at], ids[at + 1]))
+                ranks[at] = find((ids[at], ids[at + 1]), none)
+        return ids
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 of the text of each run of ids; bytes that are no character become U+FFFD."""
@@ -163,8 +161,10 @@ class Transducer:
 class LexiconEncoder(UnitEncoder):
     """Encodes by units: their words are looked up in the transducer, and merged where it lacks them."""
 
-    def __init__(self, tokenizer: str, lexicon: Transducer, held: int = 500_000):
+    def __init__(self, tokenizer: str, lexicon: Transducer, held: int = 800_000, held_words: int = 400_000):
         super().__init__(held)
+        self.merged: dict[str, list[int]] = {}
+        self.held_words = held_words
         self.vocabulary, self.lexicon = Vocabulary(tokenizer), lexicon
         self.special = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")")
 
@@ -177,10 +177,12 @@ class LexiconEncoder(UnitEncoder):
 
     def ask(self, units: list[str]) -> list[list[int]]:
         words = [WORD.findall(u) if u not in self.vocabulary.special else [] for u in units]
-        distinct = list(dict.fromkeys(chain.from_iterable(words)))
+        if len(self.merged) > self.held_words:
+            self.merged = {}
+        ids = self.merged
+        distinct = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in ids]
         spelt = [w.encode() for w in distinct]
-        numbers, ids = self.lexicon.numbers(spelt), {}
-        for word, raw, k in zip(distinct, spelt, numbers.tolist(), strict=True):
+        for word, raw, k in zip(distinct, spelt, self.lexicon.numbers(spelt).tolist(), strict=True):
             if k >= 0:
                 start = self.lexicon.starts[k]
                 ids[word] = self.lexicon.ids[start : start + self.lexicon.counts[k]].tolist()
@@ -212,9 +214,22 @@ def _count(batches):
 
 
 def frequent_words(docs: DataFrame, size: int) -> list[bytes]:
-    """The `size` words that come most often in all of docs, ties by the word; for the driver."""
+    """At most `size` words, those that come most often in all of docs; for the driver.
+
+    Counts fall into classes a few percent wide, of which there are some hundreds; the most
+    frequent classes that fit are taken whole, so only words that are chosen leave the executors.
+    """
     counted = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word.encode() for r in counted.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    classed = stage(counted.select("word", F.floor(F.log2("n") * 16).cast("int").alias("class")), "bpe-words")
+    least, room = None, size
+    for row in classed.groupBy("class").count().orderBy(F.desc("class")).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["class"]
+    if least is None:
+        return []
+    return [r.word.encode() for r in classed.where(F.col("class") >= least).select("word").collect()]
 
 
 def publish(spark: SparkSession, data: bytes) -> str:
