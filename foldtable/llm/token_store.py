@@ -45,7 +45,7 @@ class ChunkEncoder(UnitEncoder):
     tokenizer; letters that normalising leaves alone go to its merges directly.
     """
 
-    def __init__(self, path: str, held: int = 700_000):
+    def __init__(self, path: str, held: int = 1_200_000):
         super().__init__(held)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
