@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,9 +87,14 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return key
 
 
+def shingles(line: str) -> set[str]:
+    return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
+
+
 def jaccard(a: str, b: str) -> float:
-    sets = [{x[k : k + SHINGLE] for k in range(max(1, len(x) - SHINGLE + 1))} for x in (a, b)]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    x, y = shingles(a), shingles(b)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
 
 
 def _split(text: bytes) -> list[str]:
@@ -238,41 +243,67 @@ def _extract(batches):
                 for p in wanted:
                     line = normal(lines[p])
                     key = line_key(line)
-                    out.append((int.from_bytes(key[:8], "little", signed=True), key, line))
-            h, keys, lines = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(keys, pa.binary()), pa.array(lines, pa.string())], ["h", "line", "words"])
-
+                    out.append((int.from_bytes(key[:8], "little", signed=True), key, line, len(shingles(line))))
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "line", "words", "u"])
 
-def _verify(threshold: float):
-    def run(batches):
-        for batch in batches:
-            near = [jaccard(a, b) >= threshold for a, b in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ha", "hb", "a", "b")), pa.array(near, pa.bool_())], ["ha", "hb", "a", "b", "near"])
 
-    return run
-
-
-def _compare(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Exact verdicts on pairs (ha, hb)."""
+def _verify(batches):
+    last, held = None, set()
+    for batch in batches:
+        found = []
+        for a, b in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True):
+            if a != last:
+                last, held = a, shingles(a)
+            other = shingles(b)
+            both = len(held & other)
+            found.append(both / (len(held) + len(other) - both))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ha", "hb", "a", "b")), pa.array(found, pa.float64())], ["ha", "hb", "a", "b", "j"])
+
+
+def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Exact similarities of pairs (ha, hb)."""
     side = lambda s: texts.select(F.col("h").alias(f"h{s}"), F.col("line").alias(s), F.col("words").alias(f"words_{s}"))
     joined = pairs.join(side("a"), "ha").join(side("b"), "hb").where("a <> b").select("ha", "hb", "a", "b", "words_a", "words_b")
-    return stage(joined.mapInArrow(_verify(threshold), "ha long, hb long, a binary, b binary, near boolean"), "lines-verdicts")
+    return stage(joined.sortWithinPartitions("ha").mapInArrow(_verify, "ha long, hb long, a binary, b binary, j double"), "lines-verdicts")
+
+
+def _ordered(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("ha"), F.greatest(x, y).alias("hb")]
 
 
 def near_lines(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) between lines of a group that are near, enough to connect all that such links connect.
 
-    Every member is compared with the group's hub. Those that are near to it are connected;
-    a member that isn't is compared with all the others, so no link is lost, and a group of
-    copies costs as many comparisons as it has members.
+    Every member is compared with the group's hub and with the next member in a hashed order,
+    which connects what copies there are. What is still apart from a group's largest part is
+    compared with all of the group but its own part, so no link is lost. Of those comparisons
+    only pairs are left out that cannot be near: sets too different in size, or (Jaccard
+    distance being a metric) too different in their distance to the hub.
     """
-    order = lambda x, y: (F.least(x, y).alias("ha"), F.greatest(x, y).alias("hb"))
-    first = _compare(groups.where("h <> hub").select(*order(F.col("hub"), F.col("h"))).distinct(), texts, threshold)
-    failed = stage(first.groupBy("ha", "hb").agg(F.max("near").alias("near")).where("not near"), "lines-failed")
-    apart = groups.where("n > 2 and h <> hub").join(failed, (F.least("hub", "h") == F.col("ha")) & (F.greatest("hub", "h") == F.col("hb"))).select("key", F.col("h").alias("x"))
-    others = stage(apart, "lines-apart").join(groups.select("key", F.col("h").alias("y")), "key").where("x <> y")
-    second = others.select(*order(F.col("x"), F.col("y"))).distinct().join(first.select("ha", "hb").distinct(), ["ha", "hb"], "left_anti")
-    return first.unionByName(_compare(second, texts, threshold)).where("near").select("a", "b")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("h", "key"), "h")
+    chained = groups.withColumn("next", F.lead("h").over(order))
+    star = chained.where("h <> hub").select(*_ordered(F.col("hub"), F.col("h")))
+    chain = chained.where("next is not null").select(*_ordered(F.col("h"), F.col("next")))
+    first = _compare(star.unionByName(chain).distinct(), texts)
+    near = first.where(F.col("j") >= threshold)
+    members = connected_components(near.select("a", "b")).withColumnRenamed("node", "line")
+    parts = stage(texts.select("h", "line", "u").join(members, "line", "left").select("h", "u", F.coalesce("component", "line").alias("part")), "lines-parts")
+
+    split = groups.where("n > 2").join(parts, "h").groupBy("key", "part").agg(F.count("*").alias("m"))
+    largest = split.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    open_keys = stage(largest.select("key", F.col("top.part").alias("main")), "lines-open")
+    distance = first.groupBy("ha", "hb").agg(F.max("j").alias("j"))
+    left = groups.where("n > 2").join(open_keys, "key").join(parts, "h").withColumns({"ha": F.least("hub", "h"), "hb": F.greatest("hub", "h")})
+    left = left.join(distance, ["ha", "hb"], "left").select("key", "h", "u", "part", "main", F.when(F.col("h") == F.col("hub"), 1.0).otherwise(F.col("j")).alias("j"))
+    left = stage(left, "lines-left")
+    mine = left.where("part <> main").alias("x")
+    close = (F.col("x.part") != F.col("y.part")) & (F.least("x.u", "y.u") >= threshold * F.greatest("x.u", "y.u")) & (F.abs(F.col("x.j") - F.col("y.j")) <= 1 - threshold + 1e-9)
+    once = (F.col("y.part") == F.col("y.main")) | (F.col("x.h") < F.col("y.h"))
+    others = mine.join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & close & once).select(*_ordered(F.col("x.h"), F.col("y.h")))
+    second = others.distinct().join(first.select("ha", "hb").distinct(), ["ha", "hb"], "left_anti")
+    return near.unionByName(_compare(second, texts).where(F.col("j") >= threshold)).select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -289,7 +320,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = stage(met.groupBy("first.doc_id", "first.rid").agg(F.collect_list("first.pos").alias("wanted")), "lines-wanted")
     packed = docs.mapInArrow(_pack(["doc_id", "rid"]), "doc_id long, rid long, packed binary")
     mine = (packed.rid == wanted.rid) & packed.doc_id.eqNullSafe(wanted.doc_id)
-    texts = packed.join(wanted, mine).select("packed", "wanted").mapInArrow(_extract, "h long, line binary, words string")
+    texts = packed.join(wanted, mine).select("packed", "wanted").mapInArrow(_extract, "h long, line binary, words string, u long")
     texts = stage(texts.dropDuplicates(["line"]), "lines-texts")
     members = connected_components(near_lines(groups, texts, threshold)).withColumnRenamed("node", "line")
     named = stage(firsts.select("line", "first", "n").join(members, "line", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "line")), "lines-named")

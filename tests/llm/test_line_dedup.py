@@ -84,8 +84,8 @@ def test_near_lines_and_awkward_rows(spark):
 def test_groups_without_a_good_hub_lose_no_link(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away from all of the others again "
     lines = [base + f"number {k} of them" for k in range(6)] + ["entirely different words stand in this line, one after the other " + c for c in "xy"] + ["zzz"]
-    keys = [(1, int.from_bytes(line_dedup.line_key(x)[:8], "little", signed=True), line_dedup.line_key(x), x) for x in lines]
-    texts = spark.createDataFrame([k[1:] for k in keys], "h long, line binary, words string")
+    keys = [(1, int.from_bytes(line_dedup.line_key(x)[:8], "little", signed=True), line_dedup.line_key(x), x, len(line_dedup.shingles(x))) for x in lines]
+    texts = spark.createDataFrame([k[1:] for k in keys], "h long, line binary, words string, u long")
     groups = spark.createDataFrame([(1, k[1], keys[8][1], 9) for k in keys], "key long, h long, hub long, n long")
     edges = [(bytes(r.a), bytes(r.b)) for r in line_dedup.near_lines(groups, texts, 0.8).collect()]
     comp = components([k[2] for k in keys], edges)
