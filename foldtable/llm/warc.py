@@ -8,6 +8,7 @@ they land in whatever store the path names, and are read back record by record.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -74,7 +75,7 @@ def write_warc(
     role. Null html is an empty payload; a row without page_id is a response unless its payload
     has another, numbered original; a null url is an empty one. Other columns are left out. Only
     headers travel by digest; pages travel once, by page_id, into archives of about
-    `archive_bytes`. An empty table writes an empty archive.
+    `archive_bytes` before gzip. An empty table writes an empty archive.
     """
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
@@ -98,7 +99,7 @@ def write_warc(
     (
         dealt.join(revisits.repartition(archives, "_key").hint("shuffle_hash"), "_key", "left")
         .select(_record_text(date).alias("value"))
-        .write.option("lineSep", "\r\n").text(path)
+        .write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
     )
 
 
@@ -132,7 +133,7 @@ def _read(batches):
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for fields, block in _parse(content.as_py()):
+            for fields, block in _parse(gzip.decompress(content.as_py())):
                 http, payload = block.split(b"\r\n\r\n", 1)
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 size = int(re.search(rb"Content-Length: (\d+)", http)[1])
