@@ -62,7 +62,7 @@ class Energies:
 
     def __init__(self, structures: list[str]):
         self.names, self.length = structures, len(structures[0])
-        self.pairs = [np.array(pairs_of(s)).reshape(-1, 2) for s in structures]
+        self.pairs = [np.array(pairs_of(s), "int64").reshape(-1, 2) for s in structures]
         self.stacks, self.loops = [], []
         self.stack, self.can = _stack_energies(), np.zeros((4, 4), bool)
         for a, b in PAIRED:
@@ -72,7 +72,7 @@ class Energies:
             inside = {p: [q for q in pairs if p[0] < q[0] and q[1] < p[1] and not any(p[0] < m[0] < q[0] and q[1] < m[1] < p[1] for m in pairs)] for p in pairs}
             stacked = [(i, j) for (i, j), below in inside.items() if below == [(i + 1, j - 1)]]
             loops = sum(HAIRPIN if not below else MULTI if len(below) > 1 else 0 if p in stacked else INNER for p, below in inside.items())
-            self.stacks.append(np.array(stacked).reshape(-1, 2)), self.loops.append(loops)
+            self.stacks.append(np.array(stacked, "int64").reshape(-1, 2)), self.loops.append(loops)
 
     def bases(self, codes: np.ndarray) -> np.ndarray:
         return codes[:, None] >> (2 * np.arange(self.length - 1, -1, -1)) & 3

@@ -20,7 +20,7 @@ CODES = """lc as (select *, (l_orderkey*2654435761 + l_partkey*40503 + l_linenum
 g as (select code, cast(sum(l_suppkey) % 6 as bigint) as phen, cast(sum(l_partkey) % 45 as double)/10 as dg,
   -cast(sum(l_partkey*7 + l_linenumber) % 80 as double)/10 as mfe from lc group by code),
 st as (select * from (values {}) as t(sid, structure))""".format(", ".join(f"({k}, '{s}')" for k, s in enumerate(STRUCTURES)))
-MAP = CODES + ", m as (select g.code, st.structure, g.dg as stability, g.mfe from g join st on g.phen = st.sid)"
+MAP = CODES + ", m as materialized (select g.code, st.structure, g.dg as stability, g.mfe from g join st on g.phen = st.sid), mu as materialized (select m.*, cast(p as int) as p, xor(code, cast(x as bigint) << cast(2*(12-p) as int)) as mutant from m, range(5, 13) r(p), range(1, 4) q(x))"
 ENSEMBLE = MAP + """, e as (select g.code, st.structure, case when st.sid = 6 then 0.0 else -cast((g.code*13 + st.sid*29) % 60 as double)/10 end as energy
   from g join st on st.sid = 6 or (g.code*31 + st.sid*17) % 7 < 3)"""
 _SHAPE = """select structure, count(*) as parts from (select

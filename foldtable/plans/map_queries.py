@@ -1,2 +1,328 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries on maps, ensembles, components and epistasis."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import components, ensemble, epistasis, folding, mutate, structure, summary
+from .define import Queries
+from .fixtures import CODES, ENSEMBLE, MAP, UNFOLDED, L
+
+Q = Queries()
+QUERIES, ORACLE_SQL = Q.queries, Q.sql
+
+KT = repr(ensemble.KT)
+STABLE = f"""{ENSEMBLE}, rk as (select *, row_number() over (partition by code order by energy, structure) as n, min(energy) over (partition by code) as low from e),
+sb as (select code, max(case when n = 1 then structure end) as structure, min(energy) as mfe, max(case when n = 2 then energy end) - min(energy) as energy_gap, 1 / sum(exp((low - energy) / {KT})) as p from rk group by code),
+stab as (select code, structure, mfe, energy_gap, case when abs(1 - p) < 1e-8 then 'infinity'::double else {KT} * ln(p / (1 - p)) end as dg_boltz from sb)"""
+DDG = f"""{STABLE}, nb as (select s.*, cast(p as int) as pos, cast(b as int) as new_base, code + cast(b - ((code >> cast(2*(12-p) as int)) & 3) as bigint) * (1::bigint << cast(2*(12-p) as int)) as mutant
+  from stab s, range(5, 13) r(p), range(0, 4) q(b) where b <> ((code >> cast(2*(12-p) as int)) & 3) and structure <> '{UNFOLDED}'),
+pr as (select code, structure, energy, exp((low - energy) / {KT}) / sum(exp((low - energy) / {KT})) over (partition by code) as p from rk),
+dd as (select n.code, n.structure, n.pos, n.new_base, n.mutant,
+  case when m.structure = n.structure then m.energy_gap - n.energy_gap when h.energy is not null then m.mfe - h.energy - n.energy_gap else '-infinity'::double end + 0.0 as ddg_gap,
+  case when m.structure = n.structure then m.dg_boltz - n.dg_boltz when h.energy is not null then (case when abs(1 - h.p) < 1e-8 then 'infinity'::double else {KT} * ln(h.p / (1 - h.p)) end) - n.dg_boltz else '-infinity'::double end + 0.0 as ddg_boltz,
+  case when m.structure = n.structure then m.mfe - n.mfe when h.energy is not null then h.energy - n.mfe else 'infinity'::double end + 0.0 as d_mfe
+  from nb n join stab m on m.code = n.mutant left join pr h on h.code = n.mutant and h.structure = n.structure)"""
+
+
+def rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 6) + 0.0 for c in cols})
+
+
+def stable(t):
+    return ensemble.stability(t.ensemble)
+
+
+def effects(t):
+    return ensemble.ddg_table(stable(t), t.ensemble, L, UNFOLDED)
+
+
+@Q.add("enumerate_sequences", f"with {CODES}, top as (select max(code) + 1 as n from g) select code, code in (select code from g) as used from (select unnest(range(n)) as code from top) u")
+def _(t):
+    # All codes up to the largest that the map uses; the id of a range is the code.
+    top = t.g.agg(F.max("code")).first()[0]
+    used = t.g.select("code", F.lit(True).alias("used"))
+    return t.spark.range(top + 1).withColumnRenamed("id", "code").join(used, "code", "left").select("code", F.coalesce("used", F.lit(False)).alias("used"))
+
+
+@Q.add("mfe_structure", f"with {STABLE} select code, structure, mfe from stab")
+def _(t):
+    return stable(t).select("code", "structure", "mfe")
+
+
+@Q.add("mfe", f"with {ENSEMBLE} select code, min(energy) as mfe from e group by code")
+def _(t):
+    return t.ensemble.groupBy("code").agg(F.min("energy").alias("mfe"))
+
+
+@Q.add("energy_gap", f"with {STABLE} select code, round(energy_gap, 6) as energy_gap from stab")
+def _(t):
+    return rounded(stable(t).select("code", "energy_gap"), "energy_gap")
+
+
+@Q.add("stability_boltzmann", f"with {STABLE} select code, round(dg_boltz, 6) as dg_boltz from stab")
+def _(t):
+    return rounded(stable(t).select("code", "dg_boltz"), "dg_boltz")
+
+
+@Q.add("boltzmann_probability", f"with {DDG} select code, structure, round(p, 6) as p from pr")
+def _(t):
+    return rounded(ensemble.probabilities(t.ensemble).select("code", "structure", "p"), "p")
+
+
+@Q.add("structures_in_range", f"with {STABLE} select code, structure, energy from rk where energy - low <= 1.5 + 1e-9")
+def _(t):
+    return ensemble.structures_in_range(t.ensemble, 1.5)
+
+
+@Q.add("energy_of_pair", f"with {ENSEMBLE} select m.code, m.structure, coalesce(e.energy, 'infinity'::double) as energy from m left join e using (code, structure)")
+def _(t):
+    return ensemble.energy_of_pair(t.gpmap.select("code", "structure"), t.ensemble)
+
+
+for _name in ("ddg_gap", "ddg_boltz", "d_mfe"):
+    _key = {"ddg_gap": "ddg_gap", "ddg_boltz": "ddg_boltzmann", "d_mfe": "delta_mfe"}[_name]
+    Q.add(_key, f"with {DDG} select code, pos, new_base, round({_name}, 6) + 0.0 as {_name} from dd")(lambda t, c=_name: rounded(effects(t).select("code", "pos", "new_base", c), c))
+
+
+@Q.add("ddg_table", f"with {DDG} select code, structure, pos, new_base, mutant, round(ddg_gap, 6) + 0.0 as ddg_gap, round(ddg_boltz, 6) + 0.0 as ddg_boltz, round(d_mfe, 6) + 0.0 as d_mfe from dd")
+def _(t):
+    return rounded(effects(t), "ddg_gap", "ddg_boltz", "d_mfe")
+
+
+@Q.add("map_unique", f"with {STABLE} select code, case when structure <> '{UNFOLDED}' and coalesce(abs(energy_gap) > 1e-6, false) then structure else '{UNFOLDED}' end as structure from stab")
+def _(t):
+    kept = ensemble.maps(stable(t), UNFOLDED)
+    return kept.select("code", F.when(F.col("is_unique"), F.col("structure")).otherwise(UNFOLDED).alias("structure"))
+
+
+@Q.add("map_fifty", f"with {STABLE} select code, case when structure <> '{UNFOLDED}' and dg_boltz > 0 then structure else '{UNFOLDED}' end as structure from stab")
+def _(t):
+    kept = ensemble.maps(stable(t), UNFOLDED)
+    return kept.select("code", F.when(F.col("is_fifty"), F.col("structure")).otherwise(UNFOLDED).alias("structure"))
+
+
+@Q.add("quantity_selector", f"with {DDG} select code, pos, new_base, 'energygap' as quantity, round(ddg_gap, 6) + 0.0 as ddg from dd union all select code, pos, new_base, 'Boltzmann_based', round(ddg_boltz, 6) + 0.0 from dd union all select code, pos, new_base, 'free_energy', round(d_mfe, 6) + 0.0 from dd")
+def _(t):
+    rows, out = effects(t), None
+    for quantity in ensemble.QUANTITIES:
+        part = ensemble.select_quantity(rows, quantity).select("code", "pos", "new_base", F.lit(quantity).alias("quantity"), (F.round("ddg", 6) + 0.0).alias("ddg"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+EDGES = """ed as materialized (select a.structure, a.code as code_a, b.code as code_b from mu a join m b on b.code = a.mutant and b.structure = a.structure)"""
+NC = MAP + f""", {EDGES}, cc(code, label) using key (code) as (select code, code from m union (select e.code_b, min(c.label) from cc c join ed e on e.code_a = c.code join recurring.cc r on r.code = e.code_b where c.label < r.label group by e.code_b)),
+nc as (select m.code, m.structure, cc.label as nc_id, m.stability, m.mfe from m join cc using (code))"""
+NC = "recursive " + NC
+
+
+@Q.add("neutral_edges", f"with {MAP}, {EDGES} select * from ed where code_a < code_b")
+def _(t):
+    return components.neutral_edges(t.gpmap, L)
+
+
+def labelled(t):
+    return components.neutral_components(t.gpmap, L)
+
+
+@Q.add("neutral_components", f"with {NC} select code, structure, nc_id from nc")
+def _(t):
+    return labelled(t)
+
+
+@Q.add("nc_sizes", f"with {NC} select nc_id, count(*) as nc_size from nc group by nc_id")
+def _(t):
+    return labelled(t).groupBy("nc_id").agg(F.count("*").alias("nc_size"))
+
+
+@Q.add("nc_structure", f"with {NC} select nc_id, min(structure) as structure from nc group by nc_id")
+def _(t):
+    return labelled(t).groupBy("nc_id").agg(F.any_value("structure").alias("structure"))
+
+
+@Q.add("attach_columns", f"with {NC} select code, structure, nc_id, stability, mfe, count(*) over (partition by structure) as neutral_set_size from nc")
+def _(t):
+    return summary.sequence_summary(t.gpmap, labelled(t)).drop("nc_size")
+
+
+@Q.add("sequence_summary", f"with {NC} select code, structure, nc_id, count(*) over (partition by nc_id) as nc_size, stability, count(*) over (partition by structure) as neutral_set_size, mfe from nc where structure not in ('((......))...')")
+def _(t):
+    folded = t.gpmap.where("structure <> '((......))...'")
+    return summary.sequence_summary(folded, components.neutral_components(folded, L))
+
+
+NCD = NC + ", md as (select nc.nc_id, b.stability - a.stability as ddg from mu a join m b on b.code = a.mutant join nc on nc.code = a.code)"
+
+
+def map_effects(t):
+    """Change of stored stability from each sequence to each of its mutants in the map."""
+    rows = mutate.point_neighbours(t.gpmap, L)
+    other = t.gpmap.select(F.col("code").alias("mutant"), F.col("stability").alias("m_stability"), F.col("structure").alias("m_structure"))
+    return rows.join(other, "mutant").withColumn("ddg", F.col("m_stability") - F.col("stability"))
+
+
+STATS = "count(*) as size, max(stability) as max_dg, round(avg(stability), 6) as mean_dg"
+
+
+@Q.add("nc_stability_table", f"with {NCD}, a as (select nc_id, min(structure) as structure, {STATS} from nc group by nc_id), b as (select nc_id, round(quantile_cont(abs(ddg), 0.25), 6) as lower_quartile_abs_ddg from md group by nc_id) select a.*, b.lower_quartile_abs_ddg from a left join b using (nc_id)")
+def _(t):
+    nc = labelled(t).select("code", "nc_id")
+    rows = t.gpmap.join(nc, "code")
+    table = summary.stability_table(rows, "nc_id", map_effects(t).join(nc, "code"))
+    named = rows.groupBy("nc_id").agg(F.any_value("structure").alias("structure"))
+    return rounded(table.join(named, "nc_id"), "mean_dg", "lower_quartile_abs_ddg")
+
+
+SETS = f"with {MAP}, md as (select a.structure, b.stability - a.stability as ddg from mu a join m b on b.code = a.mutant)"
+
+
+@Q.add("set_stability_table", f"{SETS}, a as (select structure, {STATS} from m group by structure), b as (select structure, round(quantile_cont(abs(ddg), 0.25), 6) as lower_quartile_abs_ddg from md group by structure) select a.*, b.lower_quartile_abs_ddg from a left join b using (structure)")
+def _(t):
+    valid = structure.validity(t.structures).where("valid").select("structure")
+    rows = t.gpmap.join(F.broadcast(valid), "structure")  # seven structures at most
+    return rounded(summary.stability_table(rows, "structure", map_effects(t)), "mean_dg", "lower_quartile_abs_ddg")
+
+
+@Q.add("neutral_set_sizes", f"with {MAP} select structure, count(*) as size from m group by structure")
+def _(t):
+    return summary.neutral_set_sizes(t.gpmap)
+
+
+@Q.add("site_versatility", f"with {MAP} select a.code, a.structure, cast(p as int) as pos, round((select count(*) from m b where b.structure = a.structure and b.code in (xor(a.code, 1::bigint << cast(2*(12-p) as int)), xor(a.code, 2::bigint << cast(2*(12-p) as int)), xor(a.code, 3::bigint << cast(2*(12-p) as int)))) / 3.0, 6) as versatility from m a, range(0, 13) r(p)")
+def _(t):
+    return rounded(components.site_versatility(t.gpmap, L), "versatility")
+
+
+@Q.add("attach_mutant", f"with {MAP} select a.code, b.code as mutant, b.structure as mutant_structure, b.stability as mutant_stability from mu a join m b on b.code = a.mutant")
+def _(t):
+    return map_effects(t).select("code", "mutant", F.col("m_structure").alias("mutant_structure"), F.col("m_stability").alias("mutant_stability"))
+
+
+@Q.add("nc_graph_export", f"with {NC}, big as (select nc_id from nc group by nc_id order by count(*) desc, nc_id limit 1) select 'node' as kind, code as a, null::bigint as b, round(stability, 1) as dg from nc where nc_id = (select nc_id from big) union all select 'edge', code_a, code_b, null from ed where code_a < code_b and code_a in (select code from nc where nc_id = (select nc_id from big))")
+def _(t):
+    nc = labelled(t)
+    big = nc.groupBy("nc_id").count().orderBy(F.desc("count"), "nc_id").limit(1).select("nc_id")
+    mine = nc.join(F.broadcast(big), "nc_id")  # one row
+    nodes = t.gpmap.join(mine.select("code"), "code").select(F.lit("node").alias("kind"), F.col("code").alias("a"), F.lit(None).cast("long").alias("b"), F.round("stability", 1).alias("dg"))
+    edges = components.neutral_edges(mine, L).select(F.lit("edge").alias("kind"), F.col("code_a").alias("a"), F.col("code_b").alias("b"), F.lit(None).cast("double").alias("dg"))
+    return nodes.unionByName(edges)
+
+
+@Q.add("nearest_size_nc", f"with {NC}, z as (select nc_id, min(structure) as structure, count(*) as size from nc group by nc_id), r as (select *, length(structure) - length(replace(structure, '(', '')) as pairs, row_number() over (partition by length(structure) - length(replace(structure, '(', '')) order by abs(size - 500), nc_id) as n from z) select pairs, nc_id, size from r where n = 1")
+def _(t):
+    sizes = labelled(t).groupBy("nc_id").agg(F.count("*").alias("size"), F.any_value("structure").alias("structure"))
+    pairs = structure.count_pairs(F.col("structure")).cast("long").alias("pairs")
+    best = sizes.groupBy(pairs).agg(F.min_by(F.struct("nc_id", "size"), F.struct(F.abs(F.col("size") - 500), "nc_id")).alias("b"))
+    return best.select("pairs", "b.nc_id", "b.size")
+
+
+SQUARES = NC + """, pp as (select i, j from range(5, 13) r(i), range(5, 13) q(j) where i < j),
+sq as (select a.nc_id, pp.i as pos1, pp.j as pos2, a.code as g1, b.code as g2, c.code as g3, d.code as g4, a.stability as s1, b.stability as s2, c.stability as s3, d.stability as s4
+  from nc a, pp, range(1, 4) x(x), range(1, 4) y(y), nc b, nc c, nc d
+  where b.code = xor(a.code, x << cast(2*(12-i) as int)) and c.code = xor(a.code, y << cast(2*(12-j) as int)) and d.code = xor(b.code, y << cast(2*(12-j) as int)) and b.nc_id = a.nc_id and c.nc_id = a.nc_id and d.nc_id = a.nc_id)"""
+
+
+def members(t):
+    return labelled(t).select("nc_id", "code").join(t.gpmap.select("code", F.col("stability").alias("energy")), "code")
+
+
+@Q.add("epistasis_squares", f"with {SQUARES} select nc_id, cast(pos1 as bigint) as pos1, cast(pos2 as bigint) as pos2, g1, g2, g3, g4 from sq")
+def _(t):
+    found = epistasis.squares(members(t), L)
+    return found.select("nc_id", F.col("pos1").cast("long").alias("pos1"), F.col("pos2").cast("long").alias("pos2"), "g1", "g2", "g3", "g4")
+
+
+@Q.add("epistasis_present", f"with {SQUARES} select g1, g4, g2, abs(s1 + s4 - s2 - s3) > 0.099 as present from sq")
+def _(t):
+    present = epistasis.epistasis_present(*[F.col(f"s{k}") for k in (1, 4, 2, 3)])
+    return epistasis.squares(members(t), L).select("g1", "g4", "g2", present.alias("present"))
+
+
+BIG = "(abs(s2 - s1) > 0.099 and abs(s3 - s1) > 0.099)"
+
+
+@Q.add("epistasis_fraction", f"with {SQUARES} select nc_id, round(avg(cast(abs(s1 + s4 - s2 - s3) > 0.099 as int)), 6) as fraction, round(count_if({BIG} and abs(s1 + s4 - s2 - s3) > 0.099) / nullif(count_if({BIG}), 0), 6) as fraction_nonzero from sq group by nc_id")
+def _(t):
+    found = epistasis.squares(members(t), L)
+    both = epistasis.epistasis_fraction(found, False).join(epistasis.epistasis_fraction(found, True).withColumnRenamed("fraction", "fraction_nonzero"), "nc_id")
+    return rounded(both, "fraction", "fraction_nonzero")
+
+
+MIX = "((((code % 2147483647) * 1103515245 + 12348) % 2147483647 * 1103515245 + 67891) % 2147483647 * 1103515245 + 3) % 2147483647"
+SHUFFLED = f"""sh as (select a.nc_id, a.code, b.stability from (select nc_id, code, row_number() over (partition by nc_id order by code) as n from nc) a
+  join (select nc_id, stability, row_number() over (partition by nc_id order by {MIX}, code) as n from nc) b using (nc_id, n))"""
+
+
+def shuffled(t):
+    from ..operators.sampling import mix
+
+    return epistasis.shuffle_within_group(members(t), mix(F.col("code"), 3))
+
+
+@Q.add("shuffle_within_group", f"with {NC}, {SHUFFLED} select nc_id, code, stability as energy from sh")
+def _(t):
+    return shuffled(t)
+
+
+def square_share(table: str, value: str, name: str) -> str:
+    return f"""select a.nc_id, '{name}' as landscape, round(avg(cast(abs(a.{value} + d.{value} - b.{value} - c.{value}) > 0.099 as int)), 6) as fraction,
+  round(count_if(abs(b.{value} - a.{value}) > 0.099 and abs(c.{value} - a.{value}) > 0.099 and abs(a.{value} + d.{value} - b.{value} - c.{value}) > 0.099) / nullif(count_if(abs(b.{value} - a.{value}) > 0.099 and abs(c.{value} - a.{value}) > 0.099), 0), 6) as nonzero
+  from {table} a, pp, range(1, 4) x(x), range(1, 4) y(y), {table} b, {table} c, {table} d
+  where b.code = xor(a.code, x << cast(2*(12-i) as int)) and c.code = xor(a.code, y << cast(2*(12-j) as int)) and d.code = xor(b.code, y << cast(2*(12-j) as int)) and b.nc_id = a.nc_id and c.nc_id = a.nc_id and d.nc_id = a.nc_id group by a.nc_id"""
+
+
+_ALL = " union all ".join(square_share(*x) for x in (("nc", "stability", "stability"), ("nc", "mfe", "mfe"), ("sh", "stability", "shuffled")))
+
+
+@Q.add("epistasis_table", f"with {NC}, pp as (select i, j from range(5, 13) r(i), range(5, 13) q(j) where i < j), {SHUFFLED}, al as ({_ALL}) select nc_id, landscape, false as ignore_zero, fraction from al union all select nc_id, landscape, true, nonzero from al")
+def _(t):
+    nc = labelled(t).select("nc_id", "code")
+    other = nc.join(t.gpmap.select("code", F.col("mfe").alias("energy")), "code")
+    return rounded(epistasis.epistasis_table({"stability": members(t), "mfe": other, "shuffled": shuffled(t)}, L), "fraction")
+
+
+@Q.add("coverage_check", f"with {MAP} select distinct structure from m where structure = '((......))...'")
+def _(t):
+    # What the map has that enumeration with no more than five unpaired hairpin sites lacks: none is expected beyond it.
+    known = folding.enumerate_structures(t.spark, L).where("structure <> '((......))...'")
+    return t.gpmap.select("structure").distinct().join(known, "structure", "left_anti")
+
+
+def small(t):
+    """The sequences of the map that order keys name: whole map, whole fold."""
+    return t.g.select("code"), folding.structure_list(folding.enumerate_structures(t.spark, L), L)
+
+
+@Q.add("fold_by_enumeration")
+def _(t):
+    seqs, structures = small(t)
+    return folding.fold_by_enumeration(seqs, structures)
+
+
+@Q.add("long_sequence_effects")
+def _(t):
+    from ..operators.sampling import random_sequences
+
+    seqs = random_sequences(t.raw("orders").select(F.col("o_orderkey").alias("id")), L, 5).select("code").distinct()
+    structures = folding.structure_list(folding.enumerate_structures(t.spark, L), L)
+    near = seqs.unionByName(mutate.point_neighbours(seqs, L).select(F.col("mutant").alias("code"))).distinct()
+    folds = components._kept(folding.fold_by_enumeration(near, structures))
+    stable_now = ensemble.stability(folds)
+    wild = stable_now.join(seqs, "code", "left_semi").where(F.abs("energy_gap") > 0.001)
+    keep = ensemble.ddg_table(stable_now, folds, L, UNFOLDED).join(wild.select("code"), "code", "left_semi")
+    features = structure.site_features(t.spark.createDataFrame([(s,) for s in structures[:-1]], "structure string"))
+    rows = summary.finite_effects(keep.withColumnRenamed("ddg_gap", "ddg")).join(F.broadcast(features.select("structure", "pos", "role", "place", "element_length")), ["structure", "pos"])  # 59 structures
+    return rows.select("code", "structure", "role", "place", "element_length", F.concat("pos", F.substring(F.lit("ACUG"), F.col("new_base") + 1, F.lit(1))).alias("mutation"), "ddg")
+
+
+@Q.add("neutral_walk")
+def _(t):
+    seqs, structures = small(t)
+    starts = seqs.join(stable_folded(t, seqs, structures), "code", "left_semi")
+    return folding.neutral_walks(starts, structures, 20, 5, 3, most=5)
+
+
+def stable_folded(t, seqs, structures):
+    folds = ensemble.stability(folding.fold_by_enumeration(seqs, structures))
+    return folds.where(F.col("structure") != UNFOLDED).select("code")

@@ -17,13 +17,13 @@ SITE = "cast((code >> cast(2*(12-pos) as int)) & 3 as int)"
 
 # Pairs and features of a `shapes` table in SQL, by a search for each bracket's partner.
 SITES = """s as (select structure, cast(p as int) as pos, substr(structure, cast(p as int) + 1, 1) as sym from shapes, range(0, 60) as r(p) where p < length(structure)),
-d as (select *, cast(sum(case sym when '(' then 1 when ')' then -1 else 0 end) over (partition by structure order by pos) as int) as run from s),
-bp as (select o.structure, o.pos as i, min(c.pos) as j from d o join d c on c.structure = o.structure and c.pos > o.pos and c.sym = ')' and c.run = o.run - 1 where o.sym = '(' group by o.structure, o.pos),
-pt as (select structure, i as pos, j as partner from bp union all select structure, j, i from bp),
-x as (select d.*, pt.partner from d left join pt using (structure, pos))"""
+d as materialized (select *, cast(sum(case sym when '(' then 1 when ')' then -1 else 0 end) over (partition by structure order by pos) as int) as run from s),
+bp as materialized (select o.structure, o.pos as i, min(c.pos) as j from d o join d c on c.structure = o.structure and c.pos > o.pos and c.sym = ')' and c.run = o.run - 1 where o.sym = '(' group by o.structure, o.pos),
+pt as materialized (select structure, i as pos, j as partner from bp union all select structure, j, i from bp),
+x as materialized (select d.*, pt.partner from d left join pt using (structure, pos))"""
 STACK = """chain as (select structure, i, j, case when exists (select 1 from bp b where b.structure = a.structure and b.i = a.i - 1 and b.j = a.j + 1) then 0 else 1 end as head from bp a),
 head as (select *, i + j as ij, sum(head) over (partition by structure, i + j order by i) as run from chain),
-sl as (select structure, i, j, cast(count(*) over (partition by structure, ij, run) as int) as stack_length from head)"""
+sl as materialized (select structure, i, j, cast(count(*) over (partition by structure, ij, run) as int) as stack_length from head)"""
 
 
 @Q.add("seq_str_to_code", f"with {CODES}, a as (select code, {SEQ} as seq from g) select seq, code from a")
@@ -155,7 +155,7 @@ def _(t):
     return structure.site_stacks(t.shapes).select("structure", "pos", "stack_length")
 
 
-LOOP = "lp as (select structure, pos, cast(count(*) over (partition by structure, grp) as int) as loop_length from (select *, pos - row_number() over (partition by structure order by pos) as grp from x where sym = '.') u)"
+LOOP = "lp as materialized (select structure, pos, cast(count(*) over (partition by structure, grp) as int) as loop_length from (select *, pos - row_number() over (partition by structure order by pos) as grp from x where sym = '.') u)"
 
 
 @Q.add("loop_length", f"with {SHAPES}, {SITES}, {LOOP} select * from lp")
@@ -183,7 +183,7 @@ multi as (select e.*, e.outer_i is not null and coalesce(k.kids, 0) > 1 as multi
 ROLE = NEXT + ", " + ENCLOSED + """, sy as (select *, case when partner is null then null when partner = 0 then ' ' else substr(structure, partner, 1) end as q1, case when partner = length(structure) - 1 then ' ' else substr(structure, partner + 2, 1) end as q2,
   (select partner from pt p where p.structure = multi.structure and p.pos = multi.pos - 1) as before_p, (select partner from pt p where p.structure = multi.structure and p.pos = multi.pos + 1) as after_p,
   (select partner from pt p where p.structure = multi.structure and p.pos = multi.prev_bracket_pos) as pp, (select partner from pt p where p.structure = multi.structure and p.pos = multi.next_bracket_pos) as np from multi),
-ro as (select structure, pos, sym, multiloop, outer_i is null and sym = '.' as exterior, case when sym <> '.' then 'stack' when outer_i is null then 'exterior loop'
+ro as materialized (select structure, pos, sym, multiloop, outer_i is null and sym = '.' as exterior, case when sym <> '.' then 'stack' when outer_i is null then 'exterior loop'
   when substr(structure, prev_bracket_pos + 1, 1) = '(' and substr(structure, next_bracket_pos + 1, 1) = ')' then 'hairpin loop' when multiloop then 'multiloop' when abs(np - pp) - 1 <> 0 then 'internal loop' else 'bulge' end as role,
   case when sym <> '.' then case when prev_sym in ('.', ' ') or next_sym in ('.', ' ') or q1 in ('.', ' ') or q2 in ('.', ' ') then 'end' when abs(before_p - partner) = 1 and abs(after_p - partner) = 1 then 'middle' else 'end' end
     when prev_sym in ('(', ')') or next_sym in ('(', ')') or (outer_i is null and (prev_sym = ' ' or next_sym = ' ')) then 'end' else 'middle' end as place from sy)"""
