@@ -189,7 +189,7 @@ def _(t):
     return summary.neutral_set_sizes(t.gpmap)
 
 
-@Q.add("site_versatility", f"with {MAP} select a.code, a.structure, cast(p as int) as pos, round((select count(*) from m b where b.structure = a.structure and b.code in (xor(a.code, 1::bigint << cast(2*(12-p) as int)), xor(a.code, 2::bigint << cast(2*(12-p) as int)), xor(a.code, 3::bigint << cast(2*(12-p) as int)))) / 3.0, 6) as versatility from m a, range(0, 13) r(p)")
+@Q.add("site_versatility", f"with {MAP}, h as (select a.code, a.p as pos, count(*) as n from mu a join m b on b.code = a.mutant and b.structure = a.structure group by all) select m.code, m.structure, cast(r.p as int) as pos, round(coalesce(h.n, 0) / 3.0, 6) as versatility from m cross join range(0, 13) r(p) left join h on h.code = m.code and h.pos = r.p")
 def _(t):
     return rounded(components.site_versatility(t.gpmap, L), "versatility")
 
