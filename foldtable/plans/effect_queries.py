@@ -150,9 +150,9 @@ def sampled_effects(t):
     return point.unionByName(pairs)
 
 
-@Q.add("p_sampled_effects", f"with {SAMPLED} select category, kind, count(*) as n, round(sum(ddg), 4) as total from ef group by all")
+@Q.add("p_sampled_effects", f"with {SAMPLED} select category, kind, count(*) as n, round(sum(ddg), 4) + 0.0 as total from ef group by all")
 def _(t):
-    return sampled_effects(t).groupBy("category", "kind").agg(F.count("*").alias("n"), F.round(F.sum("ddg"), 4).alias("total"))
+    return sampled_effects(t).groupBy("category", "kind").agg(F.count("*").alias("n"), (F.round(F.sum("ddg"), 4) + 0.0).alias("total"))
 
 
 PARAMETERS = ", ".join(f"round(quantile_cont(case when kind = 'point' then abs(ddg) end, {q}), 6) as point_{n}, round(quantile_cont(abs(ddg), {q}), 6) as swaps_{n}" for n, q in (("lower", 0.25), ("median", 0.5), ("upper", 0.75)))
@@ -311,11 +311,11 @@ def _(t):
     return tables.read_csv_table(t.spark, path, "structure string, size long, max_dg double")
 
 
-@Q.add("map_store", f"with {MD} select pos, count(*) as n, round(sum(ddg), 4) as total from md group by pos")
+@Q.add("map_store", f"with {MD} select pos, count(*) as n, round(sum(ddg), 4) + 0.0 as total from md group by pos")
 def _(t):
     rows = map_effects(t).select("code", F.round("ddg", 6).alias("ddg"), "pos")
     stored = tables.map_store(rows, _path(t, "map"), "pos")
-    return stored.groupBy("pos").agg(F.count("*").alias("n"), F.round(F.sum("ddg"), 4).alias("total"))
+    return stored.groupBy("pos").agg(F.count("*").alias("n"), (F.round(F.sum("ddg"), 4) + 0.0).alias("total"))
 
 
 @Q.add("structure_list_io", f"with {SHAPES} select structure from shapes")
