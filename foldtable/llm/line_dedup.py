@@ -24,6 +24,7 @@ SHINGLE, THRESHOLD = 8, 0.8
 #: With 12 bands of 4, a pair at the threshold meets in one with probability 0.998.
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
+ROLL, MIX32 = np.uint32(0x9E3779B1), (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))  # odd multipliers
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # odd 64-bit multipliers
 
 FOUND = np.dtype([("key", "<u4"), ("line", "<i8")])
@@ -31,6 +32,8 @@ FOUND = np.dtype([("key", "<u4"), ("line", "<i8")])
 
 def normal(line: str) -> str:
     """A line as it is compared: lower case, white space as single spaces."""
+    if line.isprintable() and "  " not in line and line[:1] != " " != line[-1:]:
+        return line.lower()  # what is printable has no white space but the space
     return " ".join(line.lower().split())
 
 
@@ -44,33 +47,45 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _mixed32(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * MIX32[0]
+    x ^= x >> np.uint32(13)
+    x *= MIX32[1]
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """One-permutation MinHash: a row of BINS values for each line (none of them empty).
 
-    A shingle's hash says which bin it falls in and what it counts there; an empty bin takes the
-    value of the next one that isn't. Shorter lines are one shingle.
+    The upper half of a shingle's hash says which bin it falls in, the lower half counts there
+    first; an empty bin takes the value of the next one that isn't. Shorter lines are one shingle.
     """
     sizes = np.fromiter(map(len, lines), "int64", len(lines))
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype("uint64") + np.uint64(1)
-    rolled, span = chars, 1  # hashes of windows of 1, 2, 4 and 8 characters
+    rolled = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(1)
+    span = 1  # hashes of windows of 1, 2, 4 and 8 characters
     while span < SHINGLE:
-        p = np.uint64(pow(int(MIX[0]), span, 1 << 64))
+        p = np.uint32(pow(int(ROLL), span, 1 << 32))
         rolled = rolled[: len(rolled) - span] * p + rolled[span:] if len(rolled) > span else rolled[:0]
         span *= 2
+    hashes = _mixed32(rolled)
+    owner = np.repeat(np.arange(len(lines), dtype="int32") * np.int32(BINS), sizes)[: len(hashes)]
     ends = np.cumsum(sizes)
-    starts = ends - sizes
-    counts = np.maximum(sizes - SHINGLE + 1, 0)
-    owner = np.repeat(np.arange(len(lines)), counts)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[owner]
-    hashes = _mixed(rolled[at])
-    short = np.flatnonzero(counts == 0)
+    crossing = (ends[:, None] - np.arange(1, SHINGLE)[None, :]).ravel()  # windows that reach into the next line
+    crossing = crossing[(crossing >= 0) & (crossing < len(hashes))]
+    slots = owner + ((hashes >> np.uint32(16)) * np.uint32(BINS) >> np.uint32(16)).astype("int32")
+    values32 = (hashes << np.uint32(16)) | (hashes >> np.uint32(16))
+    none = np.uint32(0xFFFFFFFF)
+    values32[crossing] = none
+    least = np.full(len(lines) * BINS, none)
+    np.minimum.at(least, slots, values32)
+    short = np.flatnonzero(sizes < SHINGLE)
     if len(short):
-        whole = np.array([xxhash.xxh64_intdigest(lines[k].encode()) for k in short], "uint64")
-        owner, hashes = np.concatenate([owner, short]), np.concatenate([hashes, whole])
-    bins = (hashes >> np.uint64(32)) % np.uint64(BINS)
-    values = np.full((len(lines), BINS), np.uint64(1 << 33))
-    np.minimum.at(values.reshape(-1), owner * BINS + bins.astype("int64"), hashes & np.uint64(0xFFFFFFFF))
-    empty = values == np.uint64(1 << 33)
+        whole = np.array([xxhash.xxh32_intdigest(lines[k].encode()) for k in short], "uint32")
+        least.reshape(-1, BINS)[short] = none
+        least.reshape(-1, BINS)[short, 0] = np.minimum(whole, none - np.uint32(1))
+    values = least.reshape(-1, BINS).astype("uint64")
+    empty = least.reshape(-1, BINS) == none
     if empty.any():
         where = np.where(empty, 2 * BINS, np.arange(BINS)[None, :])
         ahead = np.minimum.accumulate(np.concatenate([where, where + BINS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :BINS]
@@ -91,6 +106,17 @@ def shingles(line: str) -> set[str]:
     return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def _packed_shingles(line: str) -> set[int] | None:
+    """The shingles of an ASCII line as the 64-bit numbers that their characters are; None for other lines."""
+    if len(line) < SHINGLE or not line.isascii():
+        return None
+    return set(np.ndarray(len(line) - SHINGLE + 1, "<u8", line.encode(), strides=(1,)).tolist())
+
+
+def _n_shingles(line: str) -> int:
+    return len(_packed_shingles(line) or shingles(line))
+
+
 def jaccard(a: str, b: str) -> float:
     x, y = shingles(a), shingles(b)
     both = len(x & y)
@@ -220,7 +246,7 @@ def candidates(docs: DataFrame, entry_bytes: int = 24 << 20) -> DataFrame:
 
 def _pack(names: list[str]):
     def run(batches):
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for some in slices(batch, 1000):
                 packed = pa.array([packer.compress(t) for t in byte_lists(some, "text")], pa.binary())
@@ -243,20 +269,23 @@ def _extract(batches):
                 for p in wanted:
                     line = normal(lines[p])
                     key = line_key(line)
-                    out.append((int.from_bytes(key[:8], "little", signed=True), key, line, len(shingles(line))))
+                    out.append((int.from_bytes(key[:8], "little", signed=True), key, line, _n_shingles(line)))
             columns = zip(*out, strict=True) if out else ((), (), (), ())
             kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "line", "words", "u"])
 
 
 def _verify(batches):
-    last, held = None, set()
+    last, packed, plain = None, None, None
     for batch in batches:
         found = []
         for a, b in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True):
             if a != last:
-                last, held = a, shingles(a)
-            other = shingles(b)
+                last, packed, plain = a, _packed_shingles(a), None
+            held, other = packed, _packed_shingles(b) if packed else None
+            if not other:  # one of them isn't ASCII, or is shorter than a shingle
+                plain = plain or shingles(a)
+                held, other = plain, shingles(b)
             both = len(held & other)
             found.append(both / (len(held) + len(other) - both))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ha", "hb", "a", "b")), pa.array(found, pa.float64())], ["ha", "hb", "a", "b", "j"])
@@ -274,7 +303,7 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 
 
 def near_lines(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) between lines of a group that are near, enough to connect all that such links connect.
+    """Edges (a, b) from each line that is near others of its groups to the smallest line so connected.
 
     Every member is compared with the group's hub and with the next member in a hashed order,
     which connects what copies there are. What is still apart from a group's largest part is
@@ -289,13 +318,13 @@ def near_lines(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     first = _compare(star.unionByName(chain).distinct(), texts)
     near = first.where(F.col("j") >= threshold)
     members = connected_components(near.select("a", "b")).withColumnRenamed("node", "line")
-    parts = stage(texts.select("h", "line", "u").join(members, "line", "left").select("h", "u", F.coalesce("component", "line").alias("part")), "lines-parts")
+    parts = stage(texts.select("h", "line", "u").join(members, "line", "left").select("h", "line", "u", F.coalesce("component", "line").alias("part")), "lines-parts")
 
     split = groups.where("n > 2").join(parts, "h").groupBy("key", "part").agg(F.count("*").alias("m"))
     largest = split.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     open_keys = stage(largest.select("key", F.col("top.part").alias("main")), "lines-open")
     distance = first.groupBy("ha", "hb").agg(F.max("j").alias("j"))
-    left = groups.where("n > 2").join(open_keys, "key").join(parts, "h").withColumns({"ha": F.least("hub", "h"), "hb": F.greatest("hub", "h")})
+    left = groups.where("n > 2").join(open_keys, "key").join(parts.drop("line"), "h").withColumns({"ha": F.least("hub", "h"), "hb": F.greatest("hub", "h")})
     left = left.join(distance, ["ha", "hb"], "left").select("key", "h", "u", "part", "main", F.when(F.col("h") == F.col("hub"), 1.0).otherwise(F.col("j")).alias("j"))
     left = stage(left, "lines-left")
     mine = left.where("part <> main").alias("x")
@@ -303,7 +332,11 @@ def near_lines(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     once = (F.col("y.part") == F.col("y.main")) | (F.col("x.h") < F.col("y.h"))
     others = mine.join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & close & once).select(*_ordered(F.col("x.h"), F.col("y.h")))
     second = others.distinct().join(first.select("ha", "hb").distinct(), ["ha", "hb"], "left_anti")
-    return near.unionByName(_compare(second, texts).where(F.col("j") >= threshold)).select("a", "b")
+    found = _compare(second, texts).where(F.col("j") >= threshold).select("a", "b")
+    for c in ("a", "b"):  # only the parts are united, not the lines in them
+        found = found.join(parts.select(F.col("line").alias(c), F.col("part").alias(f"part_{c}")), c)
+    united = connected_components(found.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))).withColumnRenamed("node", "part")
+    return parts.join(united, "part", "left").select(F.col("line").alias("a"), F.coalesce("component", "part").alias("b")).where("a <> b")
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -322,7 +355,8 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mine = (packed.rid == wanted.rid) & packed.doc_id.eqNullSafe(wanted.doc_id)
     texts = packed.join(wanted, mine).select("packed", "wanted").mapInArrow(_extract, "h long, line binary, words string, u long")
     texts = stage(texts.dropDuplicates(["line"]), "lines-texts")
-    members = connected_components(near_lines(groups, texts, threshold)).withColumnRenamed("node", "line")
+    near = stage(near_lines(groups, texts, threshold), "lines-near")
+    members = near.unionByName(near.select("b", F.col("b").alias("a")).distinct()).toDF("line", "component")
     named = stage(firsts.select("line", "first", "n").join(members, "line", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "line")), "lines-named")
     kept = stage(named.groupBy("component").agg(F.min("first").alias("kept")), "lines-kept")
     kept = stage(named.join(kept, "component").select("line", "kept"), "lines-to")
