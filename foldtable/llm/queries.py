@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import bpe, chat, decontaminate, embedding_dedup, line_dedup, quality, sharding, simhash, token_store, warc
 from .common import table
+from .sql import ORACLE_SQL  # noqa: F401
 
 QUERIES = {
     "op1_sharding": lambda spark, d: sharding.shard_documents(spark, table(spark, d, "documents")),
@@ -17,5 +18,3 @@ QUERIES = {
     "op9_warc": lambda spark, d: warc.archive_pages(spark, table(spark, d, "pages")),
     "op10_embedding_near_dedup": lambda spark, d: embedding_dedup.group_vectors(spark, table(spark, d, "embeddings")),
 }
-
-ORACLE_SQL: dict[str, str] = {}
