@@ -128,6 +128,12 @@ def validity(structures: DataFrame) -> DataFrame:
     )
 
 
+def keep_valid(rows: DataFrame, structures: DataFrame) -> DataFrame:
+    """Rows whose structure is valid: neither unfolded nor with a pair that stands alone. `structures` holds all of theirs."""
+    valid = validity(structures).where("valid").select("structure")
+    return rows.join(F.broadcast(valid), "structure", "left_semi")  # distinct structures
+
+
 def site_stacks(structures: DataFrame) -> DataFrame:
     """structure, pos, partner, stack_length of paired sites of balanced structures."""
     s = with_partner(symbols(structures)).where("paired").withColumn("i", F.least("pos", "partner")).withColumn("ij", F.col("pos") + F.col("partner"))

@@ -148,7 +148,7 @@ def _(t):
 
 @Q.add("sequence_summary", f"with {NC} select code, structure, nc_id, count(*) over (partition by nc_id) as nc_size, stability, count(*) over (partition by structure) as neutral_set_size, mfe from nc where structure not in ('((......))...')")
 def _(t):
-    folded = t.gpmap.where("structure <> '((......))...'")
+    folded = structure.keep_valid(t.gpmap, t.structures)
     return summary.sequence_summary(folded, components.neutral_components(folded, L))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foldtable.functions import codec
 from foldtable.operators import additive, components, ensemble, epistasis, folding, mutate, structure, summary
+from foldtable.plans import registry
+from foldtable.plans.fixtures import Tables
 from foldtable.sources import tables
 
 
@@ -145,3 +147,13 @@ def test_summaries(spark):
     rows = spark.createDataFrame([("a", float(k)) for k in range(5)] + [("a", math.inf), ("a", math.nan)], "g string, ddg double")
     got = summary.box_stats(summary.finite_effects(rows), ["g"], "ddg").first()
     assert (got.p25, got.p50, got.p95) == (1.0, 2.0, 3.8)
+
+
+def test_summary_keeps_every_valid_structure(spark):
+    names = ["((......))...", "(((....)))...", "(...)........", "............."]
+    rows = spark.createDataFrame(list(enumerate(names)), "code long, structure string")
+    assert {r.code for r in structure.keep_valid(rows, rows).collect()} == {0, 1}
+    dir_ = "/root/testdata/sf0.001"
+    got = {r.structure: r["count"] for r in registry.QUERIES["sequence_summary"](spark, dir_).groupBy("structure").count().collect()}
+    whole = {r.structure: r["count"] for r in Tables(spark, dir_).gpmap.groupBy("structure").count().collect()}
+    assert "((......))..." in got and got == whole  # the fixture deals valid structures only
