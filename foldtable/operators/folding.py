@@ -115,23 +115,55 @@ def fold_by_enumeration(seqs: DataFrame, structures: list[str], provider=ensembl
     return seqs.select("code").mapInPandas(fold, "code long, structure string, energy double")
 
 
-def neutral_walks(starts: DataFrame, structures: list[str], steps: int, every: int, seed: int, most: int = 200) -> DataFrame:
-    """code, step, walked of site-scanning walks from each start, every `every`-th of `steps` neutral steps.
+class Lowest:
+    """The structure of least energy for a few sequences at once, as the index that `table(codes).argmin(axis=1)` gives.
 
-    Sites are visited in turn; at an unpaired site the three substitutions, at a paired one the
-    other pairs, are tried in random order, and the first that keeps the structure is taken. A
-    walk ends after `most` scans of all sites even if it has found fewer steps.
+    Each pair and each stack that occurs is looked up once, and products with 0/1 matrices sum them
+    by structure, in hundredths, so sums are exact.
+    """
+
+    def __init__(self, energies: Energies):
+        self.bases, self.apart = energies.bases, ~energies.can
+        self.stack = np.rint(energies.stack * 100).astype("float32")
+        self.loops = np.rint(np.array(energies.loops) * 100).astype("float32")
+        self.pairs, self.with_pair = self._incidence(energies.pairs)
+        self.stacks, self.with_stack = self._incidence(energies.stacks)
+
+    @staticmethod
+    def _incidence(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        known = sorted({tuple(p) for part in parts for p in part.tolist()})
+        at = {p: k for k, p in enumerate(known)}
+        which = np.zeros((len(known), len(parts)), "float32")
+        for k, part in enumerate(parts):
+            which[[at[tuple(p)] for p in part.tolist()], k] = 1
+        return np.array(known, "int64").reshape(-1, 2).T, which
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        b, (i, j), (k, m) = self.bases(codes), self.pairs, self.stacks
+        broken = self.apart[b[:, i], b[:, j]].astype("float32") @ self.with_pair
+        energy = self.stack[b[:, k], b[:, m], b[:, k + 1], b[:, m - 1]] @ self.with_stack + self.loops
+        return np.where(broken > 0, np.inf, energy).argmin(axis=1)
+
+
+def neutral_walks(starts: DataFrame, structures: list[str], steps: int, every: int, seed: int) -> DataFrame:
+    """code, draw, structure, step, walked, complete of site-scanning walks, every `every`-th of `steps` neutral steps.
+
+    starts: code and, where several walks start at a code, draw. Sites are visited in turn; at an
+    unpaired site the three substitutions, at a paired one the other pairs, are tried in random
+    order, and the first that keeps the structure is taken. A walk goes its full length unless a
+    scan of all sites finds no neutral move. Moves can be undone, so then the start itself has
+    none: it is the one row, and not complete.
     """
     energies = Energies(structures)
+    lowest = Lowest(energies)
     numbers = sorted(PAIRED)
 
-    def walk(code: int, rng) -> list[int]:
-        lowest = lambda codes: energies.table(codes).argmin(axis=1)
+    def walk(code: int, rng) -> tuple[int, list[int]]:
         mine = lowest(np.array([code]))[0]
         partner = {a: b for p in energies.pairs[mine].tolist() for a, b in (p, p[::-1])}
-        path, length, site = [code], energies.length, 0
+        path, length, site, idle = [code], energies.length, 0, 0
         put = lambda c, pos, b: c & ~(3 << 2 * (length - 1 - pos)) | b << 2 * (length - 1 - pos)
-        while len(path) < steps and site < most * length:
+        while len(path) < steps and idle < length:
             pos, now = site % length, path[-1]
             if pos in partner:
                 options = [put(put(now, pos, a), partner[pos], b) for a, b in numbers]
@@ -139,15 +171,23 @@ def neutral_walks(starts: DataFrame, structures: list[str], steps: int, every: i
                 options = [put(now, pos, b) for b in range(4)]
             options = np.array([c for c in options if c != now])
             options = options[rng.permutation(len(options))]
+            idle += 1
             if len(kept := options[lowest(options) == mine]):
                 path.append(int(kept[0]))
+                idle = 0
             site += 1
+        return mine, path
+
+    def sample(code: int, draw: int):
+        rng = np.random.default_rng([seed, code, draw])
+        mine, path = walk(code, rng)
         chosen = rng.permutation(len(path))[: len(path) // every] if len(path) >= every else np.array([0])
-        return [(path[k], int(k)) for k in sorted(chosen)]
+        return [(code, draw, structures[mine], int(k), path[k], len(path) == steps) for k in sorted(chosen)]
 
     def run(batches):
         for pdf in batches:
-            rows = [(code, step, walked) for code in pdf["code"] for walked, step in walk(int(code), np.random.default_rng([seed, int(code)]))]
-            yield pd.DataFrame(rows, columns=["code", "step", "walked"]).astype("int64")
+            for code, draw in zip(pdf["code"].tolist(), pdf["draw"].tolist(), strict=True):
+                yield pd.DataFrame(sample(code, draw), columns=["code", "draw", "structure", "step", "walked", "complete"])
 
-    return starts.select("code").mapInPandas(run, "code long, step long, walked long")
+    draw = F.col("draw").cast("long") if "draw" in starts.columns else F.lit(1).cast("long")
+    return starts.select("code", draw.alias("draw")).mapInPandas(run, "code long, draw long, structure string, step long, walked long, complete boolean")

@@ -9,6 +9,8 @@ from .define import Queries
 from .fixtures import CODES, ENSEMBLE, MAP, UNFOLDED, L
 
 Q = Queries()
+#: Walks for each structure, their steps, and how many steps there are for each that is kept: those of the survey.
+WALKS, STEPS, EVERY = 5, 10_000, 100
 QUERIES, ORACLE_SQL = Q.queries, Q.sql
 
 KT = repr(ensemble.KT)
@@ -318,11 +320,14 @@ def _(t):
 
 @Q.add("neutral_walk")
 def _(t):
+    from ..operators.sampling import sample_per_group
+
     seqs, structures = small(t)
-    starts = seqs.join(stable_folded(t, seqs, structures), "code", "left_semi")
-    return folding.neutral_walks(starts, structures, 20, 5, 3, most=5)
+    starts = sample_per_group(stable_folded(t, seqs, structures), "structure", "code", WALKS, 3)
+    # A few walks a task: a walk is long, and starts are few.
+    return folding.neutral_walks(starts.repartition(64, "code", "draw"), structures, STEPS, EVERY, 3)
 
 
 def stable_folded(t, seqs, structures):
     folds = ensemble.stability(folding.fold_by_enumeration(seqs, structures))
-    return folds.where(F.col("structure") != UNFOLDED).select("code")
+    return folds.where(F.col("structure") != UNFOLDED).select("structure", "code")

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,20 @@ def test_summary_keeps_every_valid_structure(spark):
     got = {r.structure: r["count"] for r in registry.QUERIES["sequence_summary"](spark, dir_).groupBy("structure").count().collect()}
     whole = {r.structure: r["count"] for r in Tables(spark, dir_).gpmap.groupBy("structure").count().collect()}
     assert "((......))..." in got and got == whole  # the fixture deals valid structures only
+
+
+def test_walks_go_their_full_length(spark):
+    found = folding.structure_list(folding.enumerate_structures(spark, 13), 13)
+    energies = folding.Energies(found)
+    codes = np.random.default_rng(1).integers(0, 4**13, 20000)
+    assert (folding.Lowest(energies)(codes) == energies.table(codes).argmin(axis=1)).all()
+    rows = registry.QUERIES["neutral_walk"](spark, "/root/testdata/sf0.001").collect()
+    walks = {}
+    for r in rows:
+        walks.setdefault((r.structure, r.draw), []).append(r)
+    names = {r.structure for r in rows}
+    assert names and set(walks) == {(s, k) for s in names for k in range(1, 6)}
+    for mine in walks.values():
+        assert len(mine) == 100 and max(r.step for r in mine) < 10_000 if mine[0].complete else [r.walked for r in mine] == [mine[0].code]
+    ends = np.array([r.walked for r in rows])
+    assert [found[k] for k in energies.table(ends).argmin(axis=1)] == [r.structure for r in rows]
