@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_lists, slices, stage, width
 from .components import connected_components, local_roots
+from .line_dedup import row_key
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
 
@@ -47,16 +48,20 @@ def majority(hashes: list[int], piece: int = 200_000) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprint(batches):
-    for batch in batches:
-        for some in slices(batch, 500):
-            found = np.array([majority(shingle_hashes(t)) for t in byte_lists(some, "text")], dtype="uint64")
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(found.view("int64"))], ["doc_id", "fp"])
+def _fingerprint(carried: list[str]):
+    def run(batches):
+        for batch in batches:
+            for some in slices(batch, 500):
+                found = np.array([majority(shingle_hashes(t)) for t in byte_lists(some, "text")], dtype="uint64")
+                yield pa.RecordBatch.from_arrays([*map(some.column, carried), pa.array(found.view("int64"))], [*carried, "fp"])
+
+    return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (64 bits as a signed long) of each row; no words (or null text) give zero."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, more columns (longs) and fp (64 bits as a signed long) of each row; no words (or null text) give zero."""
+    carried = ["doc_id", *more]
+    return docs.select(*carried, "text").mapInArrow(_fingerprint(carried), ", ".join(f"{c} long" for c in [*carried, "fp"]))
 
 
 def _masks(bits: int, most: int) -> list[int]:
@@ -130,6 +135,12 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket_variants
     return keyed.repartitionById(1 << lead, F.col("bucket")).mapInArrow(_linker(lead, radius, 2 * bucket_variants), "a long, b long")
 
 
+def _with_component(classes: DataFrame, radius: int) -> DataFrame:
+    """classes (distinct fp and what goes with them) with component, the smallest fp that links reach."""
+    found = connected_components(link_fingerprints(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return stage(classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-joined")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id that links reach) of every row of docs.
 
@@ -140,21 +151,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     rows = stage(fingerprints(docs), "simhash-rows")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    found = connected_components(link_fingerprints(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    joined = stage(classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-joined")
+    joined = _with_component(classes, radius)
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stage(joined.join(least, "component").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; of repeated rows one stays.
+    """One row of each component of docs: that of the smallest doc_id and, where rows share it, row_key; of repeated rows one stays.
 
     Rows without doc_id can't be named as anyone's copy, and stay.
     """
-    kept = near_duplicates(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(stage(kept, "simhash-kept"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    rows = fingerprints(docs.select("doc_id", row_key().alias("rid"), "text"), "rid")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "rid")))
+    classes = stage(rows.groupBy("fp").agg(least.alias("least")), "simhash-classes")
+    kept = _with_component(classes, radius).groupBy("component").agg(F.min("least").alias("least"))
+    kept = stage(kept.select(F.col("least.doc_id").alias("_kept"), F.col("least.rid").alias("_kept_rid")), "simhash-kept")
+    keyed = docs.withColumn("_rid", row_key())
+    named = keyed.join(kept, (F.col("doc_id") == F.col("_kept")) & (F.col("_rid") == F.col("_kept_rid")), "left_semi")
+    return named.dropDuplicates(["doc_id", "_rid"]).drop("_rid").unionByName(docs.where("doc_id is null"))
 
 
 def group_documents(spark, docs: DataFrame) -> DataFrame:

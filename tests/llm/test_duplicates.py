@@ -63,6 +63,15 @@ def test_simhash_of_awkward_rows(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_rows_of_one_id_and_different_texts(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, c.upper()), (4, c), (5, c)]
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept[:2] == sorted([(1, a), (1, b)])
+    assert len(kept) == 3 and kept[2] in [(4, c), (4, c.upper())]
+
+
 def test_ball_links_are_complete_and_sound(spark):
     rng = random.Random(1)
     fps = {rng.getrandbits(64) for _ in range(200)}
