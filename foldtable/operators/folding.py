@@ -39,6 +39,11 @@ def enumerate_structures(spark, length: int, isolated: bool = False) -> DataFram
     return found.where("valid_with_isolated" if isolated else "valid").select("structure")
 
 
+def not_enumerated(rows: DataFrame, length: int) -> DataFrame:
+    """structure: those of rows that enumeration at their length doesn't find."""
+    return rows.select("structure").distinct().join(enumerate_structures(rows.sparkSession, length), "structure", "left_anti")
+
+
 def pairs_of(structure: str) -> list[tuple[int, int]]:
     opened, pairs = [], []
     for k, c in enumerate(structure):

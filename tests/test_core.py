@@ -175,3 +175,9 @@ def test_walks_go_their_full_length(spark):
         assert len(mine) == 100 and max(r.step for r in mine) < 10_000 if mine[0].complete else [r.walked for r in mine] == [mine[0].code]
     ends = np.array([r.walked for r in rows])
     assert [found[k] for k in energies.table(ends).argmin(axis=1)] == [r.structure for r in rows]
+
+
+def test_coverage_is_against_the_whole_enumeration(spark):
+    rows = structures(spark, "((......))...", "(((....)))...", "(...)........", "((..)).......")
+    assert {r.structure for r in folding.not_enumerated(rows, 13).collect()} == {"(...)........", "((..))......."}
+    assert registry.QUERIES["coverage_check"](spark, "/root/testdata/sf0.001").collect() == []
