@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,17 @@ def byte_lists(batch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(binary).to_pylist()]
 
 
-def slices(batch, rows: int):
-    """An Arrow batch in pieces of so many rows, so that working memory follows the piece."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch, rows: int, name: str = "text", most: int = 8 << 20):
+    """An Arrow batch in pieces of so many rows, and of about `most` bytes of column `name`, so that working memory follows the piece."""
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    step = np.arange(batch.num_rows) // rows
+    turn = np.zeros_like(step)
+    if name in batch.schema.names:
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        turn = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero((np.diff(step) != 0) | (np.diff(turn) != 0)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)

@@ -13,11 +13,11 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_lists, parts_for, slices, stage
+from .common import byte_lists, drop_staged, parts_for, slices, stage
 from .components import connected_components
 
 SHINGLE, THRESHOLD = 8, 0.8
@@ -106,17 +106,6 @@ def shingles(line: str) -> set[str]:
     return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def _packed_shingles(line: str) -> set[int] | None:
-    """The shingles of an ASCII line as the 64-bit numbers that their characters are; None for other lines."""
-    if len(line) < SHINGLE or not line.isascii():
-        return None
-    return set(np.ndarray(len(line) - SHINGLE + 1, "<u8", line.encode(), strides=(1,)).tolist())
-
-
-def _n_shingles(line: str) -> int:
-    return len(_packed_shingles(line) or shingles(line))
-
-
 def jaccard(a: str, b: str) -> float:
     x, y = shingles(a), shingles(b)
     both = len(x & y)
@@ -132,22 +121,6 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-ROWS_SCHEMA = "doc_id long, rid long, pos int, line binary"
-
-
-def _lines(batches):
-    """A row for each line that isn't blank."""
-    for batch in batches:
-        for some in slices(batch, 1000):
-            docs, pos, keys = [], [], []
-            for k, text in enumerate(byte_lists(some, "text")):
-                for p, raw in enumerate(_split(text)):
-                    if line := normal(raw):
-                        docs.append(k), pos.append(p), keys.append(line_key(line))
-            at = pa.array(docs, pa.int64())
-            yield pa.RecordBatch.from_arrays([some.column("doc_id").take(at), some.column("rid").take(at), pa.array(pos, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "rid", "pos", "line"])
-
-
 def _grouped(found: np.ndarray, band: np.ndarray):
     """Entries sorted by key, without repeats, and the flags of those that share their key with another."""
     order = np.lexsort((found["line"], band))
@@ -227,21 +200,140 @@ def _meet(buckets: int):
     return run
 
 
-def candidates(docs: DataFrame, entry_bytes: int = 24 << 20) -> DataFrame:
-    """(key, h): lines, by the first half of their key, that share a band's key with another line.
+def candidates(docs: DataFrame, total: int, entry_bytes: int = 24 << 20) -> DataFrame:
+    """(hub, h): lines, by the first half of their key, that share a band's key with another line.
 
-    Of a line's bands that have just the same members, one is kept.
+    All that share a key form a group, and its smallest line is its hub. Groups of one hub are put
+    together, so a line that meets another in many bands comes here once.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = parts_for(spark, total // 100 * BANDS * FOUND.itemsize // 3, entry_bytes)
+    buckets = parts_for(docs.sparkSession, total // 100 * BANDS * FOUND.itemsize // 3, entry_bytes)
     emitted = docs.select("text").mapInArrow(_emit(buckets, 3_000_000), "bucket int, entries binary")
-    met = emitted.repartitionById(2 * buckets, F.col("bucket")).mapInArrow(_meet(buckets), "key long, h long")
-    met = stage(met.distinct(), "lines-met")
-    # Bands of near copies mostly have the same members: a sum over mixed members tells which.
-    same = met.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("h").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.min("h").alias("least"))
-    chosen = stage(same.groupBy("n", "s", "least").agg(F.min("key").alias("key")), "lines-chosen")
-    return stage(met.join(chosen.select("key", F.col("least").alias("hub"), "n"), "key"), "lines-groups")
+    met = stage(emitted.repartitionById(2 * buckets, F.col("bucket")).mapInArrow(_meet(buckets), "key long, h long"), "lines-met")
+    hubs = met.groupBy("key").agg(F.min("h").alias("hub"))
+    groups = stage(met.join(hubs, "key").select("hub", "h").distinct(), "lines-groups")
+    drop_staged(met)
+    return groups
+
+
+#: One occurrence of a line: the halves of its key, and where it is. Rows without doc_id come first.
+SPOT = np.dtype([("h", "<i8"), ("low", "<u8"), ("known", "u1"), ("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4")])
+PLACE = ["known", "doc", "rid", "pos"]
+
+
+def _settled(spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first occurrence of each line, in order of the lines, and of those that come later."""
+    order = np.lexsort([spots[f] for f in reversed(["h", "low", *PLACE])])
+    lines, places = spots[["h", "low"]][order], spots[PLACE][order]
+    new = np.concatenate([[True], lines[1:] != lines[:-1]])[: len(order)]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[new], order[places != places[first]]
+
+
+def _spread(buckets: int, most: int):
+    """Blocks of the distinct lines of a task, by bucket of the line, and of occurrences that aren't the first there.
+
+    What is not the first in its own task is not the first of all, so a line comes to its bucket
+    once from each task, however common it is.
+    """
+
+    def run(batches):
+        packer, task = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+        spots: list[tuple] = []
+        words: list[str] = []
+        held = 0
+
+        def flush():
+            found = np.array(spots, SPOT)
+            first, later = _settled(found)
+            out = [(task % buckets, GONE, found[later[k : k + 100_000]].tobytes()) for k in range(0, len(later), 100_000)]
+            bucket = found["h"][first] % buckets
+            by = np.argsort(bucket, kind="stable")
+            for at in np.split(first[by], np.flatnonzero(np.diff(bucket[by])) + 1):
+                texts = [words[k].encode() for k in at.tolist()]
+                head = np.array([len(at)], "<i8").tobytes() + found[at].tobytes() + np.array(list(map(len, texts)), "<i8").tobytes()
+                out.append((int(found["h"][at[0]] % buckets), LINES, packer.compress(head + b"".join(texts))))
+            spots.clear(), words.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.nulls(len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], BLOCK)
+
+        for batch in batches:
+            for some in slices(batch, 400):
+                for text, doc, rid in zip(byte_lists(some, "text"), some.column("doc_id").to_pylist(), some.column("rid").to_pylist(), strict=True):
+                    for pos, raw in enumerate(_split(text)):
+                        if line := normal(raw):
+                            key = line_key(line)
+                            spots.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little"), doc is not None, doc or 0, rid, pos))
+                            words.append(line)
+                            held += len(line)
+                if held > most:
+                    held = 0
+                    yield flush()
+        if spots:
+            yield flush()
+
+    return run
+
+
+LINES, GONE, WANTED = 0, 1, 2
+BLOCK = ["bucket", "kind", "h", "block"]
+PLACED = "h long, line binary, words string, doc_id long, rid long, pos int"
+
+
+def _unpacked_lines(data: bytes, wanted: np.ndarray):
+    """Occurrences of a block, and the texts of those whose line is wanted."""
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    spots = np.frombuffer(data, SPOT, n, 8)
+    sizes = np.frombuffer(data, "<i8", n, 8 + n * SPOT.itemsize)
+    ends = np.cumsum(sizes) + 8 + n * (SPOT.itemsize + 8)
+    at = np.flatnonzero(np.isin(spots["h"], wanted))
+    return spots, {int(k): data[int(ends[k] - sizes[k]) : int(ends[k])] for k in at}
+
+
+def _placed(spots: np.ndarray, words: list[bytes] | None) -> pa.RecordBatch:
+    """Rows of PLACED: of lines with their text, or of occurrences alone."""
+    n = len(spots)
+    docs = pa.array(spots["doc"], pa.int64(), mask=spots["known"] == 0)
+    if words is None:
+        what = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.string())]
+    else:
+        raw = np.stack([spots["h"].view("<u8"), spots["low"]], axis=1).tobytes()
+        keys = [raw[k : k + 16] for k in range(0, 16 * n, 16)]
+        what = [pa.array(spots["h"]), pa.array(keys, pa.binary()), pa.array(words, pa.binary()).cast(pa.string())]
+    return pa.RecordBatch.from_arrays([*what, docs, pa.array(spots["rid"]), pa.array(spots["pos"])], ["h", "line", "words", "doc_id", "rid", "pos"])
+
+
+def _settle(batches):
+    """Of one bucket: the occurrences that aren't the first of their line, and wanted lines with text and first occurrence."""
+    opener, packed, wanted = zstandard.ZstdDecompressor(), [], [np.zeros(0, "int64")]
+    for batch in batches:
+        kinds = np.asarray(batch.column("kind"))
+        wanted.append(batch.column("h").filter(pa.array(kinds == WANTED)).to_numpy())
+        for kind, block in zip(kinds.tolist(), batch.column("block"), strict=True):
+            if kind == GONE:
+                yield _placed(np.frombuffer(block.as_py(), SPOT), None)
+            elif kind == LINES:
+                packed.append(block.as_py())
+    asked, spots, texts, at = np.concatenate(wanted), [], {}, 0
+    for block in packed:
+        some, words = _unpacked_lines(opener.decompress(block), asked)
+        texts |= {at + k: w for k, w in words.items()}
+        spots.append(some)
+        at += len(some)
+    if spots:
+        whole = np.concatenate(spots)
+        first, later = _settled(whole)
+        yield _placed(whole[later], None)
+        met = [k for k in first.tolist() if k in texts]
+        for k in range(0, len(met), 2000):
+            yield _placed(whole[met[k : k + 2000]], [texts[x] for x in met[k : k + 2000]])
+
+
+def settled_lines(docs: DataFrame, groups: DataFrame, total: int, bucket_bytes: int = 24 << 20) -> DataFrame:
+    """Rows of PLACED: occurrences of lines that have an earlier one, with h null, and each line of groups where it comes first."""
+    buckets = parts_for(docs.sparkSession, total, bucket_bytes)
+    blocks = docs.mapInArrow(_spread(buckets, 64 << 20), "bucket int, kind int, h long, block binary")
+    asked = groups.select("h").distinct()
+    asked = asked.select(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"), F.lit(WANTED).alias("kind"), "h", F.lit(None).cast("binary").alias("block"))
+    return blocks.unionByName(asked).repartitionById(buckets, F.col("bucket")).mapInArrow(_settle, PLACED)
 
 
 def _pack(names: list[str]):
@@ -260,83 +352,184 @@ def _unpacked(batch) -> list[bytes]:
     return [opener.decompress(x) for x in batch.column("packed").to_pylist()]
 
 
-def _extract(batches):
-    for batch in batches:
-        for some in slices(batch, 500):
-            out = []
-            for text, wanted in zip(_unpacked(some), some.column("wanted").to_pylist(), strict=True):
-                lines = _split(text)
-                for p in wanted:
-                    line = normal(lines[p])
-                    key = line_key(line)
-                    out.append((int.from_bytes(key[:8], "little", signed=True), key, line, _n_shingles(line)))
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "line", "words", "u"])
-
-
-def _verify(batches):
-    last, packed, plain = None, None, None
+CELLS = 256
+
+
+def _codes(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The shingles of each line as sorted numbers, equal for equal shingles, and how many of its windows fall in each of CELLS cells.
+
+    A line shorter than a shingle has none, as nothing is like it.
+    """
+    whole = "".join(lines)
+    sizes = np.fromiter(map(len, lines), "int64", len(lines))
+    starts, counts = np.cumsum(sizes) - sizes, np.maximum(0, sizes - SHINGLE + 1)
+    if not whole.isascii() and max(whole) > "\xff" and len(letters := sorted(set(whole))) <= CELLS:
+        whole, letters = whole.translate({ord(c): k for k, c in enumerate(letters)}), []
+    try:
+        raw = whole.encode("latin-1")
+        windows = np.ndarray(max(0, len(raw) - SHINGLE + 1), "<u8", raw, 0, (1,)).astype("uint64")
+    except UnicodeEncodeError:  # too many letters for a byte each
+        number: dict[str, int] = {}
+        windows = np.array([number.setdefault(whole[k : k + SHINGLE], len(number)) for k in range(len(whole) - SHINGLE + 1)], "uint64")
+    inside = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    windows, ends = windows[inside], np.cumsum(counts).tolist()
+    cells = np.repeat(np.arange(len(lines)) * CELLS, counts) + ((windows * MIX[0]) >> np.uint64(56)).astype("int64")
+    held = np.bincount(cells, minlength=len(lines) * CELLS).reshape(-1, CELLS)
+    codes = []
+    for at, end in zip([0, *ends], ends, strict=False):
+        own = np.sort(windows[at:end])
+        codes.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+    return codes, held.astype("uint16" if sizes.max() < 1 << 16 else "int64")
+
+
+def unite(lines: list[str], root: np.ndarray, side: int, threshold: float) -> np.ndarray:
+    """Roots (positions) after uniting all near lines; lines of equal root are near by way of others already.
+
+    Pairs with both ends before `side`, or both from there on, are known; a side of 0 knows none.
+    A pair is left out only if its ends are united already, or if so few windows fall in the same
+    cells that they can't share enough shingles.
+    """
+    codes, held = _codes(lines)
+    sizes, root = np.array([max(1, len(c)) for c in codes], "int64"), root.copy()
+    for j in range(max(1, side), len(lines)):
+        open_ = np.flatnonzero(root[: side or j] != root[j])
+        if not len(open_):
+            continue
+        least = np.minimum(np.minimum(held[open_], held[j]).sum(1, dtype="int64"), np.minimum(sizes[open_], sizes[j]))
+        most = least / (sizes[open_] + sizes[j] - least)
+        able = most >= threshold
+        maybe = open_[able][np.argsort(-most[able], kind="stable")]
+        while len(maybe):
+            i = maybe[0]
+            merged = np.sort(np.concatenate([codes[i], codes[j]]))
+            both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+            if both / int(sizes[i] + sizes[j] - both) >= threshold:
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
+                maybe = maybe[root[maybe] != root[j]]
+            else:
+                maybe = maybe[1:]
+    return root
+
+
+LINKED = "a binary, b binary, hub long, part int, parts int, block binary"
+
+
+def _packed_block(keys: list[bytes], lines: list[str], root: np.ndarray) -> bytes:
+    texts = [x.encode() for x in lines]
+    head = np.concatenate([[len(keys)], root, list(map(len, texts))]).astype("<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join([*keys, *texts]))
+
+
+def _unpacked_block(block: bytes) -> tuple[list[bytes], list[str], np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(block)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    root, sizes = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 * (n + 1))
+    at = 8 * (2 * n + 1)
+    ends = np.cumsum(sizes) + at + 16 * n
+    texts = [data[e - z : e].decode() for e, z in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    return [data[at + 16 * k : at + 16 * (k + 1)] for k in range(n)], texts, root
+
+
+def _forest(keys: list[bytes], root: np.ndarray, before: np.ndarray) -> list[tuple]:
+    """Edges of what was united: one for each root that is none any more."""
+    moved = np.flatnonzero((root != before) & (before == np.arange(len(before))))
+    return [(keys[root[k]], keys[k], None, None, None, None) for k in moved.tolist()]
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["a", "b", "hub", "part", "parts", "block"])
+
+
+def _runs(batches, names: list[str], more: list[str]):
+    """Rows that follow each other with equal values of `names`: those values, and lists of the other columns."""
+    last, held = None, [[] for _ in more]
     for batch in batches:
-        found = []
-        for a, b in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True):
-            if a != last:
-                last, packed, plain = a, _packed_shingles(a), None
-            held, other = packed, _packed_shingles(b) if packed else None
-            if not other:  # one of them isn't ASCII, or is shorter than a shingle
-                plain = plain or shingles(a)
-                held, other = plain, shingles(b)
-            both = len(held & other)
-            found.append(both / (len(held) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ha", "hb", "a", "b")), pa.array(found, pa.float64())], ["ha", "hb", "a", "b", "j"])
-
-
-def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact similarities of pairs (ha, hb)."""
-    side = lambda s: texts.select(F.col("h").alias(f"h{s}"), F.col("line").alias(s), F.col("words").alias(f"words_{s}"))
-    joined = pairs.join(side("a"), "ha").join(side("b"), "hb").where("a <> b").select("ha", "hb", "a", "b", "words_a", "words_b")
-    return stage(joined.sortWithinPartitions("ha").mapInArrow(_verify, "ha long, hb long, a binary, b binary, j double"), "lines-verdicts")
-
-
-def _ordered(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("ha"), F.greatest(x, y).alias("hb")]
-
-
-def near_lines(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) from each line that is near others of its groups to the smallest line so connected.
-
-    Every member is compared with the group's hub and with the next member in a hashed order,
-    which connects what copies there are. What is still apart from a group's largest part is
-    compared with all of the group but its own part, so no link is lost. Of those comparisons
-    only pairs are left out that cannot be near: sets too different in size, or (Jaccard
-    distance being a metric) too different in their distance to the hub.
+        values = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+        columns = [batch.column(c).to_pylist() for c in more]
+        start = 0
+        for k in range(1, len(values) + 1):
+            if k == len(values) or values[k] != values[start]:
+                if last is not None and values[start] != last:
+                    yield last, held
+                    held = [[] for _ in more]
+                last = values[start]
+                for h, c in zip(held, columns, strict=True):
+                    h += c[start:k]
+                start = k
+    if last is not None:
+        yield last, held
+
+
+def _within(threshold: float):
+    """Edges that unite the near lines of each block, and the block itself where its group has several."""
+
+    def run(batches):
+        out, size = [], 0
+        for (hub, part, parts), (keys, lines) in _runs(batches, ["hub", "part", "parts"], ["line", "words"]):
+            before = np.arange(len(keys))
+            root = unite(lines, before, 0, threshold)
+            out += _forest(keys, root, before)
+            if parts > 1:
+                out.append((None, None, hub, part, parts, _packed_block(keys, lines, root)))
+                size += len(out[-1][-1])
+            if len(out) > 5000 or size > 16 << 20:
+                yield _rows(out)
+                out, size = [], 0
+        if out:
+            yield _rows(out)
+
+    return run
+
+
+def _across(threshold: float):
+    """Edges that unite the near lines of two blocks of a group."""
+
+    def run(batches):
+        for _, (blocks,) in _runs(batches, ["hub", "low", "high"], ["block"]):
+            if len(blocks) < 2:  # no line fell into the other one
+                continue
+            (keys, lines, root), (more, others, apart) = map(_unpacked_block, blocks)
+            before = np.concatenate([root, apart + len(keys)])
+            found = _forest(keys + more, unite(lines + others, before, len(keys), threshold), before)
+            if found:
+                yield _rows(found)
+
+    return run
+
+
+def _parts(chars: Column, least: int, most: int) -> Column:
+    """Blocks of a group: they grow with the root of its size, and reach `most` characters at last."""
+    return F.greatest(F.ceil(F.sqrt(chars / least)), F.ceil(chars / most)).cast("int")
+
+
+def near_lines(groups: DataFrame, texts: DataFrame, threshold: float, least: int = 32 << 10, most: int = 4 << 20, task_chars: int = 32 << 20) -> DataFrame:
+    """Edges (a, b) that connect just those lines that near pairs of a group connect.
+
+    A group (hub, h) is compared where its lines are put together, and gives a forest of its near
+    lines, never their pairs. One of over `least` characters is cut into blocks: each is
+    compared in itself, then any two of them meet as packed rows.
     """
-    order = Window.partitionBy("key").orderBy(F.xxhash64("h", "key"), "h")
-    chained = groups.withColumn("next", F.lead("h").over(order))
-    star = chained.where("h <> hub").select(*_ordered(F.col("hub"), F.col("h")))
-    chain = chained.where("next is not null").select(*_ordered(F.col("h"), F.col("next")))
-    first = _compare(star.unionByName(chain).distinct(), texts)
-    near = first.where(F.col("j") >= threshold)
-    members = connected_components(near.select("a", "b")).withColumnRenamed("node", "line")
-    parts = stage(texts.select("h", "line", "u").join(members, "line", "left").select("h", "line", "u", F.coalesce("component", "line").alias("part")), "lines-parts")
-
-    split = groups.where("n > 2").join(parts, "h").groupBy("key", "part").agg(F.count("*").alias("m"))
-    largest = split.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_keys = stage(largest.select("key", F.col("top.part").alias("main")), "lines-open")
-    distance = first.groupBy("ha", "hb").agg(F.max("j").alias("j"))
-    left = groups.where("n > 2").join(open_keys, "key").join(parts.drop("line"), "h").withColumns({"ha": F.least("hub", "h"), "hb": F.greatest("hub", "h")})
-    left = left.join(distance, ["ha", "hb"], "left").select("key", "h", "u", "part", "main", F.when(F.col("h") == F.col("hub"), 1.0).otherwise(F.col("j")).alias("j"))
-    left = stage(left, "lines-left")
-    mine = left.where("part <> main").alias("x")
-    close = (F.col("x.part") != F.col("y.part")) & (F.least("x.u", "y.u") >= threshold * F.greatest("x.u", "y.u")) & (F.abs(F.col("x.j") - F.col("y.j")) <= 1 - threshold + 1e-9)
-    once = (F.col("y.part") == F.col("y.main")) | (F.col("x.h") < F.col("y.h"))
-    others = mine.join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & close & once).select(*_ordered(F.col("x.h"), F.col("y.h")))
-    second = others.distinct().join(first.select("ha", "hb").distinct(), ["ha", "hb"], "left_anti")
-    found = _compare(second, texts).where(F.col("j") >= threshold).select("a", "b")
-    for c in ("a", "b"):  # only the parts are united, not the lines in them
-        found = found.join(parts.select(F.col("line").alias(c), F.col("part").alias(f"part_{c}")), c)
-    united = connected_components(found.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))).withColumnRenamed("node", "part")
-    return parts.join(united, "part", "left").select(F.col("line").alias("a"), F.coalesce("component", "part").alias("b")).where("a <> b")
+    joined = stage(groups.join(texts, "h").select("hub", "line", "words", F.length("words").alias("chars")), "lines-joined")
+    large = joined.groupBy("hub").agg(F.sum("chars").alias("size")).where(F.col("size") > least)
+    large = stage(large.select("hub", "size", _parts(F.col("size"), least, most).alias("parts")), "lines-large")
+    spark, copied = groups.sparkSession, large.agg(F.sum(F.col("size") * F.col("parts"))).first()[0]
+    cut = joined.join(large.drop("size"), "hub", "left").select("hub", "line", "words", F.coalesce("parts", F.lit(1)).alias("parts"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+    by = ["hub", "part"]
+    total = joined.agg(F.sum("chars")).first()[0]
+    dealt = cut.repartition(parts_for(spark, total, task_chars), *by).sortWithinPartitions(*by)
+    linked = stage(dealt.mapInArrow(_within(threshold), LINKED), "lines-linked")
+    blocks = linked.where("block is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> other")
+    blocks = blocks.select("hub", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "block")
+    by = ["hub", "low", "high"]
+    met = blocks.repartition(parts_for(spark, copied, task_chars), *by).sortWithinPartitions(*by, "part")
+    across = met.mapInArrow(_across(threshold), LINKED)
+    found = stage(linked.where("block is null").select("a", "b").unionByName(across.select("a", "b")), "lines-edges")
+    for t in (joined, large, linked):
+        drop_staged(t)
+    return found
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -345,28 +538,19 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     The line that stays is the first by (doc_id, rid, pos); a repeated row loses the lines that
     its twin loses. Lines without anything but white space have no component.
     """
-    lines = stage(docs.mapInArrow(_lines, ROWS_SCHEMA), "lines")
-    firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count("*").alias("n"))
-    firsts = stage(firsts.mapInArrow(_halves, "h long, line binary, first struct<doc_id: long, rid: long, pos: int>, n long"), "lines-first")
-    groups = candidates(docs)
-    met = firsts.join(groups.select("h").distinct(), "h")
-    wanted = stage(met.groupBy("first.doc_id", "first.rid").agg(F.collect_list("first.pos").alias("wanted")), "lines-wanted")
-    packed = docs.mapInArrow(_pack(["doc_id", "rid"]), "doc_id long, rid long, packed binary")
-    mine = (packed.rid == wanted.rid) & packed.doc_id.eqNullSafe(wanted.doc_id)
-    texts = packed.join(wanted, mine).select("packed", "wanted").mapInArrow(_extract, "h long, line binary, words string, u long")
-    texts = stage(texts.dropDuplicates(["line"]), "lines-texts")
-    near = stage(near_lines(groups, texts, threshold), "lines-near")
-    members = near.unionByName(near.select("b", F.col("b").alias("a")).distinct()).toDF("line", "component")
-    named = stage(firsts.select("line", "first", "n").join(members, "line", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "line")), "lines-named")
-    kept = stage(named.groupBy("component").agg(F.min("first").alias("kept")), "lines-kept")
-    kept = stage(named.join(kept, "component").select("line", "kept"), "lines-to")
-    return lines.join(kept, "line").where(F.struct("doc_id", "rid", "pos") != F.col("kept")).select("doc_id", "rid", "pos")
-
-
-def _halves(batches):
-    for batch in batches:
-        h = [int.from_bytes(k[:8], "little", signed=True) for k in batch.column("line").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(batch.column(c) for c in ("line", "first", "n"))], ["h", "line", "first", "n"])
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = candidates(docs, total)
+    settled = stage(settled_lines(docs, groups, total), "lines-settled")
+    texts = settled.where("h is not null")
+    edges = near_lines(groups, texts.select("h", "line", "words"), threshold)
+    members = connected_components(edges).join(texts.select(F.col("line").alias("node"), F.struct("doc_id", "rid", "pos").alias("at")), "node")
+    members = stage(members.select("component", "at"), "lines-members")
+    kept = members.groupBy("component").agg(F.min("at").alias("kept"))
+    later = members.join(kept, "component").where(F.col("at") != F.col("kept")).select("at.doc_id", "at.rid", "at.pos")
+    gone = stage(settled.where("h is null").select("doc_id", "rid", "pos").unionByName(later), "lines-gone")
+    for t in (groups, settled, edges, members):
+        drop_staged(t)
+    return gone
 
 
 def _cut(names: list[str]):

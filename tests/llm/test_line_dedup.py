@@ -81,15 +81,52 @@ def test_near_lines_and_awkward_rows(spark):
     assert line_dedup.dedup_lines(empty_documents(spark)).count() == 0
 
 
+def near_components(spark, lines, **sizes):
+    """Components of one group of lines by near_lines, and those of all pairs."""
+    half = lambda x: int.from_bytes(line_dedup.line_key(x)[:8], "little", signed=True)
+    keys = {line_dedup.line_key(x): x for x in lines}
+    texts = spark.createDataFrame([(half(x), k, x) for k, x in keys.items()], "h long, line binary, words string")
+    groups = spark.createDataFrame([(7, half(x)) for x in lines], "hub long, h long")
+    edges = [(bytes(r.a), bytes(r.b)) for r in line_dedup.near_lines(groups, texts, 0.8, **sizes).collect()]
+    near = [(a, b) for a, x in keys.items() for b, y in keys.items() if a < b and line_dedup.jaccard(x, y) >= 0.8]
+    assert len(edges) < len(keys)
+    return components(keys, edges), components(keys, near)
+
+
 def test_groups_without_a_good_hub_lose_no_link(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away from all of the others again "
     lines = [base + f"number {k} of them" for k in range(6)] + ["entirely different words stand in this line, one after the other " + c for c in "xy"] + ["zzz"]
-    keys = [(1, int.from_bytes(line_dedup.line_key(x)[:8], "little", signed=True), line_dedup.line_key(x), x, len(line_dedup.shingles(x))) for x in lines]
-    texts = spark.createDataFrame([k[1:] for k in keys], "h long, line binary, words string, u long")
-    groups = spark.createDataFrame([(1, k[1], keys[8][1], 9) for k in keys], "key long, h long, hub long, n long")
-    edges = [(bytes(r.a), bytes(r.b)) for r in line_dedup.near_lines(groups, texts, 0.8).collect()]
-    comp = components([k[2] for k in keys], edges)
-    assert len({comp[k[2]] for k in keys[:6]}) == 1 and comp[keys[6][2]] == comp[keys[7][2]] and len(set(comp.values())) == 3
+    got, want = near_components(spark, lines)
+    assert got == want and len(set(got.values())) == 3
+
+
+def test_groups_cut_into_blocks_lose_no_link(spark):
+    rng = random.Random(9)
+    alphabet = "abcdefgh \u00e9\u0416\u4e2d"
+    lines = ["", "short", "shorte"]
+    for _ in range(5):
+        base = [rng.choice(alphabet) for _ in range(150)]
+        for _ in range(30):
+            x = list(base)
+            for _ in range(rng.randrange(3)):
+                x[rng.randrange(150)] = rng.choice(alphabet)
+            lines.append("".join(x))
+    lines = list(dict.fromkeys(x for x in lines if x))
+    got, want = near_components(spark, lines, least=400, most=3000)
+    assert got == want and 5 < len(set(got.values())) < len(lines) - 50
+
+
+def test_shingles_as_numbers():
+    rng = random.Random(10)
+    many = "".join(chr(0x4E00 + k) for k in range(400))
+    for alphabet in ("ab", "ab\u00ff", "ab\u0416\U0001f600", many):
+        lines = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (3, 8, 9, 40, 300, 300)]
+        codes, held = line_dedup._codes(lines)
+        for i, x in enumerate(lines):
+            own = line_dedup.shingles(x) if len(x) >= 8 else set()
+            assert len(codes[i]) == len(own) and held[i].sum() == max(0, len(x) - 7)
+            for j, y in enumerate(lines):
+                assert len(set(codes[i].tolist()) & set(codes[j].tolist())) == len(own & (line_dedup.shingles(y) if len(y) >= 8 else set()))
 
 
 def test_bands_find_pairs_at_the_threshold():
