@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_lists, new_path, slices, stage
-from .encoding import BYTE_CHARS, UnitEncoder, gather
+from .encoding import BYTE_CHARS, Merges, UnitEncoder, gather
 
 #: White space as the tokenizer has it. A unit is white space and what follows it, up to the next:
 #: the pattern of words never looks beyond a unit.
@@ -38,12 +38,7 @@ class Vocabulary:
     def __init__(self, path: str):
         spec = json.loads(Path(path).read_text())
         vocab = spec["model"]["vocab"]
-        self.byte_ids = [vocab[BYTE_CHARS[b]] for b in range(256)]
-        #: Pair of ids to its rank and the id it becomes, in one number that orders by rank.
-        self.merges: dict[tuple[int, int], int] = {}
-        for rank, m in enumerate(spec["model"]["merges"]):
-            a, b = m.split(" ") if isinstance(m, str) else m
-            self.merges[vocab[a], vocab[b]] = rank << 32 | vocab[a + b]
+        self.merges = Merges(spec["model"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         to_byte = {c: b for b, c in BYTE_CHARS.items()}
         pieces = {i: bytes(map(to_byte.__getitem__, t)) for t, i in vocab.items() if t not in self.special}
@@ -52,19 +47,8 @@ class Vocabulary:
         self.flat, self.sizes, self.starts = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(len(sizes))), "uint8"), sizes, np.cumsum(sizes) - sizes
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one word: the pair of lowest rank is merged, leftmost first, until none is left."""
-        find, none = self.merges.get, 1 << 62
-        ids = [self.byte_ids[b] for b in word]
-        ranks = [find(p, none) for p in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) < none:
-            at = ranks.index(best)
-            ids[at : at + 2] = [best & 0xFFFFFFFF]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = find((ids[at - 1], ids[at]), none)
-            if at < len(ranks):
-                ranks[at] = find((ids[at], ids[at + 1]), none)
-        return ids
+        """The ids of one word."""
+        return self.merges.long(word)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 of the text of each run of ids; bytes that are no character become U+FFFD."""
@@ -175,20 +159,25 @@ class LexiconEncoder(UnitEncoder):
         parts = self.special.split(whole)
         return [u for k, p in enumerate(parts) for u in ([p] if k % 2 else UNIT.findall(p))]
 
-    def ask(self, units: list[str]) -> list[list[int]]:
+    def ask(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = [WORD.findall(u) if u not in self.vocabulary.special else [] for u in units]
         if len(self.merged) > self.held_words:
             self.merged = {}
         ids = self.merged
         distinct = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in ids]
         spelt = [w.encode() for w in distinct]
-        for word, raw, k in zip(distinct, spelt, self.lexicon.numbers(spelt).tolist(), strict=True):
-            if k >= 0:
-                start = self.lexicon.starts[k]
-                ids[word] = self.lexicon.ids[start : start + self.lexicon.counts[k]].tolist()
-            else:
-                ids[word] = self.vocabulary.merge(raw)
-        return [[i for w in ws for i in ids[w]] if ws else [self.vocabulary.special[u]] for u, ws in zip(units, words, strict=True)]
+        numbers = self.lexicon.numbers(spelt)
+        at = np.flatnonzero(numbers >= 0)
+        held, sizes = self.lexicon.starts[numbers[at]], self.lexicon.counts[numbers[at]].astype("int64")
+        rest = np.flatnonzero(numbers < 0)
+        merged, counts = self.vocabulary.merges.words([spelt[k] for k in rest.tolist()])
+        for where, flat, n in ((at, gather(self.lexicon.ids, held, sizes)[0], sizes), (rest, merged, counts)):
+            stops = [0, *np.cumsum(n).tolist()]
+            own = flat.tolist()
+            ids.update(zip([distinct[k] for k in where.tolist()], [own[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], strict=True))
+        found = [[i for w in ws for i in ids[w]] if ws else [self.vocabulary.special[u]] for u, ws in zip(units, words, strict=True)]
+        counts = np.fromiter(map(len, found), "int64", len(found))
+        return np.fromiter(chain.from_iterable(found), "int64", counts.sum()), counts
 
 
 def _count(batches):
@@ -269,7 +258,9 @@ def encode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",),
     """
     vocabulary = Vocabulary(tokenizer)
     chosen = sorted(w for w in frequent_words(docs, words) if w.decode() not in vocabulary.special)
-    lexicon = publish(docs.sparkSession, Transducer.build([(w, vocabulary.merge(w)) for w in chosen]).to_bytes())
+    flat, counts = vocabulary.merges.words(chosen)
+    ids = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] if chosen else []
+    lexicon = publish(docs.sparkSession, Transducer.build(list(zip(chosen, ids, strict=True))).to_bytes())
     schema = docs.select(*keep, F.array(F.lit(0)).alias("tokens")).schema
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_encode(tokenizer, lexicon, list(keep)), schema)
 
@@ -286,7 +277,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         vocabulary = Vocabulary(tokenizer)
         for batch in batches:
-            for some in slices(batch, 1000):
+            for some in slices(batch, 1000, "tokens", 2 << 20):
                 texts = pa.array([t.decode() for t in vocabulary.decode(*_tokens(some))], pa.string())
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), texts], [*names, "text"])
 
@@ -299,7 +290,7 @@ def digests(encoded: DataFrame, tokenizer: str, tokens: bool = False) -> DataFra
     def run(batches):
         vocabulary = Vocabulary(tokenizer)
         for batch in batches:
-            for some in slices(batch, 1000):
+            for some in slices(batch, 1000, "tokens", 2 << 20):
                 ids, counts = _tokens(some)
                 at = np.concatenate([[0], np.cumsum(counts)]).tolist()
                 raw = ids.astype("<u4")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (a local test) is a folder made and set.
+    Where the session names none, a folder is made and set if all runs in one process; on a
+    cluster that is an error, as every executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -49,6 +53,18 @@ def drop_staged(df: DataFrame) -> None:
         remove_path(df.sparkSession, f)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, with underscores before those that df has already, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -78,7 +94,8 @@ def byte_lists(batch, name: str) -> list[bytes]:
 
 
 def slices(batch, rows: int, name: str = "text", most: int = 8 << 20):
-    """An Arrow batch in pieces of so many rows, and of about `most` bytes of column `name`, so that working memory follows the piece."""
+    """An Arrow batch in pieces of so many rows, and of about `most` bytes (or list elements) of column `name`, so that working memory follows the piece."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     if not batch.num_rows:
@@ -86,7 +103,9 @@ def slices(batch, rows: int, name: str = "text", most: int = 8 << 20):
     step = np.arange(batch.num_rows) // rows
     turn = np.zeros_like(step)
     if name in batch.schema.names:
-        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        column = batch.column(name)
+        sizes = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+        sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype("int64")
         turn = (np.cumsum(sizes) - sizes) // most
     cuts = [0, *(np.flatnonzero((np.diff(step) != 0) | (np.diff(turn) != 0)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):

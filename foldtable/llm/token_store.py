@@ -7,8 +7,12 @@ A reader that wants a range of documents, or only their lengths, touches only th
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from itertools import chain
+from pathlib import Path
 from unicodedata import is_normalized
 
 import numpy as np
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_lists, new_path, parts_for, slices, utf8_size
-from .encoding import BYTE_CHARS, UnitEncoder
+from .encoding import Merges, UnitEncoder, gather
 
 #: Writer settings: row groups of 16 MB, pages of 64 KB, version 2 pages for delta encoding.
 LAYOUT = {
@@ -34,7 +38,9 @@ LAYOUT = {
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 
 
+#: Lower-case ASCII letters, and ASCII marks after them; and the same with any letters.
 MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
+PLAIN = re.compile(rb"([a-z]+)([%b]*)" % re.escape(MARKS).encode())
 
 
 class ChunkEncoder(UnitEncoder):
@@ -42,19 +48,34 @@ class ChunkEncoder(UnitEncoder):
 
     Normalising and splitting never look across white space, so a chunk's ids don't depend on
     its neighbours. A chunk of letters, and ASCII marks after them, is two words to the
-    tokenizer; letters that normalising leaves alone go to its merges directly.
+    tokenizer; letters that normalising leaves alone are merged directly.
     """
 
+    #: Fixed value: how a file that this holds for splits a text into words, which is by kind of character.
+    WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
     def __init__(self, path: str, held: int = 700_000):
         super().__init__(held)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        spec = json.loads(Path(path).read_text())
+        if not self.fits(spec):
+            raise ValueError(f"{path}: only tokenizers that drop white space and case, and merge words of one kind of character")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.merge = self.tokenizer.model.tokenize
-        self.tails: dict[str, list[int]] = {"": []}
+        self.merges = Merges(spec["model"])
+        self.tails: dict[bytes, list[int]] = {b"": []}
+
+    @classmethod
+    def fits(cls, spec: dict) -> bool:
+        model, kinds = spec["model"], lambda x: [y["type"] for y in (x or {}).get("normalizers", (x or {}).get("pretokenizers", []))]
+        split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        by_word = kinds(spec["pre_tokenizer"]) == ["Split", "ByteLevel"] and split["pattern"] == {"Regex": cls.WORDS} and split["behavior"] == "Removed" and split["invert"]
+        marked = all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"])
+        return model["type"] == "BPE" and plain and by_word and marked and kinds(spec["normalizer"]) == ["NFC", "Replace", "Lowercase"] and spec["post_processor"] is None
 
     def split(self, text: bytes) -> list[bytes]:
         # Lower case joins chunks that encode alike; a text that may spell a special token keeps its own.
@@ -63,25 +84,38 @@ class ChunkEncoder(UnitEncoder):
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ask(self, units: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = []
-        words = [u.decode() for u in units]
-        for w in words:
-            core = w.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or is_normalized("NFC", core)) and core.lower() == core:
-                tail = w[len(core) :]
-                if tail not in self.tails:
-                    if len(self.tails) > 10_000:
-                        self.tails = {"": []}
-                    self.tails[tail] = self.whole([tail])[0]
-                letters = core if core.isascii() else "".join(map(BYTE_CHARS.__getitem__, core.encode()))
-                out.append([t.id for t in self.merge(letters)] + self.tails[tail])
+    def ask(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A unit has two pieces: letters, and marks after them; or itself, if it is of another kind, and nothing."""
+        words, at, tails, rest = [], [], [], []
+        match = PLAIN.fullmatch
+        for k, unit in enumerate(units):
+            if found := match(unit):
+                word, tail = found.groups()
             else:
-                out.append(None)
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(rest, self.whole([words[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
+                text = unit.decode()
+                core = text.rstrip(MARKS)
+                if not (core.isalpha() and is_normalized("NFC", core) and core.lower() == core):
+                    rest.append(k)
+                    continue
+                word, tail = core.encode(), text[len(core) :].encode()
+            words.append(word), at.append(k), tails.append(tail)
+        if len(self.tails) > 10_000:
+            self.tails = {b"": []}
+        new = [t for t in dict.fromkeys(tails) if t not in self.tails]
+        self.tails.update(zip(new, self.whole([t.decode() for t in new]), strict=True))
+        ids, counts = self.merges.words(words)
+        others = self.whole([units[k].decode() for k in rest])
+        ends = [self.tails[t] for t in tails]
+        more = [*others, *ends]
+        sizes = np.fromiter(map(len, more), "int64", len(more))
+        pool = np.concatenate([ids, np.fromiter(chain.from_iterable(more), "int64", sizes.sum())])
+        starts = len(ids) + np.cumsum(sizes) - sizes
+        piece = np.zeros((2, len(units), 2), "int64")  # start and number of ids of each unit's two pieces
+        piece[0, at, 0], piece[1, at, 0] = np.cumsum(counts) - counts, counts
+        piece[0, at, 1], piece[1, at, 1] = starts[len(rest) :], sizes[len(rest) :]
+        piece[0, rest, 0], piece[1, rest, 0] = starts[: len(rest)], sizes[: len(rest)]
+        return gather(pool, piece[0].ravel(), piece[1].ravel())[0], piece[1].sum(1)
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 

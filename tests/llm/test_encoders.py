@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -48,6 +50,22 @@ def test_encoders_match_the_library():
     assert [t.decode() for t in vocabulary.decode(ids, counts)] == [coder.decode(x, skip_special_tokens=False) for x in by_doc(ids, counts)]
 
 
+def test_merging_long_words():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (1, 63, 64, 65, 300)] + ["ab" * 200, "a" * 500, "".join(rng.choice("abcdefgh") for _ in range(1_000_000))]
+    lexicon = bpe.Transducer.build([])
+    for path, coder in ((WORDS, ChunkEncoder(WORDS)), (BYTE, bpe.LexiconEncoder(BYTE, lexicon))):
+        want = [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
+        started = time.time()
+        assert by_doc(*coder.encode([t.encode() for t in texts])) == want
+        assert time.time() - started < 60
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        ChunkEncoder(BYTE)
+
+
 def test_transducer(tmp_path):
     words = sorted({b"a", b"ab", b"talking", b"walking", b"walk", b"\xff\x00", b"king", b"taking", b"x" * 300})
     found = bpe.Transducer.build([(w, [k, k + 1][: 1 + k % 2]) for k, w in enumerate(words)])
@@ -117,6 +135,33 @@ def test_quality_of_awkward_rows(spark):
     assert {r.doc_id for r in kept.collect()} == good and kept.columns[-1] == "score"
 
 
+def test_scores_against_one_machine(spark):
+    docs, labels = common.table(spark, SF, "documents").toPandas(), common.table(spark, SF, "labels").toPandas()
+    x = np.array([quality.statistics((t or "").encode()) for t in docs.text])
+    folds = np.array([zlib.crc32(str(i).encode()) % 5 for i in docs.doc_id])
+    marks = dict(zip(labels.doc_id, labels.quality, strict=True))
+    y = np.array([marks.get(i, -1) for i in docs.doc_id], "float64")
+    train = (y >= 0) & (folds > 0)
+    project = quality.Projection(x[train].mean(0), x[train].std(0), 11)
+
+    def ridge(at):
+        z = project(x[at])
+        a = z.T @ z
+        return np.linalg.solve(a + quality.RIDGE * max(1.0, a[-1, -1]) * np.eye(len(a)), z.T @ y[at])
+
+    raw = np.zeros(len(x))
+    for k in range(1, 5):
+        own = train & (folds == k)
+        raw[own] = np.clip(project(x[own]) @ ridge(train & (folds != k)), -1, 2)
+    bins = np.floor((raw[train] + 1) / 3 * quality.BINS)
+    groups = [(raw[train][bins == b].mean(), y[train][bins == b].sum(), (bins == b).sum()) for b in np.unique(bins)]
+    at, value = quality.isotonic(*(np.array(c, "float64") for c in zip(*groups, strict=True)))
+    last = np.clip(project(x) @ ridge(train), -1, 2)
+    want = 0.99 * np.interp(last, at, value) + 0.01 * np.clip(last, 0, 1)
+    got = {r.doc_id: r.score for r in QUERIES["op4_quality_classifier"](spark, SF).collect()}
+    assert max(abs(got[i] - s) for i, s in zip(docs.doc_id, want, strict=True)) < 0.02
+
+
 def test_isotonic():
     x, y, n = np.arange(6.0), np.array([0.0, 3, 1, 2, 2, 4]), np.array([4.0] * 6)
     at, value = quality.isotonic(x, y, n)
