@@ -113,8 +113,23 @@ def render(segments: DataFrame, examples: DataFrame) -> DataFrame:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+def _checked(role: str, role_chars: int, start: int, n: int, spoken: int, context_end: int | None, target_end: int | None) -> None:
+    """An example's context must be all that stands before its target: `spoken` characters of turns before it, and its own head.
+
+    Every assistant turn has one example, whose target is the inside of its own segment; other turns have none.
+    """
+    if start != spoken:
+        raise ValueError(f"a turn starts at {start}, after {spoken} characters")
+    if (context_end is not None) != (role == "assistant"):
+        raise ValueError(f"example of a turn of role {role!r}: {context_end}")
+    if context_end is not None:
+        head = len(OPEN) + role_chars + 1
+        if (context_end, target_end) != (spoken + head, spoken + n - len(CLOSE)):
+            raise ValueError(f"example ({context_end}, {target_end}) of the turn at {spoken}")
+
+
 def _digest(batches):
-    """Streams turns in order; holds the running digests of one conversation only."""
+    """Streams turns in order and checks each example; holds the running digests of one conversation only."""
     now, done = None, []
 
     def row(s):
@@ -125,11 +140,13 @@ def _digest(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in DIGESTS.split(", ")])
 
     for batch in batches:
-        for conv, role, text, loss, n in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "loss", "n_chars")), strict=True):
+        columns = ("conv_id", "role", "text", "loss", "n_chars", "char_start", "context_end", "target_end", "role_chars")
+        for conv, role, text, loss, n, start, context_end, target_end, role_chars in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
             if now is None or now["conv_id"] != conv:
                 if now:
                     done.append(row(now))
                 now = {"conv_id": conv, "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0}
+            _checked(role, role_chars, start, n, now["formatted"], context_end, target_end)
             now["turns"] += 1
             now["formatted"] += n
             now["all"].update(f"{role}\n{text}\n".encode())
@@ -159,7 +176,7 @@ def format_conversations(spark, conversations: DataFrame) -> DataFrame:
     cut = F.locate("\n", inner)
     lost = F.substring("segment", (F.col("context_end") - F.col("char_start") + 1).cast("int"), (F.col("target_end") - F.col("context_end")).cast("int"))
     turns = joined.select(
-        "conv_id", "seq", "n_chars", unescape(lost).alias("loss"),
+        "conv_id", "seq", "n_chars", "char_start", "context_end", "target_end", unescape(lost).alias("loss"), (cut - 1).alias("role_chars"),
         unescape(F.substring(inner, F.lit(1), cut - 1)).alias("role"),
         unescape(F.substring(inner, cut + 1, F.length(inner))).alias("text"),
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -216,32 +217,47 @@ def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window
 def judged(found: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """With n_hit and contaminated: some words are hit, and at least `coverage` of all words."""
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    least = round(1 / coverage)
-    return found.withColumn("n_hit", hits).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least >= F.col("n_words")))
+    share = Fraction(str(coverage))
+    enough = F.col("n_hit") * share.denominator >= F.col("n_words") * share.numerator
+    return found.withColumn("n_hit", hits).withColumn("contaminated", (F.col("n_hit") > 0) & enough)
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """docs without the contaminated ones; hits below the limit leave a document as it is."""
-    return judged(find_spans(docs, items), coverage).where(~F.col("contaminated")).select(*docs.columns)
+def _found(docs: DataFrame, items: DataFrame, coverage: float) -> tuple[DataFrame, list[str]]:
+    """The verdicts on docs, whose columns have inner names, so that none of them can clash; and those names."""
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    return judged(find_spans(docs.toDF(*inner), items, inner[docs.columns.index("text")]), coverage), inner
+
 
+def remove_contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """docs without the contaminated ones; hits below the limit leave a document as it is. All columns of docs stay, whatever their names."""
+    found, inner = _found(docs, items, coverage)
+    return found.where(~F.col("contaminated")).select(*inner).toDF(*docs.columns)
 
-def remove_spans(docs: DataFrame, items: DataFrame, longest: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """docs with hit spans of at least `longest` words cut out of the text, or all spans where they reach `coverage`."""
-    found = judged(find_spans(docs, items), coverage)
-    names, schema = docs.columns, docs.schema
 
-    def cut(batches):
+def _cut(inner: list[str], text: str, longest: int):
+    def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            rows = zip(texts, batch.column("spans").to_pylist(), batch.column("contaminated").to_pylist(), strict=True)
+            rows = zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist(), batch.column("contaminated").to_pylist(), strict=True)
             new = []
-            for text, spans, all_of_them in rows:
+            for whole, spans, all_of_them in rows:
                 gone = [s for s in spans if all_of_them or s[1] - s[0] >= longest]
-                new.append(cut_spans(text.encode(), gone) if gone else text)
-            columns = [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                new.append(cut_spans(whole.encode(), gone) if gone else whole)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else batch.column(c) for c in inner], inner)
 
-    return found.mapInArrow(cut, schema)
+    return run
+
+
+def remove_spans(docs: DataFrame, items: DataFrame, longest: int = WINDOW, coverage: float = COVERAGE, drop: bool = False) -> DataFrame:
+    """docs with hit spans of at least `longest` words cut out of the text.
+
+    Documents whose hits reach `coverage` lose all spans, or go altogether with `drop`. All
+    columns of docs stay, whatever their names; null texts and rows without hits are as they were.
+    """
+    found, inner = _found(docs, items, coverage)
+    if drop:
+        found = found.where(~F.col("contaminated"))
+    schema = found.select(*inner).schema
+    return found.mapInArrow(_cut(inner, inner[docs.columns.index("text")], longest), schema).toDF(*docs.columns)
 
 
 def judge_documents(spark, docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -28,18 +28,20 @@ def _quantised(x: np.ndarray):
     return codes, scale, np.linalg.norm(close, axis=1), np.linalg.norm(unit - close, axis=1)
 
 
-def _links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, piece: int = 1 << 16):
+def _links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, piece_bytes: int = 32 << 20):
     """Index pairs of rows of x and y whose cosine in double precision reaches the threshold.
 
     With unit vectors u = c + e of code part c and error e, u.v = c.c' + c.e' + e.v and the last two
-    are at most |c||e'| + |e|. Codes are multiplied as float32, in which their sums are exact.
+    are at most |c||e'| + |e|. Codes are multiplied as float32, in pieces whose sums are exact.
     """
     (cx, sx, lx, ex), (cy, sy, _, ey) = _quantised(x), _quantised(y)
-    product = cx.astype("float32") @ cy.astype("float32").T
+    # A sum of 1024 products of codes is below 2^24, up to which float32 holds every integer.
+    product = sum((cx[:, k : k + 1024].astype("float32") @ cy[:, k : k + 1024].astype("float32").T).astype("float64") for k in range(0, cx.shape[1], 1024))
     bound = product * sx[:, None] * sy[None, :] + lx[:, None] * ey[None, :] + ex[:, None]
     i, j = np.nonzero(bound >= threshold - 1e-9)
     if same:
         i, j = i[i < j], j[i < j]
+    piece = max(1, piece_bytes // (8 * x.shape[1]))
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     near = [np.einsum("ij,ij->i", x[i[k : k + piece]], y[j[k : k + piece]]) / (nx[i[k : k + piece]] * ny[j[k : k + piece]]) >= threshold for k in range(0, len(i), piece)]
     near = np.concatenate(near) if near else np.zeros(0, bool)
@@ -54,8 +56,8 @@ def _pack(key, table):
     return pa.Table.from_pylist([packed], PACKED)
 
 
-PACKED = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("block", pa.int32()), ("blocks", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())])
-PACKED_DDL = "label long, dim int, block int, blocks int, ids binary, copies binary, vectors binary"
+PACKED = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("block", pa.int32()), ("blocks", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())])
+PACKED_DDL = "label string, dim int, block int, blocks int, ids binary, copies binary, vectors binary"
 
 
 def _tiles(threshold: float):
@@ -94,7 +96,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
     """
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding", F.coalesce(usable, F.lit(False)).alias("usable"))
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding", F.coalesce(usable, F.lit(False)).alias("usable"))
     keys = [F.xxhash64("label", "embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding", "label").alias("k2")]
     rows = stage(rows.select("*", *keys), "emb-rows")
     equal = rows.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, parts_for, utf8_size
+from .common import free_names, new_path, parts_for, utf8_size
 
 
-def _permuter(seed: int, starts: np.ndarray, rows: int, n_shards: int):
+def _permuter(seed: int, starts: np.ndarray, rows: int, n_shards: int, inner: list[str]):
     share, extra = divmod(rows, n_shards)
     edges = np.cumsum([0] + [share + (k < extra) for k in range(n_shards)])
 
@@ -24,14 +24,15 @@ def _permuter(seed: int, starts: np.ndarray, rows: int, n_shards: int):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        bucket = held[0].column("_bucket")[0].as_py()
+        by_bucket, by_hash, by_rank = inner
+        bucket = held[0].column(by_bucket)[0].as_py()
         whole = pa.Table.from_batches(held).combine_chunks()
         # Rows arrive in any order; a fixed order first makes a rerun of this task write the same.
-        order = np.lexsort((whole["_rank"].to_numpy(), whole["_hash"].to_numpy()))
+        order = np.lexsort((whole[by_rank].to_numpy(), whole[by_hash].to_numpy()))
         shuffled = order[np.random.default_rng([seed, bucket]).permutation(len(order))]
         at = starts[bucket] + np.arange(len(order))
         shard = np.searchsorted(edges, at, side="right") - 1
-        out = whole.take(pa.array(shuffled)).drop_columns(["_bucket", "_hash", "_rank"])
+        out = whole.take(pa.array(shuffled)).drop_columns(inner)
         out = out.append_column("shard", pa.array(shard.astype("int32")))
         out = out.append_column("slot", pa.array((at - edges[shard]).astype("int64")))
         yield from out.to_batches(max_chunksize=4096)
@@ -57,17 +58,18 @@ def write_shards(
     size = kept.agg(F.count("*").alias("n"), F.sum(utf8_size(F.col(text_col)) + 64).alias("b")).first()
     buckets = parts_for(spark, size.b, bucket_bytes)
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    keyed = kept.withColumn("_hash", hashed).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
+    inner = by_bucket, by_hash, by_rank = free_names(kept, "_bucket", "_hash", "_rank")
+    keyed = kept.withColumn(by_hash, hashed).withColumn(by_bucket, F.pmod(by_hash, F.lit(buckets)).cast("int"))
     counts = np.zeros(buckets, dtype="int64")
-    for bucket, n in keyed.groupBy("_bucket").count().toLocalIterator():
+    for bucket, n in keyed.groupBy(by_bucket).count().toLocalIterator():
         counts[bucket] = n
     starts = np.cumsum(counts) - counts
 
     schema = kept.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).schema
     (
-        keyed.withColumn("_rank", F.coalesce(F.hash(*[F.col(f"`{c}`") for c in kept.columns]), F.lit(0)))
-        .repartitionById(buckets, F.col("_bucket"))
-        .mapInArrow(_permuter(seed, starts, size.n, n_shards), schema)
+        keyed.withColumn(by_rank, F.coalesce(F.hash(*[F.col(f"`{c}`") for c in kept.columns]), F.lit(0)))
+        .repartitionById(buckets, F.col(by_bucket))
+        .mapInArrow(_permuter(seed, starts, size.n, n_shards, inner), schema)
         .write.partitionBy("shard").option("compression", "zstd").parquet(path)
     )
     return spark.read.schema(schema).parquet(path)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lists, slices, stage, width
+from .common import byte_lists, free_names, slices, stage, width
 from .components import connected_components, local_roots
 from .line_dedup import row_key
 
@@ -166,10 +166,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "rid")))
     classes = stage(rows.groupBy("fp").agg(least.alias("least")), "simhash-classes")
     kept = _with_component(classes, radius).groupBy("component").agg(F.min("least").alias("least"))
-    kept = stage(kept.select(F.col("least.doc_id").alias("_kept"), F.col("least.rid").alias("_kept_rid")), "simhash-kept")
-    keyed = docs.withColumn("_rid", row_key())
-    named = keyed.join(kept, (F.col("doc_id") == F.col("_kept")) & (F.col("_rid") == F.col("_kept_rid")), "left_semi")
-    return named.dropDuplicates(["doc_id", "_rid"]).drop("_rid").unionByName(docs.where("doc_id is null"))
+    own, doc, row = free_names(docs, "_own", "_doc", "_row")
+    kept = stage(kept.select(F.col("least.doc_id").alias(doc), F.col("least.rid").alias(row)), "simhash-kept")
+    keyed = docs.withColumn(own, row_key())
+    named = keyed.join(kept, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(row)), "left_semi")
+    return named.dropDuplicates(["doc_id", own]).drop(own).unionByName(docs.where("doc_id is null"))
 
 
 def group_documents(spark, docs: DataFrame) -> DataFrame:

@@ -66,5 +66,20 @@ def test_removal(spark):
     docs = documents(spark, [f"Keep {passage} this.", f"{passage} " + "other " * 400, "clean"])
     cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, items).collect()}
     assert cut[0] == "Keep , this." and cut[1].strip().startswith(", other") and cut[2] == "clean"
+    both = decontaminate.remove_spans(docs, items, drop=True)
+    assert {r.doc_id: r.text for r in both.where("doc_id is not null").collect()} == {1: cut[1], 2: "clean"} and both.columns == docs.columns
     kept = decontaminate.remove_contaminated(docs, items)
     assert sorted(x.doc_id for x in kept.where("doc_id is not null").collect()) == [1, 2, 2] and kept.columns == docs.columns
+
+
+def test_columns_of_clashing_names_stay(spark):
+    docs = documents(spark, ["w0 same text", "other"]).selectExpr("doc_id", "text", "777 as n_words", "'s' as spans", "1.5D as n_hit", "'c' as contaminated", "2 as item_ids", "3 as c0")
+    want = sorted(map(str, docs.collect()))
+    assert sorted(map(str, decontaminate.remove_contaminated(docs, awkward_items(spark).limit(0)).collect())) == want
+    assert sorted(map(str, decontaminate.remove_spans(docs, awkward_items(spark).limit(0)).collect())) == want
+
+
+def test_coverage_is_exact(spark):
+    found = spark.createDataFrame([(n, [[0, h]]) for n, h in ((10, 3), (10, 2), (1000, 299), (1000, 300), (7, 0))], "n_words long, spans array<array<int>>")
+    limits = {c: [r.contaminated for r in decontaminate.judged(found, c).orderBy("n_words", "n_hit").collect()] for c in (0.3, 0.0, 1.0)}
+    assert limits == {0.3: [False, False, True, False, True], 0.0: [False, True, True, True, True], 1.0: [False] * 5}

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from foldtable.llm import chat, common, sharding, token_store, warc
@@ -60,6 +61,13 @@ def check_tokens(rows, docs):
     same_rows(rows, want)
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    docs = documents(spark).selectExpr("doc_id", "text", "doc_id as _hash", "'b' as _bucket", "lang as _rank", "1 as shard")
+    out = sharding.write_shards(docs, common.new_path(spark, "t"))
+    assert out.columns == ["doc_id", "text", "_hash", "_bucket", "_rank", "slot", "shard"]
+    same_rows(out.select("doc_id", "text", "_hash", "_bucket").collect(), docs.select("doc_id", "text", "_hash", "_bucket").collect())
+
+
 def test_tokens_of_documents(spark):
     docs = common.table(spark, SF, "documents").select("doc_id", "text").collect()
     check_tokens(QUERIES["op6_token_output"](spark, SF).collect(), docs)
@@ -133,6 +141,32 @@ def test_rendered_examples(spark):
     assert got[1].text == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n<|im_start|>user\nso<|im_end|>\n<|im_start|>assistant\nbc"
 
 
+def test_rendered_examples_of_a_table(spark):
+    turns = common.table(spark, SF, "conversations")
+    path = common.new_path(spark, "t")
+    chat.write_examples(turns, path)
+    escaped = lambda x: (x or "").replace("\\", "\\\\").replace("<|", "<\\|")
+    convs, want = defaultdict(list), []
+    for t in sorted(turns.collect(), key=lambda t: t.turn):
+        convs[t.conv_id].append(t)
+    for conv, mine in convs.items():
+        whole = ""
+        for k, t in enumerate(mine):
+            head = f"<|im_start|>{t.role}\n"
+            if t.role == "assistant":
+                want.append((conv, k, whole + head + escaped(t.text), len(whole + head)))
+            whole += f"{head}{escaped(t.text)}<|im_end|>\n"
+    same_rows([(r.conv_id, r.seq, r.text, r.context_chars) for r in chat.render(*chat.read_examples(spark, path)).collect()], want)
+
+
+def test_examples_that_are_not_their_context_are_errors():
+    chat._checked("assistant", 9, 40, 60, 40, 40 + 13 + 9, 100 - 11)
+    chat._checked("user", 4, 40, 60, 40, None, None)
+    for wrong in (("assistant", 9, 40, 60, 40, None, None), ("user", 4, 40, 60, 40, 57, 89), ("assistant", 9, 40, 60, 40, 61, 89), ("assistant", 9, 41, 60, 40, 62, 89)):
+        with pytest.raises(ValueError):
+            chat._checked(*wrong)
+
+
 def check_warc(rows, pages):
     largest = {}
     for p in pages:
