@@ -6,7 +6,7 @@ Each stage works on all that the one before it kept, written as Parquet in betwe
 2. line dedup: of equal and near-equal lines the first stays; a document of which no line is left
    goes, as all of it stands elsewhere;
 3. SimHash near-dedup: of each group the document with the smallest id stays;
-4. benchmark decontamination: contaminated documents go;
+4. benchmark decontamination: contaminated documents go, and longer passages are cut from the others;
 5. BPE: the ids of every document, checked by decoding them.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldtable.llm import bpe, decontaminate, line_dedup, quality, simhash
-from foldtable.llm.common import stage, table
+from foldtable.llm.common import free_names, stage, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    old, *_ = free_names(docs, "_old")
+    cleaned = decontaminate.remove_spans(docs.withColumn(old, F.length("text")), table(spark, sf_dir, "benchmark"), drop=True)
+    cut = F.length("text") < F.col(old)
+    return cleaned.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
