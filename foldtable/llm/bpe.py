@@ -145,7 +145,7 @@ class Transducer:
 class LexiconEncoder(UnitEncoder):
     """Encodes by units: their words are looked up in the transducer, and merged where it lacks them."""
 
-    def __init__(self, tokenizer: str, lexicon: Transducer, held: int = 800_000, held_words: int = 400_000):
+    def __init__(self, tokenizer: str, lexicon: Transducer, held: int = 500_000, held_words: int = 250_000):
         super().__init__(held)
         self.merged: dict[str, list[int]] = {}
         self.held_words = held_words
@@ -195,7 +195,7 @@ def _count(batches):
         for some in slices(batch, 500):
             for text in byte_lists(some, "text"):
                 held.update(UNIT.findall(text.decode()))
-            if len(held) > 600_000:
+            if len(held) > 400_000:
                 yield words(held)
                 held = Counter()
     if held:
