@@ -20,8 +20,13 @@ def additive_set_size(models: DataFrame) -> DataFrame:
         c = F.try_element_at("classes", F.lit(k + 1))
         allowed = F.when(c["impact"] > 0, F.least(F.floor(F.abs("rest") / c["impact"]), c["sites"])).otherwise(c["sites"])
         rows = now.withColumn("c", c).withColumn("n", F.explode(F.sequence(F.lit(0), F.coalesce(allowed, F.lit(0)).cast("int"))))
-        ways = F.factorial("c.sites") / (F.factorial("n") * F.factorial(F.col("c.sites") - F.col("n"))) * F.pow(F.col("c.k") - 1, F.col("n"))
-        rows = rows.select("model", "dg", "classes", F.when(F.col("c").isNull(), F.col("rest")).otherwise(F.col("rest") - F.col("n") * F.col("c.impact")).alias("rest"), (F.col("ways") * F.coalesce(ways, F.lit(1.0))).alias("ways"))
+        # C(sites, n) as a running product, which is exact while it is below 2^53.
+        steps = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
+        chosen = F.aggregate(steps, F.lit(1.0), lambda x, i: x * (F.col("c.sites") - F.col("n") + i) / i)
+        ways = F.when(F.col("c").isNull(), 1.0).otherwise(chosen * F.pow(F.col("c.k") - 1, F.col("n")))
+        # Not rounded: how often an impact fits into what is left is decided by the very doubles.
+        rest = F.when(F.col("c").isNull(), F.col("rest")).otherwise(F.col("rest") - F.col("n") * F.col("c.impact"))
+        rows = rows.select("model", "dg", "classes", rest.alias("rest"), (F.col("ways") * ways).alias("ways"))
         now = rows.groupBy("model", "dg", "classes", "rest").agg(F.sum("ways").alias("ways"))
     return now.groupBy("model", "dg").agg(F.sum("ways").alias("size"))
 
@@ -33,8 +38,12 @@ def lookup_params(parameters: DataFrame) -> DataFrame:
     return parameters.select("category", F.explode(cells).alias("c")).select("category", "c.*")
 
 
-def curve_models(parameters: DataFrame, grid: DataFrame, length: int, k_pair_component: int = 2) -> DataFrame:
-    """The models of all curves: set type x pairs 2..5 x bulges 0..2 x stabilities of `grid` (dg).
+#: The largest stability of a curve, and its number of points, without and with bulges.
+GRIDS = {False: (4.2, 1000), True: (2.5, 500)}
+
+
+def curve_models(parameters: DataFrame, length: int, k_pair_component: int = 2) -> DataFrame:
+    """The models of all curves: set type x pairs 2..5 x bulges 0..2 x an even grid of stabilities from 0 (GRIDS).
 
     Quartiles stand for half of a class' sites each, the median for the odd one. Combinations
     without room, or whose stack length has no parameters, are left out.
@@ -57,4 +66,7 @@ def curve_models(parameters: DataFrame, grid: DataFrame, length: int, k_pair_com
         F.count_if(F.col("impact").isNull()).alias("unknown"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("o", q.alias("q"), "impact", F.col("n").alias("sites"), "k")))).alias("cells"))
     model = F.concat_ws("/", F.when(F.col("swaps"), "neutral set").otherwise("neutral component"), "pairs", "bulges")
     classes = F.transform("cells", lambda c: F.struct(c["impact"].alias("impact"), c["sites"].alias("sites"), c["k"].alias("k")))
-    return cells.where("unknown = 0").select(model.alias("model"), classes.alias("classes")).crossJoin(grid)
+    top, points = (F.when(F.col("bulges") > 0, GRIDS[True][k]).otherwise(GRIDS[False][k]) for k in range(2))
+    known = cells.where("unknown = 0").select(model.alias("model"), classes.alias("classes"), top.alias("top"), points.alias("points"))
+    dealt = known.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("points") - 1)))
+    return dealt.select("model", "classes", (F.col("k") * (F.col("top") / (F.col("points") - 1))).alias("dg"))

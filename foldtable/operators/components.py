@@ -6,26 +6,18 @@ Sequences of one structure that agree outside one site are all neighbours, so a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_path
 from .mutate import site_groups
 
 
 def _kept(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back: loops keep short plans and survive lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "kept")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def neutral_components(seqs: DataFrame, length: int) -> DataFrame:

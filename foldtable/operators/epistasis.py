@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import base_at, masked
+from .mutate import site_groups
+from .sampling import running_sum
 
 RESOLUTION = 0.1
 
@@ -14,26 +18,38 @@ def epistasis_present(both: Column, neither: Column, one: Column, other: Column,
     return F.abs(both + neither - one - other) > 0.99 * resolution
 
 
+def _groups(members: DataFrame, length: int) -> DataFrame:
+    """nc_id, pos1, pos2, m: sequences of a component that agree outside two sites, where they can hold a square.
+
+    m has a struct (cell, c, s) for each, cell being 4 times the base at pos1 plus that at pos2; a
+    group has sixteen members at most. A corner of a square has a neighbour in its component
+    at both sites, so only pairs of such sites of a sequence are dealt out.
+    """
+    alone = site_groups(members.select("nc_id", "code"), length).groupBy("nc_id", "pos", "masked").agg(F.collect_list("code").alias("m")).where(F.size("m") > 1)
+    sites = alone.select("nc_id", F.explode("m").alias("code"), "pos").groupBy("nc_id", "code").agg(F.array_sort(F.collect_list("pos")).alias("at")).where(F.size("at") > 1)
+    pair = F.flatten(F.transform("at", lambda i: F.transform(F.filter("at", lambda j: j > i), lambda j: F.struct(i.alias("pos1"), j.alias("pos2")))))
+    rows = members.join(sites, ["nc_id", "code"]).select("nc_id", "code", "energy", F.explode(pair).alias("p")).select("nc_id", "code", "energy", "p.*")
+    both = masked(masked(F.col("code"), F.col("pos1"), length), F.col("pos2"), length)
+    cell = base_at(F.col("code"), F.col("pos1"), length) * 4 + base_at(F.col("code"), F.col("pos2"), length)
+    one = F.struct(cell.alias("cell"), F.col("code").alias("c"), F.col("energy").alias("s"))
+    return rows.groupBy("nc_id", "pos1", "pos2", both.alias("rest")).agg(F.collect_list(one).alias("m")).where(F.size("m") >= 4)
+
+
 def squares(members: DataFrame, length: int) -> DataFrame:
     """nc_id, pos1, pos2, g1, g2, g3, g4 and their energies s1..s4, each square from all corners.
 
-    members: nc_id, code, energy. Sequences that agree outside two sites form a group of at most
-    sixteen, which holds all its squares. g2 and g3 are g1 changed at pos1 and at pos2, g4 at both.
+    members: nc_id, code, energy. g2 and g3 are g1 changed at pos1 and at pos2, g4 at both.
     """
-    sites = [F.struct(F.lit(i).alias("pos1"), F.lit(j).alias("pos2")) for i in range(length) for j in range(i + 1, length)]
-    rows = members.select("nc_id", "code", "energy", F.explode(F.array(*sites)).alias("s")).select("nc_id", "code", "energy", "s.*")
-    both = masked(masked(F.col("code"), F.col("pos1"), length), F.col("pos2"), length)
-    cell = F.struct(base_at(F.col("code"), F.col("pos1"), length).alias("x"), base_at(F.col("code"), F.col("pos2"), length).alias("y"), F.col("code").alias("c"), F.col("energy").alias("s"))
-    groups = rows.groupBy("nc_id", "pos1", "pos2", both.alias("rest")).agg(F.collect_list(cell).alias("m")).where(F.size("m") >= 4)
-    g1 = groups.select("*", F.explode("m").alias("g1"))
-    g2 = g1.select("*", F.explode(F.filter("m", lambda g: (g["y"] == F.col("g1.y")) & (g["x"] != F.col("g1.x")))).alias("g2"))
-    g3 = g2.select("*", F.explode(F.filter("m", lambda g: (g["x"] == F.col("g1.x")) & (g["y"] != F.col("g1.y")))).alias("g3"))
-    g4 = g3.select("*", F.explode(F.filter("m", lambda g: (g["x"] == F.col("g2.x")) & (g["y"] == F.col("g3.y")))).alias("g4"))
+    x, y = (lambda g: F.floor(g["cell"] / 4)), (lambda g: g["cell"] % 4)
+    g1 = _groups(members, length).select("*", F.explode("m").alias("g1"))
+    g2 = g1.select("*", F.explode(F.filter("m", lambda g: (y(g) == y(F.col("g1"))) & (x(g) != x(F.col("g1"))))).alias("g2"))
+    g3 = g2.select("*", F.explode(F.filter("m", lambda g: (x(g) == x(F.col("g1"))) & (y(g) != y(F.col("g1"))))).alias("g3"))
+    g4 = g3.select("*", F.explode(F.filter("m", lambda g: (x(g) == x(F.col("g2"))) & (y(g) == y(F.col("g3"))))).alias("g4"))
     return g4.select("nc_id", "pos1", "pos2", *[F.col(f"g{k}.c").alias(f"g{k}") for k in range(1, 5)], *[F.col(f"g{k}.s").alias(f"s{k}") for k in range(1, 5)])
 
 
 def epistasis_fraction(found: DataFrame, ignore_zero: bool, resolution: float = RESOLUTION) -> DataFrame:
-    """nc_id, fraction of squares with epistasis; null where none counts.
+    """nc_id, fraction of `squares` with epistasis; null where none counts.
 
     With ignore_zero only corners count at which both single mutations have an effect.
     """
@@ -43,12 +59,38 @@ def epistasis_fraction(found: DataFrame, ignore_zero: bool, resolution: float =
     return found.groupBy("nc_id").agg(F.try_divide(F.count_if(counts & present), F.count_if(counts)).alias("fraction"))
 
 
+#: The four cells of every square in a group: corner, changed at pos1, at pos2, at both.
+CELLS = [(4 * a + c, 4 * b + c, 4 * a + d, 4 * b + d) for a, b in combinations(range(4), 2) for c, d in combinations(range(4), 2)]
+
+
+def epistasis_fractions(members: DataFrame, length: int, resolution: float = RESOLUTION) -> DataFrame:
+    """nc_id, fraction of squares with epistasis, and fraction_nonzero, of the corners at which both single mutations have an effect.
+
+    A fraction is null where nothing counts; components without squares have no row. Each group
+    counts its own squares, so a row a group is what is added up by component.
+    """
+    energy = F.map_from_entries(F.transform("m", lambda g: F.struct(g["cell"], g["s"])))
+    known = _groups(members, length).select("nc_id", energy.alias("e"))
+    four = F.array(*[F.array(*map(F.lit, c)) for c in CELLS])
+    found = F.transform(four, lambda c: F.transform(c, lambda k: F.try_element_at(F.col("e"), k)))
+    whole = known.select("nc_id", F.filter(found, lambda s: F.forall(s, lambda v: v.isNotNull())).alias("squares")).where(F.size("squares") > 0)
+    least = 0.99 * resolution
+    apart = lambda s, i, j: F.abs(s[i] - s[j]) > least
+    # The neighbours of each corner are the two it differs from at one site.
+    corners = lambda s: sum((apart(s, k, i) & apart(s, k, j)).cast("int") for k, i, j in ((0, 1, 2), (1, 0, 3), (2, 3, 0), (3, 2, 1)))
+    present = lambda s: epistasis_present(s[0], s[3], s[1], s[2], resolution)
+    total = lambda f: F.aggregate("squares", F.lit(0), lambda n, s: n + f(s))
+    sums = whole.groupBy("nc_id").agg(
+        F.sum(F.size("squares")).alias("n"), F.sum(total(lambda s: present(s).cast("int"))).alias("k"),
+        F.sum(total(corners)).alias("c"), F.sum(total(lambda s: F.when(present(s), corners(s)).otherwise(0))).alias("ck"),
+    )
+    return sums.select("nc_id", F.try_divide("k", "n").alias("fraction"), F.try_divide("ck", "c").alias("fraction_nonzero"))
+
+
 def shuffle_within_group(members: DataFrame, order: Column) -> DataFrame:
     """members (nc_id, code, energy) with the energies of each component permuted by `order`, of code."""
-    to = Window.partitionBy("nc_id").orderBy("code")
-    by = Window.partitionBy("nc_id").orderBy(order, "code")
-    placed = members.select("nc_id", "code", F.row_number().over(to).alias("n"))
-    dealt = members.select("nc_id", "energy", F.row_number().over(by).alias("n"))
+    placed = running_sum(members.select("nc_id", "code"), ["nc_id"], ["code"], F.lit(1), "n")
+    dealt = running_sum(members.select("nc_id", "code", "energy", order.alias("o")), ["nc_id"], ["o", "code"], F.lit(1), "n").select("nc_id", "n", "energy")
     return placed.join(dealt, ["nc_id", "n"]).select("nc_id", "code", "energy")
 
 
@@ -56,8 +98,7 @@ def epistasis_table(landscapes: dict[str, DataFrame], length: int) -> DataFrame:
     """nc_id, landscape, ignore_zero, fraction over several landscapes (nc_id, code, energy)."""
     out = None
     for name, members in landscapes.items():
-        found = squares(members, length)
-        for ignore in (False, True):
-            part = epistasis_fraction(found, ignore).select("nc_id", F.lit(name).alias("landscape"), F.lit(ignore).alias("ignore_zero"), "fraction")
-            out = part if out is None else out.unionByName(part)
+        both = F.array(F.struct(F.lit(False).alias("ignore_zero"), F.col("fraction")), F.struct(F.lit(True).alias("ignore_zero"), F.col("fraction_nonzero").alias("fraction")))
+        part = epistasis_fractions(members, length).select("nc_id", F.lit(name).alias("landscape"), F.inline(both))
+        out = part if out is None else out.unionByName(part)
     return out

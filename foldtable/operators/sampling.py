@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import _kept
+
 PRIME = 2147483647
 
 
 def mix(key: Column, seed: int) -> Column:
-    """A pseudo-random integer below PRIME from an integer key; plain arithmetic, the same in any engine."""
+    """A pseudo-random integer below PRIME from an integer key, the same in any engine that has xor and shifts.
+
+    Congruential steps alone are one affine map of the key, whose values lie on a lattice; the
+    shifts between them break that.
+    """
     step = lambda k, s: F.pmod(F.pmod(k, F.lit(PRIME)) * 1103515245 + s, F.lit(PRIME))
-    return step(step(step(key.cast("long"), 12345 + seed), 67891), seed)
+    fold = lambda k, n: k.bitwiseXOR(F.shiftright(k, n))
+    first = fold(step(key.cast("long"), 12345 + seed), 15)
+    return step(fold(step(first, 67891), 13), seed)
 
 
 def random_sequences(ids: DataFrame, length: int, seed: int) -> DataFrame:
@@ -21,15 +29,33 @@ def random_sequences(ids: DataFrame, length: int, seed: int) -> DataFrame:
     return ids.select("id", F.aggregate(F.transform(sites, digit), F.lit(0).cast("long"), lambda a, d: a * 4 + d).alias("code"))
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: list, value: Column, out: str) -> DataFrame:
+    """rows with the sum of value over those of equal keys that come before in `order`, which must be unique within them.
+
+    Rows are dealt by ranges of (keys, order), so a key of any share of the rows spans many
+    tasks: each range sums its own rows, and what comes before it is a sum of the ranges' totals.
+    """
+    part, size, local, base = ("_part", "_size", "_local", "_base")
+    by = [*keys, *order] if keys else order
+    dealt = rows.withColumn(size, value).repartitionByRange(*by).withColumn(part, F.spark_partition_id())
+    held = _kept(dealt)
+    before = lambda w: F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = held.groupBy(*keys, part).agg(F.sum(size).alias(size))
+    # A row for each key and range that has it.
+    bases = totals.select(*keys, part, before(Window.partitionBy(*keys).orderBy(part)).alias(base)) if keys else totals.select(part, before(Window.partitionBy(F.lit(0)).orderBy(part)).alias(base))
+    placed = held.withColumn(local, before(Window.partitionBy(*keys, part).orderBy(*order)))
+    return placed.join(bases, [*keys, part]).withColumn(out, F.col(local) + F.col(base)).drop(part, size, local, base)
+
+
 def sample_per_group(rows: DataFrame, group: str, order: str, n: int, seed: int) -> DataFrame:
     """n draws with replacement from each group: group, draw, and the row drawn.
 
     A draw is a rank in its group, so groups are ranked once and draws joined by (group, rank).
     """
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
-    sizes = ranked.groupBy(group).agg(F.count("*").alias("_n"), F.min(order).alias("_key"))
+    ranked = running_sum(rows, [group], [order], F.lit(1), "_rank")
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"), F.min(order).alias("_key"))
     draws = sizes.select(group, "_n", "_key", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
-    picked = draws.select(group, "draw", F.pmod(mix(F.col("_key") * 1000 + F.col("draw"), seed), F.col("_n")).cast("int").alias("_rank"))
+    picked = draws.select(group, "draw", F.pmod(mix(F.col("_key") * 1000 + F.col("draw"), seed), F.col("_n")).alias("_rank"))
     return picked.join(ranked, [group, "_rank"]).drop("_rank")
 
 
@@ -43,7 +69,7 @@ def weighted_sample(rows: DataFrame, key: str, stratum: str, n: int, seed: int)
 
     The n smallest of -ln(u)/weight are a sample of successive weighted draws.
     """
-    weighted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(stratum)))
+    weighted = rows.join(rows.groupBy(stratum).agg(F.count("*").alias("_n")), stratum)
     u = (mix(F.col(key), seed) + 0.5) / PRIME
     return weighted.withColumn("_o", F.round(-F.log(u) * F.col("_n"), 6)).orderBy("_o", key).limit(n).drop("_o", "_n")
 

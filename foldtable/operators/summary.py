@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import running_sum
+
 INF = float("inf")
 BOX = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -95,10 +97,10 @@ def walk_summary(samples: DataFrame, effects: DataFrame, key: str, stable_only:
 
 
 def average_rank(rows: DataFrame, col: str, out: str) -> DataFrame:
-    """Ranks with ties averaged. Ranks are running counts over distinct values, which range partitions sum."""
-    counts = rows.groupBy(col).agg(F.count("*").alias("_n"))
-    running = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy(col)))
-    return rows.join(running, col).withColumn(out, F.col("_upto") - (F.col("_n") - 1) / 2).drop("_n", "_upto")
+    """Ranks with ties averaged; a null value has no rank. Ranks are running counts over distinct values, which ranges of them sum."""
+    counts = rows.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
+    running = running_sum(counts, [], [col], F.col("_n"), "_before")
+    return rows.join(running, col, "left").withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2).drop("_n", "_before")
 
 
 def histogram_2d(rows: DataFrame, x: str, y: str, bins: int) -> DataFrame:

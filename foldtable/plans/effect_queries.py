@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import additive, mutate, sampling, structure, summary
 from ..sources import tables
 from .define import Queries
-from .fixtures import MAP, SHAPES, UNFOLDED, L
-from .map_queries import DDG, MIX, effects, map_effects, rounded
+from .fixtures import MAP, SHAPES, UNFOLDED, L, mix_sql
+from .map_queries import DDG, effects, map_effects, rounded
 from .structure_queries import COARSE, LOOP, ROLE, SITES, STACK
 
 Q = Queries()
@@ -228,10 +228,6 @@ def _(t):
     return summary.average_rank(t.gpmap.select("code", "stability"), "stability", "ranked")
 
 
-def mix_sql(key: str, seed: int) -> str:
-    return MIX.replace("(code % 2147483647)", f"(({key}) % 2147483647)").replace("12348", str(12345 + seed)).replace("+ 3)", f"+ {seed})")
-
-
 @Q.add("sample_per_group", f"with {MAP}, r as (select *, row_number() over (partition by structure order by code) - 1 as rank from m), s as (select structure, count(*) as n, min(code) as k from m group by structure), d as (select structure, cast(x as bigint) as draw, {mix_sql('k * 1000 + x', 4)} % n as rank from s, range(1, 101) t(x)) select structure, draw, code from d join r using (structure, rank)")
 def _(t):
     out = sampling.sample_per_group(t.gpmap.select("structure", "code"), "structure", "code", 100, 4)
@@ -287,16 +283,12 @@ def _(t):
 @Q.add("additive_curves")
 def _(t):
     parameters = summary.model_parameters(sampled_effects(t))
-    grid = t.gpmap.select(F.col("stability").alias("dg")).distinct()
-    models = additive.curve_models(parameters, grid, L)
+    models = additive.curve_models(parameters, L)
     return rounded(additive.additive_set_size(models), "size")
 
 
 def _path(t, name: str) -> str:
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or "/tmp/spark-tables"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tables.new_path(t.spark, name)
 
 
 @Q.add("write_csv_table", f"with {MAP} select code, structure, stability, mfe from m")

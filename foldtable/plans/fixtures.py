@@ -35,6 +35,14 @@ SHAPES = "shapes as (" + _SHAPE.format(bad="", h=3) + ")"
 ROUGH = "rough as (" + _SHAPE.format(bad="|| case when k % 13 = 0 then ')' when k % 17 = 0 then '(.' else '' end", h=1) + ")"
 
 
+def mix_sql(key: str, seed: int) -> str:
+    """sampling.mix in SQL."""
+    step = lambda k, s: f"((({k}) % 2147483647) * 1103515245 + {s}) % 2147483647"
+    fold = lambda k, n: f"xor({k}, ({k}) >> {n})"
+    first = fold(step(f"cast({key} as bigint)", 12345 + seed), 15)
+    return step(fold(step(first, 67891), 13), seed)
+
+
 def for_spark(sql: str) -> str:
     """The fixtures' SQL in Spark's dialect."""
     import re

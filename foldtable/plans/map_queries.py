@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import components, ensemble, epistasis, folding, mutate, structure, summary
 from .define import Queries
-from .fixtures import CODES, ENSEMBLE, MAP, UNFOLDED, L
+from .fixtures import CODES, ENSEMBLE, MAP, UNFOLDED, L, mix_sql
+from .structure_queries import SITES, STACK
 
 Q = Queries()
 #: Walks for each structure, their steps, and how many steps there are for each that is kept: those of the survey.
@@ -113,9 +117,22 @@ def _(t):
     return out
 
 
+# Structures of `shapes` that have a pair, and none alone.
+PAIRED_RUNS = f"{SITES}, {STACK}, ok as (select structure from sl group by structure having min(stack_length) > 1)"
+VALID = f"shapes as (select structure from st where structure like '%(%'), {PAIRED_RUNS}"
+
+
+def grown_sql(lengths: str) -> str:
+    """`shapes`, all balanced strings of the lengths n of a table with three unpaired sites at least in a hairpin: prefixes grow by a symbol."""
+    return f"""px(n, s, open, since) as (select n, '', 0, 9 from ({lengths}) u union all
+  select n, s || c, open + o, case c when '(' then 0 when ')' then 9 else least(since + 1, 9) end from px, (values ('.', 0), ('(', 1), (')', -1)) t(c, o)
+  where length(s) < n and (c <> ')' or (open > 0 and since >= 3)) and open + o <= n - length(s) - 1),
+shapes as (select s as structure from px where length(s) = n and s like '%(%')"""
+
+
 EDGES = """ed as materialized (select a.structure, a.code as code_a, b.code as code_b from mu a join m b on b.code = a.mutant and b.structure = a.structure)"""
 NC = MAP + f""", {EDGES}, cc(code, label) using key (code) as (select code, code from m union (select e.code_b, min(c.label) from cc c join ed e on e.code_a = c.code join recurring.cc r on r.code = e.code_b where c.label < r.label group by e.code_b)),
-nc as (select m.code, m.structure, cc.label as nc_id, m.stability, m.mfe from m join cc using (code))"""
+nc as materialized (select m.code, m.structure, cc.label as nc_id, m.stability, m.mfe from m join cc using (code))"""
 NC = "recursive " + NC
 
 
@@ -148,7 +165,7 @@ def _(t):
     return summary.sequence_summary(t.gpmap, labelled(t)).drop("nc_size")
 
 
-@Q.add("sequence_summary", f"with {NC} select code, structure, nc_id, count(*) over (partition by nc_id) as nc_size, stability, count(*) over (partition by structure) as neutral_set_size, mfe from nc where structure not in ('((......))...')")
+@Q.add("sequence_summary", f"with {NC}, {VALID} select code, structure, nc_id, count(*) over (partition by nc_id) as nc_size, stability, count(*) over (partition by structure) as neutral_set_size, mfe from nc join ok using (structure)")
 def _(t):
     folded = structure.keep_valid(t.gpmap, t.structures)
     return summary.sequence_summary(folded, components.neutral_components(folded, L))
@@ -219,14 +236,16 @@ def _(t):
     return best.select("pairs", "b.nc_id", "b.size")
 
 
-SQUARES = NC + """, pp as (select i, j from range(5, 13) r(i), range(5, 13) q(j) where i < j),
-sq as (select a.nc_id, pp.i as pos1, pp.j as pos2, a.code as g1, b.code as g2, c.code as g3, d.code as g4, a.stability as s1, b.stability as s2, c.stability as s3, d.stability as s4
-  from nc a, pp, range(1, 4) x(x), range(1, 4) y(y), nc b, nc c, nc d
-  where b.code = xor(a.code, x << cast(2*(12-i) as int)) and c.code = xor(a.code, y << cast(2*(12-j) as int)) and d.code = xor(b.code, y << cast(2*(12-j) as int)) and b.nc_id = a.nc_id and c.nc_id = a.nc_id and d.nc_id = a.nc_id)"""
+# Neutral mutants first, then pairs of them at two sites, then the double mutant: each step a join on equal keys.
+SQUARES = NC + """, nm as materialized (select a.nc_id, a.code, cast(i as int) as pos, b.code as mutant from nc a cross join range(5, 13) r(i) cross join range(1, 4) x(x) join nc b on b.code = xor(a.code, cast(x as bigint) << cast(2*(12-i) as int)) and b.nc_id = a.nc_id),
+tw as materialized (select a.nc_id, a.pos as pos1, b.pos as pos2, a.code as g1, a.mutant as g2, b.mutant as g3, xor(xor(a.mutant, b.mutant), a.code) as g4 from nm a join nm b on b.code = a.code and b.pos > a.pos),
+cs as materialized (select tw.* from tw join nc d on d.code = tw.g4 and d.nc_id = tw.nc_id),
+sq as (select cs.*, a.stability as s1, b.stability as s2, c.stability as s3, d.stability as s4 from cs join nc a on a.code = g1 join nc b on b.code = g2 join nc c on c.code = g3 join nc d on d.code = g4)"""
 
 
 def members(t):
-    return labelled(t).select("nc_id", "code").join(t.gpmap.select("code", F.col("stability").alias("energy")), "code")
+    """nc_id, code and both stored energies; computed once and kept."""
+    return components._kept(labelled(t).select("nc_id", "code").join(t.gpmap.select("code", F.col("stability").alias("energy"), "mfe"), "code"))
 
 
 @Q.add("epistasis_squares", f"with {SQUARES} select nc_id, cast(pos1 as bigint) as pos1, cast(pos2 as bigint) as pos2, g1, g2, g3, g4 from sq")
@@ -246,50 +265,53 @@ BIG = "(abs(s2 - s1) > 0.099 and abs(s3 - s1) > 0.099)"
 
 @Q.add("epistasis_fraction", f"with {SQUARES} select nc_id, round(avg(cast(abs(s1 + s4 - s2 - s3) > 0.099 as int)), 6) as fraction, round(count_if({BIG} and abs(s1 + s4 - s2 - s3) > 0.099) / nullif(count_if({BIG}), 0), 6) as fraction_nonzero from sq group by nc_id")
 def _(t):
-    found = epistasis.squares(members(t), L)
-    both = epistasis.epistasis_fraction(found, False).join(epistasis.epistasis_fraction(found, True).withColumnRenamed("fraction", "fraction_nonzero"), "nc_id")
-    return rounded(both, "fraction", "fraction_nonzero")
+    return rounded(epistasis.epistasis_fractions(members(t), L), "fraction", "fraction_nonzero")
 
 
-MIX = "((((code % 2147483647) * 1103515245 + 12348) % 2147483647 * 1103515245 + 67891) % 2147483647 * 1103515245 + 3) % 2147483647"
-SHUFFLED = f"""sh as (select a.nc_id, a.code, b.stability from (select nc_id, code, row_number() over (partition by nc_id order by code) as n from nc) a
-  join (select nc_id, stability, row_number() over (partition by nc_id order by {MIX}, code) as n from nc) b using (nc_id, n))"""
+SHUFFLED = f"""sh as materialized (select a.nc_id, a.code, b.stability from (select nc_id, code, row_number() over (partition by nc_id order by code) as n from nc) a
+  join (select nc_id, stability, row_number() over (partition by nc_id order by {mix_sql('code', 3)}, code) as n from nc) b using (nc_id, n))"""
 
 
-def shuffled(t):
+def shuffled(rows):
     from ..operators.sampling import mix
 
-    return epistasis.shuffle_within_group(members(t), mix(F.col("code"), 3))
+    return epistasis.shuffle_within_group(rows, mix(F.col("code"), 3))
 
 
 @Q.add("shuffle_within_group", f"with {NC}, {SHUFFLED} select nc_id, code, stability as energy from sh")
 def _(t):
-    return shuffled(t)
+    return shuffled(members(t))
 
 
 def square_share(table: str, value: str, name: str) -> str:
-    return f"""select a.nc_id, '{name}' as landscape, round(avg(cast(abs(a.{value} + d.{value} - b.{value} - c.{value}) > 0.099 as int)), 6) as fraction,
-  round(count_if(abs(b.{value} - a.{value}) > 0.099 and abs(c.{value} - a.{value}) > 0.099 and abs(a.{value} + d.{value} - b.{value} - c.{value}) > 0.099) / nullif(count_if(abs(b.{value} - a.{value}) > 0.099 and abs(c.{value} - a.{value}) > 0.099), 0), 6) as nonzero
-  from {table} a, pp, range(1, 4) x(x), range(1, 4) y(y), {table} b, {table} c, {table} d
-  where b.code = xor(a.code, x << cast(2*(12-i) as int)) and c.code = xor(a.code, y << cast(2*(12-j) as int)) and d.code = xor(b.code, y << cast(2*(12-j) as int)) and b.nc_id = a.nc_id and c.nc_id = a.nc_id and d.nc_id = a.nc_id group by a.nc_id"""
+    one, other, both = (f"abs({x})" for x in (f"b.{value} - a.{value}", f"c.{value} - a.{value}", f"a.{value} + d.{value} - b.{value} - c.{value}"))
+    return f"""select cs.nc_id, '{name}' as landscape, round(avg(cast({both} > 0.099 as int)), 6) as fraction,
+  round(count_if({one} > 0.099 and {other} > 0.099 and {both} > 0.099) / nullif(count_if({one} > 0.099 and {other} > 0.099), 0), 6) as nonzero
+  from cs join {table} a on a.code = g1 join {table} b on b.code = g2 join {table} c on c.code = g3 join {table} d on d.code = g4 group by cs.nc_id"""
 
 
 _ALL = " union all ".join(square_share(*x) for x in (("nc", "stability", "stability"), ("nc", "mfe", "mfe"), ("sh", "stability", "shuffled")))
 
 
-@Q.add("epistasis_table", f"with {NC}, pp as (select i, j from range(5, 13) r(i), range(5, 13) q(j) where i < j), {SHUFFLED}, al as ({_ALL}) select nc_id, landscape, false as ignore_zero, fraction from al union all select nc_id, landscape, true, nonzero from al")
+@Q.add("epistasis_table", f"with {SQUARES}, {SHUFFLED}, al as materialized ({_ALL}) select nc_id, landscape, false as ignore_zero, fraction from al union all select nc_id, landscape, true, nonzero from al")
 def _(t):
-    nc = labelled(t).select("nc_id", "code")
-    other = nc.join(t.gpmap.select("code", F.col("mfe").alias("energy")), "code")
-    return rounded(epistasis.epistasis_table({"stability": members(t), "mfe": other, "shuffled": shuffled(t)}, L), "fraction")
+    rows = members(t)
+    stored, other = rows.select("nc_id", "code", "energy"), rows.select("nc_id", "code", F.col("mfe").alias("energy"))
+    return rounded(epistasis.epistasis_table({"stability": stored, "mfe": other, "shuffled": shuffled(stored)}, L), "fraction")
 
 
-@Q.add("coverage_check", f"with {MAP} select distinct structure from m where structure = '((......))...'")
+@Q.add("coverage_check", f"with recursive {MAP}, {grown_sql('select 13 as n')}, {PAIRED_RUNS} select distinct structure from m where structure not in (select structure from ok)")
 def _(t):
-    # What the map has that the enumeration lacks: no row is expected.
+    # What the map has that the enumeration lacks: the unfolded structure alone is expected.
     return folding.not_enumerated(t.gpmap, L)
 
 
+@Q.add("enumerate_structures", f"with recursive {grown_sql('select distinct 10 + p_size % 6 as n from part')}, {PAIRED_RUNS} select structure from ok")
+def _(t):
+    lengths = sorted(r.n for r in t.raw("part").select((10 + F.col("p_size") % 6).alias("n")).distinct().collect())  # six at most
+    return reduce(DataFrame.unionByName, [folding.enumerate_structures(t.spark, n) for n in lengths])
+
+
 def small(t):
     """The sequences of the map that order keys name: whole map, whole fold."""
     return t.g.select("code"), folding.structure_list(folding.enumerate_structures(t.spark, L), L)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..operators import mutate, structure
 from .define import Queries
-from .fixtures import CODES, MAP, ROUGH, SHAPES, L
+from .fixtures import CODES, MAP, ROUGH, SHAPES, L, mix_sql
 
 Q = Queries()
 QUERIES, ORACLE_SQL = Q.queries, Q.sql
@@ -104,7 +104,7 @@ def _(t):
     return g4.select("code", "g4", codec.hamming(F.col("code"), F.col("g4")).cast("long").alias("distance"))
 
 
-@Q.add("random_sequences", "with a as (select distinct l_orderkey * 8 + l_linenumber as id from lineitem), s as (select id, k, ((id * 13 + k) % 2147483647 * 1103515245 + 12345 + 7) % 2147483647 as m from a, range(0, 13) r(k)), u as (select id, k, (m * 1103515245 + 67891) % 2147483647 as m from s), v as (select id, k, (m * 1103515245 + 7) % 2147483647 as m from u) select id, cast(sum((m // 64 % 4) * (1::bigint << cast(2*(12-k) as int))) as bigint) as code from v group by id")
+@Q.add("random_sequences", f"with a as (select distinct l_orderkey * 8 + l_linenumber as id from lineitem), v as (select id, k, {mix_sql('id * 13 + k', 7)} as m from a, range(0, 13) r(k)) select id, cast(sum((m // 64 % 4) * (1::bigint << cast(2*(12-k) as int))) as bigint) as code from v group by id")
 def _(t):
     from ..operators.sampling import random_sequences
 

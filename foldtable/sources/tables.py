@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.structure import validity
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir.
+
+    Where the session names none, a folder is made and set if all runs in one process; on a
+    cluster that is an error, as every executor would write to its own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header and an unnamed index column in front, which is dropped."""
     return spark.read.csv(path, header=True, schema=f"_c0 string, {schema}").drop("_c0")

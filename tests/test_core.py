@@ -103,6 +103,8 @@ def test_epistasis(spark, energies, plain, nonzero):
     assert found.count() == 8
     for ignore, want in ((False, plain), (True, nonzero)):
         got = epistasis.epistasis_fraction(found, ignore).first().fraction
+        whole = epistasis.epistasis_fractions(rows, 3).first()
+        assert (whole.fraction_nonzero if ignore else whole.fraction) == got
         assert got is None if want is None else math.isclose(got, want)
 
 
