@@ -75,7 +75,12 @@ def ddg_table(stable: DataFrame, ensemble: DataFrame, length: int, unfolded: str
     join brings the mutant's stored values, one the energy of the old structure in the mutant.
     """
     wild = stable.where(F.col("structure") != unfolded)
-    rows = point_neighbours(wild, length)
+    rows = with_effects(point_neighbours(wild, length), stable, ensemble)
+    return rows.select("code", "structure", "pos", "new_base", "mutant", "ddg_gap", "ddg_boltz", "d_mfe")
+
+
+def with_effects(rows: DataFrame, stable: DataFrame, ensemble: DataFrame) -> DataFrame:
+    """rows (columns of stable, mutant, ...) with the three effects of the change from code to mutant, the structure held fixed."""
     mutant = stable.select(F.col("code").alias("mutant"), *[F.col(c).alias(f"m_{c}") for c in ("structure", "mfe", "energy_gap", "dg_boltz")])
     held = probabilities(ensemble).select(F.col("code").alias("mutant"), "structure", F.col("energy").alias("held"), F.col("p").alias("held_p"))
     rows = rows.join(mutant, "mutant").join(held, ["mutant", "structure"], "left")
@@ -83,4 +88,5 @@ def ddg_table(stable: DataFrame, ensemble: DataFrame, length: int, unfolded: str
     gap = F.when(same, F.col("m_energy_gap") - F.col("energy_gap")).when(fits, F.col("m_mfe") - F.col("held") - F.col("energy_gap")).otherwise(F.lit(-INF))
     boltz = F.when(same, F.col("m_dg_boltz") - F.col("dg_boltz")).when(fits, _dg(F.col("held_p")) - F.col("dg_boltz")).otherwise(F.lit(-INF))
     mfe = F.when(same, F.col("m_mfe") - F.col("mfe")).when(fits, F.col("held") - F.col("mfe")).otherwise(F.lit(INF))
-    return rows.select("code", "structure", "pos", "new_base", "mutant", gap.alias("ddg_gap"), boltz.alias("ddg_boltz"), mfe.alias("d_mfe"))
+    found = rows.withColumns({"ddg_gap": gap, "ddg_boltz": boltz, "d_mfe": mfe})
+    return found.drop("held", "held_p", *[f"m_{c}" for c in ("structure", "mfe", "energy_gap", "dg_boltz")])

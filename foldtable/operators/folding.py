@@ -143,56 +143,138 @@ class Lowest:
             which[[at[tuple(p)] for p in part.tolist()], k] = 1
         return np.array(known, "int64").reshape(-1, 2).T, which
 
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        """Energies in hundredths, a column for each structure; infinite where a sequence can't form it."""
         b, (i, j), (k, m) = self.bases(codes), self.pairs, self.stacks
         broken = self.apart[b[:, i], b[:, j]].astype("float32") @ self.with_pair
         energy = self.stack[b[:, k], b[:, m], b[:, k + 1], b[:, m - 1]] @ self.with_stack + self.loops
-        return np.where(broken > 0, np.inf, energy).argmin(axis=1)
+        return np.where(broken > 0, np.float32(np.inf), energy)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        return self.scores(codes).argmin(axis=1)
+
+
+def _two_lowest(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The structure of least energy (first of equals), that energy, and the gap to the next one."""
+    rows = np.arange(len(scores))
+    best = scores.argmin(axis=1)
+    low = scores[rows, best].copy()
+    rest = scores.copy()
+    rest[rows, best] = np.inf
+    return best, low, rest.min(axis=1) - low
+
+
+EFFECTS = "code long, structure string, mfe double, energy_gap double, pos int, new_base int, ddg_gap double, d_mfe double"
 
 
-def neutral_walks(starts: DataFrame, structures: list[str], steps: int, every: int, seed: int) -> DataFrame:
+def sequence_effects(seqs: DataFrame, structures: list[str], least_gap: float = -1.0, piece: int = 1 << 22) -> DataFrame:
+    """EFFECTS of every point mutation of the folded sequences among seqs (code) whose energy gap is over least_gap.
+
+    A sequence is folded where it lies, and so are its mutants, so nothing is shuffled. Effects are
+    those of `ensemble.ddg_table`, infinite where a mutant can't form the structure; a sequence
+    with one structure alone has no gap and is left out.
+    """
+    energies = Energies(structures)
+    lowest, length = Lowest(energies), len(structures[0])
+    rows = max(1, piece // len(structures))
+
+    def effects(codes: np.ndarray) -> pd.DataFrame:
+        best, low, gap = _two_lowest(lowest.scores(codes))
+        kept = (best < len(structures) - 1) & np.isfinite(gap) & (np.abs(gap) > least_gap * 100)
+        codes, best, low, gap = codes[kept], best[kept], low[kept], gap[kept]
+        pos, turn = (x.ravel() for x in np.meshgrid(np.arange(length), np.arange(1, 4), indexing="ij"))
+        shift = 2 * (length - 1 - pos)
+        mutants = (codes[:, None] ^ (turn << shift)[None, :]).ravel()
+        of = np.repeat(np.arange(len(codes)), len(pos))
+        found = [np.zeros((3, 0))]
+        for at in range(0, len(mutants), rows):
+            some, own = slice(at, at + rows), of[at : at + rows]
+            scores = lowest.scores(mutants[some])
+            new, new_low, new_gap = _two_lowest(scores)
+            held, same = scores[np.arange(len(own)), best[own]], new == best[own]
+            ddg = np.where(same, new_gap - gap[own], np.where(np.isfinite(held), new_low - held - gap[own], -np.inf))
+            found.append(np.stack([ddg, np.where(same, new_low, held) - low[own], new_gap]))
+        ddg, d_mfe, _ = np.concatenate(found, axis=1) / 100
+        base = (codes[:, None] >> shift[None, :] & 3 ^ turn[None, :]).ravel()
+        names = np.array(structures, object)[best[of]]
+        return pd.DataFrame({"code": codes[of], "structure": names, "mfe": low[of] / 100, "energy_gap": gap[of] / 100, "pos": np.tile(pos, len(codes)), "new_base": base, "ddg_gap": np.round(ddg, 2), "d_mfe": np.round(d_mfe, 2)})
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), rows):
+                yield effects(pdf["code"].to_numpy()[at : at + rows])
+
+    return seqs.select("code").mapInPandas(run, EFFECTS)
+
+
+def _dice(*parts) -> np.ndarray:
+    """Repeatable 64-bit numbers from integers or arrays of them."""
+    x = np.zeros(1, "uint64")
+    for p in parts:
+        x = (x ^ np.asarray(p).astype("uint64")) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = x ^ (x >> np.uint64(32))
+    return x
+
+
+def _walk(codes: np.ndarray, draws: np.ndarray, lowest: Lowest, pairs: list, length: int, steps: int, seed: int):
+    """Structure, path and number of steps of all walks, which visit site after site together."""
+    mine, n = lowest(codes), len(codes)
+    partner = np.full((n, length), -1)
+    for k, m in enumerate(mine.tolist()):
+        for a, b in pairs[m].tolist():
+            partner[k, a], partner[k, b] = b, a
+    put = lambda c, pos, b: c & ~(np.int64(3) << 2 * (length - 1 - pos)) | np.int64(b) << 2 * (length - 1 - pos)
+    path, taken, idle = np.zeros((n, steps), "int64"), np.ones(n, "int64"), np.zeros(n, "int64")
+    path[:, 0], most, turn = codes, np.iinfo("uint64").max, 0
+    live = np.arange(n) if steps > 1 else np.zeros(0, "int64")
+    while len(live):
+        pos, now = turn % length, path[live, taken[live] - 1]
+        other = partner[live, pos]
+        single = np.stack([put(now, pos, min(b, 3)) for b in range(6)], axis=1)
+        double = np.stack([put(put(now, pos, a), np.maximum(other, 0), b) for a, b in sorted(PAIRED)], axis=1)
+        options = np.where(other[:, None] >= 0, double, single)
+        fits = (options != now[:, None]) & ((other[:, None] >= 0) | (np.arange(6) < 4))
+        row, col = np.nonzero(fits)
+        fits[row, col] = lowest(options[row, col]) == mine[live[row]]
+        order = np.where(fits, _dice(seed, codes[live, None], draws[live, None], turn, np.arange(6)), most)
+        moved = fits.any(axis=1)
+        at = live[moved]
+        path[at, taken[at]] = options[moved, order[moved].argmin(axis=1)]
+        taken[at] += 1
+        idle[live] += 1
+        idle[at] = 0
+        live = live[(taken[live] < steps) & (idle[live] < length)]
+        turn += 1
+    return mine, path, taken
+
+
+def neutral_walks(starts: DataFrame, structures: list[str], steps: int, every: int, seed: int, together: int = 500) -> DataFrame:
     """code, draw, structure, step, walked, complete of site-scanning walks, every `every`-th of `steps` neutral steps.
 
     starts: code and, where several walks start at a code, draw. Sites are visited in turn; at an
     unpaired site the three substitutions, at a paired one the other pairs, are tried in random
     order, and the first that keeps the structure is taken. A walk goes its full length unless a
     scan of all sites finds no neutral move. Moves can be undone, so then the start itself has
-    none: it is the one row, and not complete.
+    none: it is the one row, and not complete. `together` walks of a task advance at once; a
+    walk is decided by its start, its draw and the seed alone.
     """
     energies = Energies(structures)
     lowest = Lowest(energies)
-    numbers = sorted(PAIRED)
-
-    def walk(code: int, rng) -> tuple[int, list[int]]:
-        mine = lowest(np.array([code]))[0]
-        partner = {a: b for p in energies.pairs[mine].tolist() for a, b in (p, p[::-1])}
-        path, length, site, idle = [code], energies.length, 0, 0
-        put = lambda c, pos, b: c & ~(3 << 2 * (length - 1 - pos)) | b << 2 * (length - 1 - pos)
-        while len(path) < steps and idle < length:
-            pos, now = site % length, path[-1]
-            if pos in partner:
-                options = [put(put(now, pos, a), partner[pos], b) for a, b in numbers]
-            else:
-                options = [put(now, pos, b) for b in range(4)]
-            options = np.array([c for c in options if c != now])
-            options = options[rng.permutation(len(options))]
-            idle += 1
-            if len(kept := options[lowest(options) == mine]):
-                path.append(int(kept[0]))
-                idle = 0
-            site += 1
-        return mine, path
-
-    def sample(code: int, draw: int):
-        rng = np.random.default_rng([seed, code, draw])
-        mine, path = walk(code, rng)
-        chosen = rng.permutation(len(path))[: len(path) // every] if len(path) >= every else np.array([0])
-        return [(code, draw, structures[mine], int(k), path[k], len(path) == steps) for k in sorted(chosen)]
+
+    def walks(codes: np.ndarray, draws: np.ndarray) -> pd.DataFrame:
+        mine, path, taken = _walk(codes, draws, lowest, energies.pairs, energies.length, steps, seed)
+        rows = []
+        for k, n in enumerate(taken.tolist()):
+            order = np.argsort(_dice(seed + 1, codes[k], draws[k], np.arange(n)), kind="stable")
+            chosen = np.sort(order[: n // every]) if n >= every else [0]
+            rows += [(codes[k], draws[k], structures[mine[k]], int(s), path[k, s], n == steps) for s in chosen]
+        return pd.DataFrame(rows, columns=["code", "draw", "structure", "step", "walked", "complete"])
 
     def run(batches):
         for pdf in batches:
-            for code, draw in zip(pdf["code"].tolist(), pdf["draw"].tolist(), strict=True):
-                yield pd.DataFrame(sample(code, draw), columns=["code", "draw", "structure", "step", "walked", "complete"])
+            for at in range(0, len(pdf), together):
+                yield walks(pdf["code"].to_numpy()[at : at + together], pdf["draw"].to_numpy()[at : at + together])
 
     draw = F.col("draw").cast("long") if "draw" in starts.columns else F.lit(1).cast("long")
     return starts.select("code", draw.alias("draw")).mapInPandas(run, "code long, draw long, structure string, step long, walked long, complete boolean")

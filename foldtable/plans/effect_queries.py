@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import additive, mutate, sampling, structure, summary
+from ..operators import additive, components, ensemble, mutate, sampling, structure, summary
 from ..sources import tables
 from .define import Queries
 from .fixtures import MAP, SHAPES, UNFOLDED, L, mix_sql
@@ -131,31 +131,51 @@ def _(t):
     return with_role(t).select("code", "structure", "pos", summary.model_category(F.col("role"), F.col("element_length")).alias("category"), "ddg")
 
 
-# Effects of point mutations and of pair swaps by category; a swap takes the category of its first site.
-SAMPLED = f"""{MD}, al(a, b) as (values (0, 2), (2, 0), (3, 1), (1, 3), (3, 2), (2, 3)),
-w as (select m.code, m.structure, m.stability, i, j, a, b, cast((code >> cast(2*(12-i) as int)) & 3 as int) as x, cast((code >> cast(2*(12-j) as int)) & 3 as int) as y from m join bp using (structure), al),
+# Effects of point mutations and of pair swaps of 100 draws from each structure, by category; a swap takes the category of its first site.
+DRAWS = 100
+SAMPLED = f"""{DDG}, shapes as (select structure from st where sid < 6), {SITES}, {STACK}, {LOOP}, {ROLE},
+el as materialized (select structure, i as pos, stack_length as element_length from sl union all select structure, j, stack_length from sl union all select * from lp),
+rr as materialized (select code, structure, row_number() over (partition by structure order by code) - 1 as rank from stab where structure <> '{UNFOLDED}'),
+rs as (select structure, count(*) as n, min(code) as k from rr group by structure),
+dr as materialized (select rr.structure, d.draw, rr.code from (select structure, cast(x as bigint) as draw, {mix_sql('k * 1000 + x', 9)} % n as rank from rs, range(1, {DRAWS + 1}) t(x)) d join rr using (structure, rank)),
+al(a, b) as (values (0, 2), (2, 0), (3, 1), (1, 3), (3, 2), (2, 3)),
+w as (select dr.structure, dr.draw, dr.code, i, j, a, b, cast((code >> cast(2*(12-i) as int)) & 3 as int) as x, cast((code >> cast(2*(12-j) as int)) & 3 as int) as y from dr join bp using (structure), al),
 sw as (select w.*, w.code + cast(a - x as bigint) * (1::bigint << cast(2*(12-i) as int)) + cast(b - y as bigint) * (1::bigint << cast(2*(12-j) as int)) as mutant from w where a <> x and b <> y),
-ef as (select {CATEGORY} as category, 'point' as kind, ddg from er union all
-  select 'S' || el.element_length, 'bp', round(o.stability - sw.stability, 6) + 0.0 from sw join m o on o.code = sw.mutant join el on el.structure = sw.structure and el.pos = sw.i)"""
+ef as materialized (select dr.structure, dr.draw, dr.code, dd.mutant, {CATEGORY} as category, 'point' as kind, round(dd.ddg_gap, 6) + 0.0 as ddg from dr join dd using (code, structure) join ro using (structure, pos) join el using (structure, pos) where not isinf(dd.ddg_gap) union all
+  select sw.structure, sw.draw, sw.code, sw.mutant, 'S' || el.element_length, 'bp', round(case when m.structure = sw.structure then m.energy_gap - n.energy_gap when h.energy is not null then m.mfe - h.energy - n.energy_gap else '-infinity'::double end, 6) + 0.0
+  from sw join stab n on n.code = sw.code join stab m on m.code = sw.mutant left join pr h on h.code = sw.mutant and h.structure = sw.structure join el on el.structure = sw.structure and el.pos = sw.i)"""
 
 
 def sampled_effects(t):
-    point = with_role(t).select(summary.model_category(F.col("role"), F.col("element_length")).alias("category"), F.lit("point").alias("kind"), "ddg")
+    """structure, draw, code, mutant, category, kind, ddg: infinite effects of point mutations are left out, those of pair swaps stay."""
+    stab = components._kept(ensemble.stability(t.ensemble))
     folded = t.structures.where(F.col("structure") != UNFOLDED)
-    stacks = structure.site_stacks(folded)
-    swaps = mutate.bp_double_mutants(t.gpmap.select("code", "structure", "stability"), structure.base_pairs(folded), L)
-    other = t.gpmap.select(F.col("code").alias("mutant"), F.col("stability").alias("m_stability"))
-    swaps = swaps.join(other, "mutant").join(F.broadcast(stacks.select("structure", F.col("pos").alias("i"), "stack_length")), ["structure", "i"])  # pairs of six structures
-    pairs = swaps.select(F.concat(F.lit("S"), F.col("stack_length").cast("string")).alias("category"), F.lit("bp").alias("kind"), F.expr("round(m_stability - stability, 6) + 0D").alias("ddg"))
-    return point.unionByName(pairs)
+    drawn = sampling.sample_per_group(stab.where(F.col("structure") != UNFOLDED).select("structure", "code"), "structure", "code", DRAWS, 9)
+    drawn = components._kept(drawn.select("structure", "code", F.col("draw").cast("long").alias("draw")).join(stab.drop("structure"), "code"))
+    features = structure.site_features(folded).select("structure", "pos", "role", "element_length")
+    point = ensemble.with_effects(mutate.point_neighbours(drawn, L), stab, t.ensemble).where(summary.finite(F.col("ddg_gap")))
+    point = point.join(F.broadcast(features), ["structure", "pos"])  # a row for each site of six structures
+    swaps = ensemble.with_effects(mutate.bp_double_mutants(drawn, structure.base_pairs(folded), L), stab, t.ensemble)
+    stacks = structure.site_stacks(folded).select("structure", F.col("pos").alias("i"), "stack_length")
+    swaps = swaps.join(F.broadcast(stacks), ["structure", "i"])  # pairs of six structures
+    row = lambda category, kind: ["structure", "draw", "code", "mutant", category.alias("category"), F.lit(kind).alias("kind"), F.expr("round(ddg_gap, 6) + 0D").alias("ddg")]
+    one = point.select(*row(summary.model_category(F.col("role"), F.col("element_length")), "point"))
+    return one.unionByName(swaps.select(*row(F.concat(F.lit("S"), F.col("stack_length").cast("string")), "bp")))
 
 
-@Q.add("p_sampled_effects", f"with {SAMPLED} select category, kind, count(*) as n, round(sum(ddg), 4) + 0.0 as total from ef group by all")
+@Q.add("p_sampled_effects", f"with {SAMPLED} select * from ef")
 def _(t):
-    return sampled_effects(t).groupBy("category", "kind").agg(F.count("*").alias("n"), (F.round(F.sum("ddg"), 4) + 0.0).alias("total"))
+    return sampled_effects(t)
+
+
+# Infinite effects take part as the largest: between two values of which one is infinite lies infinity.
+def _quantile_sql(x: str, q: float) -> str:
+    cut = f"quantile_cont({x}, {q})"
+    return f"case when {cut} > 1e200 then 'infinity'::double else round({cut}, 6) end"
 
 
-PARAMETERS = ", ".join(f"round(quantile_cont(case when kind = 'point' then abs(ddg) end, {q}), 6) as point_{n}, round(quantile_cont(abs(ddg), {q}), 6) as swaps_{n}" for n, q in (("lower", 0.25), ("median", 0.5), ("upper", 0.75)))
+_SIZE = "least(abs(ddg), 1e300)"
+PARAMETERS = ", ".join(f"{_quantile_sql(f'case when kind = {chr(39)}point{chr(39)} then {_SIZE} end', q)} as point_{n}, {_quantile_sql(_SIZE, q)} as swaps_{n}" for n, q in (("lower", 0.25), ("median", 0.5), ("upper", 0.75)))
 NAMES = [f"{k}_{n}" for k in ("point", "swaps") for n in ("lower", "median", "upper")]
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codec import BASES
 from ..operators import components, ensemble, epistasis, folding, mutate, structure, summary
 from .define import Queries
 from .fixtures import CODES, ENSEMBLE, MAP, UNFOLDED, L, mix_sql
@@ -21,14 +22,14 @@ KT = repr(ensemble.KT)
 STABLE = f"""{ENSEMBLE}, rk as (select *, row_number() over (partition by code order by energy, structure) as n, min(energy) over (partition by code) as low from e),
 sb as (select code, max(case when n = 1 then structure end) as structure, min(energy) as mfe, max(case when n = 2 then energy end) - min(energy) as energy_gap, 1 / sum(exp((low - energy) / {KT})) as p from rk group by code),
 stab as (select code, structure, mfe, energy_gap, case when abs(1 - p) < 1e-8 then 'infinity'::double else {KT} * ln(p / (1 - p)) end as dg_boltz from sb)"""
-DDG = f"""{STABLE}, nb as (select s.*, cast(p as int) as pos, cast(b as int) as new_base, code + cast(b - ((code >> cast(2*(12-p) as int)) & 3) as bigint) * (1::bigint << cast(2*(12-p) as int)) as mutant
+DDG = f"""{STABLE}, mn as (select s.*, cast(p as int) as pos, cast(b as int) as new_base, code + cast(b - ((code >> cast(2*(12-p) as int)) & 3) as bigint) * (1::bigint << cast(2*(12-p) as int)) as mutant
   from stab s, range(5, 13) r(p), range(0, 4) q(b) where b <> ((code >> cast(2*(12-p) as int)) & 3) and structure <> '{UNFOLDED}'),
 pr as (select code, structure, energy, exp((low - energy) / {KT}) / sum(exp((low - energy) / {KT})) over (partition by code) as p from rk),
 dd as (select n.code, n.structure, n.pos, n.new_base, n.mutant,
   case when m.structure = n.structure then m.energy_gap - n.energy_gap when h.energy is not null then m.mfe - h.energy - n.energy_gap else '-infinity'::double end + 0.0 as ddg_gap,
   case when m.structure = n.structure then m.dg_boltz - n.dg_boltz when h.energy is not null then (case when abs(1 - h.p) < 1e-8 then 'infinity'::double else {KT} * ln(h.p / (1 - h.p)) end) - n.dg_boltz else '-infinity'::double end + 0.0 as ddg_boltz,
   case when m.structure = n.structure then m.mfe - n.mfe when h.energy is not null then h.energy - n.mfe else 'infinity'::double end + 0.0 as d_mfe
-  from nb n join stab m on m.code = n.mutant left join pr h on h.code = n.mutant and h.structure = n.structure)"""
+  from mn n join stab m on m.code = n.mutant left join pr h on h.code = n.mutant and h.structure = n.structure)"""
 
 
 def rounded(df, *cols):
@@ -317,36 +318,69 @@ def small(t):
     return t.g.select("code"), folding.structure_list(folding.enumerate_structures(t.spark, L), L)
 
 
-@Q.add("fold_by_enumeration")
+def energy_sql() -> str:
+    """`fe`: code, structure and energy of every structure of `ok` that a sequence of `g` can form, by its pairs, stacks and loops."""
+    base = lambda pos: f"cast((code >> cast(2*(12-({pos})) as int)) & 3 as int)"
+    stacks = ", ".join(f"({BASES.index(x)}, {BASES.index(y)}, {e})" for (x, y), e in folding.STACKS.items())
+    pairs = ", ".join(map(str, sorted(folding.PAIRED)))
+    return f"""vb as materialized (select bp.* from bp join ok using (structure)),
+par as (select q.structure, q.i, q.j, max(p.i) as up from vb q join vb p on p.structure = q.structure and p.i < q.i and p.j > q.j group by q.structure, q.i, q.j),
+ch as materialized (select vb.structure, vb.i, vb.j, count(par.i) as kids, coalesce(bool_or(par.i = vb.i + 1 and par.j = vb.j - 1), false) as nested from vb left join par on par.structure = vb.structure and par.up = vb.i group by vb.structure, vb.i, vb.j),
+se(x, z, e) as (values {stacks}),
+pe as (select code, structure, {base("i")} as x, {base("j")} as y, {base("i + 1")} as z, {base("j - 1")} as w, kids = 1 and nested as stacked,
+  case when kids = 0 then {folding.HAIRPIN} when kids > 1 then {folding.MULTI} when nested then 0.0 else {folding.INNER} end as loop from g, ch),
+fe as (select code, structure, round(cast(sum(loop + case when not stacked then 0.0 when xor(x, 2) = y and xor(z, 2) = w then e else {folding.WOBBLE} end) as double), 2) as energy
+  from pe left join se using (x, z) group by code, structure having bool_and((x, y) in ({pairs}))
+  union all select code, '{UNFOLDED}', 0.0 from g)"""
+
+
+@Q.add("fold_by_enumeration", f"with recursive {CODES}, {grown_sql('select 13 as n')}, {PAIRED_RUNS}, {energy_sql()} select code, structure, energy + 0.0 as energy from fe")
 def _(t):
     seqs, structures = small(t)
-    return folding.fold_by_enumeration(seqs, structures)
+    return folding.fold_by_enumeration(seqs, structures).withColumn("energy", F.col("energy") + 0.0)
+
+
+#: Sites of long sequences: the least at which a multiloop fits is 18, and there are 2,740 structures of 20.
+LONG = 20
 
 
 @Q.add("long_sequence_effects")
 def _(t):
     from ..operators.sampling import random_sequences
 
-    seqs = random_sequences(t.raw("orders").select(F.col("o_orderkey").alias("id")), L, 5).select("code").distinct()
-    structures = folding.structure_list(folding.enumerate_structures(t.spark, L), L)
-    near = seqs.unionByName(mutate.point_neighbours(seqs, L).select(F.col("mutant").alias("code"))).distinct()
-    folds = components._kept(folding.fold_by_enumeration(near, structures))
-    stable_now = ensemble.stability(folds)
-    wild = stable_now.join(seqs, "code", "left_semi").where(F.abs("energy_gap") > 0.001)
-    keep = ensemble.ddg_table(stable_now, folds, L, UNFOLDED).join(wild.select("code"), "code", "left_semi")
-    features = structure.site_features(t.spark.createDataFrame([(s,) for s in structures[:-1]], "structure string"))
-    rows = summary.finite_effects(keep.withColumnRenamed("ddg_gap", "ddg")).join(F.broadcast(features.select("structure", "pos", "role", "place", "element_length")), ["structure", "pos"])  # 59 structures
-    return rows.select("code", "structure", "role", "place", "element_length", F.concat("pos", F.substring(F.lit("ACUG"), F.col("new_base") + 1, F.lit(1))).alias("mutation"), "ddg")
+    seqs = random_sequences(t.raw("orders").select(F.col("o_orderkey").alias("id")), LONG, 5).select("code").distinct()
+    found = components._kept(folding.enumerate_structures(t.spark, LONG))
+    rows = folding.sequence_effects(seqs.repartition(t.spark.sparkContext.defaultParallelism, "code"), folding.structure_list(found, LONG), 0.001)
+    features = structure.site_features(found).select("structure", "pos", "role", "place", "element_length")
+    rows = summary.finite_effects(rows.withColumnRenamed("ddg_gap", "ddg")).join(features, ["structure", "pos"])
+    return rows.select("code", "structure", "role", "place", "element_length", F.concat("pos", F.substring(F.lit(BASES), F.col("new_base") + 1, F.lit(1))).alias("mutation"), "ddg")
 
 
-@Q.add("neutral_walk")
-def _(t):
+def walks(t):
+    """The survey's walks from sequences of the map that fold, and the structures of their length."""
     from ..operators.sampling import sample_per_group
 
     seqs, structures = small(t)
     starts = sample_per_group(stable_folded(t, seqs, structures), "structure", "code", WALKS, 3)
-    # A few walks a task: a walk is long, and starts are few.
-    return folding.neutral_walks(starts.repartition(64, "code", "draw"), structures, STEPS, EVERY, 3)
+    return folding.neutral_walks(starts.repartition(t.spark.sparkContext.defaultParallelism, "code", "draw"), structures, STEPS, EVERY, 3), structures
+
+
+@Q.add("neutral_walk")
+def _(t):
+    return walks(t)[0]
+
+
+@Q.add("walk_chain")
+def _(t):
+    # Walks, then the effects of all mutations of what they sampled, then summaries in both forms.
+    found, structures = walks(t)
+    samples = components._kept(found.select("structure", F.col("walked").alias("code")))
+    effects_of = components._kept(folding.sequence_effects(samples.select("code").distinct(), structures))
+    stability = effects_of.groupBy("code").agg(F.first("energy_gap").alias("stability"))
+    drawn, changed = samples.join(stability, "code"), samples.join(effects_of.drop("structure"), "code")
+    forms = {"energygap": ("ddg_gap", True), "free_energy": ("d_mfe", False)}
+    parts = [summary.walk_summary(drawn, changed.withColumn("ddg", F.col(c)), "structure", only).withColumn("form", F.lit(form)) for form, (c, only) in forms.items()]
+    return rounded(parts[0].unionByName(parts[1]), "dg", "fraction_dg_zero", "lower_quartile_ddg", "median_ddg")
 
 
 def stable_folded(t, seqs, structures):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldtable.functions import codec
-from foldtable.operators import additive, components, ensemble, epistasis, folding, mutate, structure, summary
+from foldtable.operators import additive, components, ensemble, epistasis, folding, mutate, sampling, structure, summary
 from foldtable.plans import registry
 from foldtable.plans.fixtures import Tables
 from foldtable.sources import tables
@@ -114,6 +114,13 @@ def test_additive_model(spark):
     assert {r.dg: r["size"] for r in additive.additive_set_size(models).collect()} == {5.0: 4**5, 1.8: 1 + 15 + 90, 10.0: 4**5 + 20 * 16}
 
 
+def test_additive_model_of_many_sites(spark):
+    rows = [("a", 10.0, [(1.0, 21, 4)]), ("b", 10.0, [(1.0, 21, 4), None]), ("c", 25.0, [(1.0, 25, 2)])]
+    models = spark.createDataFrame(rows, "model string, dg double, classes array<struct<impact: double, sites: int, k: int>>")
+    got = {r.model: r["size"] for r in additive.additive_set_size(models).collect()}
+    assert got == {"a": sum(math.comb(21, n) * 3**n for n in range(11)), "b": 28247379436, "c": 2**25}
+
+
 def test_stability_and_effects(spark):
     rows = [(0, "(...)", -2.0), (0, ".....", 0.0), (1, ".....", 0.0), (2, "(...)", -1.0), (2, ".....", -1.0), (3, "(...)", -9e9), (3, ".....", 0.0)]
     table = spark.createDataFrame(rows, "code long, structure string, energy double")
@@ -136,6 +143,63 @@ def test_enumeration_folding_and_walks(spark):
     assert {r.structure for r in ensemble.stability(folding.fold_by_enumeration(ends, found)).collect()} == {best.structure}
 
 
+def test_effects_of_sequences_folded_in_place(spark):
+    found = folding.structure_list(folding.enumerate_structures(spark, 13), 13)
+    codes = [int(c) for c in np.random.default_rng(3).integers(0, 4**13, 60)] + [code([3, 3, 3, 3, 0, 0, 0, 0, 0, 1, 1, 1, 1])]
+    seqs = spark.createDataFrame([(c,) for c in codes], "code long")
+    near = mutate.point_neighbours(seqs, 13).select(F.col("mutant").alias("code")).unionByName(seqs).distinct()
+    folds = folding.fold_by_enumeration(near, found)
+    stable = ensemble.stability(folds)
+    want = ensemble.ddg_table(stable, folds, 13, found[-1]).join(seqs, "code", "left_semi")
+    want = want.join(stable.where("energy_gap is not null").select("code", "mfe", "energy_gap"), "code")
+    key = lambda r: (r.code, r.structure, r.pos, r.new_base, round(r.mfe, 2), round(r.energy_gap, 2), round(r.ddg_gap, 2) + 0.0, round(r.d_mfe, 2) + 0.0)
+    got = sorted(key(r) for r in folding.sequence_effects(seqs, found).collect())
+    assert got == sorted(key(r) for r in want.collect()) and len({r[0] for r in got}) > 2
+
+
+def test_walks_depend_on_their_start_and_draw_alone(spark):
+    found = folding.structure_list(folding.enumerate_structures(spark, 13), 13)
+    start = code([3, 3, 3, 3, 0, 0, 0, 0, 0, 1, 1, 1, 1])
+    starts = spark.createDataFrame([(start, k) for k in range(1, 7)], "code long, draw long")
+    walks = [sorted(map(tuple, folding.neutral_walks(rows, found, 300, 10, 1).collect())) for rows in (starts.coalesce(1), starts.repartition(6))]
+    assert walks[0] == walks[1] and len(walks[0]) == 6 * 30 and len({w[4] for w in walks[0]}) > 100
+
+
+def test_long_sequences_have_effects(spark):
+    rows = registry.QUERIES["long_sequence_effects"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 1000 and {len(r.structure) for r in rows} == {20} and {"stack", "hairpin loop", "bulge"} <= {r.role for r in rows}
+
+
+def test_keys_are_mixed_evenly(spark):
+    got = [r.code for r in sampling.random_sequences(spark.range(10_000), 13, 7).collect()]
+    assert len(set(got)) > 9_900
+    bases = np.array(got)[:, None] >> 2 * np.arange(13)[None, :] & 3
+    for k in range(13):
+        assert (np.abs(np.bincount(bases[:, k], minlength=4) - 2500) < 250).all()
+        for m in range(k):
+            assert (np.abs(np.bincount(bases[:, k] * 4 + bases[:, m], minlength=16) - 625) < 150).all()
+    picked = sorted(r.id for r in sampling.sample_n(spark.range(40_000), "id", 1000, 5).collect())
+    gaps = np.diff(picked)
+    assert len(set(gaps.tolist())) > 80 and 30 < gaps.mean() < 50
+
+
+def test_running_sums_by_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(g), k, int(v)) for k, (g, v) in enumerate(zip(rng.choice([1, 1, 1, 2, 3], 2000), rng.integers(0, 9, 2000), strict=True))]
+    table = spark.createDataFrame(rows, "g long, k long, v long").repartition(5)
+    for keys in (["g"], []):
+        seen, want = {}, {}
+        for g, k, v in rows:
+            own = g if keys else 0
+            want[k] = seen.get(own, 0)
+            seen[own] = want[k] + v
+        got = sampling.running_sum(table, keys, ["k"], F.col("v"), "before")
+        assert {r.k: r.before for r in got.collect()} == want and got.columns == ["g", "k", "v", "before"] if keys else {r.k: r.before for r in got.collect()} == want
+    ranked = {r.v: r.ranked for r in summary.average_rank(table, "v", "ranked").collect()}
+    values = [v for *_, v in rows]
+    assert ranked == {v: sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in set(values)}
+
+
 def test_files(spark, tmp_path):
     rows = spark.createDataFrame([("(((...)))", 1.5)], "structure string, x double")
     tables.write_csv_table(rows, f"{tmp_path}/csv")
