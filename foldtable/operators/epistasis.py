@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import base_at, masked
@@ -25,10 +25,12 @@ def _groups(members: DataFrame, length: int) -> DataFrame:
     group has sixteen members at most. A corner of a square has a neighbour in its component
     at both sites, so only pairs of such sites of a sequence are dealt out.
     """
-    alone = site_groups(members.select("nc_id", "code"), length).groupBy("nc_id", "pos", "masked").agg(F.collect_list("code").alias("m")).where(F.size("m") > 1)
-    sites = alone.select("nc_id", F.explode("m").alias("code"), "pos").groupBy("nc_id", "code").agg(F.array_sort(F.collect_list("pos")).alias("at")).where(F.size("at") > 1)
+    near = site_groups(members, length).withColumn("n", F.count("*").over(Window.partitionBy("nc_id", "pos", "masked"))).where("n > 1")
+    bits = near.groupBy("nc_id", "code").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos"))).alias("bits"), F.first("energy").alias("energy"))
+    at = F.filter(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.call_function("shiftright", F.col("bits"), k).bitwiseAND(F.lit(1)) == 1)
+    sites = bits.select("nc_id", "code", "energy", at.alias("at")).where(F.size("at") > 1)
     pair = F.flatten(F.transform("at", lambda i: F.transform(F.filter("at", lambda j: j > i), lambda j: F.struct(i.alias("pos1"), j.alias("pos2")))))
-    rows = members.join(sites, ["nc_id", "code"]).select("nc_id", "code", "energy", F.explode(pair).alias("p")).select("nc_id", "code", "energy", "p.*")
+    rows = sites.select("nc_id", "code", "energy", F.explode(pair).alias("p")).select("nc_id", "code", "energy", "p.*")
     both = masked(masked(F.col("code"), F.col("pos1"), length), F.col("pos2"), length)
     cell = base_at(F.col("code"), F.col("pos1"), length) * 4 + base_at(F.col("code"), F.col("pos2"), length)
     one = F.struct(cell.alias("cell"), F.col("code").alias("c"), F.col("energy").alias("s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import PAIRS, base_at, masked, with_base
@@ -45,6 +45,21 @@ def double_mutant(g1: Column, g2: Column, g3: Column) -> Column:
     return g2.bitwiseXOR(g3).bitwiseXOR(g1)
 
 
+def site_mutants(seqs: DataFrame, length: int, more: list[str]) -> DataFrame:
+    """seqs (code and the columns `more`) with pos, new_base, mutant and the mutant's m_* columns, for each mutant that seqs has too.
+
+    The mutants of a sequence at a site are the other members of its site group, four at most,
+    so a sequence travels once for each site and nothing is joined.
+    """
+    held = ["code", *more]
+    own = Window.partitionBy("pos", "masked").orderBy("code")
+    steps = [F.lag("it", k).over(own) for k in (3, 2, 1)] + [F.lead("it", k).over(own) for k in (1, 2, 3)]
+    rows = site_groups(seqs.select(*held), length).withColumn("it", F.struct(*held)).withColumn("near", F.array(*steps))
+    pairs = rows.select(*held, "pos", F.explode("near").alias("b")).where("b is not null")
+    new = base_at(F.col("b.code"), F.col("pos"), length).alias("new_base")
+    return pairs.select(*held, "pos", new, F.col("b.code").alias("mutant"), *[F.col(f"b.{c}").alias(f"m_{c}") for c in more])
+
+
 def site_groups(seqs: DataFrame, length: int) -> DataFrame:
     """seqs with pos and masked: rows equal in both differ at that site alone."""
     rows = seqs.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))

@@ -20,10 +20,15 @@ def finite_effects(effects: DataFrame, col: str = "ddg") -> DataFrame:
     return effects.where(finite(F.col(col))).withColumn(col, F.abs(col))
 
 
+def counted(rows: DataFrame, keys: list[str], x: Column) -> DataFrame:
+    """keys, x and n, how often each value comes: counts combine before the shuffle, and quantiles of few groups need no more."""
+    return rows.groupBy(*keys, x.alias("x")).agg(F.count("*").alias("n"))
+
+
 def box_stats(rows: DataFrame, keys: list[str], col: str, digits: int | None = None) -> DataFrame:
     """p5, p25, p50, p75, p95 of a column by group, interpolated between values."""
     x = F.col(col) if digits is None else F.round(col, digits)
-    cut = rows.groupBy(*keys).agg(F.percentile(x, F.array(*map(F.lit, BOX))).alias("p"))
+    cut = counted(rows, keys, x).groupBy(*keys).agg(F.percentile("x", F.array(*map(F.lit, BOX)), F.col("n")).alias("p"))
     return cut.select(*keys, *[F.col("p")[k].alias(f"p{round(100 * q)}") for k, q in enumerate(BOX)])
 
 
@@ -41,7 +46,8 @@ def neutral_set_sizes(gpmap: DataFrame, valid: Column | None = None) -> DataFram
 def stability_table(rows: DataFrame, key: str, effects: DataFrame) -> DataFrame:
     """By key: size, maximum and mean stability, and the lower quartile of absolute effects, infinite ones included."""
     sets = rows.groupBy(key).agg(F.count("*").alias("size"), F.max("stability").alias("max_dg"), F.avg("stability").alias("mean_dg"))
-    low = effects.where(F.col("ddg").isNotNull() & ~F.isnan("ddg")).groupBy(key).agg(F.percentile(F.abs("ddg"), F.lit(0.25)).alias("lower_quartile_abs_ddg"))
+    sizes = counted(effects.where(F.col("ddg").isNotNull() & ~F.isnan("ddg")), [key], F.abs("ddg"))
+    low = sizes.groupBy(key).agg(F.percentile("x", F.lit(0.25), F.col("n")).alias("lower_quartile_abs_ddg"))
     return sets.join(low, key, "left")
 
 

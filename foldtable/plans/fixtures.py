@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import _kept
+
 L = 13
 #: The structures that phenotypes 0 to 5 stand for, and the unfolded one.
 STRUCTURES = ["(((....)))...", "..(((.....)))", ".(((...)))...", "((.((...)))).", "((......))...", "..((((...))))", "............."]
@@ -76,6 +78,11 @@ class Tables:
         joined = self.g.join(F.broadcast(self.structures), self.g.phen == self.structures.sid)  # seven rows
         return joined.select("code", "structure", F.col("dg").alias("stability"), "mfe")
 
+    @cached_property
+    def kept_map(self) -> DataFrame:
+        """The map, written once for queries that read it several times."""
+        return _kept(self.gpmap)
+
     @cached_property
     def ensemble(self) -> DataFrame:
         joined = self.g.join(F.broadcast(self.structures), F.expr("sid = 6 or (code*31 + sid*17) % 7 < 3"))  # seven rows

@@ -143,7 +143,7 @@ def _(t):
 
 
 def labelled(t):
-    return components.neutral_components(t.gpmap, L)
+    return components.neutral_components(t.kept_map, L)
 
 
 @Q.add("neutral_components", f"with {NC} select code, structure, nc_id from nc")
@@ -163,12 +163,12 @@ def _(t):
 
 @Q.add("attach_columns", f"with {NC} select code, structure, nc_id, stability, mfe, count(*) over (partition by structure) as neutral_set_size from nc")
 def _(t):
-    return summary.sequence_summary(t.gpmap, labelled(t)).drop("nc_size")
+    return summary.sequence_summary(t.kept_map, labelled(t)).drop("nc_size")
 
 
 @Q.add("sequence_summary", f"with {NC}, {VALID} select code, structure, nc_id, count(*) over (partition by nc_id) as nc_size, stability, count(*) over (partition by structure) as neutral_set_size, mfe from nc join ok using (structure)")
 def _(t):
-    folded = structure.keep_valid(t.gpmap, t.structures)
+    folded = structure.keep_valid(t.kept_map, t.structures)
     return summary.sequence_summary(folded, components.neutral_components(folded, L))
 
 
@@ -177,9 +177,11 @@ NCD = NC + ", md as (select nc.nc_id, b.stability - a.stability as ddg from mu a
 
 def map_effects(t):
     """Change of stored stability from each sequence to each of its mutants in the map."""
-    rows = mutate.point_neighbours(t.gpmap, L)
-    other = t.gpmap.select(F.col("code").alias("mutant"), F.col("stability").alias("m_stability"), F.col("structure").alias("m_structure"))
-    return rows.join(other, "mutant").withColumn("ddg", F.col("m_stability") - F.col("stability"))
+    return changes(t.gpmap, ["structure", "stability"])
+
+
+def changes(rows, held):
+    return mutate.site_mutants(rows, L, held).withColumn("ddg", F.col("m_stability") - F.col("stability"))
 
 
 STATS = "count(*) as size, max(stability) as max_dg, round(avg(stability), 6) as mean_dg"
@@ -187,9 +189,8 @@ STATS = "count(*) as size, max(stability) as max_dg, round(avg(stability), 6) as
 
 @Q.add("nc_stability_table", f"with {NCD}, a as (select nc_id, min(structure) as structure, {STATS} from nc group by nc_id), b as (select nc_id, round(quantile_cont(abs(ddg), 0.25), 6) as lower_quartile_abs_ddg from md group by nc_id) select a.*, b.lower_quartile_abs_ddg from a left join b using (nc_id)")
 def _(t):
-    nc = labelled(t).select("code", "nc_id")
-    rows = t.gpmap.join(nc, "code")
-    table = summary.stability_table(rows, "nc_id", map_effects(t).join(nc, "code"))
+    rows = components._kept(t.kept_map.join(labelled(t).select("code", "nc_id"), "code"))
+    table = summary.stability_table(rows, "nc_id", changes(rows, ["nc_id", "stability"]))
     named = rows.groupBy("nc_id").agg(F.any_value("structure").alias("structure"))
     return rounded(table.join(named, "nc_id"), "mean_dg", "lower_quartile_abs_ddg")
 
@@ -200,8 +201,8 @@ SETS = f"with {MAP}, md as (select a.structure, b.stability - a.stability as ddg
 @Q.add("set_stability_table", f"{SETS}, a as (select structure, {STATS} from m group by structure), b as (select structure, round(quantile_cont(abs(ddg), 0.25), 6) as lower_quartile_abs_ddg from md group by structure) select a.*, b.lower_quartile_abs_ddg from a left join b using (structure)")
 def _(t):
     valid = structure.validity(t.structures).where("valid").select("structure")
-    rows = t.gpmap.join(F.broadcast(valid), "structure")  # seven structures at most
-    return rounded(summary.stability_table(rows, "structure", map_effects(t)), "mean_dg", "lower_quartile_abs_ddg")
+    rows = t.kept_map.join(F.broadcast(valid), "structure")  # seven structures at most
+    return rounded(summary.stability_table(rows, "structure", changes(t.kept_map, ["structure", "stability"])), "mean_dg", "lower_quartile_abs_ddg")
 
 
 @Q.add("neutral_set_sizes", f"with {MAP} select structure, count(*) as size from m group by structure")
@@ -246,7 +247,7 @@ sq as (select cs.*, a.stability as s1, b.stability as s2, c.stability as s3, d.s
 
 def members(t):
     """nc_id, code and both stored energies; computed once and kept."""
-    return components._kept(labelled(t).select("nc_id", "code").join(t.gpmap.select("code", F.col("stability").alias("energy"), "mfe"), "code"))
+    return components._kept(labelled(t).select("nc_id", "code").join(t.kept_map.select("code", F.col("stability").alias("energy"), "mfe"), "code"))
 
 
 @Q.add("epistasis_squares", f"with {SQUARES} select nc_id, cast(pos1 as bigint) as pos1, cast(pos2 as bigint) as pos2, g1, g2, g3, g4 from sq")
