@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, new_path, parts_for, utf8_size
+from .common import free_names, new_path, parts_for, stage, utf8_size
 
 
 def _permuter(seed: int, starts: np.ndarray, rows: int, n_shards: int, inner: list[str]):
@@ -40,6 +40,15 @@ def _permuter(seed: int, starts: np.ndarray, rows: int, n_shards: int, inner: li
     return permute
 
 
+def _bucket_sizes(keyed: DataFrame, by_bucket: str, text_col: str, buckets: int) -> tuple[np.ndarray, int]:
+    """Rows of each bucket, and bytes of the largest: a row for each bucket reaches the driver."""
+    counts, largest = np.zeros(buckets, dtype="int64"), 0
+    sizes = keyed.groupBy(by_bucket).agg(F.count("*"), F.sum(utf8_size(F.col(text_col)) + 64))
+    for bucket, n, b in sizes.toLocalIterator():
+        counts[bucket], largest = n, max(largest, b)
+    return counts, largest
+
+
 def write_shards(
     df: DataFrame, path: str, n_shards: int = 8, seed: int = 17, id_col: str = "doc_id",
     text_col: str = "text", bucket_bytes: int = 24 << 20,
@@ -47,9 +56,10 @@ def write_shards(
     """Write every row of df, in uniformly random order, to `path`/shard=K and read it back.
 
     Adds `shard` and `slot` (position in its shard, without gaps); columns of those names in df
-    are replaced. Null ids and texts are ordinary values. Rows equal in id and text share a
-    bucket, as their order can't matter; other rows scatter whatever they have in common, so no
-    source and no group of copies makes a bucket large. An empty table writes no rows. Buckets
+    are replaced. Null ids and texts are ordinary values. Rows scatter by id and text, so no
+    source and no group of copies makes a bucket large. Only rows equal in both could: where a
+    bucket turns out twice as large as meant, all rows are dealt by their place in the input as
+    well, and written so, that counting and shuffling see one deal. An empty table writes no rows. Buckets
     hold about `bucket_bytes`; their number follows the data, and so does the only thing kept
     on the driver, one row count for each bucket.
     """
@@ -60,9 +70,11 @@ def write_shards(
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     inner = by_bucket, by_hash, by_rank = free_names(kept, "_bucket", "_hash", "_rank")
     keyed = kept.withColumn(by_hash, hashed).withColumn(by_bucket, F.pmod(by_hash, F.lit(buckets)).cast("int"))
-    counts = np.zeros(buckets, dtype="int64")
-    for bucket, n in keyed.groupBy(by_bucket).count().toLocalIterator():
-        counts[bucket] = n
+    counts, largest = _bucket_sizes(keyed, by_bucket, text_col, buckets)
+    if largest > 2 * bucket_bytes and size.n > 1:
+        salted = keyed.withColumn(by_hash, F.xxhash64(by_hash, F.monotonically_increasing_id()))
+        keyed = stage(salted.withColumn(by_bucket, F.pmod(by_hash, F.lit(buckets)).cast("int")), "scattered")
+        counts, _ = _bucket_sizes(keyed, by_bucket, text_col, buckets)
     starts = np.cumsum(counts) - counts
 
     schema = kept.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).schema
