@@ -145,13 +145,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pa
     """Write the ids of every text of docs (doc_id, text), each followed by `end_id`, to `path`.
 
     Files are in ascending doc_id order: nulls first, rows of equal id ordered by text. Null text
-    is empty, and an empty text has the end id alone. Other columns are left out. An empty table
-    writes no rows.
+    is empty, and an empty text has the end id alone. Rows that repeat each other are told apart
+    by their place in the input, so that any number of them spans several files. Other columns are
+    left out. An empty table writes no rows.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(utf8_size(F.col("text")) + 64)).first()[0]
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts_for(spark, total, part_bytes), "doc_id", F.xxhash64("text"))
-    rows = ordered.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_encode(tokenizer, end_id), SCHEMA)
+    placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
+    order = ["doc_id", F.xxhash64("text"), "place"]
+    ordered = placed.repartitionByRange(parts_for(spark, total, part_bytes), *order).sortWithinPartitions(*order)
+    rows = ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), SCHEMA)
     rows.write.options(**{k: str(v) for k, v in LAYOUT.items()}).parquet(path)
 
 
