@@ -75,7 +75,8 @@ def write_warc(
     role. Null html is an empty payload; a row without page_id is a response unless its payload
     has another, numbered original; a null url is an empty one. Other columns are left out. Only
     headers travel by digest; pages travel once, by page_id, into archives of about
-    `archive_bytes` before gzip. An empty table writes an empty archive.
+    `archive_bytes` before gzip. Rows that repeat one page_id (or have none) and one payload are
+    dealt to several archives where they would fill one. An empty table writes an empty archive.
     """
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
@@ -94,15 +95,30 @@ def write_warc(
     )
     total = headers.agg(F.sum(F.col("payload_bytes") + 600)).first()[0]
     archives = parts_for(spark, total, archive_bytes)
+    keyed, revisits = full.withColumn("_key", _key()), stage(revisits, "warc-revisits")
+    keyed, revisits = keyed.withColumn("_salt", F.lit(0)), revisits.withColumn("_salt", F.lit(0))
+    hot = stage(_hot_keys(headers, archive_bytes), "warc-hot")
+    if not hot.isEmpty():
+        # Spark broadcasts these if their files are small, and merges by key if they aren't.
+        split = F.coalesce("_splits", F.lit(1))
+        keyed = keyed.join(hot, "_key", "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), split).cast("int")).drop("_splits")
+        revisits = revisits.join(hot, "_key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), split - 1))).drop("_splits")
     # Both sides are dealt by the join's key, so pages move once and archives are the join's partitions.
-    dealt = full.withColumn("_key", _key()).repartition(archives, "_key")
+    by = ["_key", "_salt"]
     (
-        dealt.join(revisits.repartition(archives, "_key").hint("shuffle_hash"), "_key", "left")
+        keyed.repartition(archives, *by).join(revisits.repartition(archives, *by).hint("shuffle_hash"), by, "left")
         .select(_record_text(date).alias("value"))
         .write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
     )
 
 
+def _hot_keys(headers: DataFrame, archive_bytes: int) -> DataFrame:
+    """Keys whose rows take over half an archive, and into how many parts of that size they are to be split."""
+    bytes_of = F.sum(F.col("payload_bytes") + 600)
+    sizes = headers.groupBy(_key().alias("_key")).agg(F.count("*").alias("n"), bytes_of.alias("b"))
+    return sizes.where((F.col("n") > 1) & (F.col("b") > archive_bytes // 2)).select("_key", F.ceil(F.col("b") * 2 / archive_bytes).cast("int").alias("_splits"))
+
+
 def _key() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "payload_digest")
 

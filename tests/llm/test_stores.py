@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foldtable.llm import chat, common, sharding, token_store, warc
@@ -50,6 +51,23 @@ def test_shards_of_awkward_rows(spark):
     assert sorted(kept.columns) == sorted([*docs.columns, "slot"]) and kept.count() == docs.count()
 
 
+def most_in_a_file(spark, path):
+    """The most rows that one file holds."""
+    return spark.read.parquet(path).groupBy("_metadata.file_path").count().agg({"count": "max"}).first()[0]
+
+
+def test_shards_of_rows_that_repeat(spark):
+    """A third of all rows are one row, and as many have neither id nor text."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 5, if(id % 3 = 1, null, id)) as doc_id", "if(id % 3 = 0, repeat('x', 100), if(id % 3 = 1, null, string(id))) as text")
+    path = common.new_path(spark, "t")
+    out = sharding.write_shards(rows, path, bucket_bytes=10_000)
+    assert Counter(map(tuple, out.select("doc_id", "text").collect())) == Counter(map(tuple, rows.collect()))
+    places = out.groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert len(places) == 8 and all(r["max(slot)"] == r["count(1)"] - 1 == 374 for r in places)
+    buckets = spark.read.parquet(path).select("_metadata.file_path").distinct().count()
+    assert buckets > 30 and most_in_a_file(spark, path) < 200
+
+
 def check_tokens(rows, docs):
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     coder.no_truncation(), coder.no_padding()
@@ -79,6 +97,16 @@ def test_tokens_of_awkward_rows(spark):
     assert token_store.store_documents(spark, empty_documents(spark)).count() == 0
 
 
+def test_tokens_of_rows_that_repeat(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 5, if(id % 3 = 1, null, id)) as doc_id", "if(id % 3 < 2, 'same words', string(id)) as text")
+    path = common.new_path(spark, "t")
+    token_store.write_tokens(rows, path, public_tokenizers.path("word_bpe_49k.json"), part_bytes=10_000)
+    got = token_store.read_tokens(spark, path).selectExpr("doc_id", "start", "n_tokens").orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in rows.collect()), key=lambda i: (i is not None, i))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got[:-1], got[1:], strict=True))
+    assert most_in_a_file(spark, path) < 600
+
+
 def test_token_ranges_and_layout(spark):
     path = common.new_path(spark, "t")
     token_store.write_tokens(documents(spark), path, public_tokenizers.path("word_bpe_49k.json"), part_bytes=1 << 30)
@@ -192,3 +220,15 @@ def test_warc_of_awkward_rows(spark):
     path = common.new_path(spark, "t")
     warc.write_warc(pages, path, min_bytes=5)
     assert warc.read_warc(spark, path).where("record_type = 'revisit'").count() == 0
+
+
+def test_warc_of_rows_that_repeat(spark):
+    """Rows without id, and rows of one id, that share a payload fill more than one archive."""
+    pages = spark.range(3000).selectExpr("if(id % 3 = 0, 5, if(id % 3 = 1, null, id)) as page_id", "'u' as url", "if(id % 3 = 2, string(id), repeat('same', if(id % 3 = 0, 20, 30))) as html")
+    pages = pages.unionAll(spark.sql("select 9000L, 'u', repeat('same', 30)"))
+    check_warc(warc.archive_pages(spark, pages).collect(), pages.collect())
+    path = common.new_path(spark, "t")
+    warc.write_warc(pages, path, archive_bytes=50_000)
+    check_warc(warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect(), pages.collect())
+    records = spark.read.option("lineSep", "\r\n").text(path).where("value = 'WARC/1.1'").groupBy(F.input_file_name()).count()
+    assert records.agg({"count": "max"}).first()[0] < 600
