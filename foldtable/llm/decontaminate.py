@@ -7,16 +7,21 @@ window (13 words, or a whole shorter item), its words are hit.
 
 from __future__ import annotations
 
+import base64
 import math
+import pickle
 import re
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import byte_lists, slices
+from .common import byte_lists, drop_staged, new_path, slices, stage
 
 WINDOW = 13
 COVERAGE = 0.05
@@ -171,46 +176,82 @@ def cut_spans(text: bytes, spans: list[list[int]]) -> str:
 FOUND = "n_words long, spans array<array<int>>, item_ids array<string>"
 
 
-def _pass(shared, text_col: str, names: list[str], first: bool):
+def _build(window: int):
+    """The automaton of a partition's items, as text that one file holds."""
+
+    def run(batches):
+        items = [x for b in batches for x in zip(b.column("item_id").to_pylist(), map(words_of, byte_lists(b, "text")), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([base64.b64encode(pickle.dumps(ItemAutomaton(items, window))).decode()])], ["value"])
+
+    return run
+
+
+def build_automata(items: DataFrame, window: int, block_words: int) -> list[str]:
+    """Build the automata of items (item_id, text) in tasks, and have Spark bring their files to every executor; the files' names there."""
+    spark = items.sparkSession
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / 6 / block_words))
+    path = new_path(spark, "automata")
+    dealt = items.repartitionById(blocks, F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    dealt.select("item_id", "text").mapInArrow(_build(window), "value string").write.text(path)
+    files = sorted(spark.read.text(path).inputFiles())
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return [f.rsplit("/", 1)[1] for f in files]
+
+
+_automata: dict[tuple, list[ItemAutomaton]] = {}
+
+
+def _loaded(files: tuple[str, ...], window: int) -> list[ItemAutomaton]:
+    """The automata of one pass; a worker holds those of one pass at a time."""
+    if files not in _automata:
+        _automata.clear()
+        data = [Path(SparkFiles.get(f)).read_bytes() for f in files]
+        _automata[files] = [pickle.loads(base64.b64decode(x)) for x in data if x.strip()] or [ItemAutomaton([], window)]
+    return _automata[files]
+
+
+def _pass(files: tuple[str, ...], window: int, text_col: str, names: list[str], first: bool):
     def run(batches):
-        auto = shared.value
+        automata = _loaded(files, window)
         for batch in batches:
-            for some in slices(batch, 1000):
-                counts, found = _scan(byte_lists(some, text_col), auto)
-                n = len(counts)
-                before = [[]] * n if first else some.column("spans").to_pylist()
-                had = [[]] * n if first else some.column("item_ids").to_pylist()
-                spans = [_merged([*before[k], *found[k][0]]) if k in found else before[k] for k in range(n)]
-                items = [sorted({*had[k], *(x for x in found[k][1] if x is not None)}) if k in found else had[k] for k in range(n)]
+            for some in slices(batch, 1000, text_col):
+                texts = byte_lists(some, text_col)
+                spans = [[]] * len(texts) if first else some.column("spans").to_pylist()
+                items = [[]] * len(texts) if first else some.column("item_ids").to_pylist()
+                for auto in automata:
+                    counts, found = _scan(texts, auto)
+                    for k, (hit, met) in found.items():
+                        spans[k] = _merged([*spans[k], *hit])
+                        items[k] = sorted({*items[k], *(x for x in met if x is not None)})
                 extra = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), *extra], [*names, "n_words", "spans", "item_ids"])
 
     return run
 
 
-def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, block_words: int = 60_000) -> DataFrame:
+def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, block_words: int = 60_000, held: int = 4) -> DataFrame:
     """docs with n_words, the hit spans of words (merged, in order) and the ids of the items met.
 
     items: item_id, text. Null texts have no words, and items without words no window; an item
     without id hits words but is not named. Columns of docs named as those added are replaced.
-    One automaton holds at most about `block_words` words of items, whatever their number:
-    items beyond that go to further automata, and documents stream through one after another.
+    One automaton holds about `block_words` words of items, whatever their number, and is built
+    in a task. Documents stream through `held` automata at a time; where there are more, they are
+    written to the shared folder with what was found, and stream through the next ones.
     """
-    spark = docs.sparkSession
     sized = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / 6 / block_words))
-    keyed = sized.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    files = build_automata(sized, window, block_words)
     out = docs.drop("n_words", "spans", "item_ids")
-    names = out.columns
-    for block in range(blocks):
-        some = [(r.item_id, words_of(r.text.encode())) for r in keyed.where(F.col("block") == block).select("item_id", "text").toLocalIterator()]
-        shared = spark.sparkContext.broadcast(ItemAutomaton(some, window))
-        ddl = f"struct<{FOUND.replace(' long', ':long').replace(' array', ':array')}>"
-        schema = docs.drop("n_words", "spans", "item_ids").schema
-        for field in spark.createDataFrame([], f"x {ddl}").schema["x"].dataType:
-            schema = schema.add(field)
-        out = out.mapInArrow(_pass(shared, text_col, names, block == 0), schema)
+    names, before = out.columns, None
+    schema = StructType([*out.schema, *docs.sparkSession.createDataFrame([], FOUND).schema])
+    for k in range(0, max(1, len(files)), held):
+        out = out.mapInArrow(_pass(tuple(files[k : k + held]), window, text_col, names, k == 0), schema)
+        if k + held < len(files):
+            out = stage(out, "hits")
+            if before is not None:
+                drop_staged(before)
+            before = out
     return out
 
 

@@ -58,6 +58,8 @@ def test_decontamination_of_awkward_rows(spark):
     # More items than one automaton holds give the same.
     whole = sorted(map(str, decontaminate.find_spans(docs, items).collect()))
     assert sorted(map(str, decontaminate.find_spans(docs, items, block_words=8).collect())) == whole
+    assert sorted(map(str, decontaminate.find_spans(docs, items, block_words=8, held=2).collect())) == whole
+    assert len(decontaminate.build_automata(items.selectExpr("string(item_id) item_id", "coalesce(text, '') text"), 13, 8)) > 2 * 2
 
 
 def test_removal(spark):
