@@ -13,7 +13,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, parts_for, stage, utf8_size
@@ -23,7 +23,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 SPARK_BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
-READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, stored_bytes long"
+READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, stored_bytes long, record_id string"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -50,13 +50,13 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def _record_text(date: str) -> Column:
     crlf, uri = "\r\n", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
-    revisit = F.col("original").isNotNull()
+    revisit, first = F.col("original").isNotNull(), (F.col("_salt") == 0) & (F.col("_copy") == 1)
     urn = lambda page: F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), F.col("payload_digest"), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.col("payload_bytes"), F.lit(crlf * 2))
     block = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     return F.concat(
         F.lit(f"WARC/1.1{crlf}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit(f"{crlf}WARC-Record-ID: "), urn(F.col("page_id")),
+        F.lit(f"{crlf}WARC-Record-ID: "), F.when(first, urn(F.col("page_id"))).otherwise(F.replace(urn(F.col("page_id")), F.lit(">"), F.concat_ws("", F.lit(":"), "_salt", F.lit("."), "_copy", F.lit(">")))),
         F.lit(f"{crlf}WARC-Date: {date}{crlf}WARC-Target-URI: "), uri,
         F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.when(revisit, F.concat(F.lit(f"{crlf}WARC-Profile: {REVISIT_PROFILE}{crlf}WARC-Refers-To: "), urn(F.col("original")))).otherwise(""),
@@ -76,7 +76,8 @@ def write_warc(
     has another, numbered original; a null url is an empty one. Other columns are left out. Only
     headers travel by digest; pages travel once, by page_id, into archives of about
     `archive_bytes` before gzip. Rows that repeat one page_id (or have none) and one payload are
-    dealt to several archives where they would fill one. An empty table writes an empty archive.
+    dealt to several archives where they would fill one, and their record ids are numbered from the
+    second on. An empty table writes an empty archive.
     """
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
@@ -97,7 +98,8 @@ def write_warc(
     archives = parts_for(spark, total, archive_bytes)
     keyed, revisits = full.withColumn("_key", _key()), stage(revisits, "warc-revisits")
     keyed, revisits = keyed.withColumn("_salt", F.lit(0)), revisits.withColumn("_salt", F.lit(0))
-    hot = stage(_hot_keys(headers, archive_bytes), "warc-hot")
+    repeats = stage(_repeated_keys(headers, archive_bytes), "warc-repeats")
+    hot = repeats.where("_splits > 1")
     if not hot.isEmpty():
         # Spark broadcasts these if their files are small, and merges by key if they aren't.
         split = F.coalesce("_splits", F.lit(1))
@@ -105,18 +107,20 @@ def write_warc(
         revisits = revisits.join(hot, "_key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), split - 1))).drop("_splits")
     # Both sides are dealt by the join's key, so pages move once and archives are the join's partitions.
     by = ["_key", "_salt"]
+    records = keyed.repartition(archives, *by).join(revisits.repartition(archives, *by).hint("shuffle_hash"), by, "left")
+    # Copies are counted within an archive, which is sorted for that alone; a split key's never fill one.
+    copy = F.lit(1) if repeats.isEmpty() else F.row_number().over(Window.partitionBy(*by).orderBy("url"))
     (
-        keyed.repartition(archives, *by).join(revisits.repartition(archives, *by).hint("shuffle_hash"), by, "left")
-        .select(_record_text(date).alias("value"))
+        records.withColumn("_copy", copy).select(_record_text(date).alias("value"))
         .write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
     )
 
 
-def _hot_keys(headers: DataFrame, archive_bytes: int) -> DataFrame:
-    """Keys whose rows take over half an archive, and into how many parts of that size they are to be split."""
+def _repeated_keys(headers: DataFrame, archive_bytes: int) -> DataFrame:
+    """Keys of several rows, and into how many parts they are to be split so that none takes over half an archive."""
     bytes_of = F.sum(F.col("payload_bytes") + 600)
     sizes = headers.groupBy(_key().alias("_key")).agg(F.count("*").alias("n"), bytes_of.alias("b"))
-    return sizes.where((F.col("n") > 1) & (F.col("b") > archive_bytes // 2)).select("_key", F.ceil(F.col("b") * 2 / archive_bytes).cast("int").alias("_splits"))
+    return sizes.where("n > 1").select("_key", F.ceil(F.col("b") * 2 / archive_bytes).cast("int").alias("_splits"))
 
 
 def _key() -> Column:
@@ -155,9 +159,9 @@ def _read(batches):
                 size = int(re.search(rb"Content-Length: (\d+)", http)[1])
                 if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its digest")
-                rows.append((_page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], _page(fields.get("WARC-Refers-To")), size, digest, len(payload)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                rows.append((_page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], _page(fields.get("WARC-Refers-To")), size, digest, len(payload), fields["WARC-Record-ID"]))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
             names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 

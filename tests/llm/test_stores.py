@@ -229,6 +229,9 @@ def test_warc_of_rows_that_repeat(spark):
     check_warc(warc.archive_pages(spark, pages).collect(), pages.collect())
     path = common.new_path(spark, "t")
     warc.write_warc(pages, path, archive_bytes=50_000)
-    check_warc(warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect(), pages.collect())
+    read = warc.read_warc(spark, path)
+    check_warc(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect(), pages.collect())
+    ids = [r.record_id for r in read.collect()]
+    assert len(set(ids)) == len(ids) == pages.count()
     records = spark.read.option("lineSep", "\r\n").text(path).where("value = 'WARC/1.1'").groupBy(F.input_file_name()).count()
     assert records.agg({"count": "max"}).first()[0] < 600
