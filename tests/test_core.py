@@ -55,63 +55,129 @@ def test_mutants(spark):
     assert one(spark, mutate.double_mutant(F.col("a"), F.col("b"), F.col("c")), a=code([1, 0, 3]), b=code([3, 0, 3]), c=code([1, 0, 2])) == code([3, 0, 2])
 
 
-X, E, M = "stack", "end", "middle"
-ROLES = {
-    "...(((..((...)))))..": [("exterior loop", E), ("exterior loop", M), ("exterior loop", E), (X, E), (X, M), (X, E), ("bulge", E), ("bulge", E), (X, E), (X, E), ("hairpin loop", E), ("hairpin loop", M), ("hairpin loop", E), (X, E), (X, E), (X, E), (X, M), (X, E), ("exterior loop", E), ("exterior loop", E)],
-    "(((..((...))...)))..": [(X, E), (X, M), (X, E), ("internal loop", E), ("internal loop", E), (X, E), (X, E), ("hairpin loop", E), ("hairpin loop", M), ("hairpin loop", E), (X, E), (X, E), ("internal loop", E), ("internal loop", M), ("internal loop", E), (X, E), (X, M), (X, E), ("exterior loop", E), ("exterior loop", E)],
-    ".((.(...)))..": [("exterior loop", E), (X, E), (X, E), ("bulge", E), (X, E), ("hairpin loop", E), ("hairpin loop", M), ("hairpin loop", E), (X, E), (X, E), (X, E), ("exterior loop", E), ("exterior loop", E)],
-    ".((((...))((...))))..": [("exterior loop", E), *[(X, E)] * 4, ("hairpin loop", E), ("hairpin loop", M), ("hairpin loop", E), *[(X, E)] * 4, ("hairpin loop", E), ("hairpin loop", M), ("hairpin loop", E), *[(X, E)] * 4, ("exterior loop", E), ("exterior loop", E)],
-}
+def roles_of(s):
+    """(role, place, size of its stack or loop) of each site, from pairs and the loops that they close."""
+    opened, mate, inside = [], {}, {None: []}
+    around = []
+    for k, c in enumerate(s):
+        if c == ")":
+            i = opened.pop()
+            mate[i], mate[k] = k, i
+        around.append(opened[-1] if opened else None)
+        if c == "(":
+            inside[around[-1]].append(k)
+            inside[k] = []
+            opened.append(k)
+    out = []
+    for k, c in enumerate(s):
+        if c != ".":
+            i, j = sorted((k, mate[k]))
+            below, above = i, i
+            while mate.get(below + 1) == mate[below] - 1:
+                below += 1
+            while above and mate.get(above - 1) == mate[above] + 1:
+                above -= 1
+            out.append(("stack", "middle" if above < i < below else "end", below - above + 1))
+            continue
+        a, b = k, k
+        while a and s[a - 1] == ".":
+            a -= 1
+        while b < len(s) - 1 and s[b + 1] == ".":
+            b += 1
+        edge, i = k in (a, b), around[k]
+        if i is None:
+            role = "exterior loop"
+        elif len(inside[i]) != 1:
+            role = "multiloop" if inside[i] else "hairpin loop"
+        else:
+            (m,) = inside[i]
+            role = "internal loop" if m > i + 1 and mate[m] < mate[i] - 1 else "bulge"
+        out.append((role, "end" if edge else "middle", b - a + 1))
+    return out
 
 
 def test_roles_and_features(spark):
-    many = "((((..(((....))).(((....)))..)))).."
-    rows = structure.site_features(structures(spark, *ROLES, many)).collect()
-    for name, want in ROLES.items():
-        assert [(r.role, r.place) for r in sorted((r for r in rows if r.structure == name), key=lambda r: r.pos)] == want
-    assert "multiloop" in {r.role for r in rows if r.structure == many}
-    first = {r.pos: r for r in rows if r.structure == "...(((..((...)))))..".strip()}
-    assert first[3].partner == 17 and first[8].partner == 14 and first[3].stack_length == 3 and first[8].stack_length == 2 and first[6].loop_length == 2
+    ours = ["..((..(((...)))..((...))...))", "((.((....)).((...))))", "(((...)))..((((.....))))", "((((..((....)).)).))", ".....((((....))...)).", "(((((....)....)))...)"]
+    known = [*ours, *(r.structure for r in folding.enumerate_structures(spark, 11, True).collect())]
+    rows = {}
+    for r in structure.site_features(structures(spark, *known)).collect():
+        rows.setdefault(r.structure, {})[r.pos] = (r.role, r.place, r.element_length)
+    assert set(rows) == set(known) and len(known) > 50
+    for name, sites in rows.items():
+        assert [sites[k] for k in range(len(name))] == roles_of(name), name
+    assert {role for sites in rows.values() for role, *_ in sites.values()} == {"stack", "bulge", "internal loop", "multiloop", "hairpin loop", "exterior loop"}
 
 
 def test_coarse_graining_and_validity(spark):
-    names = {"(((...))).": "[_]_", ".((.(...)))..": "_[_[_]]_", ".((.(...).))..": "_[_[_]_]_", ".(((...).))..": "_[[_]_]_", "...(((..((...)))))..((....)).": "_[_[_]]_[_]_"}
+    names = {"((...))": "[_]", "..((.((...))))": "_[_[_]]", "((((...)).))": "[[_]_]", "(((..(((...))).)))..": "[_[_]_]_", "((...))((...))": "[_][_]", "((((...))((...))))": "[[_][_]]"}
     assert {r.structure: r.coarse for r in structure.coarse_grain(structures(spark, *names)).collect()} == names
-    ok = {r.structure: (r.valid, r.valid_with_isolated) for r in structure.validity(structures(spark, "...((..((...))))..((...))..", "...((..((...))))..(...)..", "...((..((....)))))..((...)..", "...((..((..))))..((...))..", ".....", "(x)")).collect()}
-    assert list(ok.values()).count((True, True)) == 1 and ok["...((..((...))))..(...).."] == (False, True) and ok["...((..((..))))..((...)).."] == (False, False) and ok["....."] == (False, False)
+    want = {"((....)).((((...)).)).": (True, True), "(....).((...))": (False, True), "((..)).((...))": (False, False), "((...)": (False, False), ".......": (False, False), "(y)": (False, False)}
+    assert {r.structure: (r.valid, r.valid_with_isolated) for r in structure.validity(structures(spark, *want)).collect()} == want
     with pytest.raises(Exception, match="not balanced"):
         structure.base_pairs(structures(spark, "((.)")).collect()
 
 
-def test_components_and_versatility(spark):
-    toy = {(0, 0, 0): "a", (0, 1, 0): "a", (2, 0, 0): "a", (1, 1, 1): "a", (1, 2, 1): "a", (2, 0, 1): "b", (0, 0, 1): "b", (0, 1, 1): "b"}
-    rows = spark.createDataFrame([(code(s), p) for s, p in toy.items()], "code long, structure string")
-    got = components.neutral_components(rows, 3).groupBy("nc_id").count().collect()
-    assert sorted(r["count"] for r in got) == [2, 3, 3]
-    assert components.neutral_edges(rows, 3).count() == 5
-    kept = {(r.code, r.pos): r.versatility for r in components.site_versatility(rows, 3).collect()}
-    assert math.isclose(kept[code((0, 0, 0)), 0], 1 / 3) and kept[code((1, 1, 1)), 0] == 0
+def changed(c, pos, base):
+    """c, a code of three sites, with another base at a site."""
+    return c & ~(3 << 2 * (2 - pos)) | base << 2 * (2 - pos)
+
 
+def near(c):
+    return [(pos, n) for pos in range(3) for b in range(4) if (n := changed(c, pos, b)) != c]
 
-SQUARE = [(1, 0, 1), (1, 1, 1), (1, 0, 2), (3, 1, 1), (1, 1, 2), (3, 1, 2)]
+
+def test_components_and_versatility(spark):
+    labels = np.random.default_rng(8).choice(list("aabc"), 64).tolist()
+    rows = spark.createDataFrame(list(enumerate(labels)), "code long, structure string")
+    part = {}
+    for c in range(64):
+        wave = [c] if c not in part else []
+        while wave:
+            now = wave.pop()
+            part[now] = c
+            wave += [n for _, n in near(now) if n not in part and labels[n] == labels[c]]
+    groups = {}
+    for r in components.neutral_components(rows, 3).collect():
+        groups.setdefault(r.nc_id, set()).add(r.code)
+    want = {c: {k for k in part if part[k] == c} for c in part.values()}
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and len(want) > 3
+    assert components.neutral_edges(rows, 3).count() == sum(labels[c] == labels[n] for c in range(64) for _, n in near(c)) / 2
+    kept = {(r.code, r.pos): r.versatility for r in components.site_versatility(rows, 3).collect()}
+    for c in range(64):
+        for pos in range(3):
+            assert math.isclose(kept[c, pos], sum(p == pos and labels[n] == labels[c] for p, n in near(c)) / 3)
 
 
-@pytest.mark.parametrize(("energies", "plain", "nonzero"), [([2.0, 2.5, 1.8, 2.5, 2.3, 2.3], 0, 0), ([2.0, 2.5, 1.8, 2.5, 2.3, 2.4], 4 / 8, 2 / 6), ([2.0] * 6, 0, None)])
-def test_epistasis(spark, energies, plain, nonzero):
-    rows = spark.createDataFrame([(1, code(s), e) for s, e in zip(SQUARE, energies, strict=True)], "nc_id long, code long, energy double")
+def test_epistasis(spark):
+    rng = np.random.default_rng(4)
+    tenths = {1: {int(c): int(e) for c, e in zip(rng.choice(64, 40, False), rng.integers(0, 3, 40), strict=True)}, 2: dict.fromkeys(range(8), 7)}
+    rows = spark.createDataFrame([(nc, c, e / 10) for nc, held in tenths.items() for c, e in held.items()], "nc_id long, code long, energy double")
     found = epistasis.squares(rows, 3)
-    assert found.count() == 8
-    for ignore, want in ((False, plain), (True, nonzero)):
-        got = epistasis.epistasis_fraction(found, ignore).first().fraction
-        whole = epistasis.epistasis_fractions(rows, 3).first()
-        assert (whole.fraction_nonzero if ignore else whole.fraction) == got
-        assert got is None if want is None else math.isclose(got, want)
+    whole = {r.nc_id: r for r in epistasis.epistasis_fractions(rows, 3).collect()}
+    total = 0
+    for nc, e in tenths.items():
+        corners = [
+            (e[c], e[x], e[y], e[z])
+            for c in e for p in range(3) for q in range(p + 1, 3) for a in range(4) for b in range(4)
+            if (x := changed(c, p, a)) in e and (y := changed(c, q, b)) in e and (z := changed(x, q, b)) in e and c != x and c != y
+        ]
+        total += len(corners)
+        for ignore in (False, True):
+            counted = [k for k in corners if not ignore or (k[1] != k[0] and k[2] != k[0])]
+            want = sum(k[0] + k[3] != k[1] + k[2] for k in counted) / len(counted) if counted else None
+            got = epistasis.epistasis_fraction(found.where(F.col("nc_id") == nc), ignore).first().fraction
+            both = whole[nc].fraction_nonzero if ignore else whole[nc].fraction
+            assert (got, both) == (None, None) if want is None else math.isclose(got, want) and math.isclose(both, want)
+    assert found.count() == total and total > 100
 
 
 def test_additive_model(spark):
-    rows = [("m", dg, [(0.8, 5, 4), (8.5, 10, 3)]) for dg in (5.0, 1.8, 10.0)]
+    classes = [(0.5, 3, 4), (2.0, 4, 3)]
+    rows = [("m", dg, classes) for dg in (0.2, 1.7, 4.3, 50.0)]
     models = spark.createDataFrame(rows, "model string, dg double, classes array<struct<impact: double, sites: int, k: int>>")
-    assert {r.dg: r["size"] for r in additive.additive_set_size(models).collect()} == {5.0: 4**5, 1.8: 1 + 15 + 90, 10.0: 4**5 + 20 * 16}
+    ways = {(n, m): math.comb(3, n) * 3**n * math.comb(4, m) * 2**m for n in range(4) for m in range(5)}
+    want = {dg: sum(w for (n, m), w in ways.items() if n * 0.5 + m * 2.0 <= dg) for _, dg, _ in rows}
+    assert {r.dg: r["size"] for r in additive.additive_set_size(models).collect()} == want
 
 
 def test_additive_model_of_many_sites(spark):
