@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, embedding_dedup, line_dedup, quality, sharding, simhash, token_store, warc
+from . import bpe, chat, decontaminate, embedding_dedup, filter_audit, line_dedup, quality, sharding, simhash, token_store, warc
 from .common import table
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -17,4 +17,5 @@ QUERIES = {
     "op8_decontamination": lambda spark, d: decontaminate.judge_documents(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_warc": lambda spark, d: warc.archive_pages(spark, table(spark, d, "pages")),
     "op10_embedding_near_dedup": lambda spark, d: embedding_dedup.group_vectors(spark, table(spark, d, "embeddings")),
+    "op11_filter_audit": lambda spark, d: filter_audit.audit_documents(spark, table(spark, d, "documents"), table(spark, d, "labels")),
 }

@@ -11,7 +11,7 @@ from .data import SF
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_agrees(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings", "labels"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = db.execute(ORACLE_SQL[name])
     names = [c[0] for c in found.description]
