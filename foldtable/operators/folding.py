@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import BASES
+from .structure_space import enumerate_structures
 
 # Stacking energies (kcal/mol at 37 degrees) of Watson-Crick pairs, as 5'-XY-3' on
 # its complement (Xia et al. 1998); stacks with a GU pair, and loops, have one value each here.
@@ -21,24 +22,6 @@ WOBBLE, HAIRPIN, INNER, MULTI = -1.0, 4.0, 1.5, 2.5
 PAIRED = {(0, 2), (2, 0), (3, 1), (1, 3), (3, 2), (2, 3)}
 
 
-def enumerate_structures(spark, length: int, isolated: bool = False) -> DataFrame:
-    """structure: every structure of a length with a pair, hairpins of three sites at least, and, unless wanted, no lonely pair.
-
-    Prefixes grow by a symbol a round; a prefix that opens more than is left to shut is dropped.
-    """
-    now = spark.createDataFrame([("", 0, 9)], "s string, open int, since int")
-    for k in range(length):
-        symbol = F.explode(F.array(F.lit("."), F.lit("("), F.lit(")"))).alias("c")
-        rows = now.select("*", symbol).where("(c <> ')' or (open > 0 and since >= 3))")
-        step = F.when(F.col("c") == "(", 1).when(F.col("c") == ")", -1).otherwise(0)
-        since = F.when(F.col("c") == "(", 0).when(F.col("c") == ")", 9).otherwise(F.least(F.col("since") + 1, F.lit(9)))
-        now = rows.select(F.concat("s", "c").alias("s"), (F.col("open") + step).alias("open"), since.alias("since")).where(F.col("open") <= length - k - 1)
-    from .structure import validity
-
-    found = validity(now.where(F.col("s").contains("(")).select(F.col("s").alias("structure")))
-    return found.where("valid_with_isolated" if isolated else "valid").select("structure")
-
-
 def not_enumerated(rows: DataFrame, length: int) -> DataFrame:
     """structure: those of rows that enumeration at their length doesn't find."""
     return rows.select("structure").distinct().join(enumerate_structures(rows.sparkSession, length), "structure", "left_anti")
@@ -197,7 +180,7 @@ def sequence_effects(seqs: DataFrame, structures: list[str], least_gap: float =
         ddg, d_mfe, _ = np.concatenate(found, axis=1) / 100
         base = (codes[:, None] >> shift[None, :] & 3 ^ turn[None, :]).ravel()
         names = np.array(structures, object)[best[of]]
-        return pd.DataFrame({"code": codes[of], "structure": names, "mfe": low[of] / 100, "energy_gap": gap[of] / 100, "pos": np.tile(pos, len(codes)), "new_base": base, "ddg_gap": np.round(ddg, 2), "d_mfe": np.round(d_mfe, 2)})
+        return pd.DataFrame({"code": codes[of], "structure": names, "mfe": low[of].astype("float64") / 100, "energy_gap": gap[of].astype("float64") / 100, "pos": np.tile(pos, len(codes)), "new_base": base, "ddg_gap": np.round(ddg, 2), "d_mfe": np.round(d_mfe, 2)})
 
     def run(batches):
         for pdf in batches:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import BASES
-from ..operators import components, ensemble, epistasis, folding, mutate, structure, summary
+from ..operators import components, ensemble, epistasis, folding, mutate, structure, summary, trie_folding
+from ..operators.structure_space import enumerate_structures
 from .define import Queries
 from .fixtures import CODES, ENSEMBLE, MAP, UNFOLDED, L, mix_sql
 from .structure_queries import SITES, STACK
@@ -311,12 +312,12 @@ def _(t):
 @Q.add("enumerate_structures", f"with recursive {grown_sql('select distinct 10 + p_size % 6 as n from part')}, {PAIRED_RUNS} select structure from ok")
 def _(t):
     lengths = sorted(r.n for r in t.raw("part").select((10 + F.col("p_size") % 6).alias("n")).distinct().collect())  # six at most
-    return reduce(DataFrame.unionByName, [folding.enumerate_structures(t.spark, n) for n in lengths])
+    return reduce(DataFrame.unionByName, [enumerate_structures(t.spark, n) for n in lengths])
 
 
 def small(t):
     """The sequences of the map that order keys name: whole map, whole fold."""
-    return t.g.select("code"), folding.structure_list(folding.enumerate_structures(t.spark, L), L)
+    return t.g.select("code"), folding.structure_list(enumerate_structures(t.spark, L), L)
 
 
 def energy_sql() -> str:
@@ -341,8 +342,8 @@ def _(t):
     return folding.fold_by_enumeration(seqs, structures).withColumn("energy", F.col("energy") + 0.0)
 
 
-#: Sites of long sequences: the least at which a multiloop fits is 18, and there are 2,740 structures of 20.
-LONG = 20
+#: Sites of long sequences; there are 760,982 structures of that many.
+LONG = 30
 
 
 @Q.add("long_sequence_effects")
@@ -350,9 +351,10 @@ def _(t):
     from ..operators.sampling import random_sequences
 
     seqs = random_sequences(t.raw("orders").select(F.col("o_orderkey").alias("id")), LONG, 5).select("code").distinct()
-    found = components._kept(folding.enumerate_structures(t.spark, LONG))
-    rows = folding.sequence_effects(seqs.repartition(t.spark.sparkContext.defaultParallelism, "code"), folding.structure_list(found, LONG), 0.001)
-    features = structure.site_features(found).select("structure", "pos", "role", "place", "element_length")
+    dealt = seqs.repartition(4 * t.spark.sparkContext.defaultParallelism, "code")
+    rows = components._kept(trie_folding.trie_effects(dealt, LONG, 0.001))
+    # Features of the structures that occur, not of all there are.
+    features = structure.site_features(rows.select("structure").distinct()).select("structure", "pos", "role", "place", "element_length")
     rows = summary.finite_effects(rows.withColumnRenamed("ddg_gap", "ddg")).join(features, ["structure", "pos"])
     return rows.select("code", "structure", "role", "place", "element_length", F.concat("pos", F.substring(F.lit(BASES), F.col("new_base") + 1, F.lit(1))).alias("mutation"), "ddg")
 
