@@ -40,13 +40,26 @@ def _permuter(seed: int, starts: np.ndarray, rows: int, n_shards: int, inner: li
     return permute
 
 
-def _bucket_sizes(keyed: DataFrame, by_bucket: str, text_col: str, buckets: int) -> tuple[np.ndarray, int]:
-    """Rows of each bucket, and bytes of the largest: a row for each bucket reaches the driver."""
-    counts, largest = np.zeros(buckets, dtype="int64"), 0
-    sizes = keyed.groupBy(by_bucket).agg(F.count("*"), F.sum(utf8_size(F.col(text_col)) + 64))
-    for bucket, n, b in sizes.toLocalIterator():
-        counts[bucket], largest = n, max(largest, b)
-    return counts, largest
+def _bucket_sizes(keyed: DataFrame, by_bucket: str, buckets: int) -> np.ndarray:
+    """Rows of each bucket: a row for each bucket reaches the driver."""
+    counts = np.zeros(buckets, dtype="int64")
+    for bucket, n in keyed.groupBy(by_bucket).count().toLocalIterator():
+        counts[bucket] = n
+    return counts
+
+
+def _numbered_copies(rows: DataFrame, out: str, at_once: int = 4096) -> DataFrame:
+    """rows with `out`, numbers from 0 for rows that repeat each other whole.
+
+    Such rows can't be told apart, so one of each and its count are all that is needed: counts
+    combine before the shuffle, and copies are made again in pieces, in as many tasks as that gives.
+    """
+    n, piece = free_names(rows, "_n", "_piece")
+    counted = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count("*").alias(n))
+    pieces = counted.withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / at_once))))
+    dealt = pieces.repartition(F.xxhash64(piece, *[F.col(f"`{c}`") for c in rows.columns]))
+    last = F.least(F.col(n) - 1, F.col(piece) * at_once + at_once - 1)
+    return dealt.withColumn(out, F.explode(F.sequence(F.col(piece) * at_once, last))).drop(n, piece)
 
 
 def write_shards(
@@ -57,24 +70,29 @@ def write_shards(
 
     Adds `shard` and `slot` (position in its shard, without gaps); columns of those names in df
     are replaced. Null ids and texts are ordinary values. Rows scatter by id and text, so no
-    source and no group of copies makes a bucket large. Only rows equal in both could: where a
-    bucket turns out twice as large as meant, all rows are dealt by their place in the input as
-    well, and written so, that counting and shuffling see one deal. An empty table writes no rows. Buckets
-    hold about `bucket_bytes`; their number follows the data, and so does the only thing kept
-    on the driver, one row count for each bucket.
+    source and no group of copies makes a bucket large. Only rows equal in both could: those
+    whose bytes reach a quarter of a bucket scatter by their other columns and a number among equal rows
+    as well. Where a row goes thus follows from the rows alone, never from how they are partitioned.
+    An empty table writes no rows. Buckets hold about `bucket_bytes`; their number follows the
+    data, and so does what is kept on the driver: one row count for each bucket, and the hashes of
+    such repeated rows, of which there are four for each bucket at most.
     """
     spark = df.sparkSession
     kept = df.drop("shard", "slot")
     size = kept.agg(F.count("*").alias("n"), F.sum(utf8_size(F.col(text_col)) + 64).alias("b")).first()
     buckets = parts_for(spark, size.b, bucket_bytes)
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     inner = by_bucket, by_hash, by_rank = free_names(kept, "_bucket", "_hash", "_rank")
-    keyed = kept.withColumn(by_hash, hashed).withColumn(by_bucket, F.pmod(by_hash, F.lit(buckets)).cast("int"))
-    counts, largest = _bucket_sizes(keyed, by_bucket, text_col, buckets)
-    if largest > 2 * bucket_bytes and size.n > 1:
-        salted = keyed.withColumn(by_hash, F.xxhash64(by_hash, F.monotonically_increasing_id()))
-        keyed = stage(salted.withColumn(by_bucket, F.pmod(by_hash, F.lit(buckets)).cast("int")), "scattered")
-        counts, _ = _bucket_sizes(keyed, by_bucket, text_col, buckets)
+    hashed = kept.withColumn(by_hash, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    groups = hashed.groupBy(by_hash).agg(F.count("*").alias("rows"), F.sum(utf8_size(F.col(text_col)) + 64).alias("bytes"))
+    many = [r[0] for r in groups.where(F.col("rows") > 1).where(F.col("bytes") * 4 >= bucket_bytes).select(by_hash).collect()]
+    if many:
+        # Kept for all that reads the deal, and a list of values rather than a join, so that rows stay where they are.
+        (copy,) = free_names(hashed, "_copy")
+        repeated = F.col(by_hash).isin(many)
+        salted = _numbered_copies(hashed.where(repeated), copy).withColumn(by_hash, F.xxhash64(by_hash, copy, *[F.col(f"`{c}`") for c in kept.columns])).drop(copy)
+        hashed = stage(hashed.where(~repeated).unionByName(salted), "scattered")
+    keyed = hashed.withColumn(by_bucket, F.pmod(by_hash, F.lit(buckets)).cast("int"))
+    counts = _bucket_sizes(keyed, by_bucket, buckets)
     starts = np.cumsum(counts) - counts
 
     schema = kept.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).schema
