@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import new_path, parts_for, utf8_size
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: Code points of a text that ranges of turns are dealt by.
+DEALT_BY = 128
 PLANTED = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -47,18 +49,21 @@ def write_examples(turns: DataFrame, path: str, part_bytes: int = 16 << 20) -> N
     Null text and null role are empty; rows without conv_id form one conversation; rows of equal
     turn are ordered by role and text, and repeated rows are turns like any other. Other columns
     are left out. Turns are dealt by range of (conv_id, turn), so a conversation of any length
-    spans as many tasks as it needs, and running positions come from each task's own sums.
+    spans as many tasks as it needs, and running positions come from each task's own sums. Ties
+    are dealt by role and the text's beginning, and repeated rows of texts that are no longer than
+    that by their place in the input, so that any number of them spans several tasks.
     """
     spark = turns.sparkSession
     total = turns.agg(F.sum(utf8_size(F.col("text")) + 64)).first()[0]
-    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = ["conv_id", "turn", "role", F.xxhash64("text")]
+    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place"))
+    start = F.substring("text", 1, DEALT_BY)
+    deal = ["conv_id", "turn", "role", start, F.when(F.length("text") <= DEALT_BY, F.col("place"))]
     head = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
     body = escape(F.col("text"))
     raw = f"{path}/ordered"
     (
-        clean.repartitionByRange(parts_for(spark, total, part_bytes), *order)
-        .sortWithinPartitions(*order)
+        clean.repartitionByRange(parts_for(spark, total, part_bytes), *deal)
+        .sortWithinPartitions("conv_id", "turn", "role", "text", "place")
         .select(
             "conv_id", F.monotonically_increasing_id().alias("at"), F.spark_partition_id().alias("part"),
             (F.col("role") == "assistant").alias("target"), F.length(head).alias("head_chars"),
