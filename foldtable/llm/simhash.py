@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import byte_lists, free_names, slices, stage, width
 from .components import connected_components, local_roots
-from .line_dedup import row_key
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
 
@@ -101,38 +100,48 @@ def _meet(fps: np.ndarray, spent: np.ndarray, bits: int, half: int, most: int):
 
 
 def _linker(lead: int, radius: int, most: int):
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        fps = whole["fp"].to_numpy().view("uint64")
-        spent = whole["spent"].to_numpy().astype("int64")
+    def of_bucket(fps: np.ndarray, spent: np.ndarray):
         links = [np.zeros((2, 0), "int64")]
-        for i, j in _meet(fps, spent, BITS - lead, radius // 2, most):
+        for i, j in _meet(fps, spent, BITS - lead, (radius + 1) // 2, most):
             near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
             links.append(np.stack([i[near], j[near]]))
         a, b = np.concatenate(links, axis=1)
         root = local_roots(len(fps), a, b)
         moved = np.flatnonzero(root != np.arange(len(fps)))
-        yield pa.RecordBatch.from_arrays([pa.array(fps[root[moved]].view("int64")), pa.array(fps[moved].view("int64"))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(fps[root[moved]].view("int64")), pa.array(fps[moved].view("int64"))], ["a", "b"])
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held)
+        order = np.argsort(buckets := whole["bucket"].to_numpy(), kind="stable")
+        buckets, fps = buckets[order], whole["fp"].to_numpy()[order].view("uint64")
+        spent = whole["spent"].to_numpy()[order].astype("int64")
+        cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield of_bucket(fps[a:b], spent[a:b])
 
     return run
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket_variants: int = 1 << 21) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket_variants: int = 1 << 21, partition_rows: int = 1 << 20) -> DataFrame:
     """Edges (a, b) that connect just those fp of `distinct` that links of at most `radius` bits connect.
 
-    A bucket returns a spanning forest of its links, never all pairs of a group.
+    A bucket returns a spanning forest of its links, never all pairs of a group. Where the radius is
+    odd, variants go one bit beyond its half, as both sides together must cover it; the distance
+    decides. A partition takes several buckets, as many as `partition_rows` emitted rows make up.
     """
-    spark, half = distinct.sparkSession, radius // 2
-    variants = distinct.count() * sum(math.comb(BITS, k) for k in range(half + 1))
+    spark, half, rows = distinct.sparkSession, (radius + 1) // 2, distinct.count()
+    variants = rows * sum(math.comb(BITS, k) for k in range(half + 1))
     lead = max(1, math.ceil(math.log2(max(2, width(spark)))), math.ceil(math.log2(max(1, variants / bucket_variants))))
     flips = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(m.bit_count()).alias("spent")) for m in _masks(lead, half)])
     emitted = distinct.select("fp", F.explode(flips).alias("f"))
     bucket = F.shiftrightunsigned("fp", BITS - lead).bitwiseXOR(F.col("f.mask"))
     keyed = emitted.select(bucket.cast("int").alias("bucket"), "fp", F.col("f.spent").alias("spent"))
-    return keyed.repartitionById(1 << lead, F.col("bucket")).mapInArrow(_linker(lead, radius, 2 * bucket_variants), "a long, b long")
+    emitted_rows = rows * sum(math.comb(lead, k) for k in range(half + 1))
+    parts = min(1 << lead, max(width(spark), math.ceil(emitted_rows / partition_rows)))
+    return keyed.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).mapInArrow(_linker(lead, radius, 2 * bucket_variants), "a long, b long")
 
 
 def _with_component(classes: DataFrame, radius: int) -> DataFrame:
@@ -158,17 +167,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component of docs: that of the smallest doc_id and, where rows share it, row_key; of repeated rows one stays.
+    """One row of each component of docs: that of the smallest doc_id and, where rows share it, of the smallest key of all columns; of rows that repeat whole one stays.
 
     Rows without doc_id can't be named as anyone's copy, and stay.
     """
-    rows = fingerprints(docs.select("doc_id", row_key().alias("rid"), "text"), "rid")
+    whole = lambda: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = fingerprints(docs.select("doc_id", whole().alias("rid"), "text"), "rid")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "rid")))
     classes = stage(rows.groupBy("fp").agg(least.alias("least")), "simhash-classes")
     kept = _with_component(classes, radius).groupBy("component").agg(F.min("least").alias("least"))
     own, doc, row = free_names(docs, "_own", "_doc", "_row")
     kept = stage(kept.select(F.col("least.doc_id").alias(doc), F.col("least.rid").alias(row)), "simhash-kept")
-    keyed = docs.withColumn(own, row_key())
+    keyed = docs.withColumn(own, whole())
     named = keyed.join(kept, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(row)), "left_semi")
     return named.dropDuplicates(["doc_id", own]).drop(own).unionByName(docs.where("doc_id is null"))
 
