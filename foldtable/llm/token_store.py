@@ -144,7 +144,7 @@ def _encode(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, part_bytes: int = 32 << 20) -> None:
     """Write the ids of every text of docs (doc_id, text), each followed by `end_id`, to `path`.
 
-    Files are in ascending doc_id order: nulls first, rows of equal id ordered by text. Null text
+    Files are in ascending doc_id order: nulls first, rows of equal id in the order of a hash of their text. Null text
     is empty, and an empty text has the end id alone. Rows that repeat each other are told apart
     by their place in the input, so that any number of them spans several files. Other columns are
     left out. An empty table writes no rows.

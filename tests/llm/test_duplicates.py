@@ -89,6 +89,25 @@ def test_ball_links_are_complete_and_sound(spark):
         assert got == want
 
 
+def test_every_radius_links_all(spark):
+    """Pairs that differ by just 1 to 6 bits link at every radius that covers them, odd ones too."""
+    rng = random.Random(6)
+    pairs = [(f := rng.getrandbits(63), f ^ sum(1 << k for k in rng.sample(range(63), d)), d) for d in range(1, 7) for _ in range(12)]
+    frame = spark.createDataFrame([(x,) for p in pairs for x in p[:2]], "fp long").distinct()
+    for radius in range(1, 6):
+        for rows in (1 << 20, 50):
+            got = {frozenset((r.a, r.b)) for r in simhash.link_fingerprints(frame, radius, bucket_variants=4000, partition_rows=rows).collect()}
+            assert got == {frozenset((a, b)) for a, b, d in pairs if d <= radius}
+
+
+def test_rows_that_differ_in_other_columns_alone(spark):
+    """Of rows of one id and text the same one stays, however they are dealt."""
+    rows = [(1, "a b c", f"s{k}", k) for k in range(6)] + [(2, "a b c", "t", 0)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, rid int")
+    kept = [simhash.keep_one(docs.repartition(n, *by)).collect() for n, by in ((1, ()), (7, ("source",)), (3, ("rid",)))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
+
+
 def test_full_buckets_split():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 3, dtype="uint64")

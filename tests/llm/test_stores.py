@@ -68,6 +68,14 @@ def test_shards_of_rows_that_repeat(spark):
     assert buckets > 30 and most_in_a_file(spark, path) < 200
 
 
+def test_shards_follow_from_the_rows_alone(spark):
+    """However the input is partitioned, and whatever repeats: equal rows, and rows of one id and text that differ elsewhere."""
+    rows = spark.range(2000).selectExpr("if(id % 3 = 0, 5, id) as doc_id", "if(id % 3 = 0, repeat('x', 100), string(id)) as text", "if(id % 6 = 0, id, 7) as more")
+    for size in (5_000, 24 << 20):
+        outs = [sharding.write_shards(df, common.new_path(spark, "t"), bucket_bytes=size).select("doc_id", "text", "more", "shard", "slot") for df in (rows.coalesce(1), rows.repartition(9))]
+        assert sorted(map(tuple, outs[0].collect())) == sorted(map(tuple, outs[1].collect()))
+
+
 def check_tokens(rows, docs):
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     coder.no_truncation(), coder.no_padding()
@@ -160,6 +168,20 @@ def test_chat_of_awkward_rows(spark):
     assert chat.format_conversations(spark, turns.limit(0)).count() == 1
 
 
+def test_turns_that_tie(spark):
+    """Of one conversation and turn: by role, then by the whole text, however long what they begin with."""
+    texts = [*"lkjihgfedcba", *["p" * 300 + c for c in "zyx"], "p" * 300, *["same"] * 9]
+    turns = spark.createDataFrame([(1, 0, r, t) for t in texts for r in ("user", "assistant")], "conv_id long, turn long, role string, text string")
+    (row,) = chat.format_conversations(spark, turns.repartition(5)).where("conv_id = 1").collect()
+    said = "".join(f"{r}\n{t}\n" for r in ("assistant", "user") for t in sorted(texts))
+    assert row.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    path = common.new_path(spark, "t")
+    many = spark.range(4000).selectExpr("1L as conv_id", "if(id % 2 = 0, 3L, id) as turn", "'user' as role", "if(id % 2 = 0, 'again', string(id)) as text")
+    chat.write_examples(many, path, part_bytes=5_000)
+    assert most_in_a_file(spark, f"{path}/ordered") < 400
+    assert [r.seq for r in spark.read.parquet(f"{path}/segments").orderBy("seq").collect()] == list(range(4000))
+
+
 def test_rendered_examples(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "so"), (1, 3, "assistant", "bc")], "conv_id long, turn long, role string, text string")
     path = common.new_path(spark, "t")
