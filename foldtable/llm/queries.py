@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, embedding_dedup, filter_audit, line_dedup, quality, sharding, simhash, spelling, token_store, warc
+from . import bpe, chat, decontaminate, embedding_dedup, filter_audit, license_scan, line_dedup, quality, sharding, simhash, spelling, token_store, warc
 from .common import table
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -19,4 +19,5 @@ QUERIES = {
     "op10_embedding_near_dedup": lambda spark, d: embedding_dedup.group_vectors(spark, table(spark, d, "embeddings")),
     "op11_filter_audit": lambda spark, d: filter_audit.audit_documents(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op12_spelling": lambda spark, d: spelling.group_spellings(spark, table(spark, d, "documents")),
+    "op13_license_scan": lambda spark, d: license_scan.scan_licenses(spark, table(spark, d, "documents")),
 }
