@@ -5,7 +5,10 @@ Each stage works on all that the one before it kept, written as Parquet in betwe
 1. quality classifier: documents that score below its cut go;
 2. line dedup: of equal and near-equal lines the first stays; a document of which no line is left
    goes, as all of it stands elsewhere;
-3. SimHash near-dedup: of each group the document with the smallest id stays;
+3. SimHash near-dedup: of each group the document with the smallest id stays. Within 4 of 64 bits
+   lie copies and all but exact copies; documents that share four fifths of their shingles differ in about
+   ten bits, which is beyond any radius whose variants can be spelled out. What near copies share
+   by lines has gone in stage 2;
 4. benchmark decontamination: contaminated documents go, and longer passages are cut from the others;
 5. BPE: the ids of every document, checked by decoding them.
 """
@@ -25,9 +28,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def thin_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    thinned = line_dedup.dedup_lines(docs).where((F.col("n_kept") > 0) | (F.col("n_lines") == 0))
+    clash = [c for c in docs.columns if c.lower() in ("n_lines", "n_kept")]
+    held = dict(zip(clash, free_names(docs, *[f"_{c}" for c in clash]), strict=True))
+    thinned = line_dedup.dedup_lines(docs.withColumnsRenamed(held)).where((F.col("n_kept") > 0) | (F.col("n_lines") == 0))
     cut = F.col("n_kept") < F.col("n_lines")
-    return thinned.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    sized = thinned.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return sized.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
