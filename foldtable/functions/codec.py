@@ -59,7 +59,7 @@ def structure_to_code(structure: Column) -> Column:
 
 
 def code_to_structure(code: Column) -> Column:
-    """The structure of an integer; an even number of bits, or the pair 11, is an error."""
+    """The structure of an integer, null of null; an even number of bits, or the pair 11, is an error."""
     bits = F.conv(code.cast("string"), 10, 2)
     tail = F.substring(bits, F.lit(2), F.length(bits))
     n = (F.length(tail) / 2).cast("int")
@@ -67,7 +67,7 @@ def code_to_structure(code: Column) -> Column:
     symbol = lambda k: F.element_at(F.create_map(*[F.lit(x) for s, two in SYMBOLS.items() for x in (two, s)]), F.substring(tail, 2 * k + 1, F.lit(2)))
     joined = F.array_join(F.transform(steps, symbol), "")
     odd = (F.length(tail) % 2 == 1) | (F.length(joined) < n)
-    return F.when(odd, F.raise_error(F.concat(F.lit("no structure: "), code.cast("string")))).otherwise(joined)
+    return F.when(odd, F.raise_error(F.concat(F.lit("no structure: "), code.cast("string")))).when(code.isNotNull(), joined)
 
 
 def is_unfolded(code: Column) -> Column:

@@ -12,10 +12,11 @@ def additive_set_size(models: DataFrame) -> DataFrame:
     classes: array of structs (impact, sites, k) in order. For each class n mutations are taken,
     up to what stability is left for (all sites where the impact isn't positive), in
     C(sites, n) (k-1)^n ways, and cost n impacts. States that leave equal stability are merged,
-    so a class multiplies states by its sites at most.
+    so a class multiplies states by its sites at most. A model that is repeated has one row; models of one
+    name and stability with other classes have rows of their own.
     """
     depth = models.agg(F.max(F.size("classes"))).first()[0] or 0
-    now = models.select("model", "dg", "classes", F.col("dg").alias("rest"), F.lit(1.0).alias("ways"))
+    now = models.select("model", "dg", "classes").distinct().select("model", "dg", "classes", F.col("dg").alias("rest"), F.lit(1.0).alias("ways"))
     for k in range(depth):
         c = F.try_element_at("classes", F.lit(k + 1))
         allowed = F.when(c["impact"] > 0, F.least(F.floor(F.abs("rest") / c["impact"]), c["sites"])).otherwise(c["sites"])
@@ -25,10 +26,11 @@ def additive_set_size(models: DataFrame) -> DataFrame:
         chosen = F.aggregate(steps, F.lit(1.0), lambda x, i: x * (F.col("c.sites") - F.col("n") + i) / i)
         ways = F.when(F.col("c").isNull(), 1.0).otherwise(chosen * F.pow(F.col("c.k") - 1, F.col("n")))
         # Not rounded: how often an impact fits into what is left is decided by the very doubles.
-        rest = F.when(F.col("c").isNull(), F.col("rest")).otherwise(F.col("rest") - F.col("n") * F.col("c.impact"))
+        # No mutation costs nothing, even of a class whose impact is infinite.
+        rest = F.when(F.col("c").isNull() | (F.col("n") == 0), F.col("rest")).otherwise(F.col("rest") - F.col("n") * F.col("c.impact"))
         rows = rows.select("model", "dg", "classes", rest.alias("rest"), (F.col("ways") * ways).alias("ways"))
         now = rows.groupBy("model", "dg", "classes", "rest").agg(F.sum("ways").alias("ways"))
-    return now.groupBy("model", "dg").agg(F.sum("ways").alias("size"))
+    return now.groupBy("model", "dg", "classes").agg(F.sum("ways").alias("size")).drop("classes")
 
 
 def lookup_params(parameters: DataFrame) -> DataFrame:

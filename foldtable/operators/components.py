@@ -1,15 +1,17 @@
 """Neutral components, edges and versatility by site groups.
 
 Sequences of one structure that agree outside one site are all neighbours, so a group on
-(structure, site, code with the site masked) holds at most four members and replaces a join.
+(structure, site, code with the site masked) holds at most four members and replaces a join. Which
+members it has is four bits, that combine before the shuffle and to which repeated rows add nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import new_path
+from ..functions.codec import base_at
+from ..sources.tables import drop_path, new_path
 from .mutate import site_groups
 
 
@@ -20,33 +22,85 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _drop(*kept: DataFrame) -> None:
+    """Deletes the files of _kept frames that nothing reads any more."""
+    for df in kept:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            drop_path(df.sparkSession, folder)
+
+
+def base_groups(seqs: DataFrame, length: int) -> DataFrame:
+    """structure, pos, masked, bases: which of the four bases (bit b for base b) sequences of a structure have at a site, all else being equal."""
+    rows = site_groups(seqs.select("structure", "code"), length)
+    bit = F.call_function("shiftleft", F.lit(1), base_at(F.col("code"), F.col("pos"), length))
+    return rows.groupBy("structure", "pos", "masked").agg(F.bit_or(bit).alias("bases"))
+
+
+def _members(length: int) -> Column:
+    """Codes of the members of a group, ascending."""
+    place = (2 * (F.lit(length - 1) - F.col("pos"))).cast("int")
+    there = F.filter(F.array(*[F.lit(b).cast("long") for b in range(4)]), lambda b: F.call_function("shiftright", F.col("bases"), b.cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return F.transform(there, lambda b: F.col("masked").bitwiseOR(F.call_function("shiftleft", b, place)))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """structure, node, label of all ends of edges (structure, a < b): the smallest code that edges lead to, for ends that aren't that themselves.
+
+    Each round moves a label to its smallest neighbour, jumps twice, and rewrites the edges; those
+    within one label go, so what is shuffled falls from round to round and components that are
+    done take no part.
+    """
+    moves, now = [], _kept(edges)
+    keys = ["structure"]
+    while not now.isEmpty():
+        low = _kept(now.groupBy(*keys, F.col("b").alias("node")).agg(F.min("a").alias("to")))
+        for _ in range(2):
+            ahead = low.select(*keys, F.col("node").alias("to"), F.col("to").alias("far"))
+            jumped = _kept(low.join(ahead, [*keys, "to"], "left").select(*keys, "node", F.coalesce("far", "to").alias("to")))
+            _drop(low)
+            low = jumped
+        at = lambda end: low.select(*keys, F.col("node").alias(end), F.col("to").alias(f"to_{end}"))
+        moved = now.join(at("a"), [*keys, "a"], "left").join(at("b"), [*keys, "b"], "left").select(*keys, F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+        new = _kept(moved.where("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        _drop(now)
+        moves.append(low)
+        now = new
+    _drop(now)
+    if not moves:
+        return edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("label")).limit(0)
+    found = moves.pop().withColumnRenamed("to", "label")
+    while moves:
+        earlier = moves.pop()
+        ahead = found.select(*keys, F.col("node").alias("to"), "label")
+        # A node that others moved to while it moved itself comes again, as their label.
+        later = found.join(earlier.select(*keys, "node"), [*keys, "node"], "left_anti").select(*keys, "node", "label")
+        merged = _kept(earlier.join(ahead, [*keys, "to"], "left").select(*keys, "node", F.coalesce("label", "to").alias("label")).unionByName(later))
+        _drop(earlier, found)
+        found = merged
+    return found
+
+
 def neutral_components(seqs: DataFrame, length: int) -> DataFrame:
     """seqs (code, structure) with nc_id, the smallest code that neutral point mutations reach.
 
-    Each round finds the smallest label around every member, hooks whole classes of labels onto
-    it, and jumps twice, so the number of rounds grows with the logarithm of a path's length.
+    Sequences are dealt to site groups once; each group links its members to its smallest. Repeated
+    rows are one; a null structure is a structure of its own; no rows give none.
     """
-    now = _kept(seqs.select("code", "structure").distinct().withColumn("label", F.col("code")))
-    while True:
-        group = Window.partitionBy("structure", "pos", "masked")
-        around = site_groups(now, length).withColumn("low", F.min("label").over(group))
-        hooks = _kept(around.groupBy("label").agg(F.min("low").alias("to")).where("`to` < label"))
-        if hooks.isEmpty():
-            return now.select("code", "structure", F.col("label").alias("nc_id"))
-        for _ in range(2):
-            ahead = hooks.select(F.col("label").alias("to"), F.col("to").alias("far"))
-            hooks = hooks.join(ahead, "to", "left").select("label", F.coalesce("far", "to").alias("to"))
-        now = _kept(now.join(hooks, "label", "left").select("code", "structure", F.coalesce("to", "label").alias("label")))
+    members = base_groups(seqs.withColumn("structure", F.coalesce("structure", F.lit(""))), length).withColumn("m", _members(length)).where(F.size("m") > 1)
+    edges = members.select("structure", F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 3)).alias("b"))
+    labels = _contracted(edges).select(F.col("structure").alias("_s"), F.col("node").alias("_c"), "label")
+    same = (F.coalesce("structure", F.lit("")) == F.col("_s")) & (F.col("code") == F.col("_c"))
+    return seqs.select("code", "structure").distinct().join(labels, same, "left").select("code", "structure", F.coalesce("label", "code").alias("nc_id"))
 
 
 def neutral_edges(seqs: DataFrame, length: int) -> DataFrame:
-    """structure, code_a < code_b of neighbouring sequences of equal structure."""
-    groups = site_groups(seqs.select("code", "structure"), length).groupBy("structure", "pos", "masked").agg(F.array_sort(F.collect_list("code")).alias("m"))
+    """structure, code_a < code_b of neighbouring sequences of equal structure, each once."""
+    groups = base_groups(seqs, length).withColumn("m", _members(length)).where(F.size("m") > 1)
     pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return groups.where(F.size("m") > 1).select("structure", F.explode(pairs).alias("e")).select("structure", F.col("e.a").alias("code_a"), F.col("e.b").alias("code_b"))
+    return groups.select("structure", F.explode(pairs).alias("e")).select("structure", F.col("e.a").alias("code_a"), F.col("e.b").alias("code_b"))
 
 
 def site_versatility(seqs: DataFrame, length: int) -> DataFrame:
-    """code, structure, pos, versatility: the share of the three mutants that keep the structure."""
-    group = Window.partitionBy("structure", "pos", "masked")
-    return site_groups(seqs.select("code", "structure"), length).select("code", "structure", "pos", ((F.count("*").over(group) - 1) / 3).alias("versatility"))
+    """code, structure, pos, versatility: the share of the three mutants that keep the structure; repeated rows are one."""
+    groups = base_groups(seqs, length)
+    return groups.select(F.explode(_members(length)).alias("code"), "structure", "pos", ((F.bit_count("bases") - 1) / 3).alias("versatility"))

@@ -26,17 +26,27 @@ def _dg(p: Column) -> Column:
 def stability(ensemble: DataFrame) -> DataFrame:
     """code, structure (of lowest energy; ties by text), mfe, energy_gap (null without a second), dg_boltz.
 
-    One shuffle: each sequence keeps its lowest two and a sum of weights relative to its lowest.
+    One shuffle of the distinct rows, which combine before it: repeated rows count once. A
+    sequence's energies are held together, as many as it can form structures.
     """
-    two = F.slice(F.array_sort(F.collect_list(F.struct("energy", "structure"))), 1, 2)
-    all_of = F.collect_list("energy")
-    rows = ensemble.groupBy("code").agg(two.alias("two"), all_of.alias("e"))
-    rows = rows.select("code", F.element_at("two", 1).alias("low"), F.try_element_at("two", F.lit(2)).alias("next"), "e")
-    weights = F.aggregate("e", F.lit(0.0), lambda s, x: s + F.exp((F.col("low.energy") - x) / KT))
+    rows = ensemble.groupBy("code").agg(F.array_sort(F.collect_set(F.struct("energy", "structure"))).alias("all"))
+    low, second = F.element_at("all", 1), F.try_element_at("all", F.lit(2))
+    rows = rows.select("code", low.alias("low"), second.alias("next"), "all")
+    weights = F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp((F.col("low.energy") - x["energy"]) / KT))
     p = 1 / weights
     return rows.select("code", F.col("low.structure").alias("structure"), F.col("low.energy").alias("mfe"), (F.col("next.energy") - F.col("low.energy")).alias("energy_gap"), _dg(p).alias("dg_boltz"))
 
 
+def forms(ensemble: DataFrame) -> DataFrame:
+    """code, m_forms: the energy and Boltzmann weight p of every structure of a sequence, as a map; repeated rows count once."""
+    rows = ensemble.where("structure is not null").groupBy("code").agg(F.collect_set(F.struct("structure", "energy")).alias("all"))
+    rows = rows.withColumn("low", F.array_min(F.transform("all", lambda x: x["energy"])))
+    weight = lambda x: F.exp((F.col("low") - x["energy"]) / KT)
+    rows = rows.withColumn("total", F.aggregate("all", F.lit(0.0), lambda s, x: s + weight(x)))
+    entry = lambda x: F.struct(x["structure"], F.struct(x["energy"].alias("energy"), (weight(x) / F.col("total")).alias("p")))
+    return rows.select("code", F.map_from_entries(F.transform("all", entry)).alias("m_forms"))
+
+
 def probabilities(ensemble: DataFrame) -> DataFrame:
     """ensemble with p, the Boltzmann weight of each structure of a sequence."""
     own = Window.partitionBy("code")
@@ -72,7 +82,7 @@ def ddg_table(stable: DataFrame, ensemble: DataFrame, length: int, unfolded: str
     """code, pos, new_base, mutant and the three effects of every point mutation of folded sequences.
 
     The wild type's structure is held fixed. Mutants that aren't in `stable` are left out. One
-    join brings the mutant's stored values, one the energy of the old structure in the mutant.
+    join brings the mutant's stored values and all its structures, among which the old one is looked up.
     """
     wild = stable.where(F.col("structure") != unfolded)
     rows = with_effects(point_neighbours(wild, length), stable, ensemble)
@@ -81,12 +91,13 @@ def ddg_table(stable: DataFrame, ensemble: DataFrame, length: int, unfolded: str
 
 def with_effects(rows: DataFrame, stable: DataFrame, ensemble: DataFrame) -> DataFrame:
     """rows (columns of stable, mutant, ...) with the three effects of the change from code to mutant, the structure held fixed."""
-    mutant = stable.select(F.col("code").alias("mutant"), *[F.col(c).alias(f"m_{c}") for c in ("structure", "mfe", "energy_gap", "dg_boltz")])
-    held = probabilities(ensemble).select(F.col("code").alias("mutant"), "structure", F.col("energy").alias("held"), F.col("p").alias("held_p"))
-    rows = rows.join(mutant, "mutant").join(held, ["mutant", "structure"], "left")
+    kept = ("structure", "mfe", "energy_gap", "dg_boltz")
+    side = stable.select("code", *[F.col(c).alias(f"m_{c}") for c in kept]).join(forms(ensemble), "code").withColumnRenamed("code", "mutant")
+    held = F.try_element_at("m_forms", F.col("structure"))
+    rows = rows.join(side, "mutant").withColumn("held", held["energy"]).withColumn("held_p", held["p"])
     same, fits = F.col("m_structure") == F.col("structure"), F.col("held").isNotNull()
     gap = F.when(same, F.col("m_energy_gap") - F.col("energy_gap")).when(fits, F.col("m_mfe") - F.col("held") - F.col("energy_gap")).otherwise(F.lit(-INF))
     boltz = F.when(same, F.col("m_dg_boltz") - F.col("dg_boltz")).when(fits, _dg(F.col("held_p")) - F.col("dg_boltz")).otherwise(F.lit(-INF))
     mfe = F.when(same, F.col("m_mfe") - F.col("mfe")).when(fits, F.col("held") - F.col("mfe")).otherwise(F.lit(INF))
     found = rows.withColumns({"ddg_gap": gap, "ddg_boltz": boltz, "d_mfe": mfe})
-    return found.drop("held", "held_p", *[f"m_{c}" for c in ("structure", "mfe", "energy_gap", "dg_boltz")])
+    return found.drop("held", "held_p", "m_forms", *[f"m_{c}" for c in kept])

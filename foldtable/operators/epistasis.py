@@ -23,10 +23,13 @@ def _groups(members: DataFrame, length: int) -> DataFrame:
 
     m has a struct (cell, c, s) for each, cell being 4 times the base at pos1 plus that at pos2; a
     group has sixteen members at most. A corner of a square has a neighbour in its component
-    at both sites, so only pairs of such sites of a sequence are dealt out.
+    at both sites, so only pairs of such sites of a sequence are dealt out. A member that is
+    repeated is one, with the lowest of its energies.
     """
-    near = site_groups(members, length).withColumn("n", F.count("*").over(Window.partitionBy("nc_id", "pos", "masked"))).where("n > 1")
-    bits = near.groupBy("nc_id", "code").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos"))).alias("bits"), F.first("energy").alias("energy"))
+    group = Window.partitionBy("nc_id", "pos", "masked")
+    near = site_groups(members, length).withColumn("alone", F.min("code").over(group) == F.max("code").over(group)).where(~F.col("alone"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos"))
+    bits = near.groupBy("nc_id", "code").agg(F.bit_or(bit).alias("bits"), F.min("energy").alias("energy"))
     at = F.filter(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.call_function("shiftright", F.col("bits"), k).bitwiseAND(F.lit(1)) == 1)
     sites = bits.select("nc_id", "code", "energy", at.alias("at")).where(F.size("at") > 1)
     pair = F.flatten(F.transform("at", lambda i: F.transform(F.filter("at", lambda j: j > i), lambda j: F.struct(i.alias("pos1"), j.alias("pos2")))))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import BASES
+from .components import _kept
 from .structure_space import enumerate_structures
 
 # Stacking energies (kcal/mol at 37 degrees) of Watson-Crick pairs, as 5'-XY-3' on
@@ -200,39 +201,71 @@ def _dice(*parts) -> np.ndarray:
     return x
 
 
-def _walk(codes: np.ndarray, draws: np.ndarray, lowest: Lowest, pairs: list, length: int, steps: int, seed: int):
-    """Structure, path and number of steps of all walks, which visit site after site together."""
-    mine, n = lowest(codes), len(codes)
-    partner = np.full((n, length), -1)
+def _chosen(code: int, draw: int, steps: int, every: int, seed: int) -> list[int]:
+    """Which steps of a walk are kept: steps // every of them, without replacement; its start alone if that is none."""
+    if steps < every:
+        return [0]
+    order = np.argsort(_dice(seed + 1, code, draw, np.arange(steps)), kind="stable")
+    return np.sort(order[: steps // every]).tolist()
+
+
+#: A walker, or a step that is kept (`step` not null): of a walker, `taken` steps to `now`, `idle` turns without a move, the steps to keep and how many of them are.
+WALKERS = "code long, draw long, mine int, now long, taken long, idle int, chosen array<long>, kept int, step long, walked long, complete boolean"
+
+
+def _advance(pdf: pd.DataFrame, lowest: Lowest, pairs: list, length: int, steps: int, seed: int, first: int, turns: int) -> pd.DataFrame:
+    """Walkers after `turns` turns from turn `first` on, with the steps that are kept; walkers at their end are left out."""
+    codes, draws, mine = (pdf[c].to_numpy("int64") for c in ("code", "draw", "mine"))
+    now, taken, idle, kept = (pdf[c].to_numpy("int64").copy() for c in ("now", "taken", "idle", "kept"))
+    chosen = np.array(pdf["chosen"].tolist(), "int64").reshape(len(pdf), -1)
+    chosen = np.column_stack([chosen, np.full(len(pdf), -1)])  # no step is -1
+    partner = np.full((len(pdf), length), -1)
     for k, m in enumerate(mine.tolist()):
         for a, b in pairs[m].tolist():
             partner[k, a], partner[k, b] = b, a
     put = lambda c, pos, b: c & ~(np.int64(3) << 2 * (length - 1 - pos)) | np.int64(b) << 2 * (length - 1 - pos)
-    path, taken, idle = np.zeros((n, steps), "int64"), np.ones(n, "int64"), np.zeros(n, "int64")
-    path[:, 0], most, turn = codes, np.iinfo("uint64").max, 0
-    live = np.arange(n) if steps > 1 else np.zeros(0, "int64")
-    while len(live):
-        pos, now = turn % length, path[live, taken[live] - 1]
+    found, most = [], np.iinfo("uint64").max
+
+    def keep(at: np.ndarray, step: np.ndarray, walked: np.ndarray) -> None:
+        hit = chosen[at, kept[at]] == step
+        found.append((at[hit], step[hit], walked[hit]))
+        kept[at[hit]] += 1
+
+    live = np.arange(len(pdf)) if steps > 1 else np.zeros(0, "int64")
+    for turn in range(first, first + turns):
+        if not len(live):
+            break
+        pos, here = turn % length, now[live]
         other = partner[live, pos]
-        single = np.stack([put(now, pos, min(b, 3)) for b in range(6)], axis=1)
-        double = np.stack([put(put(now, pos, a), np.maximum(other, 0), b) for a, b in sorted(PAIRED)], axis=1)
+        single = np.stack([put(here, pos, min(b, 3)) for b in range(6)], axis=1)
+        double = np.stack([put(put(here, pos, a), np.maximum(other, 0), b) for a, b in sorted(PAIRED)], axis=1)
         options = np.where(other[:, None] >= 0, double, single)
-        fits = (options != now[:, None]) & ((other[:, None] >= 0) | (np.arange(6) < 4))
+        fits = (options != here[:, None]) & ((other[:, None] >= 0) | (np.arange(6) < 4))
         row, col = np.nonzero(fits)
         fits[row, col] = lowest(options[row, col]) == mine[live[row]]
         order = np.where(fits, _dice(seed, codes[live, None], draws[live, None], turn, np.arange(6)), most)
         moved = fits.any(axis=1)
         at = live[moved]
-        path[at, taken[at]] = options[moved, order[moved].argmin(axis=1)]
+        # A start that moves counts as a step; one that can't is all there is of its walk.
+        fresh = at[taken[at] == 1]
+        keep(fresh, np.zeros(len(fresh), "int64"), now[fresh])
+        now[at] = options[moved, order[moved].argmin(axis=1)]
+        keep(at, taken[at], now[at])
         taken[at] += 1
         idle[live] += 1
         idle[at] = 0
         live = live[(taken[live] < steps) & (idle[live] < length)]
-        turn += 1
-    return mine, path, taken
+    stuck = np.flatnonzero((taken == 1) & ((idle >= length) | (steps <= 1)))
+    found.append((stuck, np.zeros(len(stuck), "int64"), now[stuck]))
+    who, step, walked = (np.concatenate(c) for c in zip(*found, strict=True))
+    samples = pd.DataFrame({"code": codes[who], "draw": draws[who], "mine": mine[who], "step": step, "walked": walked, "complete": (taken[who] > 1) | (steps <= 1)})
+    state = pdf.iloc[live].assign(now=now[live], taken=taken[live], idle=idle[live], kept=kept[live])
+    empty = {"now": None, "taken": None, "idle": None, "chosen": None, "kept": None}
+    rows = pd.concat([samples.assign(**empty), state.assign(step=None, walked=None, complete=None)], ignore_index=True).astype(object)
+    return rows[[c.split()[0] for c in WALKERS.split(", ")]].where(lambda x: x.notna(), None)
 
 
-def neutral_walks(starts: DataFrame, structures: list[str], steps: int, every: int, seed: int, together: int = 500) -> DataFrame:
+def neutral_walks(starts: DataFrame, structures: list[str], steps: int, every: int, seed: int, together: int = 500, turns: int = 2600) -> DataFrame:
     """code, draw, structure, step, walked, complete of site-scanning walks, every `every`-th of `steps` neutral steps.
 
     starts: code and, where several walks start at a code, draw. Sites are visited in turn; at an
@@ -241,23 +274,35 @@ def neutral_walks(starts: DataFrame, structures: list[str], steps: int, every: i
     scan of all sites finds no neutral move. Moves can be undone, so then the start itself has
     none: it is the one row, and not complete. `together` walks of a task advance at once; a
     walk is decided by its start, its draw and the seed alone.
+
+    Walkers are a table that is written after every `turns` turns, with the steps that are kept, which are
+    chosen beforehand: no path is held, and a lost executor costs a round of its walks.
     """
     energies = Energies(structures)
     lowest = Lowest(energies)
 
-    def walks(codes: np.ndarray, draws: np.ndarray) -> pd.DataFrame:
-        mine, path, taken = _walk(codes, draws, lowest, energies.pairs, energies.length, steps, seed)
-        rows = []
-        for k, n in enumerate(taken.tolist()):
-            order = np.argsort(_dice(seed + 1, codes[k], draws[k], np.arange(n)), kind="stable")
-            chosen = np.sort(order[: n // every]) if n >= every else [0]
-            rows += [(codes[k], draws[k], structures[mine[k]], int(s), path[k, s], n == steps) for s in chosen]
-        return pd.DataFrame(rows, columns=["code", "draw", "structure", "step", "walked", "complete"])
-
-    def run(batches):
+    def begin(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), together):
-                yield walks(pdf["code"].to_numpy()[at : at + together], pdf["draw"].to_numpy()[at : at + together])
+            codes, draws = pdf["code"].to_numpy("int64"), pdf["draw"].to_numpy("int64")
+            mine = np.concatenate([lowest(codes[a : a + together]) for a in range(0, len(codes), together)] or [np.zeros(0, "int64")])
+            picked = [_chosen(c, d, steps, every, seed) for c, d in zip(codes.tolist(), draws.tolist(), strict=True)]
+            yield pd.DataFrame({"code": codes, "draw": draws, "mine": mine, "now": codes, "taken": 1, "idle": 0, "chosen": picked, "kept": 0, "step": None, "walked": None, "complete": None})
+
+    def advance(first: int):
+        def run(batches):
+            for pdf in batches:
+                for at in range(0, len(pdf), together):
+                    yield _advance(pdf.iloc[at : at + together], lowest, energies.pairs, energies.length, steps, seed, first, turns)
+
+        return run
 
     draw = F.col("draw").cast("long") if "draw" in starts.columns else F.lit(1).cast("long")
-    return starts.select("code", draw.alias("draw")).mapInPandas(run, "code long, draw long, structure string, step long, walked long, complete boolean")
+    now, first, found = _kept(starts.select("code", draw.alias("draw")).mapInPandas(begin, WALKERS)), 0, None
+    while not now.isEmpty():
+        rows = _kept(now.mapInPandas(advance(first), WALKERS))
+        samples = rows.where("step is not null")
+        found = samples if found is None else found.unionByName(samples)
+        now, first = rows.where("step is null"), first + turns
+    names = F.array(*map(F.lit, structures))
+    out = now if found is None else found
+    return out.select("code", "draw", F.element_at(names, F.col("mine") + 1).alias("structure"), "step", "walked", "complete")

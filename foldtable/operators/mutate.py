@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import PAIRS, base_at, masked, with_base
@@ -49,15 +49,30 @@ def site_mutants(seqs: DataFrame, length: int, more: list[str]) -> DataFrame:
     """seqs (code and the columns `more`) with pos, new_base, mutant and the mutant's m_* columns, for each mutant that seqs has too.
 
     The mutants of a sequence at a site are the other members of its site group, four at most,
-    so a sequence travels once for each site and nothing is joined.
+    so a sequence travels once for each site and nothing is joined. A code that is repeated is one sequence.
     """
     held = ["code", *more]
-    own = Window.partitionBy("pos", "masked").orderBy("code")
-    steps = [F.lag("it", k).over(own) for k in (3, 2, 1)] + [F.lead("it", k).over(own) for k in (1, 2, 3)]
-    rows = site_groups(seqs.select(*held), length).withColumn("it", F.struct(*held)).withColumn("near", F.array(*steps))
-    pairs = rows.select(*held, "pos", F.explode("near").alias("b")).where("b is not null")
+    rows = site_groups(seqs.select(*held), length).withColumn("it", F.struct(*held))
+    groups = rows.groupBy("pos", "masked").agg(F.collect_list("it").alias("m")).where(F.size("m") > 1)
+    pairs = groups.select("pos", F.explode("m").alias("a"), "m").select("pos", "a", F.explode("m").alias("b")).where("a.code <> b.code")
     new = base_at(F.col("b.code"), F.col("pos"), length).alias("new_base")
-    return pairs.select(*held, "pos", new, F.col("b.code").alias("mutant"), *[F.col(f"b.{c}").alias(f"m_{c}") for c in more])
+    return pairs.select(*[F.col(f"a.{c}").alias(c) for c in held], "pos", new, F.col("b.code").alias("mutant"), *[F.col(f"b.{c}").alias(f"m_{c}") for c in more])
+
+
+def site_differences(seqs: DataFrame, length: int, key: str, value: str) -> DataFrame:
+    """key, x, n: how often the absolute difference x of a value lies between a sequence of a key and a mutant that seqs has too.
+
+    key is a long, value a double; seqs also has code. A site group is four values and four keys of fixed
+    width, so it needs no sort and no list, and only counts leave it. Differences that are null or not
+    a number don't count. A code that is repeated is one sequence, with its largest value and key.
+    """
+    base = base_at(F.col("code"), F.col("pos"), length)
+    rows = site_groups(seqs.select("code", key, value), length).select("pos", "masked", base.alias("base"), key, value)
+    cell = lambda c, b: F.max(F.when(F.col("base") == b, F.col(c)))
+    groups = rows.repartition("pos", "masked").groupBy("pos", "masked").agg(*[cell(c, b).alias(f"{c}_{b}") for c in (key, value) for b in range(4)])
+    both = [(a, b) for a in range(4) for b in range(4) if a != b]
+    found = groups.select(F.inline(F.array(*[F.struct(F.col(f"{key}_{a}").alias(key), F.abs(F.col(f"{value}_{b}") - F.col(f"{value}_{a}")).alias("x")) for a, b in both])))
+    return found.where("x is not null and not isnan(x)").groupBy(key, "x").agg(F.count("*").alias("n"))
 
 
 def site_groups(seqs: DataFrame, length: int) -> DataFrame:

@@ -131,7 +131,7 @@ def validity(structures: DataFrame) -> DataFrame:
 def keep_valid(rows: DataFrame, structures: DataFrame) -> DataFrame:
     """Rows whose structure is valid: neither unfolded nor with a pair that stands alone. `structures` holds all of theirs."""
     valid = validity(structures).where("valid").select("structure")
-    return rows.join(F.broadcast(valid), "structure", "left_semi")  # distinct structures
+    return rows.join(valid, "structure", "left_semi")
 
 
 def site_stacks(structures: DataFrame) -> DataFrame:

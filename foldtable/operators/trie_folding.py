@@ -10,8 +10,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .folding import EFFECTS, HAIRPIN, INNER, MULTI, PAIRED, _stack_energies
+from .sampling import random_sequences, sample_until_distinct
+from .structure import count_pairs
 from .structure_space import Trie, build_trie, share_trie, structures_of_keys
 
 #: Hundredths of a unit, in which sums are exact.
@@ -189,8 +192,10 @@ def trie_effects(seqs: DataFrame, length: int, least_gap: float = -1.0, together
 
 def trie_folds(seqs: DataFrame, length: int, together: int = 64) -> DataFrame:
     """code, structure, mfe, energy_gap (null without a second structure) and visited, the share of the trie's nodes that the code's batch went through."""
-    name = folding_trie(seqs.sparkSession, length)
+    return _folds(seqs, length, folding_trie(seqs.sparkSession, length), together)
+
 
+def _folds(seqs: DataFrame, length: int, name: str, together: int = 64) -> DataFrame:
     def run(batches):
         descent = Descent(_mapped(length, name))
         for pdf in batches:
@@ -202,3 +207,20 @@ def trie_folds(seqs: DataFrame, length: int, together: int = 64) -> DataFrame:
                 yield pd.DataFrame({"code": codes, "structure": structures_of_keys(descent.trie.key[best], length), "mfe": low / 100, "energy_gap": gap, "visited": share})
 
     return seqs.select("code").mapInPandas(run, "code long, structure string, mfe double, energy_gap double, visited double")
+
+
+def sampled_structures(spark, length: int, wanted: int, per_structure: int = 1000, seed: int = 1, batch: int = 10_000, pairs: int | None = None) -> DataFrame:
+    """structure: at least per_structure * wanted different ones into which random sequences of a length fold.
+
+    Sequences are drawn and folded in rounds until there are enough (`sampling.sample_until_distinct`).
+    Unfolded ones don't count; with `pairs`, only structures of that many pairs do. `sampling.weighted_sample`
+    then draws `wanted` of them with every number of stacks as likely as any other.
+    """
+    name = folding_trie(spark, length)
+
+    def draw(first: int, n: int) -> DataFrame:
+        seqs = random_sequences(spark.range(first, first + n), length, seed).select("code")
+        found = _folds(seqs, length, name).select("structure")
+        return found.where(F.col("structure").contains("(") if pairs is None else count_pairs(F.col("structure")) == pairs)
+
+    return sample_until_distinct(draw, per_structure, wanted, batch)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import additive, components, ensemble, mutate, sampling, structure, summary
 from ..sources import tables
 from .define import Queries
-from .fixtures import MAP, SHAPES, UNFOLDED, L, mix_sql
-from .map_queries import DDG, effects, map_effects, rounded
+from .fixtures import MAP, SHAPES, UNFOLDED, L, draw_sql, mix_sql
+from .map_queries import DDG, PAIRED_RUNS, effects, map_effects, rounded
 from .structure_queries import COARSE, LOOP, ROLE, SITES, STACK
 
 Q = Queries()
@@ -24,7 +24,7 @@ er as materialized (select md.code, md.structure, md.pos, md.ddg, ro.role, ro.pl
 def with_role(t):
     rows = map_effects(t).select("code", "structure", "pos", F.expr("round(ddg, 6) + 0D").alias("ddg"))
     features = structure.site_features(t.structures.where(F.col("structure") != UNFOLDED)).select("structure", "pos", "role", "place", "element_length")
-    return rows.join(F.broadcast(features), ["structure", "pos"])  # a row for each site of six structures
+    return rows.join(features, ["structure", "pos"])
 
 
 def absolute(t):
@@ -82,10 +82,16 @@ def _(t):
     return with_role(t).join(F.broadcast(listed), "role").groupBy("role", "place_in_list").agg(F.count("*").alias("n"))  # three rows
 
 
-@Q.add("reconcile_values", f"with {MAP}, b as (select code, stability + case when code % 7 = 0 then 0.5 when code % 3 = 0 then 0.0004 else 0 end as stability from m where code % 11 <> 0) select count(*) as rows, count_if(coalesce(abs(a.stability - b.stability) < 1e-3, false)) as agree, count_if(a.code is null or b.code is null) as one_sided from m a full join b using (code)")
+# Stabilities that differ by more or less than what counts, other structures, lost values, and rows that only one side has.
+@Q.add("reconcile_values", f"""with {MAP}, b as (select code, case when code % 13 = 0 then '{UNFOLDED}' else structure end as structure,
+  case when code % 17 <> 0 then stability + case when code % 7 = 0 then 0.5 when code % 3 = 0 then 0.0004 else 0 end end as stability from m where code % 11 <> 0)
+select count(*) as rows, count_if(coalesce(abs(a.stability - b.stability) < 1e-3 and a.structure = b.structure, false)) as agree, count_if(a.code is null or b.code is null) as one_sided from m a full join b using (code)""")
 def _(t):
     shift = F.when(F.col("code") % 7 == 0, 0.5).when(F.col("code") % 3 == 0, 0.0004).otherwise(0.0)
-    return summary.reconcile(t.gpmap, t.gpmap.where("code % 11 <> 0").withColumn("stability", F.col("stability") + shift), "code", "stability")
+    computed = t.gpmap.where("code % 11 <> 0").select(
+        "code", F.when(F.col("code") % 13 == 0, UNFOLDED).otherwise(F.col("structure")).alias("structure"), F.when(F.col("code") % 17 != 0, F.col("stability") + shift).alias("stability")
+    )
+    return summary.reconcile(t.gpmap, computed, "code", ["structure", "stability"])
 
 
 @Q.add("percentile_by_role", f"with {MD} {box_sql('role, place', 'ddg', 'select role, place, abs(ddg) as ddg from er')}")
@@ -137,7 +143,7 @@ SAMPLED = f"""{DDG}, shapes as (select structure from st where sid < 6), {SITES}
 el as materialized (select structure, i as pos, stack_length as element_length from sl union all select structure, j, stack_length from sl union all select * from lp),
 rr as materialized (select code, structure, row_number() over (partition by structure order by code) - 1 as rank from stab where structure <> '{UNFOLDED}'),
 rs as (select structure, count(*) as n, min(code) as k from rr group by structure),
-dr as materialized (select rr.structure, d.draw, rr.code from (select structure, cast(x as bigint) as draw, {mix_sql('k * 1000 + x', 9)} % n as rank from rs, range(1, {DRAWS + 1}) t(x)) d join rr using (structure, rank)),
+dr as materialized (select rr.structure, d.draw, rr.code from (select structure, cast(x as bigint) as draw, {draw_sql('k', 'x', 9)} % n as rank from rs, range(1, {DRAWS + 1}) t(x)) d join rr using (structure, rank)),
 al(a, b) as (values (0, 2), (2, 0), (3, 1), (1, 3), (3, 2), (2, 3)),
 w as (select dr.structure, dr.draw, dr.code, i, j, a, b, cast((code >> cast(2*(12-i) as int)) & 3 as int) as x, cast((code >> cast(2*(12-j) as int)) & 3 as int) as y from dr join bp using (structure), al),
 sw as (select w.*, w.code + cast(a - x as bigint) * (1::bigint << cast(2*(12-i) as int)) + cast(b - y as bigint) * (1::bigint << cast(2*(12-j) as int)) as mutant from w where a <> x and b <> y),
@@ -154,10 +160,10 @@ def sampled_effects(t):
     drawn = components._kept(drawn.select("structure", "code", F.col("draw").cast("long").alias("draw")).join(stab.drop("structure"), "code"))
     features = structure.site_features(folded).select("structure", "pos", "role", "element_length")
     point = ensemble.with_effects(mutate.point_neighbours(drawn, L), stab, t.ensemble).where(summary.finite(F.col("ddg_gap")))
-    point = point.join(F.broadcast(features), ["structure", "pos"])  # a row for each site of six structures
+    point = point.join(features, ["structure", "pos"])
     swaps = ensemble.with_effects(mutate.bp_double_mutants(drawn, structure.base_pairs(folded), L), stab, t.ensemble)
     stacks = structure.site_stacks(folded).select("structure", F.col("pos").alias("i"), "stack_length")
-    swaps = swaps.join(F.broadcast(stacks), ["structure", "i"])  # pairs of six structures
+    swaps = swaps.join(stacks, ["structure", "i"])
     row = lambda category, kind: ["structure", "draw", "code", "mutant", category.alias("category"), F.lit(kind).alias("kind"), F.expr("round(ddg_gap, 6) + 0D").alias("ddg")]
     one = point.select(*row(summary.model_category(F.col("role"), F.col("element_length")), "point"))
     return one.unionByName(swaps.select(*row(F.concat(F.lit("S"), F.col("stack_length").cast("string")), "bp")))
@@ -219,9 +225,10 @@ def _(t):
 
 @Q.add("set_quartile_by_loop", f"with {MD}, {COARSE}, q as (select structure, round(round(quantile_cont(abs(ddg), 0.25), 8), 1) as low from md group by structure), u as (select low, cast(length(coarse) - length(replace(coarse, '[', '')) - 1 as bigint) as inner_loops from q join cg using (structure)) {box_sql('inner_loops', 'low', 'select * from u')}")
 def _(t):
-    low = map_effects(t).withColumn("ddg", F.round("ddg", 6)).groupBy("structure").agg(F.round(F.round(F.percentile(F.abs("ddg"), F.lit(0.25)), 8), 1).alias("low"))
+    sizes = summary.effect_sizes(map_effects(t).withColumn("ddg", F.round("ddg", 6)), "structure")
+    low = summary.quantiles(sizes, ["structure"], [0.25]).select("structure", F.round(F.round(F.col("q")[0], 8), 1).alias("low"))
     loops = structure.coarse_grain(t.structures.where(F.col("structure") != UNFOLDED)).select("structure", (structure.count_stacks(F.col("coarse")) - 1).cast("long").alias("inner_loops"))
-    return rounded(summary.box_stats(low.join(F.broadcast(loops), "structure"), ["inner_loops"], "low"), *BOXES)  # six structures
+    return rounded(summary.box_stats(low.join(loops, "structure"), ["inner_loops"], "low"), *BOXES)
 
 
 @Q.add("correlations", f"with {MAP}, a as (select cast(sum(l_quantity) as double) as x, cast(sum(l_extendedprice) as double) as y from lineitem group by l_partkey), r as (select x, y, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from a) select round(corr(x, y), 6) as pearson, round(corr(case when x > 0 then log10(x) end, y), 6) as pearson_log, round(corr(rx, ry), 6) as spearman from r")
@@ -248,7 +255,7 @@ def _(t):
     return summary.average_rank(t.gpmap.select("code", "stability"), "stability", "ranked")
 
 
-@Q.add("sample_per_group", f"with {MAP}, r as (select *, row_number() over (partition by structure order by code) - 1 as rank from m), s as (select structure, count(*) as n, min(code) as k from m group by structure), d as (select structure, cast(x as bigint) as draw, {mix_sql('k * 1000 + x', 4)} % n as rank from s, range(1, 101) t(x)) select structure, draw, code from d join r using (structure, rank)")
+@Q.add("sample_per_group", f"with {MAP}, r as (select *, row_number() over (partition by structure order by code) - 1 as rank from m), s as (select structure, count(*) as n, min(code) as k from m group by structure), d as (select structure, cast(x as bigint) as draw, {draw_sql('k', 'x', 4)} % n as rank from s, range(1, 101) t(x)) select structure, draw, code from d join r using (structure, rank)")
 def _(t):
     out = sampling.sample_per_group(t.gpmap.select("structure", "code"), "structure", "code", 100, 4)
     return out.select("structure", F.col("draw").cast("long").alias("draw"), "code")
@@ -323,16 +330,17 @@ def _(t):
     return tables.read_csv_table(t.spark, path, "structure string, size long, max_dg double")
 
 
-@Q.add("map_store", f"with {MD} select pos, count(*) as n, round(sum(ddg), 4) + 0.0 as total from md group by pos")
+@Q.add("map_store", f"with {MD} select code, pos, ddg from md")
 def _(t):
-    rows = map_effects(t).select("code", F.round("ddg", 6).alias("ddg"), "pos")
-    stored = tables.map_store(rows, _path(t, "map"), "pos")
-    return stored.groupBy("pos").agg(F.count("*").alias("n"), (F.round(F.sum("ddg"), 4) + 0.0).alias("total"))
+    rows = map_effects(t).select("code", F.expr("round(ddg, 6) + 0D").alias("ddg"), "pos")
+    tables.map_store(rows.where("pos < 9"), path := _path(t, "map"), "pos")
+    return tables.map_store(rows, path, "pos").select("code", "pos", "ddg")  # adds the other sites
 
 
-@Q.add("structure_list_io", f"with {SHAPES} select structure from shapes")
+@Q.add("structure_list_io", f"with {SHAPES}, {PAIRED_RUNS} select structure from ok")
 def _(t):
-    tables.write_structures(t.shapes, path := _path(t, "list"))
+    valid = structure.validity(t.shapes).where("valid").select("structure")
+    tables.write_structures(valid, path := _path(t, "list"))
     return tables.read_structures(t.spark, path)
 
 

@@ -15,7 +15,7 @@ from ..operators.components import _kept
 
 L = 13
 #: The structures that phenotypes 0 to 5 stand for, and the unfolded one.
-STRUCTURES = ["(((....)))...", "..(((.....)))", ".(((...)))...", "((.((...)))).", "((......))...", "..((((...))))", "............."]
+STRUCTURES = ["(((....)))...", ".(.((....)).)", ".(((...)))...", "((.((...)))).", "((......))...", "..((((...))))", "............."]
 UNFOLDED = STRUCTURES[6]
 
 CODES = """lc as (select *, (l_orderkey*2654435761 + l_partkey*40503 + l_linenumber*97) % 65536 as code from lineitem),
@@ -45,6 +45,12 @@ def mix_sql(key: str, seed: int) -> str:
     return step(fold(step(first, 67891), 13), seed)
 
 
+def draw_sql(key: str, draw: str, seed: int) -> str:
+    """sampling.draw_of in SQL."""
+    own = f"({mix_sql(key, seed)}) * 65536 + {draw}"
+    return f"(({mix_sql(own, seed + 1)}) * 2147483647 + {mix_sql(own, seed + 2)})"
+
+
 def for_spark(sql: str) -> str:
     """The fixtures' SQL in Spark's dialect."""
     import re

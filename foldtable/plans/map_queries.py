@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codec import BASES
+from ..functions.codec import BASES, code_to_structure, structure_to_code
 from ..operators import components, ensemble, epistasis, folding, mutate, structure, summary, trie_folding
 from ..operators.structure_space import enumerate_structures
+from ..sources import tables
 from .define import Queries
 from .fixtures import CODES, ENSEMBLE, MAP, UNFOLDED, L, mix_sql
 from .structure_queries import SITES, STACK
@@ -42,7 +43,13 @@ def stable(t):
 
 
 def effects(t):
-    return ensemble.ddg_table(stable(t), t.ensemble, L, UNFOLDED)
+    """Stored sides lie in buckets of the code, so only mutants travel."""
+    stored = by_code(t, t.ensemble)
+    return ensemble.ddg_table(by_code(t, ensemble.stability(stored)), stored, L, UNFOLDED)
+
+
+def by_code(t, df):
+    return tables.bucketed(df, "code", int(t.spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @Q.add("enumerate_sequences", f"with {CODES}, top as (select max(code) + 1 as n from g) select code, code in (select code from g) as used from (select unnest(range(n)) as code from top) u")
@@ -164,7 +171,7 @@ def _(t):
 
 @Q.add("attach_columns", f"with {NC} select code, structure, nc_id, stability, mfe, count(*) over (partition by structure) as neutral_set_size from nc")
 def _(t):
-    return summary.sequence_summary(t.kept_map, labelled(t)).drop("nc_size")
+    return summary.attach(by_code(t, t.gpmap), by_code(t, labelled(t)))
 
 
 @Q.add("sequence_summary", f"with {NC}, {VALID} select code, structure, nc_id, count(*) over (partition by nc_id) as nc_size, stability, count(*) over (partition by structure) as neutral_set_size, mfe from nc join ok using (structure)")
@@ -188,10 +195,13 @@ def changes(rows, held):
 STATS = "count(*) as size, max(stability) as max_dg, round(avg(stability), 6) as mean_dg"
 
 
-@Q.add("nc_stability_table", f"with {NCD}, a as (select nc_id, min(structure) as structure, {STATS} from nc group by nc_id), b as (select nc_id, round(quantile_cont(abs(ddg), 0.25), 6) as lower_quartile_abs_ddg from md group by nc_id) select a.*, b.lower_quartile_abs_ddg from a left join b using (nc_id)")
+@Q.add("nc_stability_table", f"with {NCD}, {VALID}, a as (select nc_id, min(structure) as structure, {STATS} from nc join ok using (structure) group by nc_id), b as (select nc_id, round(quantile_cont(abs(ddg), 0.25), 6) as lower_quartile_abs_ddg from md group by nc_id) select a.*, b.lower_quartile_abs_ddg from a left join b using (nc_id)")
 def _(t):
-    rows = components._kept(t.kept_map.join(labelled(t).select("code", "nc_id"), "code"))
-    table = summary.stability_table(rows, "nc_id", changes(rows, ["nc_id", "stability"]))
+    # Components of valid structures; the mutants that effects lead to may have any.
+    valid = components._kept(structure.keep_valid(t.kept_map, t.structures))
+    rows = components._kept(valid.join(components.neutral_components(valid, L).select("code", "nc_id"), "code"))
+    placed = t.kept_map.select("code", "stability").join(rows.select("code", "nc_id"), "code", "left")
+    table = summary.stability_table(rows, "nc_id", mutate.site_differences(placed, L, "nc_id", "stability").where("nc_id is not null"))
     named = rows.groupBy("nc_id").agg(F.any_value("structure").alias("structure"))
     return rounded(table.join(named, "nc_id"), "mean_dg", "lower_quartile_abs_ddg")
 
@@ -199,11 +209,11 @@ def _(t):
 SETS = f"with {MAP}, md as (select a.structure, b.stability - a.stability as ddg from mu a join m b on b.code = a.mutant)"
 
 
-@Q.add("set_stability_table", f"{SETS}, a as (select structure, {STATS} from m group by structure), b as (select structure, round(quantile_cont(abs(ddg), 0.25), 6) as lower_quartile_abs_ddg from md group by structure) select a.*, b.lower_quartile_abs_ddg from a left join b using (structure)")
+@Q.add("set_stability_table", f"{SETS}, {VALID}, a as (select structure, {STATS} from m join ok using (structure) group by structure), b as (select structure, round(quantile_cont(abs(ddg), 0.25), 6) as lower_quartile_abs_ddg from md group by structure) select a.*, b.lower_quartile_abs_ddg from a left join b using (structure)")
 def _(t):
-    valid = structure.validity(t.structures).where("valid").select("structure")
-    rows = t.kept_map.join(F.broadcast(valid), "structure")  # seven structures at most
-    return rounded(summary.stability_table(rows, "structure", changes(t.kept_map, ["structure", "stability"])), "mean_dg", "lower_quartile_abs_ddg")
+    coded = t.kept_map.withColumn("k", structure_to_code(F.col("structure")))
+    table = summary.stability_table(structure.keep_valid(coded, t.structures), "k", mutate.site_differences(coded, L, "k", "stability"))
+    return rounded(table.withColumn("structure", code_to_structure(F.col("k"))).drop("k"), "mean_dg", "lower_quartile_abs_ddg")
 
 
 @Q.add("neutral_set_sizes", f"with {MAP} select structure, count(*) as size from m group by structure")
@@ -246,9 +256,10 @@ cs as materialized (select tw.* from tw join nc d on d.code = tw.g4 and d.nc_id
 sq as (select cs.*, a.stability as s1, b.stability as s2, c.stability as s3, d.stability as s4 from cs join nc a on a.code = g1 join nc b on b.code = g2 join nc c on c.code = g3 join nc d on d.code = g4)"""
 
 
-def members(t):
-    """nc_id, code and both stored energies; computed once and kept."""
-    return components._kept(labelled(t).select("nc_id", "code").join(t.kept_map.select("code", F.col("stability").alias("energy"), "mfe"), "code"))
+def members(t, valid: bool = False):
+    """nc_id, code and both stored energies; computed once and kept. valid: of valid structures alone."""
+    found = labelled(t)
+    return components._kept((structure.keep_valid(found, t.structures) if valid else found).select("nc_id", "code").join(t.kept_map.select("code", F.col("stability").alias("energy"), "mfe"), "code"))
 
 
 @Q.add("epistasis_squares", f"with {SQUARES} select nc_id, cast(pos1 as bigint) as pos1, cast(pos2 as bigint) as pos2, g1, g2, g3, g4 from sq")
@@ -296,9 +307,9 @@ def square_share(table: str, value: str, name: str) -> str:
 _ALL = " union all ".join(square_share(*x) for x in (("nc", "stability", "stability"), ("nc", "mfe", "mfe"), ("sh", "stability", "shuffled")))
 
 
-@Q.add("epistasis_table", f"with {SQUARES}, {SHUFFLED}, al as materialized ({_ALL}) select nc_id, landscape, false as ignore_zero, fraction from al union all select nc_id, landscape, true, nonzero from al")
+@Q.add("epistasis_table", f"with {SQUARES}, {SHUFFLED}, {VALID}, al as materialized ({_ALL}), vn as (select distinct nc_id from nc join ok using (structure)) select nc_id, landscape, false as ignore_zero, fraction from al join vn using (nc_id) union all select nc_id, landscape, true, nonzero from al join vn using (nc_id)")
 def _(t):
-    rows = members(t)
+    rows = members(t, valid=True)
     stored, other = rows.select("nc_id", "code", "energy"), rows.select("nc_id", "code", F.col("mfe").alias("energy"))
     return rounded(epistasis.epistasis_table({"stability": stored, "mfe": other, "shuffled": shuffled(stored)}, L), "fraction")
 
@@ -360,11 +371,12 @@ def _(t):
 
 
 def walks(t):
-    """The survey's walks from sequences of the map that fold, and the structures of their length."""
-    from ..operators.sampling import sample_per_group
+    """The survey's walks, from random sequences of all sites that fold, and the structures of their length."""
+    from ..operators.sampling import random_sequences, sample_per_group
 
-    seqs, structures = small(t)
-    starts = sample_per_group(stable_folded(t, seqs, structures), "structure", "code", WALKS, 3)
+    structures = folding.structure_list(enumerate_structures(t.spark, L), L)
+    seqs = random_sequences(t.g.select(F.col("code").alias("id")), L, 11).select("code").distinct()
+    starts = sample_per_group(components._kept(stable_folded(t, seqs, structures)), "structure", "code", WALKS, 3)
     return folding.neutral_walks(starts.repartition(t.spark.sparkContext.defaultParallelism, "code", "draw"), structures, STEPS, EVERY, 3), structures
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import mutate, structure
+from ..operators import components, mutate, sampling, structure
 from .define import Queries
 from .fixtures import CODES, MAP, ROUGH, SHAPES, L, mix_sql
 
@@ -40,14 +40,14 @@ def _(t):
 BITS = "'1' || replace(replace(replace(structure, '.', '00'), '(', '10'), ')', '01')"
 
 
-@Q.add("structure_to_code", f"with {SHAPES}, b as (select structure, {BITS} as bits from shapes where length(structure) <= 31) select structure, cast(list_sum(list_transform(range(length(bits)), lambda k: cast(substr(bits, cast(k+1 as int), 1) as bigint) << cast(length(bits)-1-k as int))) as bigint) as structure_code from b")
+@Q.add("structure_to_code", f"with {SHAPES}, b as (select structure, {BITS} as bits from shapes) select structure, case when length(structure) <= 31 then cast(list_sum(list_transform(range(length(bits)), lambda k: cast(substr(bits, cast(k+1 as int), 1) as bigint) << cast(least(length(bits)-1-k, 62) as int))) as bigint) end as structure_code from b")
 def _(t):
-    return t.shapes.where("length(structure) <= 31").select("structure", codec.structure_to_code(F.translate("structure", ".()", "_[]")).alias("structure_code"))
+    return t.shapes.select("structure", codec.structure_to_code(F.translate("structure", ".()", "_[]")).alias("structure_code"))
 
 
-@Q.add("code_to_structure", f"with {SHAPES} select structure, parts from shapes where length(structure) <= 31")
+@Q.add("code_to_structure", f"with {SHAPES} select case when length(structure) <= 31 then structure end as structure, parts from shapes")
 def _(t):
-    coded = t.shapes.where("length(structure) <= 31").select(codec.structure_to_code(F.col("structure")).alias("c"), "parts")
+    coded = t.shapes.select(codec.structure_to_code(F.col("structure")).alias("c"), "parts")
     return coded.select(codec.code_to_structure(F.col("c")).alias("structure"), "parts")
 
 
@@ -57,10 +57,9 @@ def _(t):
     return a.unionByName(t.g.select((-F.col("code") - 1).alias("code"), codec.is_unfolded(F.col("code")).alias("unfolded")))
 
 
-@Q.add("point_neighbours", f"with {CODES}, a as (select code, cast(p as int) as pos, cast(b as int) as new_base from g, range(0, 13) r(p), range(0, 4) q(b)) select pos, new_base, count(*) as n, cast(sum(code + cast(new_base - {SITE} as bigint) * (1::bigint << cast(2*(12-pos) as int))) as bigint) as mutants from a where {SITE} <> new_base group by all")
+@Q.add("point_neighbours", f"with {CODES}, a as (select code, cast(p as int) as pos, cast(b as int) as new_base from g, range(0, 13) r(p), range(0, 4) q(b)) select code, pos, new_base, code + cast(new_base - {SITE} as bigint) * (1::bigint << cast(2*(12-pos) as int)) as mutant from a where {SITE} <> new_base")
 def _(t):
-    rows = mutate.point_neighbours(t.g.select("code"), L)
-    return rows.groupBy("pos", "new_base").agg(F.count("*").alias("n"), F.sum("mutant").alias("mutants"))
+    return mutate.point_neighbours(t.g.select("code"), L).select("code", "pos", "new_base", "mutant")
 
 
 @Q.add("site_neighbours", f"with {CODES}, a as (select code, 9 as pos, cast(b as int) as new_base from g, range(0, 4) q(b)) select code, new_base, code + cast(new_base - {SITE} as bigint) * 64 as mutant from a where {SITE} <> new_base")
@@ -86,15 +85,10 @@ def _(t):
 
 @Q.add("hamming_distance", f"with {CODES}, a as (select code, {SEQ} as s from g), b as (select cast(code as bigint) as code, s, lead(code) over (order by code) as code_b, lead(s) over (order by code) as z from a) select code, code_b, cast(len(list_filter(range(1, 14), lambda k: substr(s, cast(k as int), 1) <> substr(z, cast(k as int), 1))) as bigint) as distance from b where code_b is not null")
 def _(t):
-    from pyspark.sql import Window
-
-    # Rows meet the next code by joining on their place among all, counted by ranges of codes.
-    w = Window.partitionBy("block").orderBy("code")
-    rows = t.g.select("code", F.expr("code div 1024").alias("block"))
-    firsts = rows.groupBy("block").agg(F.min("code").alias("first"))
-    after = firsts.withColumn("next", F.lead("first").over(Window.orderBy("block"))).select("block", "next")  # 64 rows
-    both = rows.withColumn("b", F.lead("code").over(w)).join(F.broadcast(after), "block").select("code", F.coalesce("b", "next").alias("code_b"))
-    return both.where("code_b is not null").select("code", "code_b", codec.hamming(F.col("code"), F.col("code_b")).cast("long").alias("distance"))
+    # Rows meet the next code by their place among all, which ranges of codes count.
+    placed = components._kept(sampling.running_sum(t.g.select("code"), [], ["code"], F.lit(1), "at"))
+    both = placed.join(placed.select(F.col("code").alias("code_b"), (F.col("at") - 1).alias("at")), "at")
+    return both.select("code", "code_b", codec.hamming(F.col("code"), F.col("code_b")).cast("long").alias("distance"))
 
 
 @Q.add("double_mutant", f"with {CODES} select code, (code // 16) * 16 + (code + 1) % 4 + 4 * (((code // 4) % 4 + 1) % 4) as g4, cast(2 as bigint) as distance from g")
@@ -251,7 +245,7 @@ def _(t):
 @Q.add("seq_fits_structure", f"with {MAP}, shapes as (select structure from st), {SITES}, f as (select m.code, m.structure, bool_and((cast((code >> cast(2*(12-i) as int)) & 3 as int), cast((code >> cast(2*(12-j) as int)) & 3 as int)) in ((0, 2), (2, 0), (3, 1), (1, 3), (3, 2), (2, 3))) as fits from m join bp using (structure) group by all) select * from f")
 def _(t):
     arrays = structure.pair_arrays(t.structures)
-    rows = t.gpmap.join(F.broadcast(arrays), "structure")  # seven structures
+    rows = t.gpmap.join(arrays, "structure")
     return rows.select("code", "structure", codec.fits(codec.code_to_seq(F.col("code"), L), F.col("pairs")).alias("fits"))
 
 
