@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import license_scan
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _ESCAPE = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
@@ -89,10 +91,54 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
     CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM steps
 """
 
+_DIGIT = "(strpos('0123456789ABCDEF', substr(h, {}, 1)) - 1)"
+
+SPELLING = f"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS tab FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+told AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+bytes AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM told),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i: CAST(16 * {_DIGIT.format("CAST(2 * i + 1 AS INT)")} + {_DIGIT.format("CAST(2 * i + 2 AS INT)")} AS BIGINT))),
+    lambda a, b: xor(a >> 8, tab[CAST(xor(a, b) & 255 AS INT) + 1]))) AS x FROM bytes, crc),
+spoiled AS (SELECT CASE WHEN x % 97 = 0 THEN substr(run, 1, CAST(x % length(run) AS INT)) || substr(run, CAST(x % length(run) AS INT) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoiled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS MATERIALIZED (SELECT word, n, k, substr(word, 1, CAST(k AS INT)) || substr(word, CAST(k AS INT) + 2) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS k) u),
+near AS MATERIALIZED (SELECT l.word AS a, w.word AS b, w.n FROM less l JOIN words w ON w.word = l.rest UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON w.word = l.rest
+    UNION SELECT l.word, r.word, r.n FROM less l JOIN less r ON l.k = r.k AND l.rest = r.rest WHERE l.word <> r.word),
+best AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS m FROM near GROUP BY a),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN b END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+led(word, root, next) AS (SELECT word, word, form FROM forms UNION ALL SELECT l.word, f.word, f.form FROM led l JOIN forms f ON f.word = l.next)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN led USING (word) WHERE next IS NULL
+"""
+
+
+def _licenses() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = license_scan.Templates(license_scan.TEMPLATES, {})
+    names = {k: w.decode() for w, k in rows.number.items()}
+    templates = ", ".join(f"({half}, {quoted(label)}, {need}, [{', '.join(quoted(names[x]) for x in numbers)}])" for half, label, numbers, need in rows.rows)
+    phrases = ", ".join(f"({quoted(label)}, {quoted(p)}, {len(p.split())})" for label, p in license_scan.PHRASES)
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+templates(half, label, need, t) AS (VALUES {templates}), phrases(label, p, n) AS (VALUES {phrases}),
+places AS (SELECT rid, k - 1 AS place, label FROM (SELECT rid, w, label, p, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, phrases WHERE len(w) >= n) u WHERE array_to_string(w[k:k + n - 1], ' ') = p),
+base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY rid),
+blocks AS (SELECT rid, half, list_distinct(w[s + 1:s + 2 * half]) AS b FROM (SELECT rid, w, half, unnest(range(0, len(w), half)) AS s FROM docs, (SELECT DISTINCT half FROM templates) h) u),
+met AS (SELECT rid, label, common / len(t) AS part FROM (SELECT rid, label, need, t, len(list_intersect(b, t)) AS common FROM blocks JOIN templates USING (half)) u WHERE common >= need),
+more AS (SELECT rid, list(DISTINCT label) AS more, max(part) AS best FROM met GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') AS labels, CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(best, 0) END AS DOUBLE) AS score
+FROM docs LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)
+"""
+
+
 ORACLE_SQL = {
     "op3_chat_formatting": CHAT,
     "op8_decontamination": DECONTAMINATION,
     "op9_warc": WARC,
     "op10_embedding_near_dedup": EMBEDDINGS,
     "op11_filter_audit": FILTERS,
+    "op12_spelling": SPELLING,
+    "op13_license_scan": _licenses(),
 }
