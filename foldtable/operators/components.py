@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codec import base_at
+from ..functions import codec
 from ..sources.tables import drop_path, new_path
 from .mutate import site_groups
 
@@ -29,18 +29,17 @@ def _drop(*kept: DataFrame) -> None:
             drop_path(df.sparkSession, folder)
 
 
-def base_groups(seqs: DataFrame, length: int) -> DataFrame:
+def base_groups(seqs: DataFrame, length: int, codes=codec) -> DataFrame:
     """structure, pos, masked, bases: which of the four bases (bit b for base b) sequences of a structure have at a site, all else being equal."""
-    rows = site_groups(seqs.select("structure", "code"), length)
-    bit = F.call_function("shiftleft", F.lit(1), base_at(F.col("code"), F.col("pos"), length))
+    rows = site_groups(seqs.select("structure", "code"), length, codes)
+    bit = F.call_function("shiftleft", F.lit(1), codes.base_at(F.col("code"), F.col("pos"), length))
     return rows.groupBy("structure", "pos", "masked").agg(F.bit_or(bit).alias("bases"))
 
 
-def _members(length: int) -> Column:
+def _members(length: int, codes=codec) -> Column:
     """Codes of the members of a group, ascending."""
-    place = (2 * (F.lit(length - 1) - F.col("pos"))).cast("int")
-    there = F.filter(F.array(*[F.lit(b).cast("long") for b in range(4)]), lambda b: F.call_function("shiftright", F.col("bases"), b.cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return F.transform(there, lambda b: F.col("masked").bitwiseOR(F.call_function("shiftleft", b, place)))
+    there = F.filter(F.array(*map(F.lit, range(4))), lambda b: F.call_function("shiftright", F.col("bases"), b).bitwiseAND(F.lit(1)) == 1)
+    return F.transform(there, lambda b: codes.with_base(F.col("masked"), F.col("pos"), b, length))
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -53,12 +52,13 @@ def _contracted(edges: DataFrame) -> DataFrame:
     moves, now = [], _kept(edges)
     keys = ["structure"]
     while not now.isEmpty():
-        low = _kept(now.groupBy(*keys, F.col("b").alias("node")).agg(F.min("a").alias("to")))
+        hooks = _kept(now.groupBy(*keys, F.col("b").alias("node")).agg(F.min("a").alias("to")))
+        ahead = hooks.select(*keys, F.col("node").alias("to"), F.col("to").alias("far"))
+        low = hooks
         for _ in range(2):
-            ahead = low.select(*keys, F.col("node").alias("to"), F.col("to").alias("far"))
-            jumped = _kept(low.join(ahead, [*keys, "to"], "left").select(*keys, "node", F.coalesce("far", "to").alias("to")))
-            _drop(low)
-            low = jumped
+            low = low.join(ahead, [*keys, "to"], "left").select(*keys, "node", F.coalesce("far", "to").alias("to"))
+        low = _kept(low)
+        _drop(hooks)
         at = lambda end: low.select(*keys, F.col("node").alias(end), F.col("to").alias(f"to_{end}"))
         moved = now.join(at("a"), [*keys, "a"], "left").join(at("b"), [*keys, "b"], "left").select(*keys, F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
         new = _kept(moved.where("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -80,13 +80,13 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return found
 
 
-def neutral_components(seqs: DataFrame, length: int) -> DataFrame:
-    """seqs (code, structure) with nc_id, the smallest code that neutral point mutations reach.
+def neutral_components(seqs: DataFrame, length: int, codes=codec) -> DataFrame:
+    """seqs (code, structure) with nc_id, the smallest code that neutral point mutations reach. codes: `codec`, or `wide_codec` for long sequences.
 
     Sequences are dealt to site groups once; each group links its members to its smallest. Repeated
     rows are one; a null structure is a structure of its own; no rows give none.
     """
-    members = base_groups(seqs.withColumn("structure", F.coalesce("structure", F.lit(""))), length).withColumn("m", _members(length)).where(F.size("m") > 1)
+    members = base_groups(seqs.withColumn("structure", F.coalesce("structure", F.lit(""))), length, codes).withColumn("m", _members(length, codes)).where(F.size("m") > 1)
     edges = members.select("structure", F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 3)).alias("b"))
     labels = _contracted(edges).select(F.col("structure").alias("_s"), F.col("node").alias("_c"), "label")
     same = (F.coalesce("structure", F.lit("")) == F.col("_s")) & (F.col("code") == F.col("_c"))

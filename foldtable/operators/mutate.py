@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codec import PAIRS, base_at, masked, with_base
+from ..functions import codec
+from ..functions.codec import PAIRS, base_at, with_base
 
 
-def point_neighbours(seqs: DataFrame, length: int, pos: Column | None = None) -> DataFrame:
-    """seqs (code, ...) with pos, new_base and mutant for each of the three other bases at every site, or at one."""
+def point_neighbours(seqs: DataFrame, length: int, pos: Column | None = None, codes=codec) -> DataFrame:
+    """seqs (code, ...) with pos, new_base and mutant for each of the three other bases at every site, or at one. codes: `codec`, or `wide_codec` for long sequences."""
     sites = F.array(pos.cast("int")) if pos is not None else F.sequence(F.lit(0), F.lit(length - 1))
     rows = seqs.withColumn("pos", F.explode(sites)).withColumn("new_base", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    return rows.where(F.col("new_base") != base_at(F.col("code"), F.col("pos"), length)).withColumn("mutant", with_base(F.col("code"), F.col("pos"), F.col("new_base"), length))
+    return rows.where(F.col("new_base") != codes.base_at(F.col("code"), F.col("pos"), length)).withColumn("mutant", codes.with_base(F.col("code"), F.col("pos"), F.col("new_base"), length))
 
 
 def _pair_numbers() -> Column:
@@ -75,7 +76,7 @@ def site_differences(seqs: DataFrame, length: int, key: str, value: str) -> Data
     return found.where("x is not null and not isnan(x)").groupBy(key, "x").agg(F.count("*").alias("n"))
 
 
-def site_groups(seqs: DataFrame, length: int) -> DataFrame:
+def site_groups(seqs: DataFrame, length: int, codes=codec) -> DataFrame:
     """seqs with pos and masked: rows equal in both differ at that site alone."""
     rows = seqs.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
-    return rows.withColumn("masked", masked(F.col("code"), F.col("pos"), length))
+    return rows.withColumn("masked", codes.masked(F.col("code"), F.col("pos"), length))

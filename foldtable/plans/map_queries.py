@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import wide_codec
 from ..functions.codec import BASES, code_to_structure, structure_to_code
 from ..operators import components, ensemble, epistasis, folding, mutate, structure, summary, trie_folding
 from ..operators.structure_space import enumerate_structures
@@ -180,6 +181,42 @@ def _(t):
     return summary.sequence_summary(folded, components.neutral_components(folded, L))
 
 
+# Sequences of 40 sites: of every five, the middle one is a varying site of the map.
+WIDE = 40
+
+
+def wide_sql(code: str) -> str:
+    return f"array_to_string(list_transform(range(8), lambda k: 'AA' || substr('ACUG', cast(({code} >> cast(2*(7-k) as int)) & 3 as int) + 1, 1) || 'AA'), '')"
+
+
+def wide(code):
+    parts = [x for k in range(8) for x in (F.lit("AA"), F.substring(F.lit(BASES), F.call_function("shiftright", code, F.lit(2 * (7 - k))).bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1)), F.lit("AA"))]
+    return wide_codec.seq_to_code(F.concat(*parts))
+
+
+def wide_seq(code):
+    return wide_codec.code_to_seq(code, WIDE)
+
+
+@Q.add("wide_neighbours", f"with {CODES}, a as (select {wide_sql('code')} as seq from g), b as (select seq, cast(p as int) as pos, x from a, (values (2), (37)) r(p), (values ('A'), ('C'), ('U'), ('G')) q(x)) select seq, pos, substr(seq, 1, pos) || x || substr(seq, pos + 2) as mutant from b where substr(seq, pos + 1, 1) <> x")
+def _(t):
+    seqs = t.g.select(wide(F.col("code")).alias("code"))
+    rows = mutate.point_neighbours(seqs, WIDE, F.lit(2), wide_codec).unionByName(mutate.point_neighbours(seqs, WIDE, F.lit(37), wide_codec))
+    return rows.select(wide_seq(F.col("code")).alias("seq"), "pos", wide_seq(F.col("mutant")).alias("mutant"))
+
+
+@Q.add("wide_hamming", f"with {CODES}, a as (select code, {wide_sql('code')} as x, {wide_sql('(code * 7919 % 65536)')} as y from g) select code, cast(len(list_filter(range(1, 41), lambda k: substr(x, cast(k as int), 1) <> substr(y, cast(k as int), 1))) as bigint) as distance from a")
+def _(t):
+    return t.g.select("code", wide_codec.hamming(wide(F.col("code")), wide(F.col("code") * 7919 % 65536)).cast("long").alias("distance"))
+
+
+@Q.add("wide_components", f"with {NC} select {wide_sql('code')} as seq, structure, {wide_sql('nc_id')} as nc_seq from nc")
+def _(t):
+    seqs = t.kept_map.select(wide(F.col("code")).alias("code"), "structure")
+    found = components.neutral_components(seqs, WIDE, wide_codec)
+    return found.select(wide_seq(F.col("code")).alias("seq"), "structure", wide_seq(F.col("nc_id")).alias("nc_seq"))
+
+
 NCD = NC + ", md as (select nc.nc_id, b.stability - a.stability as ddg from mu a join m b on b.code = a.mutant join nc on nc.code = a.code)"
 
 
