@@ -17,6 +17,14 @@ from .common import stage
 from .components import connected_components, local_roots
 
 THRESHOLD = 0.98
+#: Rows on a side of a tile, whose products are in memory at once.
+TILE = 1024
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two, which changes no digit, so that squares of very large or small components neither overflow nor vanish."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0))
+    return np.ldexp(x, -exponent[:, None])
 
 
 def _quantised(x: np.ndarray):
@@ -60,19 +68,28 @@ PACKED = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("block", pa.in
 PACKED_DDL = "label string, dim int, block int, blocks int, ids binary, copies binary, vectors binary"
 
 
+def _all_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, side: int = TILE):
+    """_links of whole blocks, tile by tile."""
+    found = [np.zeros((2, 0), "int64")]
+    for a in range(0, len(x), side):
+        for b in range(a if same else 0, len(y), side):
+            i, j = _links(x[a : a + side], y[b : b + side], threshold, same and a == b)
+            found.append(np.stack([i + a, j + b]))
+    return np.concatenate(found, axis=1)
+
+
 def _tiles(threshold: float):
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 get = lambda name, kind, k=k: np.frombuffer(batch.column(name)[k].as_py(), kind)
                 dim, same = batch.column("dim")[k].as_py(), batch.column("i")[k] == batch.column("j")[k]
-                ids, copies, x = get("ids", "<i8"), get("copies", "<i8"), get("vectors", "<f8").reshape(-1, dim)
+                ids, copies, x = get("ids", "<i8"), get("copies", "<i8"), _scaled(get("vectors", "<f8").reshape(-1, dim))
                 if same:
-                    y, (i, j) = x, _links(x, x, threshold, True)
+                    i, j = _all_links(x, x, threshold, True)
                     both, n = (ids, copies), len(ids)
                 else:
-                    y = get("other_vectors", "<f8").reshape(-1, dim)
-                    i, j = _links(x, y, threshold, False)
+                    i, j = _all_links(x, _scaled(get("other_vectors", "<f8").reshape(-1, dim)), threshold, False)
                     j = j + len(ids)
                     both = (np.concatenate([ids, get("other_ids", "<i8")]), np.concatenate([copies, get("other_copies", "<i8")]))
                     n = len(both[0])
@@ -84,7 +101,7 @@ def _tiles(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_bytes: int = 4 << 20) -> DataFrame:
     """vec_id, n_links and component_id of every row of vectors (vec_id, embedding, label).
 
     Vectors link when their labels are equal and not null and their cosine in double precision
@@ -92,7 +109,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
     link with nothing, nor do vectors of different lengths. Repeated rows are vectors of their
     own. component_id is the smallest vec_id that links reach, null if none has one. An empty
     table gives no rows. Copies of one vector form a class, so a vector on a third of all rows
-    is compared once; a label on a third of all rows has more blocks than others, all of one size.
+    is compared once; a label on a third of all rows has more blocks than others, all of one size: about
+    `block_bytes` of vectors, which are compared in tiles of 1024 rows. A block travels once for each block of its
+    label, so larger blocks are fewer copies.
     """
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0)
@@ -102,7 +121,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
     equal = rows.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     classes = stage(equal.withColumn("dim", F.size("embedding")).withColumn("class_id", F.monotonically_increasing_id()), "emb-classes")
 
-    blocks = stage(classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "emb-blocks")
+    blocks = stage(classes.groupBy("label", "dim").agg(F.ceil(F.count("*") * F.col("dim") * 8 / block_bytes).cast("int").alias("blocks")), "emb-blocks")
     dealt = classes.join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     packed = stage(dealt.select("label", "dim", "block", "blocks", "class_id", "copies", "embedding").groupBy("label", "dim", "block").applyInArrow(_pack, PACKED_DDL), "emb-packed")
     left = packed.select("*", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))

@@ -155,7 +155,23 @@ def test_embeddings_of_awkward_rows(spark):
     assert embedding_dedup.group_vectors(spark, frame.limit(0)).count() == 0
     # Many small blocks give the same.
     whole = sorted(map(str, embedding_dedup.near_duplicates(frame).collect()))
-    assert sorted(map(str, embedding_dedup.near_duplicates(frame, block_rows=7).collect())) == whole
+    assert sorted(map(str, embedding_dedup.near_duplicates(frame, block_bytes=7 * 16 * 8).collect())) == whole
+
+
+def test_very_large_and_small_components_link(spark):
+    v = [3.0, -1.0, 2.0, 0.5]
+    rows = [(k, [x * s for x in v], 1) for k, s in enumerate((1.0, 1e200, 1e-200, 1e300, 5e-310))] + [(9, [1e200, 1e200, -1e200, 0.0], 1), (10, [1e-200, 1e200, 0.0, 0.0], 1), (11, [0.0, 7.0, 0.0, 0.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.group_vectors(spark, frame).collect()}
+    assert got == {**{k: (4, 0) for k in range(5)}, 9: (0, 9), 10: (1, 10), 11: (1, 10)}
+
+
+def test_tiles_of_any_side_find_the_same():
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    whole = {tuple(sorted(p)) for p in np.stack(embedding_dedup._all_links(x, x, 0.98, True), 1).tolist()}
+    assert whole and all({tuple(sorted(p)) for p in np.stack(embedding_dedup._all_links(x, x, 0.98, True, side), 1).tolist()} == whole for side in (1, 7, 40))
+    both = set(map(tuple, np.stack(embedding_dedup._all_links(x[:25], x[15:], 0.98, False, 6), 1).tolist()))
+    assert both == set(map(tuple, np.stack(embedding_dedup._all_links(x[:25], x[15:], 0.98, False), 1).tolist()))
 
 
 def test_bounds_never_hide_a_link():
