@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codec import base_at, masked
+from ..functions.codec import base_at, masked, with_base
 from .mutate import site_groups
 from .sampling import running_sum
 
@@ -18,26 +18,50 @@ def epistasis_present(both: Column, neither: Column, one: Column, other: Column,
     return F.abs(both + neither - one - other) > 0.99 * resolution
 
 
+#: Four cells of a square: corner, changed at pos1, at pos2, at both; a cell is 4 times the base at pos1 plus that at pos2.
+CELLS = [(4 * a + c, 4 * b + c, 4 * a + d, 4 * b + d) for a, b in combinations(range(4), 2) for c, d in combinations(range(4), 2)]
+#: Every square seen from each of its corners.
+CORNERS = [x for p, q, r, s in CELLS for x in ((p, q, r, s), (q, p, s, r), (r, s, p, q), (s, r, q, p))]
+
+
+def _largest(cell: Column, n: int, value: str) -> list[Column]:
+    return [F.max(F.when(cell == k, F.col(value))).alias(f"e{k}") for k in range(n)]
+
+
 def _groups(members: DataFrame, length: int) -> DataFrame:
-    """nc_id, pos1, pos2, m: sequences of a component that agree outside two sites, where they can hold a square.
+    """nc_id, pos1, pos2, rest, e: sequences of a component that agree outside two sites, where they can hold a square.
 
-    m has a struct (cell, c, s) for each, cell being 4 times the base at pos1 plus that at pos2; a
-    group has sixteen members at most. A corner of a square has a neighbour in its component
-    at both sites, so only pairs of such sites of a sequence are dealt out. A member that is
-    repeated is one, with the lowest of its energies.
+    e has the energies of the sixteen cells, null where there is no member; rest is the code with
+    both sites at base 0. A corner of a square has a neighbour in its component at both sites, so
+    only pairs of such sites of a sequence are dealt out. Groups are values of fixed width, without
+    lists or sorts. A member that is repeated is one, with the largest of its energies; a member without energy takes no part.
     """
-    group = Window.partitionBy("nc_id", "pos", "masked")
-    near = site_groups(members, length).withColumn("alone", F.min("code").over(group) == F.max("code").over(group)).where(~F.col("alone"))
+    base = base_at(F.col("code"), F.col("pos"), length)
+    sites = site_groups(members.select("nc_id", "code", "energy"), length).select("nc_id", "pos", "masked", base.alias("base"), "energy")
+    cells = sites.repartition("nc_id", "pos", "masked").groupBy("nc_id", "pos", "masked").agg(*_largest(F.col("base"), 4, "energy"))
+    there = sum(F.col(f"e{k}").isNotNull().cast("int") for k in range(4))
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("base"), F.col(f"e{k}").alias("energy")) for k in range(4)]))
+    near = cells.where(there > 1).select("nc_id", "pos", "masked", each).where("energy is not null")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos"))
-    bits = near.groupBy("nc_id", "code").agg(F.bit_or(bit).alias("bits"), F.min("energy").alias("energy"))
+    code = with_base(F.col("masked"), F.col("pos"), F.col("base"), length)
+    bits = near.select("nc_id", code.alias("code"), "energy", bit.alias("bit")).groupBy("nc_id", "code").agg(F.bit_or("bit").alias("bits"), F.max("energy").alias("energy"))
     at = F.filter(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.call_function("shiftright", F.col("bits"), k).bitwiseAND(F.lit(1)) == 1)
-    sites = bits.select("nc_id", "code", "energy", at.alias("at")).where(F.size("at") > 1)
+    open_sites = bits.select("nc_id", "code", "energy", at.alias("at")).where(F.size("at") > 1)
     pair = F.flatten(F.transform("at", lambda i: F.transform(F.filter("at", lambda j: j > i), lambda j: F.struct(i.alias("pos1"), j.alias("pos2")))))
-    rows = sites.select("nc_id", "code", "energy", F.explode(pair).alias("p")).select("nc_id", "code", "energy", "p.*")
+    rows = open_sites.select("nc_id", "code", "energy", F.explode(pair).alias("p")).select("nc_id", "code", "energy", "p.*")
     both = masked(masked(F.col("code"), F.col("pos1"), length), F.col("pos2"), length)
     cell = base_at(F.col("code"), F.col("pos1"), length) * 4 + base_at(F.col("code"), F.col("pos2"), length)
-    one = F.struct(cell.alias("cell"), F.col("code").alias("c"), F.col("energy").alias("s"))
-    return rows.groupBy("nc_id", "pos1", "pos2", both.alias("rest")).agg(F.collect_list(one).alias("m")).where(F.size("m") >= 4)
+    dealt = rows.select("nc_id", "pos1", "pos2", both.alias("rest"), cell.alias("cell"), "energy").repartition("nc_id", "pos1", "pos2", "rest")
+    groups = dealt.groupBy("nc_id", "pos1", "pos2", "rest").agg(*_largest(F.col("cell"), 16, "energy"))
+    full = sum(F.col(f"e{k}").isNotNull().cast("int") for k in range(16))
+    return groups.where(full >= 4).select("nc_id", "pos1", "pos2", "rest", F.array(*[f"e{k}" for k in range(16)]).alias("e"))
+
+
+def _found(cells: list[tuple[int, ...]]) -> Column:
+    """(cells, energies) of those squares whose four cells are all there."""
+    four = F.array(*[F.array(*map(F.lit, c)) for c in cells])
+    known = F.transform(four, lambda c: F.struct(c.alias("c"), F.transform(c, lambda k: F.col("e")[k]).alias("s")))
+    return F.filter(known, lambda q: F.forall(q["s"], lambda v: v.isNotNull()))
 
 
 def squares(members: DataFrame, length: int) -> DataFrame:
@@ -45,12 +69,9 @@ def squares(members: DataFrame, length: int) -> DataFrame:
 
     members: nc_id, code, energy. g2 and g3 are g1 changed at pos1 and at pos2, g4 at both.
     """
-    x, y = (lambda g: F.floor(g["cell"] / 4)), (lambda g: g["cell"] % 4)
-    g1 = _groups(members, length).select("*", F.explode("m").alias("g1"))
-    g2 = g1.select("*", F.explode(F.filter("m", lambda g: (y(g) == y(F.col("g1"))) & (x(g) != x(F.col("g1"))))).alias("g2"))
-    g3 = g2.select("*", F.explode(F.filter("m", lambda g: (x(g) == x(F.col("g1"))) & (y(g) != y(F.col("g1"))))).alias("g3"))
-    g4 = g3.select("*", F.explode(F.filter("m", lambda g: (x(g) == x(F.col("g2"))) & (y(g) == y(F.col("g3"))))).alias("g4"))
-    return g4.select("nc_id", "pos1", "pos2", *[F.col(f"g{k}.c").alias(f"g{k}") for k in range(1, 5)], *[F.col(f"g{k}.s").alias(f"s{k}") for k in range(1, 5)])
+    rows = _groups(members, length).select("nc_id", "pos1", "pos2", "rest", F.explode(_found(CORNERS)).alias("q"))
+    put = lambda k: with_base(with_base(F.col("rest"), F.col("pos1"), F.floor(F.col("q.c")[k] / 4), length), F.col("pos2"), F.col("q.c")[k] % 4, length)
+    return rows.select("nc_id", "pos1", "pos2", *[put(k).alias(f"g{k + 1}") for k in range(4)], *[F.col("q.s")[k].alias(f"s{k + 1}") for k in range(4)])
 
 
 def epistasis_fraction(found: DataFrame, ignore_zero: bool, resolution: float = RESOLUTION) -> DataFrame:
@@ -64,21 +85,14 @@ def epistasis_fraction(found: DataFrame, ignore_zero: bool, resolution: float =
     return found.groupBy("nc_id").agg(F.try_divide(F.count_if(counts & present), F.count_if(counts)).alias("fraction"))
 
 
-#: The four cells of every square in a group: corner, changed at pos1, at pos2, at both.
-CELLS = [(4 * a + c, 4 * b + c, 4 * a + d, 4 * b + d) for a, b in combinations(range(4), 2) for c, d in combinations(range(4), 2)]
-
-
 def epistasis_fractions(members: DataFrame, length: int, resolution: float = RESOLUTION) -> DataFrame:
     """nc_id, fraction of squares with epistasis, and fraction_nonzero, of the corners at which both single mutations have an effect.
 
     A fraction is null where nothing counts; components without squares have no row. Each group
     counts its own squares, so a row a group is what is added up by component.
     """
-    energy = F.map_from_entries(F.transform("m", lambda g: F.struct(g["cell"], g["s"])))
-    known = _groups(members, length).select("nc_id", energy.alias("e"))
-    four = F.array(*[F.array(*map(F.lit, c)) for c in CELLS])
-    found = F.transform(four, lambda c: F.transform(c, lambda k: F.try_element_at(F.col("e"), k)))
-    whole = known.select("nc_id", F.filter(found, lambda s: F.forall(s, lambda v: v.isNotNull())).alias("squares")).where(F.size("squares") > 0)
+    found = F.transform(_found(CELLS), lambda q: q["s"])
+    whole = _groups(members, length).select("nc_id", found.alias("squares")).where(F.size("squares") > 0)
     least = 0.99 * resolution
     apart = lambda s, i, j: F.abs(s[i] - s[j]) > least
     # The neighbours of each corner are the two it differs from at one site.
