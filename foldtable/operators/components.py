@@ -7,6 +7,8 @@ members it has is four bits, that combine before the shuffle and to which repeat
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +44,52 @@ def _members(length: int, codes=codec) -> Column:
     return F.transform(there, lambda b: codes.with_base(F.col("masked"), F.col("pos"), b, length))
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
+#: Edges that one task takes at once.
+IN_ONE_TASK = 1 << 19
+
+
+def _finished(edges: DataFrame) -> DataFrame:
+    """What _contracted gives, of edges (structure, a, b) few enough for one task, whose codes are integers."""
+    kind = f"structure string, node {edges.schema['a'].dataType.simpleString()}, label {edges.schema['a'].dataType.simpleString()}"
+
+    def run(batches):
+        whole = pd.concat([pd.DataFrame({"structure": [], "a": [], "b": []}), *batches], ignore_index=True)
+        if not len(whole):
+            return
+        names, s = np.unique(whole["structure"].to_numpy(str), return_inverse=True)
+        ends = np.concatenate([whole["a"].to_numpy("int64"), whole["b"].to_numpy("int64")])
+        order = np.lexsort((ends, np.tile(s, 2)))
+        sorted_s, sorted_ends = np.tile(s, 2)[order], ends[order]
+        new = np.concatenate([[True], (sorted_s[1:] != sorted_s[:-1]) | (sorted_ends[1:] != sorted_ends[:-1])])
+        # Nodes are numbered by structure and code, so the smallest number that is reached has the smallest code.
+        number = np.empty(len(order), "int64")
+        number[order] = np.cumsum(new) - 1
+        a, b = number[: len(whole)], number[len(whole) :]
+        root = np.arange(int(new.sum()))
+        while (root[a] != root[b]).any():
+            low = np.minimum(root[a], root[b])
+            for side in (root[a], root[b]):
+                np.minimum.at(root, side, low)
+            while (root[root] != root).any():
+                root = root[root]
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        codes, owner = sorted_ends[new], names[sorted_s[new]]
+        yield pd.DataFrame({"structure": owner[moved], "node": codes[moved], "label": codes[root[moved]]})
+
+    return edges.coalesce(1).mapInPandas(run, kind)
+
+
+def _contracted(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """structure, node, label of all ends of edges (structure, a < b): the smallest code that edges lead to, for ends that aren't that themselves.
 
-    Each round moves a label to its smallest neighbour, jumps twice, and rewrites the edges; those
+    Edges are contracted by rounds until they fit into one task, which finishes. Each round moves a label to its smallest neighbour, jumps twice, and rewrites the edges; those
     within one label go, so what is shuffled falls from round to round and components that are
     done take no part.
     """
     moves, now = [], _kept(edges)
     keys = ["structure"]
-    while not now.isEmpty():
+    plain = edges.schema["a"].dataType.simpleString() == "bigint"
+    while (left := now.count()) and not (plain and left <= in_one_task):
         hooks = _kept(now.groupBy(*keys, F.col("b").alias("node")).agg(F.min("a").alias("to")))
         ahead = hooks.select(*keys, F.col("node").alias("to"), F.col("to").alias("far"))
         low = hooks
@@ -65,10 +103,13 @@ def _contracted(edges: DataFrame) -> DataFrame:
         _drop(now)
         moves.append(low)
         now = new
-    _drop(now)
-    if not moves:
+    if left:
+        found = _kept(_finished(now))
+    elif moves:
+        found = moves.pop().withColumnRenamed("to", "label")
+    else:
         return edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("label")).limit(0)
-    found = moves.pop().withColumnRenamed("to", "label")
+    _drop(now)
     while moves:
         earlier = moves.pop()
         ahead = found.select(*keys, F.col("node").alias("to"), "label")
@@ -80,7 +121,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return found
 
 
-def neutral_components(seqs: DataFrame, length: int, codes=codec) -> DataFrame:
+def neutral_components(seqs: DataFrame, length: int, codes=codec, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """seqs (code, structure) with nc_id, the smallest code that neutral point mutations reach. codes: `codec`, or `wide_codec` for long sequences.
 
     Sequences are dealt to site groups once; each group links its members to its smallest. Repeated
@@ -88,7 +129,7 @@ def neutral_components(seqs: DataFrame, length: int, codes=codec) -> DataFrame:
     """
     members = base_groups(seqs.withColumn("structure", F.coalesce("structure", F.lit(""))), length, codes).withColumn("m", _members(length, codes)).where(F.size("m") > 1)
     edges = members.select("structure", F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 3)).alias("b"))
-    labels = _contracted(edges).select(F.col("structure").alias("_s"), F.col("node").alias("_c"), "label")
+    labels = _contracted(edges, in_one_task).select(F.col("structure").alias("_s"), F.col("node").alias("_c"), "label")
     same = (F.coalesce("structure", F.lit("")) == F.col("_s")) & (F.col("code") == F.col("_c"))
     return seqs.select("code", "structure").distinct().join(labels, same, "left").select("code", "structure", F.coalesce("label", "code").alias("nc_id"))
 

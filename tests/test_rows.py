@@ -50,8 +50,9 @@ def test_components_edges_and_versatility_of_repeated_rows(spark):
     assert len(got) == L * len(nodes)
     for (s, c, pos), v in got.items():
         assert abs(v - sum((s, c ^ (m << 2 * (L - 1 - pos))) in nodes for m in (1, 2, 3)) / 3) < 1e-9
-    labels = components.neutral_components(rows, L).collect()
-    assert len(labels) == len(nodes) and {(r.structure, r.code): r.nc_id for r in labels} == {(s or None, c): n for (s, c), n in union_find({(s or "", c) for s, c in nodes}).items()}
+    for most in (0, 1 << 19):
+        labels = components.neutral_components(rows, L, in_one_task=most).collect()
+        assert len(labels) == len(nodes) and {(r.structure, r.code): r.nc_id for r in labels} == {(s or None, c): n for (s, c), n in union_find({(s or "", c) for s, c in nodes}).items()}
     assert components.neutral_components(rows.limit(0), L).count() == 0
 
 
@@ -71,7 +72,8 @@ def test_components_of_long_paths_and_stars(spark):
     nodes = {("p", c) for c in path} | {("q", c) for c in lump} | {("q", 65535)}
     rows = spark.createDataFrame([(c, s) for s, c in nodes], "code long, structure string")
     assert len(path) > 100
-    assert {(r.structure, r.code): r.nc_id for r in components.neutral_components(rows, 8).collect()} == union_find(nodes)
+    for most in (0, 40, 1 << 19):  # edges are contracted by rounds alone, to the end in a task, or there alone
+        assert {(r.structure, r.code): r.nc_id for r in components.neutral_components(rows, 8, in_one_task=most).collect()} == union_find(nodes)
 
 
 def test_squares_of_repeated_members(spark):
