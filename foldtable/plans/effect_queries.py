@@ -8,7 +8,7 @@ from ..operators import additive, components, ensemble, mutate, sampling, struct
 from ..sources import tables
 from .define import Queries
 from .fixtures import MAP, SHAPES, UNFOLDED, L, draw_sql, mix_sql
-from .map_queries import DDG, PAIRED_RUNS, effects, map_effects, rounded
+from .map_queries import DDG, PAIRED_RUNS, by_code, effects, map_effects, rounded
 from .structure_queries import COARSE, LOOP, ROLE, SITES, STACK
 
 Q = Queries()
@@ -154,19 +154,18 @@ ef as materialized (select dr.structure, dr.draw, dr.code, dd.mutant, {CATEGORY}
 
 def sampled_effects(t):
     """structure, draw, code, mutant, category, kind, ddg: infinite effects of point mutations are left out, those of pair swaps stay."""
-    stab = components._kept(ensemble.stability(t.ensemble))
+    stored = by_code(t, t.ensemble)
+    stab = by_code(t, ensemble.stability(stored))
     folded = t.structures.where(F.col("structure") != UNFOLDED)
     drawn = sampling.sample_per_group(stab.where(F.col("structure") != UNFOLDED).select("structure", "code"), "structure", "code", DRAWS, 9)
     drawn = components._kept(drawn.select("structure", "code", F.col("draw").cast("long").alias("draw")).join(stab.drop("structure"), "code"))
+    # Both kinds travel to their mutants together. A swap takes the category of its first site, which is in a stack.
+    point = mutate.point_neighbours(drawn, L).select(*drawn.columns, "pos", "mutant", F.lit("point").alias("kind"))
+    swaps = mutate.bp_double_mutants(drawn, structure.base_pairs(folded), L).select(*drawn.columns, F.col("i").alias("pos"), "mutant", F.lit("bp").alias("kind"))
+    rows = ensemble.with_effects(point.unionByName(swaps), stab, stored).where((F.col("kind") == "bp") | summary.finite(F.col("ddg_gap")))
     features = structure.site_features(folded).select("structure", "pos", "role", "element_length")
-    point = ensemble.with_effects(mutate.point_neighbours(drawn, L), stab, t.ensemble).where(summary.finite(F.col("ddg_gap")))
-    point = point.join(features, ["structure", "pos"])
-    swaps = ensemble.with_effects(mutate.bp_double_mutants(drawn, structure.base_pairs(folded), L), stab, t.ensemble)
-    stacks = structure.site_stacks(folded).select("structure", F.col("pos").alias("i"), "stack_length")
-    swaps = swaps.join(stacks, ["structure", "i"])
-    row = lambda category, kind: ["structure", "draw", "code", "mutant", category.alias("category"), F.lit(kind).alias("kind"), F.expr("round(ddg_gap, 6) + 0D").alias("ddg")]
-    one = point.select(*row(summary.model_category(F.col("role"), F.col("element_length")), "point"))
-    return one.unionByName(swaps.select(*row(F.concat(F.lit("S"), F.col("stack_length").cast("string")), "bp")))
+    category = summary.model_category(F.col("role"), F.col("element_length")).alias("category")
+    return rows.join(features, ["structure", "pos"]).select("structure", "draw", "code", "mutant", category, "kind", F.expr("round(ddg_gap, 6) + 0D").alias("ddg"))
 
 
 @Q.add("p_sampled_effects", f"with {SAMPLED} select * from ef")

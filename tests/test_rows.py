@@ -137,6 +137,18 @@ def test_bucketed_tables_join_where_they_lie(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_effects_shuffle_mutants_alone(spark):
+    """Of the joins behind ddg_table, the stored sides lie in buckets."""
+    from foldtable.plans import fixtures, map_queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = exchanges(map_queries.effects(fixtures.Tables(spark, "/root/testdata/sf0.001")))
+        assert len(found) == 1 and "hashpartitioning(mutant" in found[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_quantiles_by_selection_equal_percentile(spark):
     rng = random.Random(5)
     values = [None, math.inf, math.inf, -1.5, 0.0, *[rng.gauss(0, 1) for _ in range(300)]]
