@@ -8,43 +8,61 @@ counts differ by one at most.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_names, new_path, parts_for, stage, utf8_size
 
 
-def _permuter(seed: int, starts: np.ndarray, rows: int, n_shards: int, inner: list[str]):
+def _permuter(seed: int, starts: np.ndarray, per_task: int, rows: int, n_shards: int, inner: list[str]):
     share, extra = divmod(rows, n_shards)
     edges = np.cumsum([0] + [share + (k < extra) for k in range(n_shards)])
+    by_bucket, by_hash, by_rank = inner
 
-    def permute(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        by_bucket, by_hash, by_rank = inner
-        bucket = held[0].column(by_bucket)[0].as_py()
+    def deal(bucket: int, held: list, start: int):
         whole = pa.Table.from_batches(held).combine_chunks()
         # Rows arrive in any order; a fixed order first makes a rerun of this task write the same.
         order = np.lexsort((whole[by_rank].to_numpy(), whole[by_hash].to_numpy()))
         shuffled = order[np.random.default_rng([seed, bucket]).permutation(len(order))]
-        at = starts[bucket] + np.arange(len(order))
+        at = start + np.arange(len(order))
         shard = np.searchsorted(edges, at, side="right") - 1
         out = whole.take(pa.array(shuffled)).drop_columns(inner)
         out = out.append_column("shard", pa.array(shard.astype("int32")))
         out = out.append_column("slot", pa.array((at - edges[shard]).astype("int64")))
         yield from out.to_batches(max_chunksize=4096)
 
+    def permute(batches):
+        """The buckets of a task come one after the other, and one is held at a time."""
+        bucket, held, start = -1, [], 0
+        for batch in batches:
+            ids = batch.column(by_bucket).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if bucket != ids[a]:
+                    if held:
+                        yield from deal(bucket, held, start)
+                        start += sum(x.num_rows for x in held)
+                    else:
+                        start = int(starts[ids[a] // per_task])
+                    bucket, held = int(ids[a]), []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from deal(bucket, held, start)
+
     return permute
 
 
-def _bucket_sizes(keyed: DataFrame, by_bucket: str, buckets: int) -> np.ndarray:
-    """Rows of each bucket: a row for each bucket reaches the driver."""
-    counts = np.zeros(buckets, dtype="int64")
-    for bucket, n in keyed.groupBy(by_bucket).count().toLocalIterator():
-        counts[bucket] = n
+def _task_sizes(keyed: DataFrame, task: Column, tasks: int) -> np.ndarray:
+    """Rows of each task's buckets: a row for each task reaches the driver."""
+    counts = np.zeros(tasks, dtype="int64")
+    for k, n in keyed.groupBy(task).count().toLocalIterator():
+        counts[k] = n
     return counts
 
 
@@ -64,7 +82,7 @@ def _numbered_copies(rows: DataFrame, out: str, at_once: int = 4096) -> DataFram
 
 def write_shards(
     df: DataFrame, path: str, n_shards: int = 8, seed: int = 17, id_col: str = "doc_id",
-    text_col: str = "text", bucket_bytes: int = 24 << 20,
+    text_col: str = "text", bucket_bytes: int = 24 << 20, most_tasks: int = 1 << 15,
 ) -> DataFrame:
     """Write every row of df, in uniformly random order, to `path`/shard=K and read it back.
 
@@ -73,9 +91,10 @@ def write_shards(
     source and no group of copies makes a bucket large. Only rows equal in both could: those
     whose bytes reach a quarter of a bucket scatter by their other columns and a number among equal rows
     as well. Where a row goes thus follows from the rows alone, never from how they are partitioned.
-    An empty table writes no rows. Buckets hold about `bucket_bytes`; their number follows the
-    data, and so does what is kept on the driver: one row count for each bucket, and the hashes of
-    such repeated rows, of which there are four for each bucket at most.
+    An empty table writes no rows. Buckets hold about `bucket_bytes`, and their number follows the
+    data. They are scattered over `most_tasks` tasks at most; a task with several of them sorts its rows by
+    bucket, outside memory where need be, and shuffles them one by one. The driver keeps a row count for
+    each task and the hashes of such repeated rows, of which there are four for each bucket at most.
     """
     spark = df.sparkSession
     kept = df.drop("shard", "slot")
@@ -92,14 +111,17 @@ def write_shards(
         salted = _numbered_copies(hashed.where(repeated), copy).withColumn(by_hash, F.xxhash64(by_hash, copy, *[F.col(f"`{c}`") for c in kept.columns])).drop(copy)
         hashed = stage(hashed.where(~repeated).unionByName(salted), "scattered")
     keyed = hashed.withColumn(by_bucket, F.pmod(by_hash, F.lit(buckets)).cast("int"))
-    counts = _bucket_sizes(keyed, by_bucket, buckets)
+    per_task = math.ceil(buckets / most_tasks)
+    tasks, task = math.ceil(buckets / per_task), F.floor(F.col(by_bucket) / per_task).cast("int")
+    counts = _task_sizes(keyed, task, tasks)
     starts = np.cumsum(counts) - counts
 
     schema = kept.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).schema
     (
         keyed.withColumn(by_rank, F.coalesce(F.hash(*[F.col(f"`{c}`") for c in kept.columns]), F.lit(0)))
-        .repartitionById(buckets, F.col(by_bucket))
-        .mapInArrow(_permuter(seed, starts, size.n, n_shards, inner), schema)
+        .repartitionById(tasks, task)
+        .sortWithinPartitions(by_bucket)
+        .mapInArrow(_permuter(seed, starts, per_task, size.n, n_shards, inner), schema)
         .write.partitionBy("shard").option("compression", "zstd").parquet(path)
     )
     return spark.read.schema(schema).parquet(path)
