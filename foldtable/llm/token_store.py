@@ -19,10 +19,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_lists, new_path, parts_for, slices, utf8_size
+from .common import byte_lists, drop_staged, new_path, parts_for, slices, stage, utf8_size
 from .encoding import Merges, UnitEncoder, gather
 
 #: Writer settings: row groups of 16 MB, pages of 64 KB, version 2 pages for delta encoding.
@@ -158,23 +158,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pa
     rows.write.options(**{k: str(v) for k, v in LAYOUT.items()}).parquet(path)
 
 
+def _bases(stored: DataFrame, parts_at_once: int = 4096) -> DataFrame:
+    """part, base: the ids of all parts before each. Parts are summed up in runs, so that no window has more rows than a run has parts, or there are runs."""
+    before = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = stage(stored.groupBy("part").agg(F.sum("n_tokens").alias("total")).withColumn("run", F.floor(F.col("part") / parts_at_once)), "part-totals")
+    inside = totals.withColumn("inside", before(Window.partitionBy("run").orderBy("part")))
+    runs = totals.groupBy("run").agg(F.sum("total").alias("total")).withColumn("outside", before(Window.partitionBy(F.lit(0)).orderBy("run")))
+    bases = stage(inside.join(runs.drop("total"), "run").select("part", (F.col("inside") + F.col("outside")).alias("base")), "part-bases")
+    drop_staged(totals)
+    return bases
+
+
 def read_tokens(spark, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """Documents and their ids, `start` counting the ids of all documents before each.
 
-    Files keep each start within its part; the parts' totals, a row for each part, come from the
-    lengths alone. `first` and `last` limit doc_id and reach the page index.
+    Files keep each start within its part; what comes before a part is a table of a row for each, from the
+    lengths alone. It is stored, so Spark knows its size and decides how to join it. `first` and
+    `last` limit doc_id and reach the page index.
     """
     stored = spark.read.schema(SCHEMA).parquet(path)
-    totals = dict(stored.groupBy("part").agg(F.sum("n_tokens")).collect())
-    base, bases = 0, {}
-    for part in sorted(totals):
-        bases[part], base = base, base + totals[part]
+    bases = _bases(stored)
     if first is not None:
         stored = stored.where(F.col("doc_id") >= first)
     if last is not None:
         stored = stored.where(F.col("doc_id") <= last)
-    pairs = spark.createDataFrame([(p, b) for p, b in bases.items()], "part int, base long")
-    joined = stored.join(F.broadcast(pairs), "part")  # a row for each part
+    joined = stored.join(bases, "part")
     return joined.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
 
 

@@ -76,6 +76,19 @@ def test_shards_follow_from_the_rows_alone(spark):
         assert sorted(map(tuple, outs[0].collect())) == sorted(map(tuple, outs[1].collect()))
 
 
+def test_several_buckets_a_task_give_the_same(spark):
+    rows = spark.range(2000).selectExpr("if(id % 3 = 0, 5, id) as doc_id", "if(id % 3 = 0, repeat('x', 100), string(id)) as text")
+    outs = [sharding.write_shards(rows, common.new_path(spark, "t"), bucket_bytes=5_000, most_tasks=n).select("doc_id", "text", "shard", "slot") for n in (1, 7, 1 << 15)]
+    assert len({str(sorted(map(tuple, out.collect()))) for out in outs}) == 1 and outs[0].count() == 2000
+
+
+def test_bases_of_many_parts(spark):
+    parts = spark.range(5000).selectExpr("int(id * 3 % 5000) as part", "id % 7 as n_tokens")
+    got = dict(map(tuple, token_store._bases(parts, 64).collect()))
+    sizes = dict(map(tuple, parts.collect()))
+    assert len(got) == 5000 and all(got[p] == sum(sizes[x] for x in range(p)) for p in range(0, 5000, 97))
+
+
 def check_tokens(rows, docs):
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     coder.no_truncation(), coder.no_padding()
