@@ -26,15 +26,19 @@ def _dg(p: Column) -> Column:
 def stability(ensemble: DataFrame) -> DataFrame:
     """code, structure (of lowest energy; ties by text), mfe, energy_gap (null without a second), dg_boltz.
 
-    One shuffle of the distinct rows, which combine before it: repeated rows count once. A
-    sequence's energies are held together, as many as it can form structures.
+    A structure counts once for each sequence, with its lowest energy; rows without a structure or an energy don't
+    count. Rows are dealt by code once, or not at all where the table is stored so. The lowest is found
+    first, and the least of the others and the sum of weights relative to it are aggregates of fixed
+    width, so no list of a sequence's structures is held.
     """
-    rows = ensemble.groupBy("code").agg(F.array_sort(F.collect_set(F.struct("energy", "structure"))).alias("all"))
-    low, second = F.element_at("all", 1), F.try_element_at("all", F.lit(2))
-    rows = rows.select("code", low.alias("low"), second.alias("next"), "all")
-    weights = F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp((F.col("low.energy") - x["energy"]) / KT))
-    p = 1 / weights
-    return rows.select("code", F.col("low.structure").alias("structure"), F.col("low.energy").alias("mfe"), (F.col("next.energy") - F.col("low.energy")).alias("energy_gap"), _dg(p).alias("dg_boltz"))
+    low = F.min(F.struct("energy", "structure")).over(Window.partitionBy("code"))
+    rows = ensemble.where("structure is not null and energy is not null").select("code", "structure", "energy").withColumn("low", low)
+    rows = rows.select("code", "structure", "energy", F.col("low.energy").alias("mfe"), F.col("low.structure").alias("best"))
+    once = rows.groupBy("code", "best", "mfe", "structure").agg(F.min("energy").alias("energy"))
+    found = once.groupBy("code", "best", "mfe").agg(
+        F.min(F.when(F.col("structure") != F.col("best"), F.col("energy"))).alias("next"), F.sum(F.exp((F.col("mfe") - F.col("energy")) / KT)).alias("weights")
+    )
+    return found.select("code", F.col("best").alias("structure"), "mfe", (F.col("next") - F.col("mfe")).alias("energy_gap"), _dg(1 / F.col("weights")).alias("dg_boltz"))
 
 
 def forms(ensemble: DataFrame) -> DataFrame:

@@ -92,6 +92,13 @@ def test_repeated_models_and_ensembles(spark):
     rows = [(1, "((...))", -2.0), (1, "((...))", -2.0), (1, ".......", 0.0), (2, ".......", 0.0)]
     got = {r.code: r for r in ensemble.stability(spark.createDataFrame(rows, "code long, structure string, energy double")).collect()}
     assert got[1].energy_gap == 2.0 and abs(got[1].dg_boltz - 2.0) < 1e-9 and got[2].energy_gap is None
+    more = [*rows, (1, "((...))", -1.5), (1, None, -9.0), (2, "(.....)", None), (3, "((...))", -1.0), (3, "(.....)", -1.0), (3, ".......", 0.5)]
+    got = {r.code: r for r in ensemble.stability(spark.createDataFrame(more, "code long, structure string, energy double")).collect()}
+    assert got[1].energy_gap == 2.0 and abs(got[1].dg_boltz - 2.0) < 1e-9 and got[2].energy_gap is None and got[2].mfe == 0.0
+    weight = 1 / (2 + math.exp(-1.5 / ensemble.KT))
+    assert (got[3].structure, got[3].energy_gap) == ("((...))", 0.0) and abs(got[3].dg_boltz - ensemble.KT * math.log(weight / (1 - weight))) < 1e-9
+    plan = ensemble.stability(spark.createDataFrame(more, "code long, structure string, energy double"))._jdf.queryExecution().toString()
+    assert "partial_sum" in plan and "collect_" not in plan
     held = {r.code: r.m_forms for r in ensemble.forms(spark.createDataFrame(rows, "code long, structure string, energy double")).collect()}
     assert abs(held[1]["((...))"].p + held[1]["......."].p - 1) < 1e-12
 
