@@ -48,8 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.encode(docs, path), path, tokens=True)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), tokens=True)
 
 
 STAGES = [

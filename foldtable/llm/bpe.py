@@ -30,6 +30,8 @@ from .encoding import BYTE_CHARS, Merges, UnitEncoder, gather
 SPACE = r"\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORD = regex.compile(public_tokenizers.PATTERN)
+#: Bytes of text that a task takes at a time: what it needs to split, encode and decode them is some fifty times as much.
+PIECE = 1 << 20
 
 
 class Vocabulary:
@@ -145,13 +147,18 @@ class Transducer:
 class LexiconEncoder(UnitEncoder):
     """Encodes by units: their words are looked up in the transducer, and merged where it lacks them."""
 
-    def __init__(self, tokenizer: str, lexicon: Transducer, held: int = 500_000, held_words: int = 250_000):
+    def __init__(self, tokenizer: str, lexicon: Transducer, held: int = 250_000, held_words: int = 125_000):
         super().__init__(held)
         self.merged: dict[str, list[int]] = {}
         self.held_words = held_words
         self.vocabulary, self.lexicon = Vocabulary(tokenizer), lexicon
         self.special = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")")
 
+    def forget_all(self) -> None:
+        """Units and words: a worker that waits for its next task holds the vocabulary alone."""
+        self.forget()
+        self.merged = {}
+
     def split(self, text: bytes) -> list[str]:
         whole = text.decode()
         if not self.special.search(whole):
@@ -235,20 +242,37 @@ def publish(spark: SparkSession, data: bytes) -> str:
 _encoders: dict[str, LexiconEncoder] = {}
 
 
+def _encoder(tokenizer: str, lexicon: str) -> LexiconEncoder:
+    if lexicon not in _encoders:
+        _encoders.clear()
+        _encoders[lexicon] = LexiconEncoder(tokenizer, Transducer.mapped(SparkFiles.get(lexicon)))
+    return _encoders[lexicon]
+
+
 def _encode(tokenizer: str, lexicon: str, names: list[str]):
     def run(batches):
-        if lexicon not in _encoders:
-            _encoders.clear()
-            _encoders[lexicon] = LexiconEncoder(tokenizer, Transducer.mapped(SparkFiles.get(lexicon)))
-        for batch in batches:
-            for some in slices(batch, 1000):
-                ids, counts = _encoders[lexicon].encode(byte_lists(some, "text"))
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype("int32")), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), tokens], [*names, "tokens"])
+        encoder = _encoder(tokenizer, lexicon)
+        try:
+            for batch in batches:
+                for some in slices(batch, 1000, most=PIECE):
+                    ids, counts = encoder.encode(byte_lists(some, "text"))
+                    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype("int32")), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), tokens], [*names, "tokens"])
+        finally:
+            encoder.forget_all()
 
     return run
 
 
+def _lexicon(docs: DataFrame, tokenizer: str, words: int) -> str:
+    """Choose and publish the lexicon of docs; its file's name on the executors."""
+    vocabulary = Vocabulary(tokenizer)
+    chosen = sorted(w for w in frequent_words(docs, words) if w.decode() not in vocabulary.special)
+    flat, counts = vocabulary.merges.words(chosen)
+    ids = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] if chosen else []
+    return publish(docs.sparkSession, Transducer.build(list(zip(chosen, ids, strict=True))).to_bytes())
+
+
 def encode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), words: int = 1 << 16) -> DataFrame:
     """The columns `keep` of docs and `tokens`, the ids of the whole text.
 
@@ -256,11 +280,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",),
     library has it. All rows count for the lexicon and all are encoded. `words` bounds the
     lexicon; what it leaves out changes no id.
     """
-    vocabulary = Vocabulary(tokenizer)
-    chosen = sorted(w for w in frequent_words(docs, words) if w.decode() not in vocabulary.special)
-    flat, counts = vocabulary.merges.words(chosen)
-    ids = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] if chosen else []
-    lexicon = publish(docs.sparkSession, Transducer.build(list(zip(chosen, ids, strict=True))).to_bytes())
+    lexicon = _lexicon(docs, tokenizer, words)
     schema = docs.select(*keep, F.array(F.lit(0)).alias("tokens")).schema
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_encode(tokenizer, lexicon, list(keep)), schema)
 
@@ -284,27 +304,30 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.mapInArrow(run, encoded.select(*names, F.lit("").alias("text")).schema)
 
 
-def digests(encoded: DataFrame, tokenizer: str, tokens: bool = False) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text that they decode to; the ids too if wanted."""
-
-    def run(batches):
-        vocabulary = Vocabulary(tokenizer)
-        for batch in batches:
-            for some in slices(batch, 1000, "tokens", 2 << 20):
-                ids, counts = _tokens(some)
-                at = np.concatenate([[0], np.cumsum(counts)]).tolist()
-                raw = ids.astype("<u4")
-                hashed = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-                texts = [hashlib.sha256(t).hexdigest() for t in vocabulary.decode(ids, counts)]
-                columns = [some.column("doc_id"), pa.array(counts.astype("int64")), pa.array(hashed, pa.string()), pa.array(texts, pa.string()), some.column("tokens")]
-                yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
+def digests(docs: DataFrame, tokenizer: str, tokens: bool = False, words: int = 1 << 16) -> DataFrame:
+    """doc_id of docs, n_tokens and digests of the ids and of the text that they decode to; the ids too if wanted.
 
+    A piece is decoded by the task that encoded it: a second pass over the ids would be a second
+    Python worker beside each of the first.
+    """
+    lexicon = _lexicon(docs, tokenizer, words)
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * tokens
     names = [x.split()[0] for x in kinds.split(", ")]
-    return encoded.mapInArrow(run, kinds)
+
+    def run(batches):
+        vocabulary = _encoder(tokenizer, lexicon).vocabulary
+        for some in _encode(tokenizer, lexicon, ["doc_id"])(batches):
+            ids, counts = _tokens(some)
+            at = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            raw = ids.astype("<u4")
+            hashed = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+            texts = [hashlib.sha256(t).hexdigest() for t in vocabulary.decode(ids, counts)]
+            columns = [some.column("doc_id"), pa.array(counts.astype("int64")), pa.array(hashed, pa.string()), pa.array(texts, pa.string()), some.column("tokens")]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
 
 def round_trip(spark, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Encode all documents, decode them, and report on both."""
-    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    return digests(encode(docs.select("doc_id", "text"), path), path)
+    return digests(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))

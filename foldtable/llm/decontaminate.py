@@ -339,7 +339,7 @@ def _loaded(files: tuple[str, ...], window: int) -> Automata:
     return _automata[files]
 
 
-def _pass(files: tuple[str, ...], window: int, text_col: str, names: list[str], first: bool):
+def _pass(files: tuple[str, ...], window: int, text_col: str, names: list[str], first: bool, then=None):
     def run(batches):
         automata = _loaded(files, window)
         for batch in batches:
@@ -352,12 +352,13 @@ def _pass(files: tuple[str, ...], window: int, text_col: str, names: list[str],
                     spans[k] = _merged([*spans[k], *hit])
                     items[k] = sorted({*items[k], *met})
                 extra = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), *extra], [*names, "n_words", "spans", "item_ids"])
+                out = pa.RecordBatch.from_arrays([*(some.column(c) for c in names), *extra], [*names, "n_words", "spans", "item_ids"])
+                yield then(out) if then else out
 
     return run
 
 
-def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, block_words: int = 1_000_000, held: int = 16) -> DataFrame:
+def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, block_words: int = 1_000_000, held: int = 16, then=None) -> DataFrame:
     """docs with n_words, the hit spans of words (merged, in order) and the ids of the items met.
 
     items: item_id, text. Null texts have no words, and items without words no window; an item
@@ -366,6 +367,7 @@ def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window
     from a file by those that use it, so a worker itself holds the vocabulary alone. Documents stream through `held`
     automata in one pass; where there are more, they are written to the shared folder with what was
     found, and stream through the next ones. Items that repeat each other whole count once.
+    `then` makes rows of docs' columns alone from each batch of the last pass, in the task that scanned it.
     """
     sized = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     files = build_automata(sized, window, block_words)
@@ -373,7 +375,8 @@ def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window
     names, before = out.columns, None
     schema = StructType([*out.schema, *docs.sparkSession.createDataFrame([], FOUND).schema])
     for k in range(0, max(1, len(files)), held):
-        out = out.mapInArrow(_pass(tuple(files[k : k + held]), window, text_col, names, k == 0), schema)
+        last = then if k + held >= len(files) else None
+        out = out.mapInArrow(_pass(tuple(files[k : k + held]), window, text_col, names, k == 0, last), StructType(schema[: len(names)]) if last else schema)
         if k + held < len(files):
             out = stage(out, "hits")
             if before is not None:
@@ -382,12 +385,16 @@ def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window
     return out
 
 
+def _reaches(n_hit, n_words, coverage: float):
+    """Whether so many hit words make up the coverage; of numbers or columns."""
+    share = Fraction(str(coverage))
+    return (n_hit > 0) & (n_hit * share.denominator >= n_words * share.numerator)
+
+
 def judged(found: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """With n_hit and contaminated: some words are hit, and at least `coverage` of all words."""
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    share = Fraction(str(coverage))
-    enough = F.col("n_hit") * share.denominator >= F.col("n_words") * share.numerator
-    return found.withColumn("n_hit", hits).withColumn("contaminated", (F.col("n_hit") > 0) & enough)
+    return found.withColumn("n_hit", hits).withColumn("contaminated", _reaches(F.col("n_hit"), F.col("n_words"), coverage))
 
 
 def _found(docs: DataFrame, items: DataFrame, coverage: float) -> tuple[DataFrame, list[str]]:
@@ -402,17 +409,17 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, coverage: float = COV
     return found.where(~F.col("contaminated")).select(*inner).toDF(*docs.columns)
 
 
-def _cut(inner: list[str], text: str, longest: int):
-    def run(batches):
-        for batch in batches:
-            rows = zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist(), batch.column("contaminated").to_pylist(), strict=True)
-            new = []
-            for whole, spans, all_of_them in rows:
-                gone = [s for s in spans if all_of_them or s[1] - s[0] >= longest]
-                new.append(cut_spans(whole.encode(), gone) if gone else whole)
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else batch.column(c) for c in inner], inner)
+def _cut(inner: list[str], text: str, longest: int, coverage: float, drop: bool):
+    def cut(batch):
+        new, stays = [], []
+        for whole, spans, n_words in zip(*(batch.column(c).to_pylist() for c in (text, "spans", "n_words")), strict=True):
+            contaminated = _reaches(sum(b - a for a, b in spans), n_words, coverage)
+            stays.append(not (drop and contaminated))
+            gone = [s for s in spans if contaminated or s[1] - s[0] >= longest] if stays[-1] else []
+            new.append(cut_spans(whole.encode(), gone) if gone else whole)
+        return pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else batch.column(c) for c in inner], inner).filter(pa.array(stays))
 
-    return run
+    return cut
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, longest: int = WINDOW, coverage: float = COVERAGE, drop: bool = False) -> DataFrame:
@@ -421,11 +428,9 @@ def remove_spans(docs: DataFrame, items: DataFrame, longest: int = WINDOW, cover
     Documents whose hits reach `coverage` lose all spans, or go altogether with `drop`. All
     columns of docs stay, whatever their names; null texts and rows without hits are as they were.
     """
-    found, inner = _found(docs, items, coverage)
-    if drop:
-        found = found.where(~F.col("contaminated"))
-    schema = found.select(*inner).schema
-    return found.mapInArrow(_cut(inner, inner[docs.columns.index("text")], longest), schema).toDF(*docs.columns)
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    text = inner[docs.columns.index("text")]
+    return find_spans(docs.toDF(*inner), items, text, then=_cut(inner, text, longest, coverage, drop)).toDF(*docs.columns)
 
 
 def judge_documents(spark, docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -100,6 +101,21 @@ def test_bpe_of_awkward_rows(spark):
     assert sorted(str((r.doc_id, r.text)) for r in back) == sorted(str((r.doc_id, r.text or "")) for r in docs.collect())
 
 
+def test_encoding_is_bounded_by_pieces(tmp_path, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(20_000)) for _ in range(150)]
+    (tmp_path / "t").write_bytes(bpe.Transducer.build([]).to_bytes())
+    monkeypatch.setattr(bpe, "SparkFiles", type("Files", (), {"get": lambda name: str(tmp_path / name)}))
+    monkeypatch.setattr(bpe, "_encoders", {})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    found = list(bpe._encode(BYTE, "t", ["doc_id"])([batch]))
+    assert max(b.num_rows for b in found) <= 60  # pieces of about a megabyte, where all were one before
+    want = [e.ids for e in library(BYTE).encode_batch(texts, add_special_tokens=False)]
+    assert [x for b in found for x in b.column("tokens").to_pylist()] == want
+    held = bpe._encoders["t"]
+    assert not held.known and not held.merged and not len(held.flat)  # a waiting worker keeps no units
+
+
 def auc(scores, y):
     better = sum((a > b) + 0.5 * (a == b) for a, p in zip(scores, y, strict=True) if p for b, q in zip(scores, y, strict=True) if not q)
     return better / (sum(y) * (len(y) - sum(y)))

@@ -78,3 +78,10 @@ def test_awkward_rows_go_through(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 20 < rows.count() < 200
+
+
+def test_stages_keep_one_worker_a_task(spark):
+    docs = common.table(spark, SF, "documents")
+    for step in (corpus_pipeline.drop_contaminated, corpus_pipeline.tokenize):
+        plan = step(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall("MapInArrow", plan)) == 1  # each runs beside the others, in a Python worker of its own
