@@ -156,6 +156,24 @@ def test_effects_shuffle_mutants_alone(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_effects_are_not_broadcast(spark):
+    """Spark's own threshold and estimates stand: neither mutants nor their sides go through the driver, and one join serves all quantities."""
+    from foldtable.plans import registry
+
+    def joins(df):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        return [sum(f"{kind} [" in x for x in plan) for kind in ("BroadcastHashJoin", "SortMergeJoin")]
+
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    found = registry.QUERIES["quantity_selector"](spark, "/root/testdata/sf0.001")
+    assert joins(found) == [0, 2]
+    whole = {(r.code, r.pos, r.new_base): r for r in registry.QUERIES["ddg_table"](spark, "/root/testdata/sf0.001").collect()}
+    rows = found.collect()
+    assert joins(found)[0] == 0 and len(rows) == 3 * len(whole) > 0  # nor did Spark change its mind when it ran
+    of = {"energygap": "ddg_gap", "Boltzmann_based": "ddg_boltz", "free_energy": "d_mfe"}
+    assert all(str(r.ddg) == str(whole[r.code, r.pos, r.new_base][of[r.quantity]]) for r in rows) and {r.quantity for r in rows} == set(of)
+
+
 def test_quantiles_by_selection_equal_percentile(spark):
     rng = random.Random(5)
     values = [None, math.inf, math.inf, -1.5, 0.0, *[rng.gauss(0, 1) for _ in range(300)]]
